@@ -51,6 +51,29 @@ class Pieces:
         if (self.keys[1:] == self.keys[:-1]).any():
             raise ValueError("two pieces share a hash")
         self.pairs: dict[int, bool] = {}
+        inner = {(ord(a) + 1) << 32 | (ord(b) + 1) for p in self.score for a, b in zip(p, p[1:])}
+        self.inner = np.array(sorted(inner), np.uint64)
+
+    def apart(self, words: list[str]) -> list[list[str]]:
+        """Each word cut where no piece spans: between two characters that are neighbours in none."""
+        lengths = np.array([len(w) for w in words])
+        chars = points(["".join(words)], int(lengths.sum()))[0]
+        code = chars[:-1] << np.uint64(32) | chars[1:]
+        joined = self.inner[np.minimum(np.searchsorted(self.inner, code), len(self.inner) - 1)] == code
+        ends = np.cumsum(lengths)
+        joined[ends[:-1] - 1] = False
+        cuts = np.append(np.flatnonzero(~joined) + 1, ends[-1])
+        text, out, at = "".join(words), [], 0
+        bounds, last = cuts.tolist(), np.searchsorted(cuts, ends).tolist()
+        first = 0
+        for stop in last:
+            parts = []
+            for end in bounds[first : stop + 1]:
+                parts.append(text[at:end])
+                at = end
+            out.append(parts)
+            first = stop + 1
+        return out
 
     def hashes(self, words: list[str]) -> np.ndarray:
         out = np.zeros(len(words), np.uint64)
@@ -163,9 +186,16 @@ def unknown(pieces: Pieces, char: str) -> list[int]:
 class Encoder:
     def __init__(self, model: bytes):
         self.pieces = Pieces(model)
-        self.memo = Memo(self.units)
+        self.memo, self.cores = Memo(self.units), Memo(self.parts)
+
+    def units(self, words: list[str]) -> list[bytes]:
+        if not words:
+            return []
+        apart = self.pieces.apart(words)
+        look = self.cores.learn(apart)
+        return [b"".join(map(look, parts)) for parts in apart]
 
-    def units(self, words: list[str]) -> list[np.ndarray]:
+    def parts(self, words: list[str]) -> list[bytes]:
         return [np.array(ids, "<i4").tobytes() for ids in viterbi(self.pieces, words)]
 
     def texts(self, bodies: list[bytes]) -> Iterator[bytes]:
@@ -232,5 +262,16 @@ def decode(encoded: DataFrame, model_path: str | None = None) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
 
-def digest(ids: list[int]) -> str:
-    return hashlib.sha256(np.array(ids, "<i4").tobytes()).hexdigest()
+def round_trip(docs: DataFrame, model_path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_ids, ids, decoded_sha256): the ids, and the digest of the UTF-8 text they decode to."""
+    encoded = encode(docs, model_path, id_col, text_col)
+    model = load(docs, model_path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decoder = kept_in_process(("sentencepiece decoder", model.value), lambda: Decoder(model.value))
+        for batch in slices(batches):
+            lists = batch.column(1).to_pylist()
+            digests = [hashlib.sha256(decoder.text(ids).encode()).hexdigest() for ids in lists]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in lists], pa.int64()), batch.column(1), pa.array(digests)], names=["doc_id", "n_ids", "ids", "decoded_sha256"])
+
+    return encoded.mapInArrow(run, "doc_id long, n_ids long, ids array<int>, decoded_sha256 string")
