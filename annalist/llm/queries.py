@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annalist.llm import chat, packing, sentencepiece, simhash, substrings, toxicity, urlfilter
+from annalist.llm import chat, lines, packing, quality, sentencepiece, simhash, substrings, toxicity, urlfilter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.repeated_words(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
@@ -43,17 +47,28 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.repeated_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_deleted", "n_runs", "kept_sha256")
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_quality_rules": op2_quality_rules,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_url_filter": op5_url_filter,
     "op6_simhash": op6_simhash,
     "op7_chat_formatting": op7_chat_formatting,
     "op8_toxicity": op8_toxicity,
+    "op9_line_dedup": op9_line_dedup,
     "op10_packing": op10_packing,
 }
-ORACLES: dict[str, str] = {"op3_substring_dedup": substrings.ORACLE, "op5_url_filter": urlfilter.ORACLE, "op7_chat_formatting": chat.ORACLE}
+ORACLES: dict[str, str] = {
+    "op3_substring_dedup": substrings.ORACLE,
+    "op5_url_filter": urlfilter.ORACLE,
+    "op7_chat_formatting": chat.ORACLE,
+    "op9_line_dedup": lines.ORACLE,
+}

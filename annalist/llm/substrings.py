@@ -199,17 +199,23 @@ def repeated_words(docs: DataFrame, length: int = 50, texts: bool = False, id_co
     )
 
 
+def replaced(docs: DataFrame, plan: DataFrame) -> DataFrame:
+    """``docs`` with ``kept`` for the texts that ``plan`` (doc_id, body_hash, kept) names, and ``n_chars`` anew."""
+    plan = materialize(plan.select(F.col("doc_id").alias("_id"), F.col("body_hash").alias("_hash"), F.col("kept").alias("_kept")).dropDuplicates(["_id", "_hash"]), "replaced")
+    hashed = F.xxhash64(F.coalesce(docs["text"].cast("binary"), F.lit(b"")))
+    joined = docs.join(plan, (docs["doc_id"].cast("long") == plan["_id"]) & (hashed == plan["_hash"]), "left")
+    new = {"text": F.coalesce("_kept", docs["text"])}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.col("_kept").isNotNull(), F.length("_kept").cast("long")).otherwise(docs["n_chars"].cast("long"))
+    return joined.select(*(new[c].alias(c) if c in new else docs[c] for c in docs.columns))
+
+
 def substring_dedup(docs: DataFrame, length: int = 50) -> DataFrame:
-    """The documents, all columns kept, with repeated windows cut from ``text`` and ``n_chars`` anew.
+    """The documents, all columns kept, with repeated windows cut from ``text``.
 
     Texts that lose nothing stay as they are; of others the kept words are joined by one space.
     """
-    plan = repeated_words(docs, length, texts=True).filter("n_removed > 0").select(F.col("doc_id").alias("_id"), F.col("body_hash").alias("_hash"), F.col("kept").alias("_kept")).dropDuplicates(["_id", "_hash"])
-    hashed = F.xxhash64(F.coalesce(docs["text"].cast("binary"), F.lit(b"")))
-    joined = docs.join(plan, (docs["doc_id"].cast("long") == plan["_id"]) & (hashed == plan["_hash"]), "left")
-    text = F.coalesce("_kept", docs["text"])
-    new = {"text": text, "n_chars": F.when(F.col("_kept").isNotNull(), F.length("_kept").cast("long")).otherwise(docs["n_chars"])}
-    return joined.select(*(new[c].alias(c) if c in new else docs[c] for c in docs.columns))
+    return replaced(docs, repeated_words(docs, length, texts=True).filter("n_removed > 0"))
 
 
 ORACLE = r"""
