@@ -37,3 +37,53 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
     stars = now.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.col("v").alias("component")), F.struct(F.col("v").alias("node"), F.col("v").alias("component")))).alias("s")).select("s.*")
     loops = alone.select(F.col("u").alias("node"), F.col("u").alias("component"))
     return stars.unionAll(loops).groupBy("node").agg(F.min("component").alias("component"))
+
+
+def reachable(edges: DataFrame, starts: DataFrame, src: str = "parent", dst: str = "child", most_hops: int = 10_000) -> DataFrame:
+    """(start, node, hops): every node that a start reaches along directed edges, itself at 0, by fewest hops.
+
+    A breadth-first join per hop over the newly reached pairs only; ends when a hop adds none.
+    """
+    along = materialize(edges.select(F.col(src).alias("node"), F.col(dst).alias("next")).na.drop().distinct(), "edges")
+    front = materialize(starts.select(F.col(starts.columns[0]).alias("start")).na.drop().distinct().select("start", F.col("start").alias("node"), F.lit(0).alias("hops")), "front")
+    found = front
+    for hop in range(1, most_hops + 1):
+        step = front.join(along, "node").select("start", F.col("next").alias("node")).distinct().join(found, ["start", "node"], "left_anti").withColumn("hops", F.lit(hop))
+        front = materialize(step, "front")
+        if front.isEmpty():
+            return found
+        found = found.unionByName(front)
+    raise RuntimeError(f"nodes lie over {most_hops} hops away")
+
+
+def in_cycle(edges: DataFrame, src: str = "parent", dst: str = "child") -> DataFrame:
+    """(node): nodes that no topological peeling removes, so those in a cycle or behind one."""
+    rest = materialize(edges.select(F.col(src).alias("p"), F.col(dst).alias("c")).na.drop().distinct(), "edges")
+    while True:
+        heads = rest.select("p").distinct().join(rest.select(F.col("c").alias("p")), "p", "left_anti")
+        then = materialize(rest.join(heads, "p", "left_anti"), "edges")
+        stuck = heads.isEmpty()
+        discard(rest)
+        rest = then
+        if stuck or rest.isEmpty():
+            return rest.select(F.explode(F.array("p", "c")).alias("node")).distinct()
+
+
+def paths(edges: DataFrame, src: str = "parent", dst: str = "child", most_paths: int = 256, most_nodes: int = 64) -> DataFrame:
+    """(nodes): all paths from nodes without parents to nodes without children of an acyclic graph.
+
+    Fails rather than truncate: beyond ``most_paths`` paths, or a path beyond ``most_nodes`` nodes.
+    """
+    along = materialize(edges.select(F.col(src).alias("p"), F.col(dst).alias("c")).na.drop().distinct(), "edges")
+    heads = along.select("p").distinct().join(along.select(F.col("c").alias("p")), "p", "left_anti")
+    front = materialize(heads.select(F.array("p").alias("nodes")), "paths")
+    ended = front.filter("false")
+    for _ in range(most_nodes + 1):
+        last = front.withColumn("p", F.element_at("nodes", -1))
+        ended = materialize(ended.unionByName(last.join(along.select("p").distinct(), "p", "left_anti").select("nodes")), "paths")
+        front = materialize(last.join(along, "p").select(F.concat("nodes", F.array("c")).alias("nodes")), "paths")
+        if front.isEmpty():
+            return ended
+        if front.count() + ended.count() > most_paths:
+            raise RuntimeError(f"over {most_paths} paths")
+    raise RuntimeError(f"a path has over {most_nodes} nodes")
