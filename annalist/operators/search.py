@@ -6,9 +6,8 @@ import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 
 #: Code point ranges written without spaces. Fixed values.
 UNSPACED = ((0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x3040, 0x30FF), (0xAC00, 0xD7AF))
@@ -30,11 +29,14 @@ def text_tokens(text: str | None) -> list[str]:
     return list(dict.fromkeys(out))
 
 
-@pandas_udf("array<string>")
-def search_tokens(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def search_tokens(text: Column | str) -> Column:
     """NFKC and full case folding have no JVM expression, so this one runs in Arrow batches."""
-    for texts in batches:
-        yield texts.map(text_tokens)
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield texts.map(text_tokens)
+
+    return F.pandas_udf(run, "array<string>")(text)
 
 
 def index(rows: DataFrame, key: str, text: str) -> DataFrame:
