@@ -36,7 +36,7 @@ def missed(candidates: DataFrame, gold: DataFrame) -> DataFrame:
 
 def confusion(pairs: DataFrame, labels: list[str]) -> DataFrame:
     """One row per gold label, a column per predicted one. ``pairs``: gold, predicted."""
-    return pairs.groupBy("gold").pivot("predicted", labels).agg(F.count("*")).na.fill(0)
+    return pairs.groupBy("gold").pivot("predicted", labels).agg(F.count(F.lit(1))).na.fill(0)
 
 
 def adjudication_metrics(results: DataFrame, gold: DataFrame) -> DataFrame:

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from annalist.functions.text import identity
-from annalist.functions.vector import unit
 
 POINTS, LEAST_COSINE, LEAST_LINES, LEAST_NODES, MOST_VIEWS, MOST_STEPS, MOST_FOUND = 17, 0.95, 3, 3, 512, 100_000, 64
 
@@ -97,8 +96,5 @@ def surfaces(views: DataFrame, least: float = LEAST_COSINE, lines: int = LEAST_L
             out.append(("surface_" + hashlib.sha256("|".join(ids).encode()).hexdigest()[:24], ids, min(pairs), float(np.mean(pairs))))
         return pd.DataFrame(out, columns=["surface_id", "view_ids", "least_similarity", "mean_similarity"])
 
-    return views.groupBy(F.lit(0)).applyInPandas(search, schema)
+    return views.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(search, schema)
 
-
-def normalized(column: str):
-    return unit(F.col(column))
