@@ -119,7 +119,7 @@ def repeated_lines(docs: DataFrame, shortest: int = 2, texts: bool = False, id_c
     solid = F.size(F.filter(F.split(F.col("body").cast("string"), "\n", -1), lambda line: line.rlike(SOLID))).cast("long")
     whole = bodies.select(*key, solid.alias("n_lines"), F.sha2("body", 256).alias("full_sha256"))
     starts = repeated_runs(bodies, shortest).groupBy(key).agg(F.collect_set("pos").alias("starts"))
-    small = packed(bodies.filter(F.col("body").cast("string").contains("\n")))
+    small = packed(bodies if shortest == 1 else bodies.filter(F.col("body").cast("string").contains("\n")))
     changed = without(small.join(starts, key).select("doc_id", "body_hash", "body", "starts"), shortest, texts).dropDuplicates(key)
     return whole.join(changed, key, "left").select(
         *key, "n_lines",

@@ -152,4 +152,4 @@ def drop_near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
     Rows with a null doc_id stay. Rows that repeat a doc_id are one document.
     """
     lost = components(docs, width).filter("doc_id != component_id").select(F.col("doc_id").alias("_lost")).distinct()
-    return docs.join(lost, docs["doc_id"] == F.col("_lost"), "left_anti")
+    return docs.join(lost, docs["doc_id"].cast("long") == lost["_lost"], "left_anti")

@@ -204,9 +204,9 @@ def replaced(docs: DataFrame, plan: DataFrame) -> DataFrame:
     plan = materialize(plan.select(F.col("doc_id").alias("_id"), F.col("body_hash").alias("_hash"), F.col("kept").alias("_kept")).dropDuplicates(["_id", "_hash"]), "replaced")
     hashed = F.xxhash64(F.coalesce(docs["text"].cast("binary"), F.lit(b"")))
     joined = docs.join(plan, (docs["doc_id"].cast("long") == plan["_id"]) & (hashed == plan["_hash"]), "left")
-    new = {"text": F.coalesce("_kept", docs["text"])}
+    new = {"text": F.coalesce(plan["_kept"], docs["text"])}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(F.col("_kept").isNotNull(), F.length("_kept").cast("long")).otherwise(docs["n_chars"].cast("long"))
+        new["n_chars"] = F.when(plan["_kept"].isNotNull(), F.length(plan["_kept"]).cast("long")).otherwise(docs["n_chars"].cast("long"))
     return joined.select(*(new[c].alias(c) if c in new else docs[c] for c in docs.columns))
 
 
