@@ -30,11 +30,12 @@ def rows_out(fields: dict[str, pa.DataType], columns: dict[str, list]) -> pa.Rec
     return pa.RecordBatch.from_arrays([pa.array(columns[k], t) for k, t in fields.items()], names=list(fields))
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of at most ``rows``: what Python holds at once stays small."""
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512, size: int = 8_000_000) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``rows`` rows and about ``size`` bytes: Python holds little at once."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        step = max(1, min(rows, size * batch.num_rows // max(1, batch.nbytes)))
+        for at in range(0, batch.num_rows, step):
+            yield batch.slice(at, step)
 
 
 class Memo:

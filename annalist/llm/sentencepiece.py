@@ -50,7 +50,8 @@ class Pieces:
         self.keys, self.key_ids = hashes[order], np.array(plain)[order]
         if (self.keys[1:] == self.keys[:-1]).any():
             raise ValueError("two pieces share a hash")
-        self.pairs: dict[int, bool] = {}
+        #: Judged pairs: most of them in sorted arrays, the latest in a dict.
+        self.codes, self.fits, self.recent = np.array([-1]), np.array([False]), {}
         inner = {(ord(a) + 1) << 32 | (ord(b) + 1) for p in self.score for a, b in zip(p, p[1:])}
         self.inner = np.array(sorted(inner), np.uint64)
 
@@ -104,16 +105,24 @@ class Pieces:
         """Whether left and right, as one text, are segmented into just these two; judged once a pair."""
         code = left.astype(np.int64) << 32 | right.astype(np.int64)
         unique, inverse = np.unique(code, return_inverse=True)
-        if len(self.pairs) > 2_000_000:
-            self.pairs.clear()
-        known = np.empty(len(unique), bool)
-        for i, c in enumerate(unique.tolist()):
-            fits = self.pairs.get(c)
-            if fits is None:
+        at = np.minimum(np.searchsorted(self.codes, unique), len(self.codes) - 1)
+        settled = self.codes[at] == unique
+        fits = self.fits[at] & settled
+        for i in np.flatnonzero(~settled).tolist():
+            c = int(unique[i])
+            fit = self.recent.get(c)
+            if fit is None:
                 a, b = self.text[c >> 32], self.text[c & 0xFFFFFFFF]
-                fits = self.pairs[c] = self.merged(a + b) == [a, b]
-            known[i] = fits
-        return known[inverse]
+                fit = self.recent[c] = self.merged(a + b) == [a, b]
+            fits[i] = fit
+        if len(self.recent) > 20_000:
+            if len(self.codes) > 5_000_000:
+                self.codes, self.fits = self.codes[:1], self.fits[:1]
+            codes = np.concatenate([self.codes, np.fromiter(self.recent, np.int64)])
+            order = np.argsort(codes)
+            self.codes, self.fits = codes[order], np.concatenate([self.fits, np.fromiter(self.recent.values(), bool)])[order]
+            self.recent = {}
+        return fits[inverse]
 
 
 def points(words: list[str], length: int) -> np.ndarray:
@@ -122,7 +131,7 @@ def points(words: list[str], length: int) -> np.ndarray:
 
 
 #: At most about this many lattice cells are held at once.
-CELLS = 2_000_000
+CELLS = 600_000
 
 
 def viterbi(pieces: Pieces, words: list[str]) -> list[list[int]]:
@@ -186,7 +195,7 @@ def unknown(pieces: Pieces, char: str) -> list[int]:
 class Encoder:
     def __init__(self, model: bytes):
         self.pieces = Pieces(model)
-        self.memo, self.cores = Memo(self.units), Memo(self.parts)
+        self.memo, self.cores = Memo(self.units, 450_000), Memo(self.parts, 450_000)
 
     def units(self, words: list[str]) -> list[bytes]:
         if not words:
@@ -240,7 +249,7 @@ def encode(docs: DataFrame, model_path: str | None = None, id_col: str = "doc_id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = kept_in_process(("sentencepiece", model.value), lambda: Encoder(model.value))
-        for batch in slices(batches):
+        for batch in slices(batches, 4096, 4_000_000):
             ids = list(encoder.texts(batch.column(1).to_pylist()))
             offsets = np.cumsum([0, *(len(x) // 4 for x in ids)])
             values = pa.array(np.frombuffer(b"".join(ids), "<i4"), pa.int32())
