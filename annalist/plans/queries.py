@@ -7,6 +7,7 @@ are revision chains per customer, ``documents`` and ``benchmark`` are texts.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,6 +17,8 @@ from pyspark.sql.window import Window
 from annalist.functions import text as T
 from annalist.functions import vector as V
 from annalist.operators import compilation, convergence, frontier, graph, linegraph, metrics, pairs, revisions, search, similarity, structure, surface, trajectory, visibility
+from annalist.scratch import shared_dir
+from annalist.sources import files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -772,3 +775,50 @@ def _(spark, d):
     supports = held.select(F.col("label").alias("region_id"), F.col("id").alias("support_block"), F.col("id").alias("support_state"), text.alias("support_content"), F.col("vector").alias("support_vector"))
     scored = frontier.scores(blocks, items, supports)
     return scored.select("block_id", "region_id", F.round("score", 6).alias("score"), "rescued", F.size("selected").alias("n_selected"))
+
+
+@query("O05_O07_jsonl_round_trip", "SELECT 'b' || vec_id AS block_id, label::VARCHAR AS text, len(embedding)::INTEGER AS n FROM embeddings")
+def _(spark, d):
+    path = f"{shared_dir(spark)}/annalist/jsonl-{uuid.uuid4().hex}"
+    head = spark.range(1).select(F.lit("metadata").alias("type"), F.lit("1").alias("schema_version"), F.lit("c").alias("corpus_id"), F.lit(64).alias("vector_dimension"))
+    e = table(spark, d, "embeddings")
+    blocks = e.select(F.lit("block").alias("type"), F.concat(F.lit("b"), F.col("vec_id").cast("string")).alias("block_id"), F.lit("2024-01-01T00:00:00+00:00").alias("occurred_at"), F.col("label").cast("string").alias("text"), F.col("embedding").cast("array<double>").alias("vector"))
+    files.write_json(head.unionByName(blocks, allowMissingColumns=True), path)
+    return files.read_blocks(spark, path).select("block_id", "text", F.size("vector").alias("n"))
+
+
+@query("O61c_node_states", f"""WITH s AS (SELECT o_custkey AS node_id, o_orderkey AS state_id, o_orderdate, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS v FROM orders)
+SELECT node_id, max(v) AS state_version FROM s WHERE o_orderdate <= TIMESTAMP '{ORDER_AT}' AND state_id % 4 <> 0 GROUP BY 1""")
+def _(spark, d):
+    o = table(spark, d, "orders")
+    rows = revisions.chain(o.select(F.col("o_custkey").alias("node_id"), F.col("o_orderkey").alias("state_id"), F.col("o_orderdate").alias("known_at")), "node_id", ["known_at", "state_id"]).withColumnRenamed("revision_number", "state_version")
+    found = linegraph.node_states(rows, o.filter("o_orderkey % 4 <> 0").select(F.col("o_orderkey").alias("state_id")), F.lit(ORDER_AT).cast("timestamp_ntz"))
+    return found.select("node_id", F.col("state_version").cast("long").alias("state_version"))
+
+
+@query("O77_evaluate_candidates", "SELECT o_custkey || '/' || o_orderkey AS region_id FROM orders WHERE o_orderkey % 5 <> 0 AND (o_custkey % 2 <> 0 OR o_orderkey % 2 = 0) AND NOT (o_custkey % 3 = 0 AND o_orderstatus = 'F') AND o_orderkey % 7 <> 0")
+def _(spark, d):
+    o = table(spark, d, "orders").withColumn("region_id", F.concat_ws("/", "o_custkey", "o_orderkey"))
+    sources = F.array("o_orderpriority")
+    rows = o.select("region_id", F.col("o_orderstatus").alias("content"), sources.alias("sources"), F.array("o_orderkey").alias("states"), (F.col("o_custkey") % 2 == 0).alias("is_frontier"))
+    ids = lambda where: o.filter(where).select(F.col("o_orderkey").alias("state_id"))
+    said = o.filter("o_orderkey % 7 = 0").select("region_id", T.content_hash("o_orderstatus").alias("content_hash"), revisions.signature(sources).alias("support_signature"), F.lit(None).cast("timestamp").alias("reopened_at"))
+    current = o.filter("o_custkey % 3 = 0").select("region_id", F.lit(" F ").alias("content"))
+    return revisions.evaluate_candidates(rows, ids("o_orderkey % 5 <> 0"), said, current, ids("o_orderkey % 2 = 0")).select("region_id")
+
+
+@query("O78_promote", "WITH r AS (SELECT o_orderstatus AS c, lag(o_orderstatus) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS h FROM orders) SELECT CASE WHEN h IS NULL THEN 'INITIAL_CREATION' ELSE 'MEANINGFUL_UPDATE' END AS action, count(*) AS n FROM r WHERE h IS NULL OR c <> h GROUP BY 1")
+def _(spark, d):
+    c = revisions.chain(table(spark, d, "orders").withColumnRenamed("o_custkey", "region"), "region", ["o_orderdate", "o_orderkey"])
+    key = lambda n: F.concat_ws("/", "region", n)
+    s = F.array(F.lit("s"))
+    proposals = c.select(key(F.col("revision_number")).alias("region_id"), F.col("o_orderstatus").alias("content"), s.alias("support"), s.alias("authorized"))
+    current = c.select(key(F.col("revision_number") + 1).alias("region_id"), F.col("o_orderstatus").alias("content"), s.alias("support"), "revision_number")
+    return revisions.promote(proposals, current).groupBy("action").agg(F.count("*").alias("n"))
+
+
+@query("O85_external_intake", "SELECT o_orderkey AS proposal_id, o_orderkey % 9 = 0 AS conflict FROM orders WHERE o_orderkey % 3 <> 0 OR o_orderkey % 9 = 0")
+def _(spark, d):
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("proposal_id"), F.col("o_orderstatus").alias("content"))
+    old = o.filter("proposal_id % 3 = 0").withColumn("content", F.when(F.col("proposal_id") % 9 == 0, "other").otherwise(F.concat(F.lit("  "), F.col("content"))))
+    return revisions.intake(o, old).select("proposal_id", "conflict")
