@@ -156,3 +156,69 @@ def quality(
 
 def code_of(column: Column) -> Column:
     return F.coalesce(F.concat(F.lit("="), column), F.lit("0"))
+
+
+def oracle_sql(cut: float = 40.0, share: float = 0.75, steps: int = 3, least: int = 100) -> str:
+    """The same verdicts in DuckDB SQL, with exact order statistics (as ``percentile_approx`` gives for groups under its accuracy)."""
+    p = len(AXES)
+    pairs = [(i, k) for i in range(p) for k in range(i + 1)]
+    at = lambda x, q: f"list_sort(list({x}))[greatest(ceil({q} * count(*)), 1)::BIGINT]"
+
+    def far(source: str, estimates: str) -> str:
+        parts, names = [], []
+        for i, a in enumerate(AXES):
+            rest = f"({a} - m{i})" + "".join(f" - l{i}{k} * {names[k]}" for k in range(i))
+            parts.append(f"({rest}) / l{i}{i} AS y{i}")
+            names.append(f"y{i}")
+        inner = f"SELECT v.*, e.* EXCLUDE (g) FROM {source} v JOIN {estimates} e ON v.g = e.g"
+        for i, part in enumerate(parts):
+            inner = f"SELECT *, {part} FROM ({inner})"
+        return f"SELECT *, ({' + '.join(f'y{i} * y{i}' for i in range(p))}) / scale AS d FROM ({inner})"
+
+    def estimates(rows: str) -> str:
+        sums = ", ".join([*(f"avg({a}) AS m{i}" for i, a in enumerate(AXES)), *(f"covar_pop({AXES[i]}, {AXES[k]})" + (f" + {FLOORS[AXES[i]] ** 2!r}" if i == k else "") + f" AS c{i}{k}" for i, k in pairs)])
+        sql = f"SELECT g, {sums} FROM {rows} GROUP BY g"
+        for i, k in sorted(pairs, key=lambda q: (q[1], q[0])):
+            rest = f"c{i}{k}" + "".join(f" - l{i}{j} * l{k}{j}" for j in range(k))
+            sql = f"SELECT *, {f'sqrt(greatest({rest}, 1e-12))' if i == k else f'({rest}) / l{k}{k}'} AS l{i}{k} FROM ({sql})"
+        return f"SELECT g, {', '.join([*(f'm{i}' for i in range(p)), *(f'l{i}{k}' for i, k in pairs)])}, 1.0::DOUBLE AS scale FROM ({sql})"
+
+    spread = ", ".join(f"greatest(1.4826 * {at(f'abs({a} - m{i})', 0.5)}, {FLOORS[a]}) AS l{i}{i}" for i, a in enumerate(AXES))
+    zero = ", ".join(f"0.0::DOUBLE AS l{i}{k}" for i in range(p) for k in range(i))
+    means = ", ".join(f"m{i}" for i in range(p))
+    out = [
+        "w AS (SELECT doc_id, lang, source, coalesce(text, '') AS text, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words FROM documents)",
+        "win AS (SELECT doc_id, i, array_to_string(words[i:i + 7], ' ') AS k FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 6, 1)::BIGINT)) AS i FROM w))",
+        "rep AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, k) AS n FROM win) WHERE n > 1)",
+        "cov AS (SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, unnest(range(i, i + 8)) AS j FROM rep) GROUP BY 1)",
+        "s AS (SELECT w.doc_id, lang, source, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols,"
+        " list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines, coalesce(cov.n, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN cov ON cov.doc_id = w.doc_id)",
+        "t AS (SELECT *, len(lines)::BIGINT AS n_lines, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines FROM s)",
+        "x AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, ln((word_chars + 1) / (n_words + 1)) AS x1, sqrt(n_symbols / greatest(word_chars, 1)) AS x2,"
+        " sqrt(n_dup_lines / greatest(n_lines, 1)) AS x3, sqrt(n_repeat_words / greatest(n_words, 1)) AS x4 FROM t)",
+        f"once AS (SELECT DISTINCT lang, source, {', '.join(AXES)} FROM x WHERE NOT base_failed)",
+        "sizes AS (SELECT lang, source, count(*) AS n FROM once GROUP BY 1, 2)",
+        f"pool AS (SELECT lang, sum(n) AS n FROM sizes WHERE n < {least} GROUP BY 1)",
+        f"grp AS (SELECT a.lang, a.source, a.n, CASE WHEN a.n >= {least} THEN coalesce('=' || a.lang, '0') || chr(1) || coalesce('=' || a.source, '0') WHEN b.n >= {least} THEN coalesce('=' || a.lang, '0') ELSE '1' END AS g FROM sizes a LEFT JOIN pool b ON a.lang IS NOT DISTINCT FROM b.lang)",
+        f"names AS (SELECT lang, source, g FROM grp WHERE g IN (SELECT g FROM grp GROUP BY 1 HAVING sum(n) >= {least}))",
+        f"v AS (SELECT o.{', o.'.join(AXES)}, names.g FROM once o JOIN names ON o.lang IS NOT DISTINCT FROM names.lang AND o.source IS NOT DISTINCT FROM names.source)",
+        f"med AS (SELECT g, {', '.join(f'{at(a, 0.5)} AS m{i}' for i, a in enumerate(AXES))} FROM v GROUP BY g)",
+        f"e0 AS (SELECT g, {', '.join(f'min(m{i}) AS m{i}' for i in range(p))}, {spread}, {zero}, 1.0::DOUBLE AS scale FROM (SELECT v.*, {means} FROM v JOIN med ON v.g = med.g) GROUP BY g)",
+    ]
+    for step in range(steps + 1):
+        bound = at("d", share) if step < steps else f"{at('d', 0.5)} * {INNER / MEDIAN!r}"
+        out += [
+            f"f{step} AS ({far('v', f'e{step}')})",
+            f"b{step} AS (SELECT g, {bound} AS bound FROM f{step} GROUP BY g)",
+            f"i{step} AS (SELECT f.g, {', '.join(f'f.{a}' for a in AXES)} FROM f{step} f JOIN b{step} b ON f.g = b.g WHERE f.d <= b.bound)",
+            f"e{step + 1} AS ({estimates(f'i{step}')})",
+        ]
+    last = f"e{steps + 1}"
+    out += [
+        f"ff AS ({far('v', last)})",
+        f"sc AS (SELECT g, greatest({at('d', 0.5)} / {MEDIAN}, 1.0) AS scale FROM ff GROUP BY g)",
+        f"e AS (SELECT z.* EXCLUDE (scale), sc.scale FROM {last} z JOIN sc ON z.g = sc.g)",
+        "y AS (SELECT x.*, names.g FROM x LEFT JOIN names ON x.lang IS NOT DISTINCT FROM names.lang AND x.source IS NOT DISTINCT FROM names.source)",
+        f"far AS (SELECT doc_id, d FROM ({far('y', 'e')}))",
+    ]
+    return "WITH " + ",\n".join(out) + f"\nSELECT x.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(far.d, 0) <= {cut} AS kept FROM x LEFT JOIN far ON far.doc_id = x.doc_id"

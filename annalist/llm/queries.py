@@ -19,7 +19,7 @@ def op1_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.quality(table(spark, sf_dir, "documents"))
+    return quality.quality(table(spark, sf_dir, "documents")).drop("distance")
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_packing": op10_packing,
 }
 ORACLES: dict[str, str] = {
+    "op2_quality_rules": quality.oracle_sql(),
     "op3_substring_dedup": substrings.ORACLE,
     "op5_url_filter": urlfilter.ORACLE,
     "op7_chat_formatting": chat.ORACLE,
