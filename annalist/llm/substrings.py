@@ -57,12 +57,12 @@ class Windows:
 
 SEEN = {
     "doc_id": pa.int64(), "body_hash": pa.int64(), "n_words": pa.int64(), "full_sha256": pa.string(),
-    "starts": pa.list_(pa.int32()), "hashes": pa.list_(pa.int64()),
+    "hashes": pa.list_(pa.int64()),
 }
 
 
 def half_windows(docs: DataFrame, length: int) -> DataFrame:
-    """Per document: its word count and digest, and its half-length windows that are pivots."""
+    """Per document: its word count and digest, and the different half-length windows that are pivots in it."""
     half = (length + 1) // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -71,17 +71,15 @@ def half_windows(docs: DataFrame, length: int) -> DataFrame:
             out: dict[str, list] = {k: [] for k in SEEN}
             for doc_id, body, body_hash in zip(*(c.to_pylist() for c in batch.columns)):
                 words = body.split()
-                starts, hashes = np.empty(0, np.int32), np.empty(0, np.int64)
+                hashes = np.empty(0, np.int64)
                 if len(words) >= length and doc_id is not None:
                     halves = windows.at(windows.sums(words), half)
-                    chosen = windows.pivots(halves, length - half + 1)
-                    chosen = chosen[np.append(True, chosen[1:] != chosen[:-1])]
-                    starts, hashes = chosen.astype(np.int32), halves[chosen].view(np.int64)
-                for k, v in zip(SEEN, (doc_id, body_hash, len(words), hashlib.sha256(b" ".join(words)).hexdigest(), starts, hashes)):
+                    hashes = np.unique(halves[windows.pivots(halves, length - half + 1)]).view(np.int64)
+                for k, v in zip(SEEN, (doc_id, body_hash, len(words), hashlib.sha256(b" ".join(words)).hexdigest(), hashes)):
                     out[k].append(v)
             yield rows_out(SEEN, out)
 
-    return docs.mapInArrow(run, "doc_id long, body_hash long, n_words long, full_sha256 string, starts array<int>, hashes array<long>")
+    return docs.mapInArrow(run, "doc_id long, body_hash long, n_words long, full_sha256 string, hashes array<long>")
 
 
 def packed(docs: DataFrame) -> DataFrame:
@@ -103,45 +101,46 @@ def unpacked(body: bytes) -> bytes:
     return ZstdDecompressor().decompress(body)
 
 
-FULL = {"hash": pa.int64(), "doc_id": pa.int64(), "body_hash": pa.int64(), "start": pa.int32()}
+FULL = {"hash": pa.int64(), "doc_id": pa.int64(), "body_hash": pa.int64()}
 
 
 def full_windows(bodies: DataFrame, length: int) -> DataFrame:
-    """The full-length windows around half-length ones that repeat (column ``starts``)."""
+    """A document's different full-length windows around half-length ones that repeat (column ``hashes``)."""
     half = (length + 1) // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows = Windows()
         for batch in slices(batches, 64):
-            hashes, ids, prints, starts = [], [], [], []
+            hashes, ids, prints = [], [], []
             for doc_id, body_hash, body, kept in zip(*(c.to_pylist() for c in batch.columns)):
                 sums = windows.sums(unpacked(body).split())
-                pivots = windows.pivots(windows.at(sums, half), length - half + 1)
-                at = np.flatnonzero(np.isin(pivots, kept))
-                hashes.append(windows.at(sums, length)[at].view(np.int64))
-                starts.append(at.astype(np.int32))
-                ids.append(np.full(len(at), doc_id))
-                prints.append(np.full(len(at), body_hash))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (hashes, ids, prints, starts)], names=list(FULL))
+                halves = windows.at(sums, half).view(np.int64)
+                inside = np.isin(halves, kept)[windows.pivots(halves.view(np.uint64), length - half + 1)]
+                found = np.unique(windows.at(sums, length)[inside].view(np.int64))
+                hashes.append(found)
+                ids.append(np.full(len(found), doc_id))
+                prints.append(np.full(len(found), body_hash))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (hashes, ids, prints)], names=list(FULL))
 
-    return bodies.mapInArrow(run, "hash long, doc_id long, body_hash long, start int")
+    return bodies.mapInArrow(run, "hash long, doc_id long, body_hash long")
 
 
 KEPT = {"doc_id": pa.int64(), "body_hash": pa.int64(), "n_removed": pa.int64(), "kept_sha256": pa.string(), "kept": pa.string()}
 
 
 def removed(bodies: DataFrame, length: int, texts: bool) -> DataFrame:
-    """What stays of each document once the windows at ``starts`` are cut out."""
+    """What stays of each document once its windows with the given ``hashes`` are cut out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        windows = Windows()
         for batch in slices(batches, 64):
             out: dict[str, list] = {k: [] for k in KEPT}
-            for doc_id, body_hash, body, starts in zip(*(c.to_pylist() for c in batch.columns)):
+            for doc_id, body_hash, body, hashes in zip(*(c.to_pylist() for c in batch.columns)):
                 words = unpacked(body).split()
                 change = np.zeros(len(words) + 1, np.int64)
-                at = np.unique(np.array(starts))
-                np.add.at(change, at, 1)
-                np.add.at(change, at + length, -1)
+                at = np.flatnonzero(np.isin(windows.at(windows.sums(words), length).view(np.int64), hashes))
+                change[at] += 1
+                change[at + length] -= 1
                 stays = np.cumsum(change[:-1]) == 0
                 kept = b" ".join(compress(words, stays.tolist()))
                 text = kept.decode("utf-8", "replace") if texts else None
@@ -175,16 +174,21 @@ def repeated_words(docs: DataFrame, length: int = 50, texts: bool = False, id_co
     firsts = whole.filter(F.col("n_words") >= length).groupBy("full_sha256").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).filter("n > 1")
     copies = whole.join(firsts, "full_sha256").filter("doc_id > first").select("doc_id", "body_hash").distinct()
 
-    pivots = seen.select("doc_id", "body_hash", F.explode(F.arrays_zip("starts", "hashes")).alias("w")).select("doc_id", "body_hash", "w.*")
-    shared = pivots.groupBy("hashes").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("hashes")
+    pivots = seen.select("doc_id", "body_hash", F.explode("hashes").alias("hash"))
     key = ["doc_id", "body_hash"]
-    candidates = pivots.join(shared, "hashes", "left_semi").groupBy(key).agg(F.collect_set("starts").alias("starts")).join(copies, key, "left_anti")
+
+    def repeated(rows: DataFrame) -> DataFrame:
+        """(hash, low) of those in several documents: a table of its own, so that the join after it can split a hot hash."""
+        return materialize(rows.groupBy("hash").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("hash", "low"), "repeated")
+
+    def gathered(rows: DataFrame) -> DataFrame:
+        return rows.groupBy(key).agg(F.collect_set("hash").alias("hashes"))
+
+    candidates = gathered(pivots.join(repeated(pivots), "hash")).join(copies, key, "left_anti")
     small = packed(bodies.filter(F.octet_length("body") >= 2 * length - 1))
-    found = full_windows(small.join(candidates, key).select("doc_id", "body_hash", "body", "starts"), length)
-    found = materialize(found, "windows")
-    earliest = found.groupBy("hash").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("hash", "low")
-    cut = found.join(earliest, "hash").filter("doc_id > low").groupBy(key).agg(F.collect_set("start").alias("starts"))
-    changed = removed(small.join(cut, key).select("doc_id", "body_hash", "body", "starts"), length, texts).dropDuplicates(key)
+    found = materialize(full_windows(small.join(candidates, key).select("doc_id", "body_hash", "body", "hashes"), length), "windows")
+    cut = gathered(found.join(repeated(found), "hash").filter("doc_id > low"))
+    changed = removed(small.join(cut, key).select("doc_id", "body_hash", "body", "hashes"), length, texts).dropDuplicates(key)
 
     copied = F.col("is_copy").isNotNull()
     return (
