@@ -143,6 +143,7 @@ def components(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col
     linked = distinct.join(parts, "fp")
     named = linked.join(linked.groupBy("part").agg(F.min("first").alias("smallest")), "part").select("fp", "smallest")
     every = distinct.join(named, "fp", "left").select("fp", F.coalesce("smallest", "first").alias("component_id"))
+    every = materialize(every, "components")  # a table of its own: the join can then split a hot fingerprint
     return prints.join(every, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
