@@ -220,11 +220,24 @@ class Decoder:
 
     def __init__(self, model: bytes):
         pieces = Pieces(model)
-        self.table = [pieces.value.get(i, b"" if i in pieces.control else t.encode()) for i, t in enumerate(pieces.text)]
-        self.table[pieces.unknown] = " ⁇ ".encode()
+        table = [pieces.value.get(i, b"" if i in pieces.control else t.replace(SPACE, " ").encode()) for i, t in enumerate(pieces.text)]
+        table[pieces.unknown] = " ⁇ ".encode()
+        self.bytes = np.frombuffer(b"".join(table), np.uint8)
+        self.sizes = np.array([len(t) for t in table])
+        self.starts = np.cumsum(self.sizes) - self.sizes
 
-    def text(self, ids: list[int]) -> str:
-        return b"".join([self.table[i] for i in ids]).decode("utf-8", "replace").replace(SPACE, " ").removeprefix(" ")
+    def texts(self, ids: np.ndarray, offsets: np.ndarray) -> list[str]:
+        """The texts of ids[offsets[i] : offsets[i + 1]]: all pieces' bytes are gathered at once."""
+        sizes = self.sizes[ids]
+        ends = np.append(0, np.cumsum(sizes))
+        data = self.bytes[np.repeat(self.starts[ids] - ends[:-1], sizes) + np.arange(ends[-1])].tobytes()
+        cuts = ends[offsets].tolist()
+        return [data[a:b].decode("utf-8", "replace").removeprefix(" ") for a, b in zip(cuts, cuts[1:])]
+
+
+def flat(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, offsets) of a list column; null lists count as empty."""
+    return column.flatten().to_numpy(), np.append(0, np.cumsum(column.value_lengths().fill_null(0).to_numpy()))
 
 
 ENCODED = {"doc_id": pa.int64(), "ids": pa.list_(pa.int32())}
@@ -265,7 +278,7 @@ def decode(encoded: DataFrame, model_path: str | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = kept_in_process(("sentencepiece decoder", model.value), lambda: Decoder(model.value))
         for batch in slices(batches):
-            texts = [None if ids is None else decoder.text(ids) for ids in batch.column(1).to_pylist()]
+            texts = [t if known else None for t, known in zip(decoder.texts(*flat(batch.column(1))), batch.column(1).is_valid().to_pylist())]
             yield rows_out(DECODED, {"doc_id": batch.column(0), "text": texts})
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
@@ -279,8 +292,7 @@ def round_trip(docs: DataFrame, model_path: str | None = None, id_col: str = "do
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = kept_in_process(("sentencepiece decoder", model.value), lambda: Decoder(model.value))
         for batch in slices(batches):
-            lists = batch.column(1).to_pylist()
-            digests = [hashlib.sha256(decoder.text(ids).encode()).hexdigest() for ids in lists]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in lists], pa.int64()), batch.column(1), pa.array(digests)], names=["doc_id", "n_ids", "ids", "decoded_sha256"])
+            digests = [hashlib.sha256(t.encode()).hexdigest() for t in decoder.texts(*flat(batch.column(1)))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).value_lengths().cast(pa.int64()), batch.column(1), pa.array(digests, pa.string())], names=["doc_id", "n_ids", "ids", "decoded_sha256"])
 
     return encoded.mapInArrow(run, "doc_id long, n_ids long, ids array<int>, decoded_sha256 string")
