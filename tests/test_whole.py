@@ -1,6 +1,7 @@
 """Queries over rows that an earlier cut left out; where the registered SQL still has the cut, it is lifted here."""
 
 import random
+from datetime import datetime, timedelta
 
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -34,3 +35,11 @@ def test_decisions_hear_every_order(spark, tmp_path, name):
     })
     got, want = both(spark, queries.QUERIES[name], lifted(name, (" WHERE l_orderkey < 4000", "")), d)
     assert got == want
+
+
+@pytest.mark.parametrize("name", ["O61d_visible_nodes", "O61e_frontier", "O61f_frontier_paths", "O60_O61g_raw_closure"])
+def test_lines_hold_every_event(spark, tmp_path, name):
+    users = [3] * 15 + [40] * 14 + [41] * 2 + [900] * (66 if name == "O61f_frontier_paths" else 16)  # over 12 events, ids from 40 on, a path of over 64 nodes
+    d = written(tmp_path, events={"event_id": [i + 12 for i in range(len(users))], "user_id": users, "ts": [datetime(2024, 1, 1) + timedelta(hours=i) for i in range(len(users))]})
+    got, want = both(spark, queries.QUERIES[name], lifted(name, (" WHERE user_id < 40", ""), (" AND n <= 12", "")), d)
+    assert got == want
