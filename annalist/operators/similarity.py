@@ -91,14 +91,49 @@ def centroid(rows: DataFrame, key: str, vector: str = "vector") -> DataFrame:
 def prefix_replay(points: DataFrame, k: int, least: float = -1.0, id_col: str = "id", time_col: str = "occurred_at", vector_col: str = "vector", digits: int = 12) -> DataFrame:
     """(cutoff, src, dst, similarity, rank): the kNN of every point among those up to each time.
 
-    A pair is scored once; a window over (cutoff, src) ranks it at each cutoff from its later time on.
+    A pair is scored once. Each point's others arrive in time order, and its best k change only when
+    one of them enters: a row per change leaves the group, with the span of cutoffs in which it holds,
+    so work grows with the pairs and the result, not with pairs times cutoffs.
     """
     rows = points.select(F.col(id_col).alias("id"), F.col(time_col).alias("t"), F.col(vector_col).cast("array<double>").alias("v"))
     total = rows.count()
     times = rows.select("id", F.col("t"))
     pairs = exact_knn(rows, max(1, total - 1), least, "id", "v").drop("rank")
-    timed = pairs.join(times.select(F.col("id").alias("src"), F.col("t").alias("src_t")), "src").join(times.select(F.col("id").alias("dst"), F.col("t").alias("dst_t")), "dst")
-    at = rows.select(F.col("t").alias("cutoff")).distinct()
-    seen = timed.join(at, (F.col("src_t") <= F.col("cutoff")) & (F.col("dst_t") <= F.col("cutoff")))
-    rank = F.row_number().over(Window.partitionBy("cutoff", "src").orderBy(F.desc("similarity"), "dst_t", "dst"))
-    return seen.withColumn("rank", rank).filter(F.col("rank") <= k).select("cutoff", "src", "dst", F.round("similarity", digits).alias("similarity"), "rank")
+    # Times as places in their order: exact whatever their type is.
+    at = rows.select("t").distinct().select("t", F.row_number().over(Window.orderBy("t")).cast("long").alias("place"))
+    placed = times.join(at, "t").select("id", "place")
+    timed = pairs.join(placed.select(F.col("id").alias("src"), F.col("place").alias("src_t")), "src").join(placed.select(F.col("id").alias("dst"), F.col("place").alias("dst_t")), "dst")
+    kind = dict(timed.dtypes)
+    schema = f"src {kind['src']}, dst {kind['dst']}, similarity double, rank int, since long, until long"
+
+    def changes(group: pa.Table) -> pa.Table:
+        dst, score = group.column("dst").to_pylist(), group.column("similarity").to_pylist()
+        enters = [max(a, b) for a, b in zip(group.column("src_t").to_pylist(), group.column("dst_t").to_pylist())]
+        places = group.column("dst_t").to_pylist()
+        best: list[tuple] = []  # (-similarity, place, dst, cutoff since when it has its rank)
+        out: list[tuple] = []
+        order = sorted(range(len(dst)), key=lambda i: enters[i])
+        n = 0
+        while n < len(order):
+            now = enters[order[n]]
+            come = []
+            while n < len(order) and enters[order[n]] == now:
+                i = order[n]
+                come.append((-score[i], places[i], dst[i], now))
+                n += 1
+            then = sorted([*best, *come], key=lambda x: x[:3])[:k]
+            for rank, old in enumerate(best):
+                if then[rank][:3] != old[:3]:
+                    out.append((old[2], -old[0], rank + 1, old[3], now))
+            best = [old if rank < len(best) and (old := best[rank])[:3] == new[:3] else (*new[:3], now) for rank, new in enumerate(then)]
+        out += [(b[2], -b[0], rank + 1, b[3], None) for rank, b in enumerate(best)]
+        ids = group.schema.field("src").type
+        return pa.table({
+            "src": pa.array([group.column("src")[0].as_py()] * len(out), ids), "dst": pa.array([o[0] for o in out], ids), "similarity": pa.array([o[1] for o in out], pa.float64()),
+            "rank": pa.array([o[2] for o in out], pa.int32()), "since": pa.array([o[3] for o in out], pa.int64()), "until": pa.array([o[4] for o in out], pa.int64()),
+        })
+
+    spans = timed.groupBy("src").applyInArrow(changes, schema)
+    last = at.agg(F.max("place").alias("last"))
+    every = spans.crossJoin(F.broadcast(last)).select("src", "dst", "similarity", "rank", F.explode(F.sequence("since", F.coalesce(F.col("until") - 1, "last"))).alias("place"))
+    return every.join(at, "place").select(F.col("t").alias("cutoff"), "src", "dst", F.round("similarity", digits).alias("similarity"), "rank")

@@ -249,10 +249,8 @@ r AS (SELECT cutoff, src, dst, s, row_number() OVER (PARTITION BY cutoff, src OR
       FROM cut, sim JOIN p a ON a.vec_id = src JOIN p b ON b.vec_id = dst WHERE a.day <= cutoff AND b.day <= cutoff AND src < 100 AND dst < 100 AND s >= 0.2 AND cutoff < DATE '2024-01-01' + 100)
 SELECT cutoff, src, dst, rank, round(s, 6) AS similarity FROM r WHERE rank <= 2""")
 def _(spark, d):
-    p = points(spark, d).filter("id < 100").withColumnRenamed("occurred_on", "occurred_at")
-    got = similarity.prefix_replay(p, 2, 0.2)
-    keep = p.filter("id % 25 = 24").select(F.col("occurred_at").alias("cutoff"))
-    return got.join(keep, "cutoff", "left_semi").select("cutoff", "src", "dst", F.col("rank").cast("long").alias("rank"), F.round("similarity", 6).alias("similarity"))
+    got = similarity.prefix_replay(points(spark, d).withColumnRenamed("occurred_on", "occurred_at"), 2, 0.2)
+    return got.select("cutoff", "src", "dst", F.col("rank").cast("long").alias("rank"), F.round("similarity", 6).alias("similarity"))
 
 
 OBS = f"""{knn_sql(8, 0.25)}, k AS (SELECT unnest([2, 4, 8]) AS k), obs AS (
@@ -282,9 +280,16 @@ def _(spark, d):
     return structure.snapshot_id(points(spark, d), F.lit(AT), "k=2,4,8;least=0.25")
 
 
+def by_half(p: DataFrame, before: bool) -> DataFrame:
+    """The points before, or from, the middle of the table's days on."""
+    middle = p.agg(F.expr("date_add(min(occurred_on), cast(ceil((datediff(max(occurred_on), min(occurred_on)) + 1) / 2) as int))").alias("middle"))
+    return p.crossJoin(F.broadcast(middle)).filter(F.col("occurred_on") < F.col("middle") if before else F.col("occurred_on") >= F.col("middle")).drop("middle")
+
+
 def two_snapshots(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """At half of the table's days, and at its end."""
     p = points(spark, d)
-    return tuple(structure.observations(rows, (4,), 0.25) for rows in (p.filter("id < 250"), p.filter("id < 400")))
+    return tuple(structure.observations(rows, (4,), 0.25) for rows in (by_half(p, True), p))
 
 
 SNAP = f"""{SIM}, n1 AS (SELECT * FROM (SELECT src, dst, s, row_number() OVER (PARTITION BY src ORDER BY s DESC, dst) AS rank FROM sim WHERE s >= 0.25 AND src < 250 AND dst < 250) WHERE rank <= 4),
@@ -561,10 +566,14 @@ def _(spark, d):
 
 @query("O69_O72_surfaces")
 def _(spark, d):
-    p = points(spark, d).filter("id < 400")
+    p = points(spark, d)
     paths = p.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("id", "vector"))).alias("x"))
-    rows = paths.select(F.col("label").alias("line_id"), F.explode(F.sequence(F.lit(1), F.lit(4))).alias("n"), "x").select("line_id", F.transform(F.slice("x", F.col("n"), F.lit(4)), lambda s: s["id"]).alias("node_ids"), F.transform(F.slice("x", F.col("n"), F.lit(4)), lambda s: F.slice(s["vector"], 1, 2)).alias("vectors"))
-    return surface.surfaces(surface.signatures(rows), 0.8).select("surface_id", F.size("view_ids").alias("n_views"), F.round("least_similarity", 6).alias("least_similarity"))
+    starts = F.explode(F.when(F.size("x") >= 4, F.sequence(F.lit(1), F.size("x") - 3)))
+    four = F.slice("x", F.col("n"), F.lit(4))
+    rows = paths.select(F.col("label").alias("line_id"), starts.alias("n"), "x").select("line_id", F.transform(four, lambda s: s["id"]).alias("node_ids"), F.transform(four, lambda s: s["vector"]).alias("vectors"))
+    # No more views than points; cliques are still counted against the search's own bounds.
+    found = surface.surfaces(surface.signatures(rows), 0.8, most_views=p.count())
+    return found.select("surface_id", F.size("view_ids").alias("n_views"), F.round("least_similarity", 6).alias("least_similarity"))
 
 
 @query("O73_O74_draft_observations", "SELECT o_custkey AS worktree_id, count(DISTINCT o_orderstatus || o_orderpriority) AS observations FROM orders GROUP BY 1")
@@ -770,8 +779,8 @@ FROM b CROSS JOIN it JOIN c ON c.label = it.label JOIN best ON best.vec_id = b.v
 def _(spark, d):
     p = points(spark, d)
     text = F.concat(F.lit("block "), F.col("label").cast("string"))
-    blocks = p.filter("id % 20 = 0 and id >= 100").select(F.col("id").alias("block_id"), F.col("id").alias("state_id"), text.alias("content"), "vector", F.col("occurred_on").cast("timestamp").alias("occurred_end"))
-    held = p.filter("id < 100")
+    blocks = by_half(p, False).select(F.col("id").alias("block_id"), F.col("id").alias("state_id"), text.alias("content"), "vector", F.col("occurred_on").cast("timestamp").alias("occurred_end"))
+    held = by_half(p, True)
     c = similarity.centroid(held, "label")
     items = held.groupBy("label").agg(F.max("occurred_on").cast("timestamp").alias("occurred_end")).join(c, "label").select(F.col("label").alias("region_id"), text.alias("content"), "centroid", "occurred_end")
     supports = held.select(F.col("label").alias("region_id"), F.col("id").alias("support_block"), F.col("id").alias("support_state"), text.alias("support_content"), F.col("vector").alias("support_vector"))

@@ -1,12 +1,15 @@
 """Queries over rows that an earlier cut left out; where the registered SQL still has the cut, it is lifted here."""
 
+import itertools
 import random
 from datetime import datetime, timedelta
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
+from annalist.operators import surface
 from annalist.plans import queries
 from tests.oracle import both
 
@@ -43,3 +46,30 @@ def test_lines_hold_every_event(spark, tmp_path, name):
     d = written(tmp_path, events={"event_id": [i + 12 for i in range(len(users))], "user_id": users, "ts": [datetime(2024, 1, 1) + timedelta(hours=i) for i in range(len(users))]})
     got, want = both(spark, queries.QUERIES[name], lifted(name, (" WHERE user_id < 40", ""), (" AND n <= 12", "")), d)
     assert got == want
+
+
+@pytest.mark.parametrize("name, cuts", [
+    ("O32_prefix_replay", [("vec_id % 25 = 24", "true"), (" AND src < 100 AND dst < 100", ""), (" AND cutoff < DATE '2024-01-01' + 100", "")]),
+    ("O41_O47_frontier", [("vec_id < 100", "vec_id < 65"), ("vec_id >= 100 AND vec_id % 20 = 0", "vec_id >= 65")]),
+    ("O36_snapshot_diff", [("< 250", "< 65"), ("< 400", "< 130")]),
+])
+def test_every_vector_takes_part(spark, tmp_path, name, cuts):
+    draw = np.random.default_rng(5)
+    d = written(tmp_path, embeddings={"vec_id": list(range(130)), "embedding": pa.array(draw.normal(size=(130, 8)).tolist(), pa.list_(pa.float32())), "label": pa.array([i % 3 for i in range(130)], pa.int32())})
+    got, want = both(spark, queries.QUERIES[name], lifted(name, *cuts), d)
+    assert got == [row for row in want if name != "O36_snapshot_diff" or row[1]]  # the SQL has a row for kinds without changes too
+
+
+def test_surfaces_of_all_windows_and_dimensions(spark, tmp_path):
+    draw = np.random.default_rng(6)
+    shape = np.array([[0, 0, 0, 0], [0, 0, 4, 1], [0, 0, 5, 9], [0, 0, 20, 9]], float)
+    lines = [np.concatenate([draw.normal(size=(5, 4)), shape + draw.normal(size=4)]) for _ in range(3)]  # alike in their last four points, in dimensions 3 and 4
+    d = written(tmp_path, embeddings={"vec_id": list(range(400, 427)), "embedding": pa.array([lines[i % 3][i // 3].tolist() for i in range(27)], pa.list_(pa.float32())), "label": pa.array([i % 3 for i in range(27)], pa.int32())})
+    views = []
+    for x in lines:
+        flat = [(s - s[0]).ravel() for s in (surface.resample(x[n : n + 4]) for n in range(6))]
+        views.append([f / np.linalg.norm(f) for f in flat])
+    want = sorted(round(least, 4) for t in itertools.product(*views) if (least := min(a @ b for a, b in itertools.combinations(t, 2))) >= 0.8)
+    assert len(want) >= 1
+    found = queries.QUERIES["O69_O72_surfaces"](spark, d).collect()
+    assert sorted(round(r.least_similarity, 4) for r in found) == want and {r.n_views for r in found} == {3}
