@@ -30,6 +30,6 @@ def cosine(a: Column, b: Column, on_mismatch: str = "zero", on_zero: str = "zero
 
 def hash_embedding(text: Column | str, buckets: int = 16) -> Column:
     """Counts of word tokens by bucket; a token's bucket is the first 8 hex digits of its SHA-256."""
-    found = F.regexp_extract_all(text, F.lit(r"(?U)(\w+)"), 1)
+    found = F.regexp_extract_all(text, F.lit(r"([\p{L}\p{N}_]+)"), 1)
     places = F.transform(found, lambda t: (F.conv(F.substring(F.sha2(t, 256), 1, 8), 16, 10).cast("long") % buckets).cast("int"))
     return F.transform(F.sequence(F.lit(0), F.lit(buckets - 1)), lambda b: F.size(F.filter(places, lambda p: p == b)).cast("double"))
