@@ -14,8 +14,8 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without later copies of repeated line runs."""
-    return lines.line_dedup(docs)
+    """All documents, without later copies of lines, alone or in runs."""
+    return lines.line_dedup(docs, shortest=1)
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

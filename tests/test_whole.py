@@ -13,6 +13,8 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
+import corpus_pipeline
+from annalist.llm import queries as llm_queries
 from annalist.operators import surface
 from annalist.plans import queries
 from tests.oracle import both
@@ -102,3 +104,14 @@ def test_texts_of_every_language(spark, tmp_path):
     assert {r.doc_id: r.content_hash for r in queries.QUERIES["O81_content_hash"](spark, d).collect()} == {i: hashed(text) for i, text in rows}
     assert {(r.item_id, r.bucket): r.n for r in queries.QUERIES["O24_O25_hash_embedding"](spark, d).collect()} == bucketed(rows)
     assert {(r.query_id, r.region_id) for r in queries.QUERIES["O83_lexical_search"](spark, d).collect()} == met(rows)
+
+
+def test_later_copies_of_single_lines_go(spark, tmp_path):
+    texts = ["one alone\nan opening line\nb", "x\nan opening line\ny", "one alone", "an opening line\nz\nb", "", None]
+    want = ["one alone\nan opening line\nb", "x\ny", "", "z", "", ""]
+    n = len(texts)
+    d = written(tmp_path, documents={"doc_id": list(range(n)), "text": pa.array(texts, pa.string()), "lang": ["en"] * n, "source": ["web"] * n, "n_chars": [len(x or "") for x in texts]})
+    got = {r.doc_id: (r.n_deleted, r.kept_sha256) for r in llm_queries.QUERIES["op9_line_dedup"](spark, d).collect()}
+    assert got == {i: (gone, hashlib.sha256(x.encode()).hexdigest()) for i, (gone, x) in enumerate(zip([0, 1, 1, 2, 0, 0], want))}
+    kept = {r.doc_id: r.text for r in corpus_pipeline.line_stage(spark, spark.read.parquet(f"{d}/documents.parquet"), d).collect()}
+    assert [kept[i] or "" for i in range(n)] == want
