@@ -75,6 +75,13 @@ def estimate(rows: DataFrame) -> DataFrame:
     sums = rows.groupBy("g").agg(*(F.avg(a).alias(f"m{i}") for i, a in enumerate(AXES)), *(F.covar_pop(AXES[i], AXES[k]).alias(f"c{i}{k}") for i, k in pairs))
     for i in range(p):
         sums = sums.withColumn(f"c{i}{i}", F.col(f"c{i}{i}") + F.lit(FLOORS[AXES[i]] ** 2))
+    return factored(sums)
+
+
+def factored(sums: DataFrame) -> DataFrame:
+    """The Cholesky factors of the covariances in the columns c.., instead of them."""
+    p = len(AXES)
+    pairs = [(i, k) for i in range(p) for k in range(i + 1)]
     for i, k in sorted(pairs, key=lambda q: (q[1], q[0])):
         rest = reduce(lambda r, j: r - F.col(f"l{i}{j}") * F.col(f"l{k}{j}"), range(k), F.col(f"c{i}{k}"))
         sums = sums.withColumn(f"l{i}{k}", F.sqrt(F.greatest(rest, F.lit(1e-12))) if i == k else rest / F.col(f"l{k}{k}"))
@@ -110,12 +117,33 @@ def fit(vectors_once: DataFrame, steps: int, share: float) -> DataFrame:
     return materialize(now.drop("scale").join(scale, "g"), "estimate")
 
 
+def shrunk(rows: DataFrame, wide: DataFrame, pools: DataFrame, least: int) -> DataFrame:
+    """Estimates of small groups: n of their vectors count n, and the estimate of their pool ``least`` - n.
+
+    A few vectors cannot tell their own outliers, so the n are those inside the 97.5 % ellipse of the pool.
+    ``rows``: g and the vectors; ``pools``: g, pool.
+    """
+    p = len(AXES)
+
+    def moments(rows: DataFrame, tag: str) -> DataFrame:
+        cov = {(i, k): reduce(lambda a, b: a + b, (F.col(f"l{i}{j}") * F.col(f"l{k}{j}") for j in range(k + 1))) * F.col("scale") for i in range(p) for k in range(i + 1)}
+        return rows.select(F.col("g").alias(f"{tag}g"), *(F.col(f"m{i}").alias(f"{tag}m{i}") for i in range(p)), *(c.alias(f"{tag}c{i}{k}") for (i, k), c in cov.items()))
+
+    far = rows.join(pools, "g").join(wide.withColumnRenamed("g", "pool"), "pool").withColumn("d", distance([F.col(x) for x in AXES]))
+    inside = far.filter(F.col("d") <= INNER).select("g", *AXES)
+    own = moments(estimate(inside), "o").join(inside.groupBy(F.col("g").alias("og")).agg(F.count("*").alias("n")), "og")
+    both = pools.join(own, pools["g"] == F.col("og"), "left").join(moments(wide, "w"), F.col("pool") == F.col("wg"))
+    a = F.coalesce("n", F.lit(0)) / F.lit(float(least))
+    names = [*(f"m{i}" for i in range(p)), *(f"c{i}{k}" for i in range(p) for k in range(i + 1))]
+    return factored(both.select("g", *((a * F.coalesce(f"o{x}", F.lit(0.0)) + (1 - a) * F.col(f"w{x}")).alias(x) for x in names)))
+
+
 def quality(
     docs: DataFrame,
     cut: float = 40.0,
     share: float = 0.75,
     steps: int = 3,
-    least: int = 100,
+    least: int = 20,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -125,9 +153,9 @@ def quality(
     cover over 30 % of its words. Of those that pass, each (language, source) group has its location
     and scatter estimated by minimum covariance determinant, and a document is kept unless its squared
     Mahalanobis distance passes ``cut``. Equal vectors count once in the estimates, so a large group
-    of copies cannot take them over. Groups of fewer than ``least`` different vectors are estimated
-    together by language, and those still fewer all together; with fewer than ``least`` in the end
-    nothing is judged an outlier (distance null).
+    of copies cannot take them over. The estimate of a group of fewer than ``least`` different vectors
+    is shrunk towards that of its whole language, or of all documents where the language has fewer
+    too; so every group is judged, at any size. A corpus of fewer is estimated by groups alone.
 
     Null languages and sources are groups of their own; null and empty texts have no words and fail;
     null doc_ids stay null; repeated rows are judged each; an empty table gives no rows; other columns
@@ -136,17 +164,27 @@ def quality(
     stats = materialize(vectors(statistics(docs, id_col, text_col)).withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))), "statistics")
     once = stats.filter("not base_failed").select("lang", "source", *AXES).distinct()
     sizes = once.groupBy("lang", "source").count()
-    own = sizes.withColumn("g", F.when(F.col("count") >= least, F.concat_ws("\x01", code_of(F.col("lang")), code_of(F.col("source")))))
-    by_lang = own.filter("g is null").groupBy(F.col("lang").alias("_lang")).agg(F.sum("count").alias("of_lang"))
-    groups = own.join(by_lang, own["lang"].eqNullSafe(by_lang["_lang"]), "left").select("lang", "source", F.coalesce("g", F.when(F.col("of_lang") >= least, code_of(F.col("lang"))), F.lit("1")).alias("g"), "count")
-    groups = materialize(groups, "groups")
-    judged = groups.groupBy("g").agg(F.sum("count").alias("n")).filter(F.col("n") >= least).select("g")
-    names = groups.join(judged, "g", "left_semi").select("lang", "source", "g")
-
-    def grouped(rows: DataFrame, how: str) -> DataFrame:
+    of_lang, total = sizes.groupBy(F.col("lang").alias("_lang")).agg(F.sum("count").alias("of_lang")), sizes.agg(F.sum("count").alias("total"))
+    sized = sizes.join(of_lang, sizes["lang"].eqNullSafe(F.col("_lang")), "left").crossJoin(total)
+    pool = F.when(F.col("count") < least, F.when(F.col("of_lang") >= least, F.concat(F.lit("l"), code_of(F.col("lang")))).when(F.col("total") >= least, F.lit("a")))
+    groups = materialize(sized.select("lang", "source", F.concat_ws("\x01", code_of(F.col("lang")), code_of(F.col("source"))).alias("g"), "count", pool.alias("pool")), "groups")
+    names = groups.select("lang", "source", "g")
+    pools = groups.filter("pool is not null").select("g", "pool")
+
+    def grouped(rows: DataFrame, how: str, names: DataFrame = names) -> DataFrame:
         return rows.join(names.withColumnsRenamed({"lang": "_lang", "source": "_source"}), rows["lang"].eqNullSafe(F.col("_lang")) & rows["source"].eqNullSafe(F.col("_source")), how).drop("_lang", "_source")
 
-    estimates = fit(materialize(grouped(once, "inner"), "vectors"), steps, share)
+    vectors_once = materialize(grouped(once, "inner").select("g", *AXES), "vectors")
+    estimates = fit(vectors_once, steps, share)
+    if not pools.isEmpty():
+        # All vectors of the languages that have small groups, and of everything if one needs it.
+        lang_pool = groups.filter("pool != 'a'").select(F.col("lang"), "pool").distinct()
+        by_lang = groups.select("lang", "source").join(lang_pool.withColumnRenamed("lang", "_lang"), F.col("lang").eqNullSafe(F.col("_lang"))).select("lang", "source", F.col("pool").alias("g"))
+        by_all = groups.select("lang", "source").join(groups.filter("pool = 'a'").select("pool").distinct()).select("lang", "source", F.col("pool").alias("g"))
+        levels = materialize(by_lang.unionByName(by_all), "levels")
+        wide = fit(materialize(grouped(once, "inner", levels).select("g", *AXES), "vectors"), steps, share)
+        small = shrunk(vectors_once, wide, pools, least)
+        estimates = materialize(estimates.join(pools.select("g"), "g", "left_anti").unionByName(small), "estimate")
     far = grouped(stats, "left").join(estimates, "g", "left").withColumn("distance", F.when(~F.col("base_failed"), distance([F.col(a) for a in AXES])))
     return far.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",

@@ -14,6 +14,7 @@ import pyarrow.parquet as pq
 import pytest
 
 import corpus_pipeline
+from annalist.llm import quality, toxicity
 from annalist.llm import queries as llm_queries
 from annalist.operators import surface
 from annalist.plans import queries
@@ -115,3 +116,13 @@ def test_later_copies_of_single_lines_go(spark, tmp_path):
     assert got == {i: (gone, hashlib.sha256(x.encode()).hexdigest()) for i, (gone, x) in enumerate(zip([0, 1, 1, 2, 0, 0], want))}
     kept = {r.doc_id: r.text for r in corpus_pipeline.line_stage(spark, spark.read.parquet(f"{d}/documents.parquet"), d).collect()}
     assert [kept[i] or "" for i in range(n)] == want
+
+
+def test_small_groups_are_judged(spark):
+    draw = random.Random(8)
+    word = lambda: "".join(draw.choice("etaoin") for _ in range(draw.randint(2, 8)))
+    rows = [(i, " ".join(word() for _ in range(80)), "de" if i % 2 else "fr", f"s{i % 6}") for i in range(60)]  # ten a group, thirty a language
+    rows += [(60, " ".join(word() + "***" for _ in range(80)), "de", "s1"), (61, " ".join(word() for _ in range(80)), None, "alone"), (62, " ".join(word() + "***" for _ in range(80)), "it", "alone")]
+    got = {r.doc_id: r for r in quality.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert all(r.distance is not None for r in got.values() if not r.base_failed)
+    assert {i for i, r in got.items() if not r.kept} == {60, 62}
