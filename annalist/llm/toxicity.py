@@ -21,8 +21,8 @@ from annalist.llm.common import Memo, id_and_bytes, rows_out, slices
 WORD = re.compile(r"\w+")
 BASE = 0x100000001B3
 MIX = np.uint64(0x9E3779B97F4A7C15)
-#: Words of more code points than this share the subwords of their beginning and their hash.
-LONGEST = 40
+#: Words of more code points than this are cut into pieces of so many, each a word of its own; neighbours share OVERLAP, so no n-gram is lost.
+LONGEST, OVERLAP = 40, 5
 
 
 @dataclass(frozen=True)
@@ -44,7 +44,8 @@ class Settings:
 
 
 def words_of(text: str) -> list[str]:
-    return WORD.findall(text.lower())
+    step = LONGEST - OVERLAP
+    return [w[i : i + LONGEST] for w in WORD.findall(text.lower()) for i in range(0, max(len(w) - OVERLAP, 1), step)]
 
 
 def subwords(words: list[str], s: Settings) -> tuple[np.ndarray, np.ndarray]:

@@ -126,3 +126,15 @@ def test_small_groups_are_judged(spark):
     got = {r.doc_id: r for r in quality.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
     assert all(r.distance is not None for r in got.values() if not r.base_failed)
     assert {i for i, r in got.items() if not r.kept} == {60, 62}
+
+
+def test_toxic_parts_of_long_runs_are_scored():
+    s = toxicity.Settings()
+    weights = np.zeros(1 << s.bucket_bits)
+    weights[toxicity.subwords(["poison"], s)[0]] = 1.0
+    model = toxicity.Model(weights, 0.0, s)
+    score = lambda text: max(model.logits(toxicity.words_of(text)))
+    assert score("x" * 38 + "poison" + "y" * 80) > score("x" * 38 + "qwerty" + "y" * 80) + 0.01
+    run = "".join(chr(0x4E00 + i) for i in range(500))
+    pieces = toxicity.words_of(run)
+    assert all(any(run[i : i + 6] in p for p in pieces) for i in range(495)) and toxicity.words_of("short words") == ["short", "words"]
