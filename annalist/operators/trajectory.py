@@ -31,10 +31,10 @@ def orient(edges: DataFrame, spans: DataFrame) -> DataFrame:
 
 def enumerate_paths(edges: DataFrame, spans: DataFrame, most_paths: int = MOST_PATHS, most_nodes: int = MOST_NODES, least_support: int = LEAST_SUPPORT) -> list[list]:
     """Depth-first paths from roots, in (start, id) order; a path of ``most_nodes`` is cut and resumed
-    with an overlap, and at most ``most_paths`` come back.
+    with an overlap. Fails rather than truncate: beyond ``most_paths`` paths.
 
-    The order in which paths are cut off is part of the meaning, so this walks one bounded graph on
-    the driver: ``edges`` of one discovery, refused beyond most_paths * most_nodes * 64 rows.
+    The order in which long paths are resumed is part of the meaning, so this walks one bounded graph
+    on the driver: ``edges`` of one discovery, refused beyond most_paths * most_nodes * 64 rows.
     """
     bound = most_paths * most_nodes * 64
     rows = edges.select("parent", "child").limit(bound + 1).collect()
@@ -52,7 +52,9 @@ def enumerate_paths(edges: DataFrame, spans: DataFrame, most_paths: int = MOST_P
     overlap = min(max(1, least_support - 1), most_nodes - 1)
     out: list[list] = []
     stack = [[r] for r in reversed(roots)]
-    while stack and len(out) < most_paths:
+    while stack:
+        if len(out) == most_paths:
+            raise RuntimeError(f"over {most_paths} paths")
         path = stack.pop()
         below = children.get(path[-1], [])
         if not below:

@@ -386,7 +386,7 @@ def _(spark, d):
 
 @query("O52_maximal_paths")
 def _(spark, d):
-    found = trajectory.enumerate_paths(oriented(spark, d), spans(spark, d))
+    found = trajectory.enumerate_paths(oriented(spark, d), spans(spark, d), most_paths=100_000)
     return trajectory.maximal_paths(spark.createDataFrame([(p,) for p in found], "nodes array<long>"), 2).select("path_id", F.array_join(F.transform("nodes", lambda n: n.cast("string")), ">").alias("nodes"))
 
 
@@ -399,7 +399,7 @@ def _(spark, d):
 
 @query("O54_O55_bootstrap_lines")
 def _(spark, d):
-    found = [p for p in trajectory.enumerate_paths(oriented(spark, d), spans(spark, d)) if len(p) >= 2]
+    found = [p for p in trajectory.enumerate_paths(oriented(spark, d), spans(spark, d), most_paths=100_000) if len(p) >= 2]
     lines = trajectory.bootstrap([(p, p[0], p[-1], 0.0) for p in found], seed=2)
     return spark.createDataFrame([(line, b) for line, blocks in lines for b in blocks], "line_id string, block_id long")
 

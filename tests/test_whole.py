@@ -12,11 +12,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from annalist.llm import quality, toxicity
 from annalist.llm import queries as llm_queries
-from annalist.operators import surface
+from annalist.operators import surface, trajectory
 from annalist.plans import queries
 from tests.oracle import both
 
@@ -138,3 +139,11 @@ def test_toxic_parts_of_long_runs_are_scored():
     run = "".join(chr(0x4E00 + i) for i in range(500))
     pieces = toxicity.words_of(run)
     assert all(any(run[i : i + 6] in p for p in pieces) for i in range(495)) and toxicity.words_of("short words") == ["short", "words"]
+
+
+def test_paths_beyond_the_limit_fail(spark):
+    edges = spark.createDataFrame([(i, 1000 + i) for i in range(300)], "parent long, child long")
+    spans = spark.range(1300).select("id", F.col("id").alias("occurred_start"))
+    assert len(trajectory.enumerate_paths(edges, spans, most_paths=300)) == 300
+    with pytest.raises(RuntimeError, match="over 256 paths"):
+        trajectory.enumerate_paths(edges, spans)
