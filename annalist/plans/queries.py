@@ -7,7 +7,6 @@ are revision chains per customer, ``documents`` and ``benchmark`` are texts.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,7 +16,7 @@ from pyspark.sql.window import Window
 from annalist.functions import text as T
 from annalist.functions import vector as V
 from annalist.operators import compilation, convergence, frontier, graph, linegraph, metrics, pairs, revisions, search, similarity, structure, surface, trajectory, visibility
-from annalist.scratch import shared_dir
+from annalist.scratch import table_path
 from annalist.sources import files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -790,7 +789,7 @@ def _(spark, d):
 
 @query("O05_O07_jsonl_round_trip", "SELECT 'b' || vec_id AS block_id, label::VARCHAR AS text, len(embedding)::INTEGER AS n FROM embeddings")
 def _(spark, d):
-    path = f"{shared_dir(spark)}/annalist/jsonl-{uuid.uuid4().hex}"
+    path = table_path(spark, "jsonl")
     head = spark.range(1).select(F.lit("metadata").alias("type"), F.lit("1").alias("schema_version"), F.lit("c").alias("corpus_id"), F.lit(64).alias("vector_dimension"))
     e = table(spark, d, "embeddings")
     blocks = e.select(F.lit("block").alias("type"), F.concat(F.lit("b"), F.col("vec_id").cast("string")).alias("block_id"), F.lit("2024-01-01T00:00:00+00:00").alias("occurred_at"), F.col("label").cast("string").alias("text"), F.col("embedding").cast("array<double>").alias("vector"))

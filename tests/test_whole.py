@@ -14,9 +14,6 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-import corpus_pipeline
-from annalist.llm import quality, toxicity
-from annalist.llm import queries as llm_queries
 from annalist.operators import surface, trajectory
 from annalist.plans import queries
 from tests.oracle import both
@@ -108,39 +105,6 @@ def test_texts_of_every_language(spark, tmp_path):
     assert {(r.query_id, r.region_id) for r in queries.QUERIES["O83_lexical_search"](spark, d).collect()} == met(rows)
 
 
-def test_later_copies_of_single_lines_go(spark, tmp_path):
-    texts = ["one alone\nan opening line\nb", "x\nan opening line\ny", "one alone", "an opening line\nz\nb", "", None]
-    want = ["one alone\nan opening line\nb", "x\ny", "", "z", "", ""]
-    n = len(texts)
-    d = written(tmp_path, documents={"doc_id": list(range(n)), "text": pa.array(texts, pa.string()), "lang": ["en"] * n, "source": ["web"] * n, "n_chars": [len(x or "") for x in texts]})
-    got = {r.doc_id: (r.n_deleted, r.kept_sha256) for r in llm_queries.QUERIES["op9_line_dedup"](spark, d).collect()}
-    assert got == {i: (gone, hashlib.sha256(x.encode()).hexdigest()) for i, (gone, x) in enumerate(zip([0, 1, 1, 2, 0, 0], want))}
-    kept = {r.doc_id: r.text for r in corpus_pipeline.line_stage(spark, spark.read.parquet(f"{d}/documents.parquet"), d).collect()}
-    assert [kept[i] or "" for i in range(n)] == want
-
-
-def test_small_groups_are_judged(spark):
-    draw = random.Random(8)
-    word = lambda: "".join(draw.choice("etaoin") for _ in range(draw.randint(2, 8)))
-    rows = [(i, " ".join(word() for _ in range(80)), "de" if i % 2 else "fr", f"s{i % 6}") for i in range(60)]  # ten a group, thirty a language
-    rows += [(60, " ".join(word() + "***" for _ in range(80)), "de", "s1"), (61, " ".join(word() for _ in range(80)), None, "alone"), (62, " ".join(word() + "***" for _ in range(80)), "it", "alone")]
-    got = {r.doc_id: r for r in quality.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
-    assert all(r.distance is not None for r in got.values() if not r.base_failed)
-    assert {i for i, r in got.items() if not r.kept} == {60, 62}
-
-
-def test_toxic_parts_of_long_runs_are_scored():
-    s = toxicity.Settings()
-    weights = np.zeros(1 << s.bucket_bits)
-    weights[toxicity.subwords(["poison"], s)[0]] = 1.0
-    model = toxicity.Model(weights, 0.0, s)
-    score = lambda text: max(model.logits(toxicity.words_of(text)))
-    assert score("x" * 38 + "poison" + "y" * 80) > score("x" * 38 + "qwerty" + "y" * 80) + 0.01
-    run = "".join(chr(0x4E00 + i) for i in range(500))
-    pieces = toxicity.words_of(run)
-    assert all(any(run[i : i + 6] in p for p in pieces) for i in range(495)) and toxicity.words_of("short words") == ["short", "words"]
-
-
 def test_paths_beyond_the_limit_fail(spark):
     edges = spark.createDataFrame([(i, 1000 + i) for i in range(300)], "parent long, child long")
     spans = spark.range(1300).select("id", F.col("id").alias("occurred_start"))
