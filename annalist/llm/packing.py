@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import heapq
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -11,14 +10,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from annalist.llm.common import Memo, id_and_bytes, kept_in_process, rows_out, slices
+from annalist.llm.common import id_and_bytes, kept_in_process, rows_out, slices
+from annalist.scratch import materialize
 
 FIELDS = {
     "doc_id": pa.int64(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64(),
     "doc_tokens": pa.int64(), "sequence_id": pa.int64(), "offset": pa.int64(),
 }
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+#: The last pieces of so many partitions are packed together.
+PARTITIONS_TOGETHER = 64
 
 
 def differencing(sizes: list[int], ways: int) -> list[list[int]]:
@@ -43,169 +46,308 @@ def differencing(sizes: list[int], ways: int) -> list[list[int]]:
     return heap[0][3] if heap else []
 
 
-Piece = tuple[int, int, int]  # index of the document in the block, start, length
+def windows(sizes: list[int], ways: int, capacity: int) -> list[list[int]]:
+    """Indices of ``sizes``, none over ``capacity``, in near-equal windows of at most ``capacity``.
 
-
-def windows(pieces: list[Piece], capacity: int, recuts: int = 2) -> list[list[Piece]]:
-    """Near-equal windows of at most ``capacity`` tokens.
-
-    Where differencing overfills a window, the overhang is cut off its last piece and the now finer
-    pieces are dealt again; after ``recuts`` such rounds the number of windows rises by one at a
-    time until none is over capacity.
+    ``ways`` windows are dealt; while differencing overfills any, their number rises by one.
     """
-    ways = -(-sum(p[2] for p in pieces) // capacity)
-    while pieces:
-        dealt = differencing([p[2] for p in pieces], ways)
-        over = [sum(pieces[i][2] for i in w) - capacity for w in dealt]
-        if max(over) <= 0:
-            return [[pieces[i] for i in w] for w in dealt]
-        if recuts:
-            recuts -= 1
-            for w, excess in zip(dealt, over):
-                for i in reversed(w):
-                    if excess <= 0:
-                        break
-                    doc, start, length = pieces[i]
-                    tail = min(excess, length - 1)
-                    if tail > 0:
-                        pieces[i] = (doc, start, length - tail)
-                        pieces.append((doc, start + length - tail, tail))
-                        excess -= tail
-        else:
-            ways += 1
+    while sizes:
+        dealt = differencing(sizes, max(1, ways))
+        if max(sum(sizes[i] for i in w) for w in dealt) <= capacity:
+            return dealt
+        ways += 1
     return []
 
 
-#: Texts whose words the expression below finds: ASCII and Latin-1 without unusual control characters.
-LATIN = re.compile(r"[\t-\r -~\xa1-\xff]*")
-#: The tokenizer's own words for such lower-cased texts. Fixed by the vocabulary file.
-LATIN_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^\t-\r a-zªµºß-öø-ÿ0-9²³¹¼½¾]+")
+def byte_classes() -> np.ndarray:
+    """Of every Latin-1 character: 0 white space, 1 letter, 2 digit, 3 other, 4 one that no Latin text may hold."""
+    kinds = np.full(256, 4, np.uint8)
+    kinds[[32, *range(9, 14)]] = 0
+    kinds[[*range(33, 127), *range(161, 256)]] = 3
+    kinds[[c for c in (*range(33, 127), *range(161, 256)) if chr(c).isalpha()]] = 1
+    kinds[[c for c in (*range(33, 127), *range(161, 256)) if chr(c).isnumeric()]] = 2
+    return kinds
+
+
+KINDS = byte_classes()
+LOWER = bytes(ord(low) if len(low := chr(c).lower()) == 1 and ord(low) < 256 else c for c in range(256))
+ODD = np.flatnonzero(KINDS == 4).astype(np.uint8).tobytes()
+#: A character of no Latin text, put at each text's end: a word of its own, whose id is the end's.
+END = b"\x00"
+BASE, MIX = 0x9E3779B97F4A7C15, np.uint64(0xD6E8FEB86659FD93)
+INVERSE = pow(BASE, -1, 1 << 64)
 
 
 class Encoder:
-    """Texts to little-endian unsigned 32-bit ids, equal to the tokenizer's own.
+    """Texts to ids, equal to the tokenizer's own, each text with the end's id after it.
 
-    For Latin texts normalisation is lower-casing, and each word is encoded once while it is
-    remembered: all new words of a batch go through the tokenizer's model in one call. Other texts,
-    and those that hold the strings of special tokens, go through the whole tokenizer.
+    Latin texts are lower-cased and cut into words by character classes, all texts of a batch at
+    once; equal words are found by their hashes, and each word is encoded once while it is
+    remembered. Other texts, and those that hold the strings of special tokens, go through the whole
+    tokenizer, as does a batch in which two different words share a hash.
     """
 
-    def __init__(self, model: str):
+    def __init__(self, model: str, end_id: int, remembered: int = 1_000_000):
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.whole, self.bare = Tokenizer.from_str(model), Tokenizer.from_str(model)
         self.bare.normalizer = normalizers.Sequence([])
         self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        self.memo = Memo(self.words)
-
-    def words(self, words: list[str]) -> list[bytes]:
-        if not words:
-            return []
-        found = self.bare.encode(" ".join(words), add_special_tokens=False)
-        starts = (4 * np.searchsorted(np.array(found.word_ids), np.arange(len(words) + 1))).tolist()
-        data = np.array(found.ids, "<u4").tobytes()
-        return [data[a:b] for a, b in zip(starts, starts[1:])]
-
-    def texts(self, bodies: list[bytes]) -> Iterator[bytes]:
+        vocabulary = self.bare.get_vocab(with_added_tokens=False)
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.end_id, self.remembered = end_id, remembered
+        self.powers = self.inverses = np.ones(1, np.uint64)
+        self.forget()
+
+    def forget(self) -> None:
+        self.keys, self.checks = np.empty(0, np.uint64), np.empty(0, np.uint64)
+        self.first, self.count, self.ids = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint32)
+
+    def texts(self, bodies: list[bytes]) -> Iterator[np.ndarray]:
         texts = [b.decode("utf-8", "replace") for b in bodies]
-        split = [LATIN_WORDS.findall(t.lower()) if "<|" not in t and LATIN.fullmatch(t) else None for t in texts]
-        look = self.memo.learn([w for w in split if w is not None])
-        for text, words in zip(texts, split):
-            if words is None:
-                yield np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        latin: list[bytes | None] = []
+        for t in texts:
+            try:
+                b = t.encode("latin-1")
+            except UnicodeEncodeError:
+                b = ODD
+            latin.append(None if b"<|" in b or len(b.translate(None, ODD)) < len(b) else b)
+        found = self.encoded([b for b in latin if b is not None])
+        if found is None:
+            latin = [None] * len(latin)
+        else:
+            ids, bounds = found
+        at = 0
+        for text, b in zip(texts, latin):
+            if b is None:
+                yield np.array([*self.whole.encode(text, add_special_tokens=False).ids, self.end_id], np.uint32)
             else:
-                yield b"".join(map(look, words))
-
-
-def pack(
-    docs: DataFrame,
-    tokenizer_path: str | None = None,
-    capacity: int = 2048,
-    end_id: int = 1,
-    windows_per_block: int = 128,
-    id_col: str = "doc_id",
-    text_col: str = "text",
+                yield ids[bounds[at] : bounds[at + 1]]
+                at += 1
+
+    def encoded(self, latin: list[bytes]) -> tuple[np.ndarray, list[int]] | None:
+        """(ids of all texts, where each text's begin and the last one's end)."""
+        if not latin:
+            return np.empty(0, np.uint32), [0]
+        joined = (END.join(latin) + END).translate(LOWER)
+        chars = np.frombuffer(joined, np.uint8)
+        starts, ends = self.words(chars)
+        keys, checks = self.hashes(chars, starts, ends)
+        order = np.argsort(keys)
+        ranked = keys[order]
+        new = np.append(True, ranked[1:] != ranked[:-1])
+        group = np.cumsum(new) - 1
+        one = order[new]  # of each different word
+        if (checks[order] != checks[one][group]).any():
+            return None
+        place = self.look_up(joined, starts[one], ends[one], keys[one], checks[one])
+        if place is None:
+            return None
+        of_word = np.empty(len(keys), np.int64)
+        of_word[order] = place[group]
+        counts = self.count[of_word]
+        stop = np.cumsum(counts)
+        ids = self.ids[np.repeat(self.first[of_word] - stop + counts, counts) + np.arange(stop[-1])]
+        return ids, [0, *stop[chars[starts] == END[0]].tolist()]
+
+    @staticmethod
+    def words(chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the words begin and end: runs of letters or of other characters, single digits, 's and the like."""
+        kind = KINDS[chars]
+        begins = np.empty(len(chars), bool)
+        begins[0] = kind[0] != 0
+        begins[1:] = (kind[1:] != 0) & ((kind[1:] != kind[:-1]) | (kind[1:] == 2) | (kind[1:] == 4))
+        quotes = np.flatnonzero(chars == ord("'"))
+        quotes = quotes[begins[quotes]]  # END is last: two more characters can be looked at, or END stops the match
+        next_, after = chars[quotes + 1], chars[np.minimum(quotes + 2, len(chars) - 1)]
+        short = np.isin(next_, np.frombuffer(b"stmd", np.uint8))
+        long = ((next_ == ord("r")) & (after == ord("e"))) | ((next_ == ord("v")) & (after == ord("e"))) | ((next_ == ord("l")) & (after == ord("l")))
+        begins[quotes[short | long] + 1] = False
+        for at in (quotes[short] + 2, quotes[long & ~short] + 3):
+            begins[at] |= kind[at] == 1
+        starts = np.flatnonzero(begins)
+        stops = np.append(np.flatnonzero(begins[1:] | ((kind[1:] == 0) & (kind[:-1] != 0))) + 1, len(chars))
+        return starts, stops[np.searchsorted(stops, starts, side="right")]
+
+    def hashes(self, chars: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each word a hash of all of its characters, and its first eight and length as a check."""
+        n = len(chars)
+        if len(self.powers) < n:
+            powers, inverses = np.full(n, BASE, np.uint64), np.full(n, INVERSE, np.uint64)
+            powers[0] = inverses[0] = 1
+            self.powers, self.inverses = np.cumprod(powers), np.cumprod(inverses)
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum((chars.astype(np.uint64) + np.uint64(1)) * self.powers[:n], out=sums[1:])
+        keys = (sums[ends] - sums[starts]) * self.inverses[starts] * MIX
+        keys ^= keys >> np.uint64(32)
+        size = ends - starts
+        padded = np.append(chars, np.zeros(8, np.uint8))
+        eight = np.ndarray(n, "<u8", padded, strides=(1,))[starts]
+        eight &= np.uint64(2**64 - 1) >> (8 * (8 - np.minimum(size, 8))).astype(np.uint64)
+        return keys * MIX, eight * np.uint64(BASE) + size.astype(np.uint64)
+
+    def look_up(self, joined: bytes, starts: np.ndarray, ends: np.ndarray, keys: np.ndarray, checks: np.ndarray) -> np.ndarray | None:
+        """The places of the words in the table, which learns the new ones. ``keys`` ascend."""
+        at = np.searchsorted(self.keys, keys)
+        known = at < len(self.keys)
+        known[known] = self.keys[at[known]] == keys[known]
+        if (self.checks[at[known]] != checks[known]).any():
+            return None
+        if not known.all():
+            if len(self.keys) + (~known).sum() > self.remembered and len(self.keys):
+                self.forget()
+                at, known = np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+            new = np.flatnonzero(~known)
+            first, count, ids = self.learnt([joined[a:b] for a, b in zip(starts[new].tolist(), ends[new].tolist())])
+            where = at[new]
+            self.first = np.insert(self.first, where, first + len(self.ids))
+            self.count = np.insert(self.count, where, count)
+            self.checks = np.insert(self.checks, where, checks[new])
+            self.keys = np.insert(self.keys, where, keys[new])
+            self.ids = np.concatenate([self.ids, ids])
+            at = np.searchsorted(self.keys, keys)
+        return at
+
+    def learnt(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first, count, ids): where each word's ids lie."""
+        real = np.array([w != END for w in words])
+        text = b" ".join([w for w in words if w != END]).decode("latin-1")
+        ids = np.array(self.bare.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+        stops = np.flatnonzero(self.ends_word[ids]) + 1
+        first, count = np.full(len(words), len(ids)), np.ones(len(words), np.int64)
+        first[real] = np.append(0, stops[:-1])[: len(stops)]
+        count[real] = stops - first[real]
+        return first, count, np.append(ids, np.uint32(self.end_id))
+
+
+Piece = tuple[int, int, int]  # index of the document among those held, start, length
+
+
+def cut(length: int, most: int) -> list[tuple[int, int]]:
+    """(offset, length) of pieces of at most ``most``."""
+    return [(at, min(most, length - at)) for at in range(0, length, most)]
+
+
+def packed_partitions(
+    docs: DataFrame, model, capacity: int, end_id: int, windows_per_block: int, slack: int, fine: int, fine_share: float
 ) -> DataFrame:
-    """One row per piece: where each run of a document's ids lies.
-
-    Each input partition packs its own rows in blocks of ``windows_per_block`` windows, so nothing is
-    shuffled, memory holds one block, and a repeated task gives the same rows. Documents longer than
-    a window first fill whole windows; what is left of them is dealt by :func:`windows`. A block
-    closes at ``capacity - 1`` tokens a window on average (its last document is cut there). Of the
-    partition's last tokens, as many powers of two as needed become sequences of that length, which
-    need no padding.
-
-    Null and empty texts are documents of one id (``end_id``); null doc_ids stay null; repeated rows
-    are packed each; an empty table gives no rows; other columns are not read. Very long texts are
-    cut like others. ``sequence_id`` is the partition's number times 2**32 plus a count.
-    """
-    import public_tokenizers
-
-    with open(tokenizer_path or public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
-        model = docs.sparkSession.sparkContext.broadcast(f.read())  # one file of fixed size
+    """The pieces of each partition: those of whole blocks with their place, the last ones without a sequence_id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = kept_in_process(("packing", model.value), lambda: Encoder(model.value))
-        ending = end_id.to_bytes(4, "little")
+        encoder = kept_in_process(("packing", model.value, end_id), lambda: Encoder(model.value, end_id))
         first = TaskContext.get().partitionId() << 32
-        used = 0
+        used = total = finely = 0
         held: list[tuple] = []  # doc_id, ids from `base` on, base, tokens of the whole document
-        open_pieces: list[Piece] = []
-        total, target = 0, windows_per_block * (capacity - 1)
+        pieces: list[Piece] = []
+        full = capacity - slack
+        target = windows_per_block * full
 
-        def emit(sequences: list[list[Piece]]) -> pa.RecordBatch:
+        def emit(sequences: list[list[Piece]], placed: bool = True) -> pa.RecordBatch:
             nonlocal used
             out: dict[str, list] = {k: [] for k in FIELDS}
             for sequence in sequences:
                 at = 0
                 for i, start, length in sequence:
                     doc_id, ids, base, tokens = held[i]
-                    crc = zlib.crc32(memoryview(ids)[4 * (start - base) : 4 * (start - base + length)])
-                    for k, v in zip(FIELDS, (doc_id, start, length, crc, tokens, first + used, at)):
-                        out[k].append(v)
+                    row = (doc_id, start, length, zlib.crc32(ids[start - base : start - base + length]), tokens, first + used if placed else None, at if placed else first)
+                    for column, v in zip(out.values(), row):
+                        column.append(v)
                     at += length
-                used += 1
+                used += placed
             return rows_out(FIELDS, out)
 
-        def close(last: bool) -> Iterator[pa.RecordBatch]:
-            nonlocal held, open_pieces, total
-            tails: list[list[Piece]] = []
-            if last:
-                ways = total // (capacity - 1)
-                rest = total - ways * (capacity - 1)
-                rest -= rest % 128 if 2 * (rest % 128) <= ways else 0
-                for power in [1 << b for b in range(capacity.bit_length()) if rest >> b & 1]:
-                    tail: list[Piece] = []
-                    while power:
-                        doc, start, length = open_pieces.pop()
-                        take = min(power, length)
-                        if take < length:
-                            open_pieces.append((doc, start, length - take))
-                        tail.insert(0, (doc, start + length - take, take))
-                        power -= take
-                    tails.append(tail)
-            yield emit(windows(open_pieces, capacity) + tails)
-            held, open_pieces, total = [], [], 0
-
-        for batch in slices(batches):
+        def dealt(pieces: list[Piece], ways: int) -> pa.RecordBatch:
+            return emit([[pieces[i] for i in w] for w in windows([p[2] for p in pieces], ways, capacity)])
+
+        for batch in slices(batches, 4096, 2_000_000):
             for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.texts(batch.column(1).to_pylist())):
-                ids += ending
-                tokens, base = len(ids) // 4, 0
-                if full := tokens // capacity:
+                tokens = len(ids)
+                base = tokens - tokens % capacity
+                if base:
                     held.append((doc_id, ids, 0, tokens))
-                    yield emit([[(len(held) - 1, w * capacity, capacity)] for w in range(full)])
+                    yield emit([[(len(held) - 1, at, capacity)] for at in range(0, base, capacity)])
                     held.pop()
-                    base = full * capacity
-                    ids = ids[4 * base :]
                 while base < tokens:
                     take = min(tokens - base, target - total)
-                    held.append((doc_id, ids, base, tokens))
-                    open_pieces.append((len(held) - 1, base, take))
+                    most = fine if finely < fine_share * (total + take) else capacity
+                    finely += take if most == fine else 0
+                    held.append((doc_id, ids, 0, tokens))
+                    pieces += [(len(held) - 1, base + at, size) for at, size in cut(take, most)]
                     total += take
                     base += take
-                    ids = ids[4 * take :]
                     if total == target:
-                        yield from close(False)
-        yield from close(True)
+                        yield dealt(pieces, windows_per_block)
+                        held, pieces, total, finely = [], [], 0, 0
+        # The last block: whole windows of it are dealt, the rest, less than one window, is left over.
+        left: list[Piece] = []
+        rest = total % full
+        while rest:
+            i, start, length = pieces.pop()
+            take = min(rest, length)
+            if take < length:
+                pieces.append((i, start, length - take))
+            left += [(i, start + length - take + at, size) for at, size in cut(take, fine)]
+            rest -= take
+        yield dealt(pieces, total // full)
+        yield emit([left], placed=False)
+
+    return docs.mapInArrow(run, SCHEMA)
+
+
+def pack(
+    docs: DataFrame,
+    tokenizer_path: str | None = None,
+    capacity: int = 2048,
+    end_id: int = 1,
+    windows_per_block: int = 32,
+    slack: int | None = None,
+    fine: int | None = None,
+    fine_share: float = 0.08,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
+    """One row per piece: where each run of a document's ids lies.
+
+    Each input partition packs its own rows in blocks of ``windows_per_block`` windows, so texts are
+    never shuffled, memory holds one block, and a repeated task gives the same rows. Documents longer
+    than a window first fill whole windows; what is left of them is dealt by :func:`windows`. A block
+    closes when its windows average ``slack`` tokens (an 80th, unless given) under ``capacity``; its
+    last document is cut there. Documents of ``fine_share`` of a block's tokens are cut beforehand,
+    into pieces of at most ``fine`` tokens (a 32nd), which differencing needs to even windows out.
+
+    A partition's last tokens, less than a window's, meet those of the 63 partitions beside it as
+    piece rows, without texts or ids, and are dealt likewise.
+
+    Null and empty texts are documents of one id (``end_id``); null doc_ids stay null; repeated rows
+    are packed each; an empty table gives no rows; other columns are not read. Very long texts are
+    cut like others. ``sequence_id`` is the partition's number times 2**32 plus a count, and from
+    2**62 on that of a group of last pieces: it depends on the input's partitioning.
+    """
+    import public_tokenizers
 
-    return id_and_bytes(docs, id_col, text_col).mapInArrow(run, SCHEMA)
+    with open(tokenizer_path or public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        model = docs.sparkSession.sparkContext.broadcast(f.read())  # one file of fixed size
+    slack = capacity // 80 if slack is None else slack
+    fine = max(1, capacity // 32) if fine is None else fine
+    if not 0 <= slack < capacity or fine < 1:
+        raise ValueError("slack must be from 0 to under capacity, fine at least 1")
+    bodies = id_and_bytes(docs, id_col, text_col)
+    made = materialize(packed_partitions(bodies, model, capacity, end_id, windows_per_block, slack, fine, fine_share), "packed")
+
+    def together(key: tuple, rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("offset", "ascending"), ("doc_id", "ascending"), ("start", "ascending")])
+        sizes = rows.column("length").to_pylist()
+        dealt = windows(sizes, -(-sum(sizes) // (capacity - slack)), capacity)
+        order = np.array([i for w in dealt for i in w])
+        length = np.array(sizes)[order]
+        before = np.cumsum(length) - length
+        counts = np.array([len(w) for w in dealt])
+        offset = before - np.repeat(before[np.cumsum(counts) - counts], counts)
+        sequence = np.repeat((((1 << 30) + key[0].as_py()) << 32) + np.arange(len(dealt)), counts)
+        out = rows.take(pa.array(order)).select(list(FIELDS)[:5])
+        return out.append_column("sequence_id", pa.array(sequence, pa.int64())).append_column("offset", pa.array(offset, pa.int64()))
+
+    last = made.filter("sequence_id is null").withColumn("together", F.shiftright("offset", 32) / PARTITIONS_TOGETHER)
+    last = last.withColumn("together", F.floor("together").cast("long"))
+    return made.filter("sequence_id is not null").unionAll(last.groupBy("together").applyInArrow(together, SCHEMA))

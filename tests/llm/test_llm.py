@@ -432,8 +432,39 @@ def test_differencing_balances_and_windows_rise():
     sizes = [r.randint(1, 100) for _ in range(400)]
     sums = [sum(sizes[i] for i in w) for w in packing.differencing(sizes, 7)]
     assert sum(sums) == sum(sizes) and max(sums) - min(sums) <= 1
-    found = packing.windows([(i, 0, 60) for i in range(3)], 100, recuts=0)
-    assert len(found) == 3 and max(sum(p[2] for p in w) for w in found) <= 100
+    found = packing.windows([60, 60, 60], 2, 100)
+    assert sorted(i for w in found for i in w) == [0, 1, 2] and len(found) == 3
+    assert packing.windows([], 1, 100) == []
+
+
+def test_packing_of_many_small_partitions_and_repeated_rows(spark):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    texts = [t for t in random_texts(11, 300) if t] + ["x " * 700]
+    t = docs(spark, texts).repartition(90)
+    rows = packing.pack(t, capacity=512).collect()
+    want = {i: np.array([*tokenizer.encode(x, add_special_tokens=False).ids, 1], "<u4") for i, x in enumerate(texts)}
+    check_packing(rows, want, 512)
+    lengths = defaultdict(int)
+    for r in rows:
+        lengths[r.sequence_id] += r.length
+    assert len(lengths) <= 1.1 * sum(map(len, want.values())) / 512 + 2  # two groups of partitions
+    twice = packing.pack(docs(spark, ["one two"] * 3 + [None], [5, 5, None, None])).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.start, r.length) for r in twice) == [(False, 5, 0, 3), (False, 5, 0, 3), (True, 0, 0, 1), (True, 0, 0, 3)]
+
+
+def test_words_that_share_a_hash_are_told_apart(monkeypatch):
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        model = f.read()
+    bodies = [b"some words here", "other words, na\u00efve 'tis the world's".encode(), b"some more"]
+    want = [x.tolist() for x in packing.Encoder(model, 1).texts(bodies)]
+    monkeypatch.setattr(packing, "MIX", np.uint64(0))  # every hash is 0
+    weak = packing.Encoder(model, 1)
+    assert [x.tolist() for _ in range(2) for x in weak.texts(bodies)] == want * 2
+    small = packing.Encoder(model, 1, remembered=3)
+    monkeypatch.undo()
+    assert [x.tolist() for _ in range(2) for x in small.texts(bodies)] == want * 2
 
 
 # Pipeline -----------------------------------------------------------------------------------------
