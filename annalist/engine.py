@@ -58,14 +58,10 @@ class Engine:
     # Ingest -----------------------------------------------------------------------------------------
 
     def ingest(self, batch: DataFrame) -> int:
-        """Admit new evidence; the number of rows that were new. An id with other content raises."""
+        """Admit new evidence; the number of rows that were new. An id with other content, and a row without a canonical source, raise."""
         old = self.read("evidence", EVIDENCE)
         full = batch.select(*(F.col(c) if c in batch.columns else F.lit(None).cast(t).alias(c) for c, t in old.dtypes))
-        key = ["evidence_id", "content", "occurred_at", "provenance"]
-        checked = full.select(*key).unionByName(old.select(*key)).withColumn("provenance", F.to_json("provenance")).withColumns({"known_at": F.lit(None), "ordering_key": F.lit(None)})
-        if not visibility.conflicting(checked).isEmpty():
-            raise ValueError("an evidence id was given again with other content, time or provenance")
-        new = visibility.admit(full, old)
+        new = visibility.admit_or_raise(full, old)
         self.append(new, "evidence", EVIDENCE)
         return self.read("evidence", EVIDENCE).count() - old.count()
 

@@ -39,6 +39,24 @@ def block_states(touches: DataFrame, lineage: str = "lineage_id") -> DataFrame:
     return rows.withColumn("state_id", identity("state_", F.col("block_id"), F.col("state_version")))
 
 
+def supported_states(touches: DataFrame, valid: DataFrame, lineage: str = "lineage_id") -> DataFrame:
+    """The versions without their evidence, and ``supported``: whether every evidence so far is valid.
+
+    ``valid`` has evidence_id and valid; an evidence it does not name is not valid. A version's first
+    invalid evidence settles all later ones, so a running minimum per block is enough and no version
+    carries, or is joined with, all of its evidence.
+    """
+    so_far = Window.partitionBy(lineage, "block_no").orderBy("ordering_key", "evidence_id").rowsBetween(Window.unboundedPreceding, 0)
+    rows = touches.join(valid.select("evidence_id", F.col("valid").alias("_valid")), "evidence_id", "left").select(
+        lineage, "block_no", "block_id", "state_version", "subject",
+        F.min("occurred_at").over(so_far).alias("occurred_start"),
+        F.max("occurred_at").over(so_far).alias("occurred_end"),
+        F.max("known_at").over(so_far).alias("derived_known_at"),
+        F.bool_and(F.coalesce("_valid", F.lit(False))).over(so_far).alias("supported"),
+    )
+    return rows.withColumn("state_id", identity("state_", F.col("block_id"), F.col("state_version")))
+
+
 def bridge(states: DataFrame, key: str = "state_id") -> DataFrame:
     return states.select(key, F.explode("raw_evidence_ids").alias("evidence_id"))
 

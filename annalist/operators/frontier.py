@@ -52,6 +52,16 @@ def lexical_overlap(a: Column, b: Column) -> Column:
     return F.when((F.size(tokens(a)) == 0) | (F.size(tokens(b)) == 0), 0.0).otherwise(jaccard(tokens(a), tokens(b)))
 
 
+def overlapping(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """(left_id, right_id, overlap) of all pairs that share a token: an equality join on tokens, counted."""
+    words = rows.select(F.col(key).alias("id"), F.explode(tokens(F.col(text))).alias("token"))
+    sizes = words.groupBy("id").agg(F.count("*").alias("n"))
+    left, right = words.withColumnRenamed("id", "left_id"), words.withColumnRenamed("id", "right_id")
+    both = left.join(right, "token").filter("left_id < right_id").groupBy("left_id", "right_id").agg(F.count("*").alias("both"))
+    sized = both.join(sizes.toDF("left_id", "a"), "left_id").join(sizes.toDF("right_id", "b"), "right_id")
+    return sized.select("left_id", "right_id", (F.col("both") / (F.col("a") + F.col("b") - F.col("both"))).alias("overlap"))
+
+
 def scores(blocks: DataFrame, items: DataFrame, supports: DataFrame, config: FrontierConfig = FrontierConfig()) -> DataFrame:
     """(block_id, state_id, region_id, score, rescued, best_support, selected) for each block and eligible item.
 

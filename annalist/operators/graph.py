@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,51 +42,90 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
     return stars.unionAll(loops).groupBy("node").agg(F.min("component").alias("component"))
 
 
+#: Hops that one job follows: a plan of so many joins costs far less than so many small tables.
+HOPS_A_JOB = 8
+
+
 def reachable(edges: DataFrame, starts: DataFrame, src: str = "parent", dst: str = "child", most_hops: int = 10_000) -> DataFrame:
     """(start, node, hops): every node that a start reaches along directed edges, itself at 0, by fewest hops.
 
-    A breadth-first join per hop over the newly reached pairs only; ends when a hop adds none.
+    Breadth-first, HOPS_A_JOB joins a job, over the newly reached pairs only; ends when a job adds
+    none. Nodes over ``most_hops`` away are left out, and none further is looked for.
     """
     along = materialize(edges.select(F.col(src).alias("node"), F.col(dst).alias("next")).na.drop().distinct(), "edges")
     front = materialize(starts.select(F.col(starts.columns[0]).alias("start")).na.drop().distinct().select("start", F.col("start").alias("node"), F.lit(0).alias("hops")), "front")
     found = front
-    for hop in range(1, most_hops + 1):
-        step = front.join(along, "node").select("start", F.col("next").alias("node")).distinct().join(found, ["start", "node"], "left_anti").withColumn("hops", F.lit(hop))
-        front = materialize(step, "front")
+    for hop in range(0, most_hops, HOPS_A_JOB):
+        step, steps = front.filter(F.col("hops") == hop).select("start", "node"), []
+        for more in range(1, min(HOPS_A_JOB, most_hops - hop) + 1):
+            step = step.join(along, "node").select("start", F.col("next").alias("node")).distinct()
+            steps.append(step.withColumn("hops", F.lit(hop + more)))
+        new = reduce(DataFrame.unionAll, steps).groupBy("start", "node").agg(F.min("hops").alias("hops"))
+        front = materialize(new.join(found.select("start", "node"), ["start", "node"], "left_anti"), "front")
         if front.isEmpty():
-            return found
+            break
         found = found.unionByName(front)
-    raise RuntimeError(f"nodes lie over {most_hops} hops away")
+    return found
+
+
+def descendants(edges: DataFrame, tops: DataFrame, src: str = "parent", dst: str = "child") -> DataFrame:
+    """(node): all nodes that lie one edge or more below any of ``tops``."""
+    along = materialize(edges.select(F.col(src).alias("node"), F.col(dst).alias("next")).na.drop().distinct(), "edges")
+    step = tops.select(F.col(tops.columns[0]).alias("node")).distinct()
+    found = None
+    while True:
+        steps = []
+        for _ in range(HOPS_A_JOB):
+            step = step.join(along, "node", "inner").select(F.col("next").alias("node")).distinct()
+            steps.append(step)
+        new = reduce(DataFrame.unionAll, steps).distinct()
+        front = materialize(new if found is None else new.join(found, "node", "left_anti"), "front")
+        found = front if found is None else found.unionAll(front)
+        if front.isEmpty():
+            return found
+        step = front
 
 
 def in_cycle(edges: DataFrame, src: str = "parent", dst: str = "child") -> DataFrame:
-    """(node): nodes that no topological peeling removes, so those in a cycle or behind one."""
-    rest = materialize(edges.select(F.col(src).alias("p"), F.col(dst).alias("c")).na.drop().distinct(), "edges")
+    """(node): nodes at the end of walks of any length, so those in a cycle or behind one.
+
+    The ends of walks of n + 1 edges are among those of n; when a job takes none of them off, they stay.
+    """
+    along = materialize(edges.select(F.col(src).alias("node"), F.col(dst).alias("next")).na.drop().distinct(), "edges")
+    ends, size = along.select("node").distinct(), None
     while True:
-        heads = rest.select("p").distinct().join(rest.select(F.col("c").alias("p")), "p", "left_anti")
-        then = materialize(rest.join(heads, "p", "left_anti"), "edges")
-        stuck = heads.isEmpty()
-        discard(rest)
-        rest = then
-        if stuck or rest.isEmpty():
-            return rest.select(F.explode(F.array("p", "c")).alias("node")).distinct()
+        for _ in range(HOPS_A_JOB):
+            ends = ends.join(along, "node").select(F.col("next").alias("node")).distinct()
+        then = materialize(ends, "ends")
+        before, size = size, then.count()
+        if size in (0, before):
+            return then
+        ends = then
 
 
 def paths(edges: DataFrame, src: str = "parent", dst: str = "child", most_paths: int = 256, most_nodes: int = 64) -> DataFrame:
     """(nodes): all paths from nodes without parents to nodes without children of an acyclic graph.
 
-    Fails rather than truncate: beyond ``most_paths`` paths, or a path beyond ``most_nodes`` nodes.
+    Fails rather than truncate: beyond ``most_paths`` paths, or a path beyond ``most_nodes`` nodes. A
+    job follows as many hops as cannot multiply the paths far beyond that.
     """
     along = materialize(edges.select(F.col(src).alias("p"), F.col(dst).alias("c")).na.drop().distinct(), "edges")
     heads = along.select("p").distinct().join(along.select(F.col("c").alias("p")), "p", "left_anti")
-    front = materialize(heads.select(F.array("p").alias("nodes")), "paths")
-    ended = front.filter("false")
-    for _ in range(most_nodes + 1):
-        last = front.withColumn("p", F.element_at("nodes", -1))
-        ended = materialize(ended.unionByName(last.join(along.select("p").distinct(), "p", "left_anti").select("nodes")), "paths")
-        front = materialize(last.join(along, "p").select(F.concat("nodes", F.array("c")).alias("nodes")), "paths")
-        if front.isEmpty():
-            return ended
-        if front.count() + ended.count() > most_paths:
+    rows = materialize(heads.select(F.array("p").alias("nodes"), F.lit(False).alias("ended")), "paths")
+    most = along.groupBy("p").count().agg(F.max("count")).first()[0] or 1
+    n, length = rows.count(), 1
+    while True:
+        hops = HOPS_A_JOB if most == 1 else max(1, min(HOPS_A_JOB, int(math.log(max(most, 4 * most_paths / max(n, 1))) / math.log(most))))
+        hops = min(hops, most_nodes - length + 1)
+        for _ in range(hops):
+            last = rows.withColumn("p", F.when(~F.col("ended"), F.element_at("nodes", -1)))
+            rows = last.join(along, "p", "left").select(F.when(F.col("c").isNull(), F.col("nodes")).otherwise(F.concat("nodes", F.array("c"))).alias("nodes"), F.col("c").isNull().alias("ended"))
+        rows = materialize(rows, "paths")
+        length += hops
+        n, open_, longest = rows.agg(F.count("*"), F.count_if(~F.col("ended")), F.max(F.size("nodes"))).first()
+        if n > most_paths:
             raise RuntimeError(f"over {most_paths} paths")
-    raise RuntimeError(f"a path has over {most_nodes} nodes")
+        if (longest or 0) > most_nodes:
+            raise RuntimeError(f"a path has over {most_nodes} nodes")
+        if not open_:
+            return rows.select("nodes")

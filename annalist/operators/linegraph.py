@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from annalist.functions.text import identity
 from annalist.functions.vector import cosine
-from annalist.operators.graph import in_cycle, paths, reachable
+from annalist.operators.graph import descendants, in_cycle, paths, reachable
 from annalist.operators.visibility import latest
 from annalist.scratch import materialize
 
@@ -44,19 +43,15 @@ def node_states(states: DataFrame, valid_states: DataFrame, at: Column) -> DataF
 
 
 def visible_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Nodes all of whose ancestors are visible too: those with a hidden parent are removed until none is left.
+    """Nodes all of whose ancestors are visible too: those below a hidden one go.
 
     Fails on a cycle: its nodes would never be resolved.
     """
     if not in_cycle(edges).isEmpty():
         raise RuntimeError("the edges hold a cycle")
     seen = materialize(nodes.select("node_id").distinct(), "nodes")
-    while True:
-        hidden = edges.join(seen.withColumnRenamed("node_id", "parent"), "parent", "left_anti").select(F.col("child").alias("node_id")).distinct()
-        lost = seen.join(hidden, "node_id", "left_semi")
-        if lost.isEmpty():
-            return seen
-        seen = materialize(seen.join(hidden, "node_id", "left_anti"), "nodes")
+    gone = edges.select(F.col("parent").alias("node_id")).distinct().join(seen, "node_id", "left_anti")
+    return seen.join(descendants(edges, gone).withColumnRenamed("node", "node_id"), "node_id", "left_anti")
 
 
 def frontier(visible: DataFrame, edges: DataFrame) -> DataFrame:
@@ -119,14 +114,13 @@ def node_id(line: Column, block: Column) -> Column:
 def projection(visible: DataFrame, edges: DataFrame, block: DataFrame, bridge: DataFrame, most_nodes: int = 6) -> tuple[DataFrame, DataFrame]:
     """(nodes, evidence) of a line called for a block: the most similar visible node, and what lies near it.
 
-    Both directions are searched to most_nodes hops; the ``most_nodes`` nearest by (distance, similarity, id) stay.
+    Both directions are searched to 3 * most_nodes hops; the ``most_nodes`` nearest by (distance, similarity, id) stay.
     ``visible`` has node_id and vector, ``block`` one row with vector.
     """
     scored = visible.crossJoin(F.broadcast(block.select(F.col("vector").alias("wanted")).limit(1))).withColumn("similarity", cosine(F.col("vector"), F.col("wanted"))).select("node_id", "similarity")
     scored = materialize(scored, "scored")
     anchor = scored.orderBy(F.desc("similarity"), "node_id").limit(1).select("node_id")
     both = edges.select("parent", "child").unionAll(edges.select(F.col("child").alias("parent"), F.col("parent").alias("child")))
-    near = reachable(both, anchor).withColumnRenamed("node", "node_id").join(scored, "node_id")
-    rank = F.row_number().over(Window.orderBy("hops", F.desc("similarity"), "node_id"))
-    nodes = near.filter(F.col("hops") <= 3 * most_nodes).withColumn("rank", rank).filter(F.col("rank") <= most_nodes)
+    near = reachable(both, anchor, most_hops=3 * most_nodes).withColumnRenamed("node", "node_id").join(scored, "node_id")
+    nodes = near.orderBy("hops", F.desc("similarity"), "node_id").limit(most_nodes)
     return nodes.select("node_id", "hops", "similarity"), raw_closure(nodes.select("node_id"), edges, bridge).select("evidence_id").distinct()

@@ -51,10 +51,20 @@ def enrich(now: DataFrame, earlier: DataFrame | None = None) -> DataFrame:
     return out.join(old, "structure_id", "left").withColumn("stability", F.when(F.col("old_members").isNull(), 0.0).otherwise(jaccard(F.col("members"), F.col("old_members"), 1.0))).drop("old_members")
 
 
+#: Every kind of change that :func:`diff` tells apart.
+CHANGE_KINDS = ("new_members", "lost_or_weakened", "stronger", "reconnections", "reorganizations", "linked")
+
+
 def snapshot_id(points: DataFrame, cutoff: Column, config: str) -> DataFrame:
-    """One row: the id of a snapshot over these points, from ids, vectors, cutoff and configuration."""
-    each = F.concat_ws("=", F.col("id").cast("string"), F.to_json("vector"))
-    return points.agg(F.sha2(F.concat_ws("|", cutoff.cast("string"), F.lit(config), F.array_join(F.array_sort(F.collect_list(F.sha2(each, 256))), ",")), 256).alias("h")).select(F.concat(F.lit("snapshot_"), F.substring("h", 1, 24)).alias("snapshot_id"))
+    """One row: the id of a snapshot over these points, from ids, vectors to nine decimals, cutoff and configuration.
+
+    The points' digests are summed, four parts each, so their order is no matter and no row gathers them.
+    """
+    whole = F.transform(F.col("vector"), lambda x: F.round(x * 1e9).cast("long").cast("string"))
+    each = points.select(F.sha2(F.concat_ws("=", F.col("id").cast("string"), F.array_join(whole, ",")), 256).alias("h"))
+    parts = [F.sum(F.conv(F.substring("h", 1 + 15 * i, 15), 16, 10).cast("decimal(38,0)")).cast("string") for i in range(4)]
+    text = F.concat_ws("|", cutoff.cast("string"), F.lit(config), F.count("*").cast("string"), *parts)
+    return each.agg(F.concat(F.lit("snapshot_"), F.substring(F.sha2(text, 256), 1, 24)).alias("snapshot_id"))
 
 
 def diff(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -62,6 +62,14 @@ def states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compilation.block_states(compilation.islands(evidence(spark, sf_dir)))
 
 
+def judged(spark: SparkSession, sf_dir: str, valid: DataFrame) -> DataFrame:
+    return compilation.supported_states(compilation.islands(evidence(spark, sf_dir)), valid)
+
+
+def valid_now(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evidence(spark, sf_dir).select("evidence_id", (F.col("state") == "VALID").alias("valid"))
+
+
 def short(rows: DataFrame) -> DataFrame:
     return rows.select("lineage_id", F.col("block_no").cast("long").alias("block_no"), F.col("state_version").cast("long").alias("state_version"))
 
@@ -104,34 +112,42 @@ def _(spark, d):
 
 @query("O09_current_valid_blocks", f"WITH {EV} SELECT lineage_id, block_no, max(state_version) AS state_version FROM st GROUP BY 1, 2 HAVING count(first_end) = 0")
 def _(spark, d):
-    heads = visibility.latest(states(spark, d))
-    valid = evidence(spark, d).select("evidence_id", (F.col("state") == "VALID").alias("valid"))
-    return short(visibility.supported(heads, compilation.bridge(heads), valid))
+    return short(visibility.latest(judged(spark, d, valid_now(spark, d))).filter("supported"))
 
 
 @query("O10_asof_logical_cutoff", f"WITH {EV} SELECT lineage_id, block_no, max(state_version) AS state_version FROM st WHERE occurred_end <= TIMESTAMP '{AT}' AND first_end IS NULL GROUP BY 1, 2")
 def _(spark, d):
-    s = states(spark, d)
-    valid = evidence(spark, d).select("evidence_id", (F.col("state") == "VALID").alias("valid"))
-    return short(visibility.at_logical_cutoff(visibility.supported(s, compilation.bridge(s), valid), at()))
+    return short(visibility.at_logical_cutoff(judged(spark, d, valid_now(spark, d)).filter("supported"), at()))
 
 
-@query("O11_evidence_valid_at", f"WITH {EV} SELECT event_id AS evidence_id, known_at <= TIMESTAMP '{AT}' AND (ended_at IS NULL OR ended_at > TIMESTAMP '{AT}') AS valid FROM ev")
+@query("O11_evidence_valid_at", f"WITH {EV} SELECT event_id AS evidence_id, known_at <= TIMESTAMP '{AT}' AND CASE WHEN ended_at IS NULL THEN event_id % 13 <> 0 AND event_id % 17 <> 0 ELSE ended_at > TIMESTAMP '{AT}' END AS valid FROM ev")
 def _(spark, d):
-    return visibility.valid_at(evidence(spark, d), lifecycle(spark, d), at())
+    # Some rows are invalid or superseded now, and the log does not say since when.
+    now = {"state": F.when(F.col("evidence_id") % 13 == 0, "INVALID").otherwise(F.col("state")), "superseded_by": F.when(F.col("evidence_id") % 17 == 0, F.lit(1))}
+    return visibility.valid_at(evidence(spark, d).withColumns(now), lifecycle(spark, d), at())
 
 
 @query("O12_asof_knowledge_cutoff", f"WITH {EV} SELECT lineage_id, block_no, max(state_version) AS state_version FROM st WHERE derived_known_at <= TIMESTAMP '{AT}' AND (first_end IS NULL OR first_end > TIMESTAMP '{AT}') GROUP BY 1, 2")
 def _(spark, d):
-    s = states(spark, d)
-    return short(visibility.at_knowledge_cutoff(s, compilation.bridge(s), evidence(spark, d), lifecycle(spark, d), at()))
+    valid = visibility.valid_at(evidence(spark, d), lifecycle(spark, d), at())
+    return short(visibility.latest(judged(spark, d, valid).filter((F.col("derived_known_at") <= at()) & F.col("supported"))))
 
 
 @query("O13_support_status", f"WITH {EV} SELECT lineage_id, block_no, state_version, first_end IS NULL OR first_end > TIMESTAMP '{AT}' AS supported FROM st WHERE derived_known_at <= TIMESTAMP '{AT}'")
 def _(spark, d):
-    s = states(spark, d).filter(F.col("derived_known_at") <= at())
-    good = visibility.supported(s, compilation.bridge(s), visibility.valid_at(evidence(spark, d), lifecycle(spark, d), at())).select("state_id", F.lit(True).alias("ok"))
-    return s.join(good, "state_id", "left").select("lineage_id", F.col("block_no").cast("long").alias("block_no"), F.col("state_version").cast("long").alias("state_version"), F.coalesce("ok", F.lit(False)).alias("supported"))
+    valid = visibility.valid_at(evidence(spark, d), lifecycle(spark, d), at())
+    return judged(spark, d, valid).filter(F.col("derived_known_at") <= at()).select("lineage_id", F.col("block_no").cast("long").alias("block_no"), F.col("state_version").cast("long").alias("state_version"), "supported")
+
+
+@query("O14_supersede", """WITH e AS (SELECT event_id, ts FROM events), new AS (SELECT event_id, ts + INTERVAL 6 DAY AS ended, event_id + 1 AS replacement FROM e WHERE event_id % 22 = 3 AND event_id + 1 IN (SELECT event_id FROM e)),
+log AS (SELECT event_id, 'INVALIDATED' AS kind, ts + INTERVAL 5 DAY AS ended, NULL::BIGINT AS replacement FROM e WHERE event_id % 11 = 0 UNION ALL SELECT event_id, 'SUPERSEDED', ended, replacement FROM new)
+SELECT e.event_id AS evidence_id, coalesce(CASE kind WHEN 'INVALIDATED' THEN 'INVALID' ELSE kind END, 'VALID') AS state, replacement AS superseded_by FROM e LEFT JOIN log USING (event_id)""")
+def _(spark, d):
+    e, log = evidence(spark, d), lifecycle(spark, d)
+    ids = e.select((F.col("evidence_id") - 1).alias("evidence_id"))
+    wanted = e.filter("evidence_id % 22 = 3").join(ids, "evidence_id", "left_semi").select("evidence_id", (F.col("evidence_id") + 1).alias("replacement"), (F.col("occurred_at") + F.expr("interval 6 days")).alias("at"))
+    new = visibility.supersede(e, log, wanted, F.lit(AT).cast("timestamp_ntz")).join(wanted.select("evidence_id", "at"), "evidence_id").select("evidence_id", F.col("evidence_id").alias("event_id"), "event_type", F.col("at").alias("event_at"), "replacement")
+    return visibility.lifecycle_state(e.drop("state", "superseded_by"), log.unionByName(new)).select("evidence_id", "state", "superseded_by")
 
 
 @query("O14_lifecycle_state", "SELECT event_id AS evidence_id, CASE WHEN event_id % 11 = 0 THEN 'INVALID' ELSE 'VALID' END AS state FROM events")
@@ -152,6 +168,13 @@ def _(spark, d):
     return visibility.transition_valid_at(rows, at()).select("evidence_id")
 
 
+@query("O16_any_block_valid", f"WITH {EV} SELECT lineage_id, block_no, bool_or(first_end IS NULL OR event_id % 2 = 0) AS valid FROM (SELECT lineage_id, block_no, event_id, CASE WHEN event_id % 11 = 0 THEN 1 END AS first_end FROM st) GROUP BY 1, 2")
+def _(spark, d):
+    touches = compilation.islands(evidence(spark, d)).select(F.struct("lineage_id", F.col("block_no").cast("long").alias("block_no")).alias("block"), "evidence_id")
+    valid = evidence(spark, d).select("evidence_id", ((F.col("state") == "VALID") | (F.col("evidence_id") % 2 == 0)).alias("valid"))
+    return visibility.any_valid(touches, valid, "block").select("block.*", "valid")
+
+
 @query("O17_cutoff_split", f"SELECT count(*) FILTER (ts <= TIMESTAMP '{AT}') AS visible, count(*) FILTER (ts > TIMESTAMP '{AT}') AS future FROM events")
 def _(spark, d):
     visible, future = visibility.split_at(evidence(spark, d), "occurred_at", at(), "evidence_id", 7)
@@ -185,7 +208,7 @@ def _(spark, d):
 
 
 @query("O24_O25_hash_embedding", r"""
-WITH t AS (SELECT item_id, unnest(regexp_extract_all(text, '\w+')) AS w FROM benchmark WHERE NOT regexp_matches(text, '[^\x00-\x7F]')),
+WITH t AS (SELECT item_id, unnest(regexp_extract_all(text, '[\p{L}\p{N}_]+')) AS w FROM benchmark),
 b AS (SELECT item_id, ('0x' || substr(sha256(w), 1, 8))::BIGINT % 16 AS bucket FROM t)
 SELECT item_id, bucket, count(*) AS n FROM b GROUP BY 1, 2""")
 def _(spark, d):
@@ -237,15 +260,13 @@ SELECT a.item_id AS left_id, b.item_id AS right_id, round(count(*) / (min(na.n)
 FROM t a JOIN t b ON a.w = b.w AND a.item_id < b.item_id JOIN n na ON na.item_id = a.item_id JOIN n nb ON nb.item_id = b.item_id GROUP BY 1, 2""")
 def _(spark, d):
     b = table(spark, d, "benchmark")
-    left, right = b.select(F.col("item_id").alias("left_id"), F.col("text").alias("a")), b.select(F.col("item_id").alias("right_id"), F.col("text").alias("b"))
-    rows = left.crossJoin(right).filter("left_id < right_id").select("left_id", "right_id", F.round(frontier.lexical_overlap(F.col("a"), F.col("b")), 6).alias("overlap"))
-    return rows.filter("overlap > 0")
+    return frontier.overlapping(b, "item_id", "text").select("left_id", "right_id", F.round("overlap", 6).alias("overlap"))
 
 
 @query("O32_prefix_replay", f"""
-WITH {SIM}, cut AS (SELECT day AS cutoff FROM p WHERE vec_id IN (SELECT vec_id FROM p WHERE vec_id % 25 = 24)),
+WITH {SIM}, cut AS (SELECT DISTINCT day AS cutoff FROM p),
 r AS (SELECT cutoff, src, dst, s, row_number() OVER (PARTITION BY cutoff, src ORDER BY s DESC, dst) AS rank
-      FROM cut, sim JOIN p a ON a.vec_id = src JOIN p b ON b.vec_id = dst WHERE a.day <= cutoff AND b.day <= cutoff AND src < 100 AND dst < 100 AND s >= 0.2 AND cutoff < DATE '2024-01-01' + 100)
+      FROM cut, sim JOIN p a ON a.vec_id = src JOIN p b ON b.vec_id = dst WHERE a.day <= cutoff AND b.day <= cutoff AND s >= 0.2)
 SELECT cutoff, src, dst, rank, round(s, 6) AS similarity FROM r WHERE rank <= 2""")
 def _(spark, d):
     got = similarity.prefix_replay(points(spark, d).withColumnRenamed("occurred_on", "occurred_at"), 2, 0.2)
@@ -274,7 +295,8 @@ def _(spark, d):
     return structure.enrich(observed(spark, d)).select("center", "k", F.round("local_overlap", 6).alias("local_overlap"), "participation")
 
 
-@query("O35_snapshot_id")
+@query("O35_snapshot_id", f"""WITH {PTS}, h AS (SELECT sha256(vec_id || '=' || array_to_string(list_transform(v, lambda x: round(x * 1e9)::BIGINT), ',')) AS h FROM p)
+SELECT 'snapshot_' || substr(sha256('{AT}|k=2,4,8;least=0.25|' || count(*) || '|' || {" || '|' || ".join(f"sum(('0x' || substr(h, {1 + 15 * i}, 15))::BIGINT)" for i in range(4))}), 1, 24) AS snapshot_id FROM h""")
 def _(spark, d):
     return structure.snapshot_id(points(spark, d), F.lit(AT), "k=2,4,8;least=0.25")
 
@@ -286,15 +308,17 @@ def by_half(p: DataFrame, before: bool) -> DataFrame:
 
 
 def two_snapshots(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """At half of the table's days, and at its end."""
+    """At half of the table's days; and of all of them, when each seventh point is gone."""
     p = points(spark, d)
-    return tuple(structure.observations(rows, (4,), 0.25) for rows in (by_half(p, True), p))
+    return tuple(structure.observations(rows, (4,), 0.25) for rows in (by_half(p, True), p.filter("id % 7 <> 0")))
 
 
-SNAP = f"""{SIM}, n1 AS (SELECT * FROM (SELECT src, dst, s, row_number() OVER (PARTITION BY src ORDER BY s DESC, dst) AS rank FROM sim WHERE s >= 0.25 AND src < 250 AND dst < 250) WHERE rank <= 4),
-n2 AS (SELECT * FROM (SELECT src, dst, s, row_number() OVER (PARTITION BY src ORDER BY s DESC, dst) AS rank FROM sim WHERE s >= 0.25 AND src < 400 AND dst < 400) WHERE rank <= 4),
-m1 AS (SELECT src, dst FROM n1 UNION SELECT vec_id, vec_id FROM p WHERE vec_id < 250), m2 AS (SELECT src, dst FROM n2 UNION SELECT vec_id, vec_id FROM p WHERE vec_id < 400),
-s1 AS (SELECT vec_id AS c, coalesce(avg(s), 0) AS s FROM p LEFT JOIN n1 ON src = vec_id WHERE vec_id < 250 GROUP BY 1), s2 AS (SELECT vec_id AS c, coalesce(avg(s), 0) AS s FROM p LEFT JOIN n2 ON src = vec_id WHERE vec_id < 400 GROUP BY 1)"""
+HALF = "middle AS (SELECT min(day) + ceil((date_diff('day', min(day), max(day)) + 1) / 2)::INTEGER AS m FROM p)"
+SNAP = f"""{SIM}, {HALF}, a1 AS (SELECT vec_id AS c FROM p, middle WHERE day < m), a2 AS (SELECT vec_id AS c FROM p WHERE vec_id % 7 <> 0),
+n1 AS (SELECT * FROM (SELECT src, dst, s, row_number() OVER (PARTITION BY src ORDER BY s DESC, dst) AS rank FROM sim WHERE s >= 0.25 AND src IN (SELECT c FROM a1) AND dst IN (SELECT c FROM a1)) WHERE rank <= 4),
+n2 AS (SELECT * FROM (SELECT src, dst, s, row_number() OVER (PARTITION BY src ORDER BY s DESC, dst) AS rank FROM sim WHERE s >= 0.25 AND src IN (SELECT c FROM a2) AND dst IN (SELECT c FROM a2)) WHERE rank <= 4),
+m1 AS (SELECT src, dst FROM n1 UNION SELECT c, c FROM a1), m2 AS (SELECT src, dst FROM n2 UNION SELECT c, c FROM a2),
+s1 AS (SELECT c, coalesce(avg(s), 0) AS s FROM a1 LEFT JOIN n1 ON src = c GROUP BY 1), s2 AS (SELECT c, coalesce(avg(s), 0) AS s FROM a2 LEFT JOIN n2 ON src = c GROUP BY 1)"""
 
 
 @query("O36_snapshot_diff", f"""WITH {SNAP}, added AS (SELECT * FROM m2 EXCEPT SELECT * FROM m1), removed AS (SELECT * FROM m1 EXCEPT SELECT * FROM m2)
@@ -302,14 +326,17 @@ SELECT 'new_members' AS change_kind, count(DISTINCT src) AS n FROM added
 UNION ALL SELECT 'lost_or_weakened', count(*) FROM s1 JOIN s2 USING (c) WHERE s2.s < s1.s - 1e-12 OR c IN (SELECT src FROM removed)
 UNION ALL SELECT 'stronger', count(*) FROM s1 JOIN s2 USING (c) WHERE s2.s > s1.s + 1e-9 OR c IN (SELECT src FROM added)
 UNION ALL SELECT 'reconnections', count(*) FROM (SELECT src FROM m1 GROUP BY 1 HAVING count(*) = 1) a JOIN (SELECT src FROM m2 GROUP BY 1 HAVING count(*) > 1) b USING (src)
+UNION ALL SELECT 'reorganizations', count(DISTINCT src) FROM m1 WHERE src NOT IN (SELECT c FROM a2) AND dst IN (SELECT dst FROM m2)
 UNION ALL SELECT 'linked', count(*) FROM (SELECT DISTINCT a.src, b.src AS other FROM m2 a JOIN m2 b ON a.dst = b.dst AND a.src < b.src EXCEPT SELECT DISTINCT a.src, b.src FROM m1 a JOIN m1 b ON a.dst = b.dst AND a.src < b.src)""")
 def _(spark, d):
     before, after = two_snapshots(spark, d)
     round_ = lambda rows: rows.withColumn("support", F.round("support", 12))
-    return structure.diff(round_(before), round_(after)).groupBy("change_kind").agg(F.count("*").alias("n"))
+    found = structure.diff(round_(before), round_(after)).groupBy("change_kind").agg(F.count("*").alias("n"))
+    kinds = spark.createDataFrame([(k,) for k in structure.CHANGE_KINDS], "change_kind string")
+    return kinds.join(found, "change_kind", "left").select("change_kind", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-@query("O37_effective_groups", f"WITH {OBS} SELECT members AS m0, array_to_string(members, ',') AS members, round(max(support), 6) AS support FROM obs WHERE len(members) >= 2 GROUP BY 1".replace("SELECT members AS m0, array_to_string(members, ',') AS members", "SELECT array_to_string(members, ',') AS members"))
+@query("O37_effective_groups", f"WITH {OBS} SELECT array_to_string(members, ',') AS members, round(max(support), 6) AS support FROM obs WHERE len(members) >= 2 GROUP BY 1")
 def _(spark, d):
     return structure.effective_groups(observed(spark, d)).select(F.array_join(F.transform("members", lambda m: m.cast("string")), ",").alias("members"), F.round("support", 6).alias("support"))
 
@@ -322,11 +349,14 @@ def _(spark, d):
     return found.filter("shared > 0").groupBy(F.col("shared").alias("n_shared")).agg(F.count("*").alias("pairs"))
 
 
-@query("O39_expand_evidence")
+@query("O39_expand_evidence", f"""WITH {OBS}, g0 AS (SELECT 'obs_' || substr(sha256(center || '|' || k), 1, 24) AS id, members, support FROM obs WHERE k = 2 AND len(members) >= 2),
+g AS (SELECT id, members FROM (SELECT *, row_number() OVER (PARTITION BY members ORDER BY round(support, 12) DESC, id) AS r FROM g0) WHERE r = 1), m AS (SELECT id, unnest(members) AS x FROM g)
+SELECT left_id, right_id, len(list_distinct(list_concat(a.members, b.members)))::BIGINT AS n_evidence
+FROM (SELECT DISTINCT a.id AS left_id, b.id AS right_id FROM m a JOIN m b ON a.x = b.x AND a.id < b.id) JOIN g a ON a.id = left_id JOIN g b ON b.id = right_id""")
 def _(spark, d):
     groups = structure.effective_groups(observed(spark, d).filter("k = 2"))
     bridge = points(spark, d).select("id", F.concat(F.lit("e"), F.col("id").cast("string")).alias("evidence_id"))
-    return structure.expand(structure.higher_order(groups, points(spark, d)).filter("shared > 0"), groups, bridge).select("left_id", "right_id", F.size("evidence").alias("n_evidence"))
+    return structure.expand(structure.higher_order(groups, points(spark, d)).filter("shared > 0"), groups, bridge).select("left_id", "right_id", F.size("evidence").cast("long").alias("n_evidence"))
 
 
 MUT = f"{knn_sql(4, 0.30)}, mutual AS (SELECT a.src AS a, a.dst AS b, least(a.s, b.s) AS score FROM knn a JOIN knn b ON a.src = b.dst AND a.dst = b.src WHERE a.src < a.dst)"
@@ -383,7 +413,11 @@ def _(spark, d):
     return found.select(F.array_join(F.transform("nodes", lambda n: n.cast("string")), ">").alias("nodes"))
 
 
-@query("O52_maximal_paths")
+WALK = f"""{ORI}, walk AS (SELECT DISTINCT parent AS tail, '|' || parent || '|' AS nodes, 1 AS n FROM oriented WHERE parent NOT IN (SELECT child FROM oriented)
+UNION ALL SELECT o.child, w.nodes || o.child || '|', n + 1 FROM walk w JOIN oriented o ON o.parent = w.tail)"""
+
+
+@query("O52_maximal_paths", f"WITH RECURSIVE {WALK} SELECT 'traj_' || substr(sha256(nodes), 1, 24) AS path_id, replace(trim(nodes, '|'), '|', '>') AS nodes FROM walk WHERE n >= 2 AND tail NOT IN (SELECT parent FROM oriented)")
 def _(spark, d):
     found = trajectory.enumerate_paths(oriented(spark, d), spans(spark, d), most_paths=100_000)
     return trajectory.maximal_paths(spark.createDataFrame([(p,) for p in found], "nodes array<long>"), 2).select("path_id", F.array_join(F.transform("nodes", lambda n: n.cast("string")), ">").alias("nodes"))
@@ -454,7 +488,7 @@ def line_edges(spark: SparkSession, d: str) -> DataFrame:
     return e.select(F.lag("event_id").over(w).alias("parent"), F.col("event_id").alias("child")).filter("parent is not null")
 
 
-EDGE = "le AS (SELECT parent, child FROM (SELECT lag(event_id) OVER w AS parent, event_id AS child, row_number() OVER w AS n FROM events WHERE user_id < 40 WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE parent IS NOT NULL AND n <= 12)"
+EDGE = "le AS (SELECT parent, child FROM (SELECT lag(event_id) OVER w AS parent, event_id AS child FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE parent IS NOT NULL)"
 
 
 @query("O61d_visible_nodes", f"""WITH RECURSIVE {EDGE}, nodes AS (SELECT parent AS n FROM le UNION SELECT child FROM le), hidden AS (SELECT n FROM nodes WHERE n % 11 = 0 UNION SELECT le.child FROM hidden JOIN le ON le.parent = hidden.n)
@@ -499,27 +533,25 @@ def _(spark, d):
 
 
 def signals(spark: SparkSession, d: str) -> DataFrame:
+    """Line items as signals: decisions are suppliers by hundreds, evidence is a part and an order."""
     i = table(spark, d, "lineitem")
-    return i.select(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_linestatus").alias("signal_id"), F.pmod("l_orderkey", F.lit(20)).cast("string").alias("decision_key"), F.col("l_returnflag").alias("candidate_id"), F.when(F.col("l_linestatus") == "F", "contradict").otherwise("support").alias("polarity"), F.array(F.concat(F.lit("p"), "l_partkey"), F.concat(F.lit("s"), F.pmod("l_orderkey", F.lit(97)))).alias("raw_evidence_ids"), (F.col("l_quantity") > 25).alias("reciprocal"), F.pmod("l_suppkey", F.lit(5)).cast("string").alias("context_id"), F.pmod("l_linenumber", F.lit(3)).cast("string").alias("derivation_variant_id"))
+    return i.select(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_linestatus").alias("signal_id"), F.pmod("l_suppkey", F.lit(100)).cast("string").alias("decision_key"), F.col("l_returnflag").alias("candidate_id"), F.when(F.col("l_linestatus") == "F", "contradict").otherwise("support").alias("polarity"), F.array(F.concat(F.lit("p"), "l_partkey"), F.concat(F.lit("o"), "l_orderkey")).alias("raw_evidence_ids"), (F.col("l_quantity") > 25).alias("reciprocal"), F.pmod("l_partkey", F.lit(5)).cast("string").alias("context_id"), F.pmod("l_linenumber", F.lit(3)).cast("string").alias("derivation_variant_id"))
+
 
+COMP = """sg AS (SELECT (l_suppkey % 100)::VARCHAR AS decision_key, l_returnflag AS candidate_id, l_linestatus = 'F' AS against, l_orderkey AS q, l_partkey AS part, l_quantity > 25 AS rec, (l_partkey % 5)::VARCHAR AS ctx, l_linenumber % 3 AS v FROM lineitem),
+link AS (SELECT DISTINCT a.decision_key, a.candidate_id, a.against, a.q AS a, b.q AS b FROM sg a JOIN sg b ON a.decision_key = b.decision_key AND a.candidate_id = b.candidate_id AND a.against = b.against AND a.part = b.part),
+r AS (SELECT decision_key, candidate_id, against, a AS q, a AS seen FROM link UNION SELECT r.decision_key, r.candidate_id, r.against, r.q, link.b FROM r JOIN link ON link.decision_key = r.decision_key AND link.candidate_id = r.candidate_id AND link.against = r.against AND link.a = r.seen),
+comp AS (SELECT decision_key, candidate_id, against, q, min(seen) AS c FROM r GROUP BY 1, 2, 3, 4)"""
 
-@query("O63_evidence_components", """WITH RECURSIVE s AS (SELECT l_orderkey || '-' || l_linenumber AS id, (l_orderkey % 20) || '|' || l_returnflag || '|' || l_linestatus AS scope, 'p' || l_partkey AS p, 's' || (l_orderkey % 97) AS q FROM lineitem WHERE l_orderkey < 4000),
-n AS (SELECT scope, id, p AS e FROM s UNION ALL SELECT scope, id, q FROM s), l AS (SELECT DISTINCT scope, q, e FROM (SELECT scope, q, p AS e FROM s)),
-pairs AS (SELECT DISTINCT a.scope, a.q AS a, b.q AS b FROM l a JOIN l b ON a.scope = b.scope AND a.e = b.e),
-r AS (SELECT scope, a AS q, a AS seen FROM pairs UNION SELECT r.scope, r.q, pairs.b FROM r JOIN pairs ON pairs.scope = r.scope AND pairs.a = r.seen)
-SELECT scope, count(DISTINCT root) AS components FROM (SELECT scope, q, min(seen) AS root FROM r GROUP BY 1, 2) GROUP BY 1""")
+
+@query("O63_evidence_components", f"""WITH RECURSIVE {COMP} SELECT decision_key || '|' || candidate_id || '|' || CASE WHEN against THEN 'F' ELSE 'O' END AS scope, count(DISTINCT c) AS components FROM comp GROUP BY 1""")
 def _(spark, d):
     s = signals(spark, d)
     scope = F.concat_ws("|", "decision_key", "candidate_id", F.when(F.col("polarity") == "contradict", "F").otherwise("O"))
     return s.join(convergence.evidence_components(s), "signal_id").groupBy(scope.alias("scope")).agg(F.count_distinct("component").alias("components"))
 
 
-def given_components(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    s = signals(spark, d)
-    return s, s.select("signal_id", F.pmod(F.split("signal_id", "-")[0].cast("long"), F.lit(97)).cast("string").alias("component"))
-
-
-PRO = """s AS (SELECT (l_orderkey % 20)::VARCHAR AS decision_key, l_returnflag AS candidate_id, l_linestatus = 'F' AS against, l_orderkey % 97 AS c, l_quantity > 25 AS rec, (l_suppkey % 5)::VARCHAR AS ctx, l_linenumber % 3 AS v FROM lineitem WHERE l_orderkey < 4000),
+PRO = f"""{COMP}, s AS (SELECT sg.*, comp.c FROM sg JOIN comp ON sg.decision_key = comp.decision_key AND sg.candidate_id = comp.candidate_id AND sg.against = comp.against AND sg.q = comp.q),
 each AS (SELECT decision_key, candidate_id, c, bool_or(rec) AS rec, count(DISTINCT ctx) AS n, min(ctx) AS ctx FROM s WHERE NOT against GROUP BY 1, 2, 3),
 a AS (SELECT decision_key, candidate_id, count(*) AS components, count(*) FILTER (rec) AS reciprocal_components, count(DISTINCT CASE WHEN n = 1 THEN ctx END) AS contexts FROM each GROUP BY 1, 2),
 b AS (SELECT decision_key, candidate_id, count(*) AS variants FROM (SELECT decision_key, candidate_id, v FROM s WHERE NOT against GROUP BY 1, 2, 3 HAVING count(DISTINCT c) >= 2) GROUP BY 1, 2),
@@ -531,19 +563,24 @@ top AS (SELECT * FROM ok y WHERE NOT EXISTS (SELECT 1 FROM ok x WHERE x.decision
    AND (x.components > y.components OR x.reciprocal_components > y.reciprocal_components OR x.contexts > y.contexts OR x.variants > y.variants OR x.contradictions < y.contradictions)))"""
 
 
-@query("O64_profiles", f"WITH {PRO} SELECT * FROM pro")
+def profiled(spark: SparkSession, d: str) -> DataFrame:
+    s = signals(spark, d)
+    return convergence.profiles(s, convergence.evidence_components(s))
+
+
+@query("O64_profiles", f"WITH RECURSIVE {PRO} SELECT * FROM pro")
 def _(spark, d):
-    return convergence.profiles(*given_components(spark, d))
+    return profiled(spark, d)
 
 
-@query("O65_O66_pareto", f"WITH {PRO} SELECT decision_key, candidate_id FROM top")
+@query("O65_O66_pareto", f"WITH RECURSIVE {PRO} SELECT decision_key, candidate_id FROM top")
 def _(spark, d):
-    return convergence.undominated(convergence.eligible(convergence.profiles(*given_components(spark, d)))).select("decision_key", "candidate_id")
+    return convergence.undominated(convergence.eligible(profiled(spark, d))).select("decision_key", "candidate_id")
 
 
-@query("O62_convergence", f"WITH {PRO} SELECT decision_key, CASE WHEN n = 1 THEN 'RESOLVED' WHEN n > 1 THEN 'AMBIGUOUS' ELSE 'INSUFFICIENT' END AS status, CASE WHEN n = 1 THEN first END AS winner FROM (SELECT DISTINCT decision_key FROM pro) LEFT JOIN (SELECT decision_key, count(*) AS n, min(candidate_id) AS first FROM top GROUP BY 1) USING (decision_key)")
+@query("O62_convergence", f"WITH RECURSIVE {PRO} SELECT decision_key, CASE WHEN n = 1 THEN 'RESOLVED' WHEN n > 1 THEN 'AMBIGUOUS' ELSE 'INSUFFICIENT' END AS status, CASE WHEN n = 1 THEN first END AS winner FROM (SELECT DISTINCT decision_key FROM pro) LEFT JOIN (SELECT decision_key, count(*) AS n, min(candidate_id) AS first FROM top GROUP BY 1) USING (decision_key)")
 def _(spark, d):
-    return convergence.decide(convergence.profiles(*given_components(spark, d)))
+    return convergence.decide(profiled(spark, d))
 
 
 @query("O67_ledger_merge", "SELECT o_custkey, o_orderstatus, min(o_orderdate) AS known_at FROM orders GROUP BY 1, 2")
@@ -593,7 +630,7 @@ def _(spark, d):
     return rows.select("o_custkey", revisions.interpret(F.col("said"), F.col("o_custkey") % 5 == 0).alias("content"))
 
 
-@query("O80_revision_heads", "SELECT o_custkey AS region_id, count(*) AS revision_number, max_by(o_orderkey, (o_orderdate, o_orderkey)) AS o_orderkey FROM orders GROUP BY 1".replace("max_by(o_orderkey, (o_orderdate, o_orderkey))", "last(o_orderkey ORDER BY o_orderdate, o_orderkey)"))
+@query("O80_revision_heads", "SELECT o_custkey AS region_id, count(*) AS revision_number, last(o_orderkey ORDER BY o_orderdate, o_orderkey) AS o_orderkey FROM orders GROUP BY 1")
 def _(spark, d):
     o = table(spark, d, "orders").withColumnRenamed("o_custkey", "region_id")
     return revisions.heads(revisions.chain(o, "region_id", ["o_orderdate", "o_orderkey"])).select("region_id", F.col("revision_number").cast("long").alias("revision_number"), "o_orderkey")
@@ -610,7 +647,7 @@ def _(spark, d):
     return revisions.consolidate(proposals, current).groupBy("action").agg(F.count("*").alias("n"))
 
 
-@query("O81_content_hash", r"SELECT doc_id, sha256(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS content_hash FROM documents WHERE NOT regexp_matches(text, '[^\x00-\x7F]')")
+@query("O81_content_hash", r"SELECT doc_id, sha256(trim(regexp_replace(text, '[\s\x0B\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+', ' ', 'g'))) AS content_hash FROM documents")
 def _(spark, d):
     return table(spark, d, "documents").select("doc_id", T.content_hash("text").alias("content_hash"))
 
@@ -622,8 +659,9 @@ def _(spark, d):
     return revisions.suppress(o, said).select("o_orderkey")
 
 
-@query("O83_lexical_search", r"""WITH t AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM benchmark WHERE NOT regexp_matches(text, '[^\x00-\x7F]'))
-SELECT DISTINCT a.item_id AS query_id, b.item_id AS region_id FROM t a JOIN t b ON a.w = b.w WHERE a.item_id % 5 = 0""")
+@query("O83_lexical_search", r"""WITH t AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(replace(lower(nfc_normalize(text)), 'ß', 'ss'), '[\p{L}\p{N}]+')) AS w FROM benchmark)
+SELECT DISTINCT a.item_id AS query_id, b.item_id AS region_id FROM t a JOIN t b ON a.w = b.w WHERE a.item_id % 5 = 0
+UNION SELECT a.item_id, b.item_id FROM benchmark a, benchmark b WHERE a.item_id % 5 = 0 AND a.item_id NOT IN (SELECT item_id FROM t)""")
 def _(spark, d):
     b = table(spark, d, "benchmark")
     return search.matches(b.select(F.col("item_id").alias("region_id"), F.col("text").alias("content")), b.filter("item_id % 5 = 0").select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text")))
@@ -657,7 +695,7 @@ def _(spark, d):
     return revisions.derivation_fingerprint(spark, {"schema": "1", "embedding": "hash-16", "assembler": "3,2"})
 
 
-@query("O89_interval_pairs", "SELECT a.user_id, a.event_id AS predecessor_id, b.event_id AS successor_id, round(1 - epoch_us(b.ts) / 3600e6 + epoch_us(a.ts) / 3600e6, 4) AS score FROM events a JOIN events b ON a.user_id = b.user_id AND (a.ts < b.ts OR (a.ts = b.ts AND a.event_id < b.event_id)) AND b.ts - a.ts <= INTERVAL 1 HOUR".replace("1 - epoch_us(b.ts) / 3600e6 + epoch_us(a.ts) / 3600e6", "1 - (epoch_us(b.ts) - epoch_us(a.ts)) / 3600e6"))
+@query("O89_interval_pairs", "SELECT a.user_id, a.event_id AS predecessor_id, b.event_id AS successor_id, round(1 - (epoch_us(b.ts) - epoch_us(a.ts)) / 3600e6, 4) AS score FROM events a JOIN events b ON a.user_id = b.user_id AND (a.ts < b.ts OR (a.ts = b.ts AND a.event_id < b.event_id)) AND b.ts - a.ts <= INTERVAL 1 HOUR")
 def _(spark, d):
     e = table(spark, d, "events").select("user_id", F.col("event_id").alias("memory_id"), F.col("ts").alias("received_at"))
     return pairs.interval_pairs(e, 3600, ["user_id"]).select("user_id", "predecessor_id", "successor_id", F.round("score", 4).alias("score"))
@@ -763,12 +801,12 @@ def _(spark, d):
     return metrics.marginal_value(found, gold(spark, d).filter("predecessor_id % 2 = 0"), gold(spark, d)).groupBy("found_by").agg(F.count("*").alias("n"))
 
 
-@query("O99_verdict", "SELECT * FROM (VALUES (0.8, 0.6, true, 0.05, 'SUPPORTED'), (0.4, 0.6, true, 0.05, 'NOT_SUPPORTED'), (0.6, 0.4, true, 0.2, 'INCONCLUSIVE')) v(recall, accuracy, passed, confusion, verdict)".replace("SELECT *", "SELECT recall::DOUBLE AS recall, accuracy::DOUBLE AS accuracy, passed, confusion::DOUBLE AS confusion, verdict"))
+@query("O99_verdict", "SELECT recall::DOUBLE AS recall, accuracy::DOUBLE AS accuracy, passed, confusion::DOUBLE AS confusion, verdict FROM (VALUES (0.8, 0.6, true, 0.05, 'SUPPORTED'), (0.4, 0.6, true, 0.05, 'NOT_SUPPORTED'), (0.6, 0.4, true, 0.2, 'INCONCLUSIVE')) v(recall, accuracy, passed, confusion, verdict)")
 def _(spark, d):
     return metrics.verdict(spark.createDataFrame([(0.8, 0.6, True, 0.05), (0.4, 0.6, True, 0.05), (0.6, 0.4, True, 0.2)], "recall double, accuracy double, passed boolean, confusion double"))
 
 
-@query("O41_O47_frontier", f"""WITH {PTS}, held AS (SELECT * FROM p WHERE vec_id < 100), b AS (SELECT * FROM p WHERE vec_id >= 100 AND vec_id % 20 = 0),
+@query("O41_O47_frontier", f"""WITH {PTS}, {HALF}, held AS (SELECT p.* FROM p, middle WHERE day < m), b AS (SELECT p.* FROM p, middle WHERE day >= m),
 c AS (SELECT label, list(x ORDER BY i) AS c FROM (SELECT label, i, avg(x) AS x FROM (SELECT label, unnest(v) AS x, unnest(range(1, len(v) + 1)) AS i FROM held) GROUP BY 1, 2) GROUP BY 1),
 it AS (SELECT label, max(day) AS d, count(*) AS n FROM held GROUP BY 1),
 best AS (SELECT b.vec_id, h.label, max(greatest(0, least(1, list_cosine_similarity(b.v, h.v)))) AS s FROM b, held h GROUP BY 1, 2)
