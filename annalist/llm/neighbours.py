@@ -4,7 +4,8 @@ Vectors of length one are projected to a few dimensions by a Gaussian matrix. Of
 distance d, the squared projected distance over d squared is chi-square distributed. So a search that
 visits points in the order of their projected distance may stop once that exceeds the quantile of the
 best distances found so far: a nearer neighbour would be that far off in projection only with the
-small probability left over.
+small probability left over. Leaves of the kd-tree come in the order of their distance, and of a leaf
+only the points that pass the test are verified on their whole vectors.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from annalist.scratch import materialize
 
 #: Rows of a cell that one task searches; points of a leaf; cells of the routing tree at most.
 CELL_ROWS, LEAF_ROWS, MOST_CELLS = 8192, 64, 1024
+#: Queries that meet a cell's points in one task at most, on average: a cell is copied to as many tasks as that takes.
+TASK_QUERIES = 2048
 #: Points the routing tree is fitted on at most.
 SAMPLE_ROWS = 16384
 
@@ -98,49 +101,62 @@ def box_distance(queries: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.n
     return total
 
 
-def search(points: np.ndarray, keys: np.ndarray, queries: np.ndarray, bound: np.ndarray, directions: np.ndarray, k: int, limit: float) -> tuple[np.ndarray, np.ndarray]:
-    """(cosines, rows) of the ``k`` best points for each query; row -1 where there are fewer.
+def search(points: np.ndarray, keys: np.ndarray, queries: np.ndarray, bound: np.ndarray, directions: np.ndarray, k: int, limit: float) -> tuple[np.ndarray, np.ndarray, int]:
+    """(cosines, rows, verified): the ``k`` best points for each query, row -1 where there are fewer, and
+    how many pairs of whole vectors were compared for them.
 
     ``bound`` is a cosine that the k-th best of a query is known to reach (-1: nothing known).
     """
     projected, asked = project(points, directions), project(queries, directions)
-    norms, query_norms = np.linalg.norm(points, axis=1), np.linalg.norm(queries, axis=1)
+    units, query_units = points / np.linalg.norm(points, axis=1, keepdims=True), queries / np.linalg.norm(queries, axis=1, keepdims=True)
     tree = Tree(projected)
-    far = box_distance(asked, tree.low, tree.high)
-    order = np.argsort(far, 1, kind="stable")
     best, rows = np.full((len(queries), k), -np.inf), np.full((len(queries), k), -1)
-    for turn in range(order.shape[1]):
-        reach = np.maximum(best[:, -1], bound)
-        radius = np.where(reach <= -1, np.inf, np.maximum(2 - 2 * reach, 1e-12) * limit)
-        going = np.flatnonzero(far[np.arange(len(queries)), order[:, turn]] <= radius)
-        if not len(going):
-            break
-        for at in range(0, len(going), 256):
-            q = going[at : at + 256]
-            found = tree.rows[order[q, turn]]
-            cosine = np.einsum("qld,qd->ql", points[found], queries[q]) / (norms[found] * query_norms[q, None])
-            cosine = np.where(found < 0, -np.inf, cosine)
+    verified = 0
+    for at in range(0, len(queries), 256):
+        block = np.arange(at, min(at + 256, len(queries)))
+        far = box_distance(asked[block], tree.low, tree.high)
+        order = np.argsort(far, 1, kind="stable")
+        for turn in range(order.shape[1]):
+            reach = np.maximum(best[block, -1], bound[block])
+            radius = np.where(reach <= -1, np.inf, np.maximum(2 - 2 * reach, 1e-12) * limit)
+            going = np.flatnonzero(far[np.arange(len(block)), order[:, turn]] <= radius)
+            if not len(going):
+                break
+            q = block[going]
+            found = tree.rows[order[going, turn]]
+            apart = ((projected[found] - asked[q][:, None, :]) ** 2).sum(2)
+            i, j = np.nonzero((found >= 0) & (apart <= radius[going][:, None]))
+            verified += len(i)
+            cosine = np.full(found.shape, -np.inf)
+            cosine[i, j] = np.einsum("pd,pd->p", units[found[i, j]], query_units[q[i]])
+            found = np.where(cosine == -np.inf, -1, found)
             near, who = np.concatenate([best[q], cosine], 1), np.concatenate([rows[q], found], 1)
             top = np.lexsort((np.where(who < 0, np.iinfo(np.int64).max, keys[who]), -near), axis=1)[:, :k]
             best[q], rows[q] = np.take_along_axis(near, top, 1), np.take_along_axis(who, top, 1)
-    return best, rows
+    for i in np.flatnonzero(rows[:, 0] >= 0).tolist():  # the measure itself, on the vectors as they are
+        known = rows[i] >= 0
+        v = points[rows[i, known]]
+        best[i, known] = v @ queries[i] / (np.linalg.norm(v, axis=1) * np.linalg.norm(queries[i]))
+    return best, rows, verified
 
 
 def usable(embeddings: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(vec_id, v, h) of the rows that take part."""
+    """(vec_id, v, h) of the rows that take part; vectors whose squares leave the range of doubles are scaled to 1."""
     v = F.col(vector_col).cast("array<double>")
     rows = embeddings.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v")).filter("vec_id is not null and v is not null and size(v) > 0")
     odd = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    square = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
-    return rows.filter(~odd).filter((square > 0) & (square < float("inf"))).withColumn("h", F.xxhash64("v"))
+    most = F.array_max(F.transform("v", lambda x: F.abs(x)))
+    rows = rows.filter(~odd).withColumn("most", most).filter("most > 0")
+    scaled = F.when((F.col("most") > 1e150) | (F.col("most") < 1e-150), F.transform("v", lambda x: F.try_divide(x, F.col("most")))).otherwise(F.col("v"))
+    return rows.select("vec_id", scaled.alias("v")).withColumn("h", F.xxhash64("v"))
 
 
 def nearest(
     embeddings: DataFrame,
     every: int = 50,
     k: int = 5,
-    dims: int = 8,
-    confidence: float = 0.99,
+    dims: int = 16,
+    confidence: float = 0.9,
     seed: int = 42,
     id_col: str = "vec_id",
     vector_col: str = "embedding",
@@ -153,20 +169,23 @@ def nearest(
     Equal vectors are indexed once with their k + 1 smallest ids, which is all that any query can
     return of them, so a vector that many rows share costs one point. The kd-tree's top is fitted on
     at most SAMPLE_ROWS points and gives at most MOST_CELLS cells; every point is indexed. A cell too
-    large for one task is split by hash, and its queries visit each part. Queries search their own
-    cell first; the k-th best found there bounds, by the chi-square test at ``confidence``, which
-    other cells' boxes they go to. ``dims`` must be even.
+    large for one task is split by hash, and its queries visit each part; a cell with over
+    TASK_QUERIES queries is copied, so that no task holds more. Queries search their own cell first;
+    the k-th best found there bounds, by the chi-square test at ``confidence``, which other cells'
+    boxes they go to. ``dims`` must be even.
 
     Rows take no part whose id or vector is null, or whose vector is empty, zero, or holds null or
-    non-finite components, or has another length than that of the smallest id. Rows that repeat an id
-    and vector count once. An empty table gives no rows; other columns are not read.
+    non-finite components, or has another length than most (the greater of equally frequent ones).
+    Rows that repeat an id and vector count once. An empty table gives no rows; other columns are not
+    read.
     """
     spark = embeddings.sparkSession
     rows = usable(embeddings, id_col, vector_col)
-    first = rows.agg(F.min_by(F.size("v"), "vec_id")).first()[0]
+    lengths = rows.groupBy(F.size("v").alias("size")).count().orderBy(F.desc("count"), F.desc("size")).limit(1).collect()
     schema = "query_id long, rank int, vec_id long, score double"
-    if first is None:
+    if not lengths:
         return spark.createDataFrame([], schema)
+    first = lengths[0].size
     rows = rows.filter(F.size("v") == first)
     place = F.dense_rank().over(Window.partitionBy("h", "v").orderBy("vec_id"))
     points = rows.withColumn("place", place).filter(F.col("place") <= k + 1).groupBy("h", "v").agg(F.array_sort(F.collect_set("vec_id")).alias("ids"))
@@ -191,31 +210,36 @@ def nearest(
     boxes = placed.groupBy("cell").agg(F.count("*").alias("n"), *edges).orderBy("cell").toPandas()  # MOST_CELLS rows at most
     cells, parts = boxes["cell"].to_numpy(), np.ceil(boxes["n"].to_numpy() / (1.5 * CELL_ROWS)).astype(np.int64)
     low, high = boxes[[f"low{i}" for i in range(dims)]].to_numpy(), boxes[[f"high{i}" for i in range(dims)]].to_numpy()
-    n_parts = F.element_at(F.create_map(*(F.lit(int(x)) for pair in zip(cells, parts) for x in pair)), F.col("cell").cast("int")).cast("long")
-    shards = placed.select("cell", F.pmod(F.xxhash64("key"), n_parts).alias("part"), "key", "v", "ids")
-    home = placed.join(asked.select("key").distinct(), "key", "left_semi").select("cell", F.lit(-1.0).alias("bound"), "key", "v")
-    home = home.select("cell", F.explode(F.sequence(F.lit(0).cast("long"), n_parts - 1)).alias("part"), "bound", "key", "v")
+    of_cell = lambda counts: F.element_at(F.create_map(*(F.lit(int(x)) for pair in zip(cells, counts) for x in pair)), F.col("cell").cast("int")).cast("long")
+    n_parts = of_cell(parts)
+    split = placed.select("cell", F.pmod(F.xxhash64("key"), n_parts).alias("part"), "key", "v", "ids")
+    asking = placed.join(asked.select("key").distinct(), "key", "left_semi").select("cell", "key", "v")
     found_schema = "query long, key long, score double, ids array<long>"
 
     def within(shard: pa.Table, queries: pa.Table) -> pa.Table:
         out = {"query": [], "key": [], "score": [], "ids": []}
         if shard.num_rows and queries.num_rows:
             keys = shard.column("key").to_numpy()
-            best, who = search(matrix(shard.column("v"), first), keys, matrix(queries.column("to_v"), first), queries.column("to_bound").to_numpy(), directions, k + 1, limit)
+            best, who, _ = search(matrix(shard.column("v"), first), keys, matrix(queries.column("to_v"), first), queries.column("to_bound").to_numpy(), directions, k + 1, limit)
             q, j = np.nonzero(who >= 0)
             ids = shard.column("ids").to_pylist()
             out = {"query": queries.column("to_key").to_numpy()[q], "key": keys[who[q, j]], "score": best[q, j], "ids": [ids[i] for i in who[q, j].tolist()]}
         types = {"query": pa.int64(), "key": pa.int64(), "score": pa.float64(), "ids": pa.list_(pa.int64())}
         return pa.table({c: pa.array(out[c], t) for c, t in types.items()})
 
-    def searched(queries: DataFrame) -> DataFrame:
+    def searched(pairs: DataFrame) -> DataFrame:
+        """``pairs`` (cell, bound, key): which cells each query visits. Vectors go along only here."""
+        counted = {r.cell: r["count"] for r in pairs.groupBy("cell").count().collect()}  # MOST_CELLS rows at most
+        slots = of_cell([max(1, -(-counted.get(int(c), 0) // TASK_QUERIES)) for c in cells])
+        queries = pairs.join(asking.select("key", "v"), "key").select("cell", F.explode(F.sequence(F.lit(0).cast("long"), n_parts - 1)).alias("part"), F.pmod(F.xxhash64("key", F.lit(1)), slots).alias("slot"), "bound", "key", "v")
         queries = queries.select(*(F.col(c).alias(f"to_{c}") for c in queries.columns))
-        return shards.groupBy("cell", "part").cogroup(queries.groupBy("to_cell", "to_part")).applyInArrow(within, found_schema)
+        shards = split.select("*", F.explode(F.sequence(F.lit(0).cast("long"), slots - 1)).alias("slot"))
+        return shards.groupBy("cell", "part", "slot").cogroup(queries.groupBy("to_cell", "to_part", "to_slot")).applyInArrow(within, found_schema)
 
     best_first = Window.partitionBy("query").orderBy(F.desc("score"), "key")
-    at_home = materialize(searched(home), "home")
+    at_home = materialize(searched(asking.select("cell", F.lit(-1.0).alias("bound"), "key")), "home")
     reached = at_home.withColumn("place", F.row_number().over(best_first)).filter(F.col("place") == k + 1).select(F.col("query").alias("key"), F.col("score").alias("bound"))
-    travellers = placed.join(asked.select("key").distinct(), "key", "left_semi").join(reached, "key", "left").select("key", "v", "cell", F.coalesce("bound", F.lit(-1.0)).alias("bound"))
+    travellers = asking.join(reached, "key", "left").select("key", "v", "cell", F.coalesce("bound", F.lit(-1.0)).alias("bound"))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -225,16 +249,13 @@ def nearest(
             radius = np.where(bound <= -1, np.inf, np.maximum(2 - 2 * bound, 1e-12) * limit)
             go = (box_distance(project(v, directions), low, high) <= radius[:, None]) & (cells[None, :] != batch.column(2).to_numpy()[:, None])
             q, c = np.nonzero(go)
-            copies = parts[c]
-            q, c = np.repeat(q, copies), np.repeat(c, copies)
-            part = np.arange(len(q)) - np.repeat(np.cumsum(copies) - copies, copies)
-            for at in range(0, len(q), 8192):
-                s = slice(at, at + 8192)
-                yield pa.RecordBatch.from_arrays([pa.array(cells[c[s]].astype(np.int64)), pa.array(part[s]), pa.array(bound[q[s]]), batch.column(0).take(pa.array(q[s])), batch.column(1).take(pa.array(q[s]))], names=["cell", "part", "bound", "key", "v"])
+            for at in range(0, len(q), 65536):
+                i = slice(at, at + 65536)
+                yield pa.RecordBatch.from_arrays([pa.array(cells[c[i]].astype(np.int64)), pa.array(bound[q[i]]), batch.column(0).take(pa.array(q[i]))], names=["cell", "bound", "key"])
 
     found = at_home
     if len(cells) > 1:
-        found = at_home.unionAll(searched(travellers.mapInArrow(route, "cell long, part long, bound double, key long, v array<double>")))
+        found = at_home.unionAll(searched(materialize(travellers.mapInArrow(route, "cell long, bound double, key long"), "routes")))
     top = found.withColumn("place", F.row_number().over(best_first)).filter(F.col("place") <= k + 1).select(F.col("query").alias("key"), "score", "ids")
     pairs = asked.join(top, "key").select("query_id", F.explode("ids").alias("vec_id"), "score").filter("vec_id != query_id")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))

@@ -80,6 +80,35 @@ def test_neighbours_recall_ties_and_bad_vectors(spark, monkeypatch):
     assert got[300] == want[300] == [(-1.0, i) for i in range(301, 306)]
 
 
+def test_neighbours_prune_and_recall():
+    """The share of whole vectors compared, and recall, of one cell: nearly random vectors, and clustered ones."""
+    rng = np.random.default_rng(4)
+    n, d, k = 4000, 64, 6
+    loose = rng.normal(size=(n, d)) + 0.15 * rng.normal(size=(40, d))[rng.integers(0, 40, n)]
+    tight = rng.normal(size=(40, d))[rng.integers(0, 40, n)] + 0.2 * rng.normal(size=(n, d))
+    directions = np.random.default_rng(42).standard_normal((d, 16))
+    for x, most in ((loose, 0.8), (tight, 0.15)):
+        best, who, verified = neighbours.search(x, np.arange(n), x[::50], np.full(n // 50, -1.0), directions, k, neighbours.chi_square_quantile(0.9, 16))
+        unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+        exact = np.argsort(-(unit[::50] @ unit.T), axis=1)[:, :k]
+        assert np.mean([len(set(a) & set(b)) / k for a, b in zip(exact.tolist(), who.tolist())]) >= 0.9
+        assert verified <= most * n * len(exact)
+
+
+def test_neighbours_of_extreme_values_lengths_and_many_queries(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "TASK_QUERIES", 3)
+    monkeypatch.setattr(neighbours, "CELL_ROWS", 40)
+    rng = np.random.default_rng(7)
+    good = {i + 1: rng.normal(size=6) * 10.0 ** rng.choice([-200, 0, 200]) for i in range(160)}
+    rows = [(0, [1.0, 2.0]), *((i, v.tolist()) for i, v in good.items())]  # the smallest id has an odd length
+    got = defaultdict(list)
+    for r in neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=2, confidence=0.999).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((-round(r.score, 12), r.vec_id))
+    plain = {i: v / np.abs(v).max() for i, v in good.items()}
+    assert set(got) == {i for i in good if i % 2 == 0}
+    assert sum(len(set(got[q]) & set(best(plain, q))) for q in got) >= 0.97 * 5 * len(got)
+
+
 def test_neighbours_of_few_and_no_rows(spark):
     two = spark.createDataFrame([(0, [1.0, 0.0]), (7, [1.0, 1.0])], "vec_id long, embedding array<float>")
     assert [(r.query_id, r["rank"], r.vec_id, round(r.score, 9)) for r in neighbours.nearest(two).collect()] == [(0, 1, 7, round(0.5**0.5, 9))]
