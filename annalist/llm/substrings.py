@@ -14,43 +14,52 @@ from pyspark.sql import functions as F
 from annalist.llm.common import id_and_bytes, rows_out, slices
 from annalist.scratch import materialize
 
-#: An odd multiplier and its inverse modulo 2**64.
-BASE = 0x9E3779B97F4A7C15
-INVERSE = pow(BASE, -1, 1 << 64)
+#: Odd multipliers and their inverses modulo 2**64, one for each half of a window's hash.
+BASE = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+INVERSE = tuple(pow(b, -1, 1 << 64) for b in BASE)
 MIX = np.uint64(0xD6E8FEB86659FD93)
 EMPTY = hashlib.sha256(b"").hexdigest()
 
 
+def levels(length: int, least: int = 12) -> list[int]:
+    """Window lengths, each at most twice the one before it, from over ``least`` words up to ``length``."""
+    out = [length]
+    while (half := (out[0] + 1) // 2) > least:
+        out.insert(0, half)
+    return out
+
+
 class Windows:
-    """Hashes of all windows of a length, from prefix sums over word hashes."""
+    """Hashes of all windows of a length, from prefix sums over word hashes: two halves of 64 bits."""
 
     def __init__(self) -> None:
-        self.power = self.inverse = np.ones(1, np.uint64)
+        self.power = self.inverse = np.ones((2, 1), np.uint64)
 
     def grow(self, n: int) -> None:
-        if len(self.power) < n:
-            size = 2 * n
-            for name, base in (("power", BASE), ("inverse", INVERSE)):
-                steps = np.full(size, np.uint64(base))
-                steps[0] = 1
-                setattr(self, name, np.cumprod(steps))
+        if self.power.shape[1] < n:
+            for name, bases in (("power", BASE), ("inverse", INVERSE)):
+                steps = np.repeat(np.array(bases, np.uint64)[:, None], 2 * n, 1)
+                steps[:, 0] = 1
+                setattr(self, name, np.cumprod(steps, 1))
 
-    def sums(self, words: list[bytes]) -> np.ndarray:
-        from xxhash import xxh64_intdigest
+    def sums(self, words: list[bytes], halves: int = 1) -> np.ndarray:
+        """Prefix sums for the first half of the hashes, or for both."""
+        from xxhash import xxh3_128_digest
 
         n = len(words)
         self.grow(n + 1)
-        hashes = np.fromiter(map(xxh64_intdigest, words), np.uint64, n)
-        return np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * self.power[:n])])
+        hashes = np.frombuffer(b"".join(map(xxh3_128_digest, words)), "<u8").reshape(n, 2).T[:halves]
+        return np.concatenate([np.zeros((halves, 1), np.uint64), np.cumsum(hashes * self.power[:halves, :n], 1)], 1)
 
-    def at(self, sums: np.ndarray, length: int) -> np.ndarray:
+    def at(self, sums: np.ndarray, length: int, half: int = 0) -> np.ndarray:
         """One well-mixed hash for each window start."""
-        n = len(sums) - length
-        mixed = (sums[length:] - sums[:-length]) * self.inverse[:n] * MIX
+        row = sums[half]
+        n = max(0, len(row) - length)
+        mixed = (row[length:] - row[:n]) * self.inverse[half, :n] * MIX
         return (mixed ^ mixed >> np.uint64(32)) * MIX
 
     def pivots(self, halves: np.ndarray, width: int) -> np.ndarray:
-        """For each window of the full length: the start of the least half-length window inside it."""
+        """For each window of the full length: the start of the least of the shorter windows inside it."""
         view = np.lib.stride_tricks.sliding_window_view(halves, width)
         return view.argmin(1) + np.arange(len(view))
 
@@ -61,9 +70,8 @@ SEEN = {
 }
 
 
-def half_windows(docs: DataFrame, length: int) -> DataFrame:
-    """Per document: its word count and digest, and the different half-length windows that are pivots in it."""
-    half = (length + 1) // 2
+def first_windows(docs: DataFrame, length: int, short: int) -> DataFrame:
+    """Per document: its word count and digest, and the different windows of ``short`` words that are pivots in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows = Windows()
@@ -73,8 +81,8 @@ def half_windows(docs: DataFrame, length: int) -> DataFrame:
                 words = body.split()
                 hashes = np.empty(0, np.int64)
                 if len(words) >= length and doc_id is not None:
-                    halves = windows.at(windows.sums(words), half)
-                    hashes = np.unique(halves[windows.pivots(halves, length - half + 1)]).view(np.int64)
+                    shorter = windows.at(windows.sums(words), short)
+                    hashes = np.unique(shorter[windows.pivots(shorter, length - short + 1)]).view(np.int64)
                 for k, v in zip(SEEN, (doc_id, body_hash, len(words), hashlib.sha256(b" ".join(words)).hexdigest(), hashes)):
                     out[k].append(v)
             yield rows_out(SEEN, out)
@@ -101,35 +109,41 @@ def unpacked(body: bytes) -> bytes:
     return ZstdDecompressor().decompress(body)
 
 
-FULL = {"hash": pa.int64(), "doc_id": pa.int64(), "body_hash": pa.int64()}
-
-
-def full_windows(bodies: DataFrame, length: int) -> DataFrame:
-    """A document's different full-length windows around half-length ones that repeat (column ``hashes``)."""
-    half = (length + 1) // 2
+def longer_windows(bodies: DataFrame, length: int, short: int, then: int) -> DataFrame:
+    """(hash, check, doc_id, body_hash): a document's different windows of ``then`` words where those of
+    ``short`` words repeat (column ``hashes``); pivots again unless ``then`` is the full length.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows = Windows()
         for batch in slices(batches, 64):
-            hashes, ids, prints = [], [], []
+            hashes, checks, ids, prints = [], [], [], []
             for doc_id, body_hash, body, kept in zip(*(c.to_pylist() for c in batch.columns)):
-                sums = windows.sums(unpacked(body).split())
-                halves = windows.at(sums, half).view(np.int64)
-                inside = np.isin(halves, kept)[windows.pivots(halves.view(np.uint64), length - half + 1)]
-                found = np.unique(windows.at(sums, length)[inside].view(np.int64))
-                hashes.append(found)
+                sums = windows.sums(unpacked(body).split(), 2)
+                shorter = windows.at(sums, short)
+                inside = np.isin(shorter.view(np.int64), kept)[windows.pivots(shorter, length - short + 1)]
+                grown = windows.at(sums, then)
+                at = np.flatnonzero(inside)
+                if then < length:
+                    at = np.unique(windows.pivots(grown, length - then + 1)[inside])
+                found, one = np.unique(grown[at], return_index=True)
+                hashes.append(found.view(np.int64))
+                checks.append(windows.at(sums, then, 1)[at[one]].view(np.int64))
                 ids.append(np.full(len(found), doc_id))
                 prints.append(np.full(len(found), body_hash))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (hashes, ids, prints)], names=list(FULL))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (hashes, checks, ids, prints)], names=["hash", "check", "doc_id", "body_hash"])
 
-    return bodies.mapInArrow(run, "hash long, doc_id long, body_hash long")
+    return bodies.mapInArrow(run, "hash long, check long, doc_id long, body_hash long")
 
 
 KEPT = {"doc_id": pa.int64(), "body_hash": pa.int64(), "n_removed": pa.int64(), "kept_sha256": pa.string(), "kept": pa.string()}
 
 
 def removed(bodies: DataFrame, length: int, texts: bool) -> DataFrame:
-    """What stays of each document once its windows with the given ``hashes`` are cut out."""
+    """What stays of each document once its windows with the given ``hashes`` are cut out.
+
+    ``hashes`` has both halves of each: only a window that agrees in all 128 bits goes.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows = Windows()
@@ -138,7 +152,12 @@ def removed(bodies: DataFrame, length: int, texts: bool) -> DataFrame:
             for doc_id, body_hash, body, hashes in zip(*(c.to_pylist() for c in batch.columns)):
                 words = unpacked(body).split()
                 change = np.zeros(len(words) + 1, np.int64)
-                at = np.flatnonzero(np.isin(windows.at(windows.sums(words), length).view(np.int64), hashes))
+                sums = windows.sums(words, 2)
+                gone = np.array([(h["hash"], h["check"]) for h in hashes], np.int64)
+                gone = gone[np.argsort(gone[:, 0])]
+                mine = windows.at(sums, length).view(np.int64)
+                place = np.minimum(np.searchsorted(gone[:, 0], mine), len(gone) - 1)
+                at = np.flatnonzero((gone[place, 0] == mine) & (gone[place, 1] == windows.at(sums, length, 1).view(np.int64)))
                 change[at] += 1
                 change[at + length] -= 1
                 stays = np.cumsum(change[:-1]) == 0
@@ -158,10 +177,11 @@ def repeated_words(docs: DataFrame, length: int = 50, texts: bool = False, id_co
     in a document with a smaller doc_id; windows are judged on the input. ``kept`` is the text that
     stays where something was removed and ``texts`` is set, else null.
 
-    Levels: windows of half the length first, and of these only pivots, the least hash inside each
-    full window; equal full windows have equal pivots, so none is missed. Pivots found in one document
-    only are dropped; around the others the windows of twice the length are made and matched. Further
-    doubling could cover no other word, so it ends there. Windows are compared by 64-bit hashes.
+    Levels (:func:`levels`: 13, 25 and 50 words): windows of the shortest length first, and of these
+    only pivots, the least hash inside each full window; equal full windows have equal pivots, so none
+    is missed. Pivots found in one document only are dropped, and where others lie, those of up to
+    twice the length are made and matched, until the full length is reached or no candidate survives.
+    Longer windows could cover no other word. Full windows are compared by hashes of 128 bits.
 
     A document whose words all equal those of a smaller doc_id is settled by its digest, at no cost
     but a row. Documents with fewer words than ``length`` (empty and null texts too) keep all. Rows
@@ -169,25 +189,30 @@ def repeated_words(docs: DataFrame, length: int = 50, texts: bool = False, id_co
     other; an empty table gives no rows; other columns are not read; very long texts are whole.
     """
     bodies = id_and_bytes(docs, id_col, text_col).withColumn("body_hash", F.xxhash64("body"))
-    seen = materialize(half_windows(bodies, length), "half-windows")
+    sizes = levels(length)
+    sizes = [length, *sizes] if len(sizes) == 1 else sizes
+    seen = materialize(first_windows(bodies, length, sizes[0]), "first-windows")
     whole = seen.select("doc_id", "body_hash", "n_words", "full_sha256")
-    firsts = whole.filter(F.col("n_words") >= length).groupBy("full_sha256").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).filter("n > 1")
-    copies = whole.join(firsts, "full_sha256").filter("doc_id > first").select("doc_id", "body_hash").distinct()
-
-    pivots = seen.select("doc_id", "body_hash", F.explode("hashes").alias("hash"))
+    # Tables of their own: the joins after them can then split a hot digest or window.
+    firsts = materialize(whole.filter(F.col("n_words") >= length).groupBy("full_sha256").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).filter("n > 1"), "firsts")
+    copies = materialize(whole.join(firsts, "full_sha256").filter("doc_id > first").select("doc_id", "body_hash").distinct(), "copies")
     key = ["doc_id", "body_hash"]
 
-    def repeated(rows: DataFrame) -> DataFrame:
-        """(hash, low) of those in several documents: a table of its own, so that the join after it can split a hot hash."""
-        return materialize(rows.groupBy("hash").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("hash", "low"), "repeated")
+    def repeated(rows: DataFrame, *names: str) -> DataFrame:
+        """The windows in several documents, and the smallest of these (low)."""
+        return materialize(rows.groupBy(*names).agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select(*names, "low"), "repeated")
 
-    def gathered(rows: DataFrame) -> DataFrame:
-        return rows.groupBy(key).agg(F.collect_set("hash").alias("hashes"))
+    def gathered(rows: DataFrame, column) -> DataFrame:
+        return rows.groupBy(key).agg(F.collect_list(column).alias("hashes"))
 
-    candidates = gathered(pivots.join(repeated(pivots), "hash")).join(copies, key, "left_anti")
     small = packed(bodies.filter(F.octet_length("body") >= 2 * length - 1))
-    found = materialize(full_windows(small.join(candidates, key).select("doc_id", "body_hash", "body", "hashes"), length), "windows")
-    cut = gathered(found.join(repeated(found), "hash").filter("doc_id > low"))
+    found = seen.select(*key, F.explode("hashes").alias("hash"))
+    for short, then in zip(sizes, sizes[1:]):
+        candidates = gathered(found.join(repeated(found, "hash"), "hash"), "hash")
+        if short == sizes[0]:
+            candidates = candidates.join(copies, key, "left_anti")
+        found = materialize(longer_windows(small.join(candidates, key).select("doc_id", "body_hash", "body", "hashes"), length, short, then), "windows")
+    cut = gathered(found.join(repeated(found, "hash", "check"), ["hash", "check"]).filter("doc_id > low"), F.struct("hash", "check"))
     changed = removed(small.join(cut, key).select("doc_id", "body_hash", "body", "hashes"), length, texts).dropDuplicates(key)
 
     copied = F.col("is_copy").isNotNull()
