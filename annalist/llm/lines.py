@@ -1,78 +1,76 @@
 """Line dedup: runs of lines that repeat, by prefix doubling over line-ID sequences.
 
 A document is the sequence of the IDs of its lines that hold a word. A suffix is named by its first k
-IDs; the name for 2k is made of those of the suffix and of the one k lines on. Equal names are one
-interval of the suffix array with a longest common prefix of at least k, and each round drops the
-suffixes whose name is alone. Names are hashes, so all documents agree on them without a global sort;
-the order of intervals, which deletion never needs, is that of the names.
+IDs; its name for 2k is made of its own for k and of that of the suffix k lines on. Equal names are
+one interval of the suffix array, whose longest common prefix is k at least. Each round keeps the
+suffixes whose name is not alone, and rounds go on until none is left: the last k at which a suffix
+still meets an earlier one is the common prefix they have, up to a factor of two. A maximal repeated
+run is the union of such prefixes, and all of it but the first copy is deleted. Names are 128-bit
+digests, so all documents agree on them without a global sort; intervals come in the order of names,
+which deletion never needs.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from annalist.llm.common import id_and_bytes, rows_out, slices
 from annalist.llm.substrings import packed, replaced, unpacked
+from annalist.scratch import materialize
 
 SOLID = r"[^\x20\x09-\x0D]"
 
 
-def rounds(shortest: int) -> list[tuple[int, int]]:
-    """(length so far, step) of each doubling up to ``shortest``; the last step may be shorter."""
-    out, k = [], 1
-    while k < shortest:
-        out.append((k, min(k, shortest - k)))
-        k += out[-1][1]
-    return out
+def longer(length: int, shortest: int) -> int:
+    """The next round's prefix: twice as long, but for a stop at ``shortest``."""
+    return shortest if length < shortest < 2 * length else 2 * length
 
 
-def suffixes(docs: DataFrame, shortest: int) -> DataFrame:
-    """(doc_id, body_hash, pos, ids): a row per suffix that is long enough, with its first IDs."""
+def suffixes(docs: DataFrame) -> DataFrame:
+    """(doc_id, body_hash, pos, name): a row per line with a word, named by itself."""
     lines = F.filter(F.split(F.col("body").cast("string"), "\n", -1), lambda line: line.rlike(SOLID))
-    ids = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", "body_hash", F.transform(lines, lambda line: F.xxhash64(line)).alias("ids"))
-    long = ids.filter(F.size("ids") >= shortest)
-    at = F.sequence(F.lit(1), F.size("ids") - (shortest - 1))
-    rows = long.select("doc_id", "body_hash", F.explode(F.transform(at, lambda i: F.struct((i - 1).alias("pos"), F.slice("ids", i, shortest).alias("ids")))).alias("s"))
-    return rows.select("doc_id", "body_hash", "s.*")
+    ids = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", "body_hash", F.transform(lines, lambda line: F.unhex(F.md5(line))).alias("ids"))
+    return ids.select("doc_id", "body_hash", F.posexplode("ids").alias("pos", "name"))
 
 
-def name(length: int) -> Column:
-    """The name of the first ``length`` IDs, made of names of half the length."""
-    if length == 1:
-        return F.col("ids")[0]
+def intervals(suffixes: DataFrame) -> DataFrame:
+    """The suffixes whose name is not alone, and ``later``: whether an earlier one (by doc_id, body_hash, pos) has it.
 
-    def part(start: int, size: int) -> Column:
-        if size == 1:
-            return F.col("ids")[start]
-        half = 1
-        while 2 * half < size:
-            half *= 2
-        return F.xxhash64(part(start, half), part(start + size - half, half))
-
-    return part(0, length)
+    The intervals are a table of their own, a row per name counted before the shuffle, so that the
+    join after it can split a hot name.
+    """
+    found = suffixes.groupBy("name").agg(F.min(F.struct("doc_id", "body_hash", "pos")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("name", "first")
+    rows = suffixes.join(materialize(found, "intervals"), "name")
+    return materialize(rows.select("doc_id", "body_hash", "pos", "name", (F.struct("doc_id", "body_hash", "pos") > F.col("first")).alias("later")), "suffixes")
 
 
 def repeated_runs(docs: DataFrame, shortest: int) -> DataFrame:
-    """(doc_id, body_hash, pos): where a later copy of ``shortest`` lines begins.
-
-    The first copy is that of the smallest (doc_id, body_hash, position).
+    """(doc_id, body_hash, starts, longest_copy): where later copies of ``shortest`` lines begin in a document,
+    and the longest prefix of the rounds at which one of its suffixes has an earlier copy.
     """
-    rest = suffixes(docs, shortest)
-    lengths = [1, *(k + step for k, step in rounds(shortest))]
-    for k in lengths:
-        rest = rest.withColumn("name", name(k))
-        intervals = rest.groupBy("name").agg(F.min(F.struct("doc_id", "body_hash", "pos")).alias("first"), F.count("*").alias("n")).filter("n > 1")
-        if k < shortest:
-            rest = rest.join(intervals.select("name"), "name", "left_semi").drop("name")
-        else:
-            rest = rest.join(intervals, "name")
-    return rest.filter(F.struct("doc_id", "body_hash", "pos") > F.col("first")).select("doc_id", "body_hash", "pos")
+    key = ["doc_id", "body_hash"]
+    length, now = 1, intervals(suffixes(docs))
+    starts = now
+    later = [now.filter("later").groupBy(key).agg(F.lit(1).alias("longest"))]
+    while not now.isEmpty():
+        then = longer(length, shortest)
+        on = F.max("name").over(Window.partitionBy(key).orderBy("pos").rangeBetween(then - length, then - length))
+        grown = now.withColumn("on", on).filter("on is not null").select(*key, "pos", F.unhex(F.md5(F.concat("name", "on"))).alias("name"))
+        length, now = then, intervals(grown)
+        later.append(now.filter("later").groupBy(key).agg(F.lit(length).alias("longest")))
+        if length == shortest:
+            starts = now
+    longest = reduce(DataFrame.unionAll, later).groupBy(key).agg(F.max("longest").cast("long").alias("longest_copy"))
+    found = starts.filter("later").groupBy(key).agg(F.collect_list("pos").alias("starts"))
+    return found.join(longest, key)
 
 
 KEPT = {"doc_id": pa.int64(), "body_hash": pa.int64(), "n_deleted": pa.int64(), "n_runs": pa.int64(), "kept_sha256": pa.string(), "kept": pa.string()}
@@ -102,13 +100,15 @@ def without(bodies: DataFrame, shortest: int, texts: bool) -> DataFrame:
 
 
 def repeated_lines(docs: DataFrame, shortest: int = 2, texts: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, body_hash, n_lines, n_deleted, n_runs, kept_sha256, kept) of every document.
+    """(doc_id, body_hash, n_lines, n_deleted, n_runs, longest_copy, kept_sha256, kept) of every document.
 
     Lines are what ``\\n`` separates; those without a word (by ASCII white space) are passed over and
     always stay. Any ``shortest`` consecutive other lines that also stand earlier (in a smaller
     doc_id, or before in the same document) are deleted, so of each maximal repeated run only the
-    first copy stays. ``n_runs`` counts the maximal runs deleted from a document; ``kept`` is what
-    stays of a changed text if ``texts`` is set, else null. IDs and names are 64-bit hashes.
+    first copy stays. ``n_runs`` counts the maximal runs deleted from a document; ``longest_copy`` is
+    the greatest prefix length of the rounds (1, 2, 4 and so on) at which lines of it have an earlier
+    copy, 0 if none; ``kept`` is what stays of a changed text if ``texts`` is set, else null. IDs and
+    names are 128-bit digests.
 
     Null and empty texts have no lines; rows with a null doc_id keep all and match nothing; rows that
     repeat both doc_id and text are one document; an empty table gives no rows; other columns are not
@@ -118,13 +118,14 @@ def repeated_lines(docs: DataFrame, shortest: int = 2, texts: bool = False, id_c
     key = ["doc_id", "body_hash"]
     solid = F.size(F.filter(F.split(F.col("body").cast("string"), "\n", -1), lambda line: line.rlike(SOLID))).cast("long")
     whole = bodies.select(*key, solid.alias("n_lines"), F.sha2("body", 256).alias("full_sha256"))
-    starts = repeated_runs(bodies, shortest).groupBy(key).agg(F.collect_set("pos").alias("starts"))
+    runs = materialize(repeated_runs(bodies, shortest), "runs")
     small = packed(bodies if shortest == 1 else bodies.filter(F.col("body").cast("string").contains("\n")))
-    changed = without(small.join(starts, key).select("doc_id", "body_hash", "body", "starts"), shortest, texts).dropDuplicates(key)
-    return whole.join(changed, key, "left").select(
+    changed = without(small.join(runs, key).select("doc_id", "body_hash", "body", "starts"), shortest, texts).dropDuplicates(key)
+    return whole.join(changed, key, "left").join(runs.select(*key, "longest_copy"), key, "left").select(
         *key, "n_lines",
         F.coalesce("n_deleted", F.lit(0).cast("long")).alias("n_deleted"),
         F.coalesce("n_runs", F.lit(0).cast("long")).alias("n_runs"),
+        F.coalesce("longest_copy", F.lit(0).cast("long")).alias("longest_copy"),
         F.coalesce("kept_sha256", "full_sha256").alias("kept_sha256"),
         "kept",
     )
@@ -141,12 +142,16 @@ WITH lines AS (
   FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents)
 ), placed AS (
   SELECT doc_id, line, i, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS pos FROM lines WHERE solid = 1
-), pairs AS (
-  SELECT doc_id, pos, line AS a, lead(line) OVER (PARTITION BY doc_id ORDER BY pos) AS b FROM placed
+), listed AS (
+  SELECT doc_id, list(md5(line) ORDER BY pos) AS ids FROM placed GROUP BY doc_id
+), prefixes AS (
+  SELECT doc_id, ids, k, unnest(range(1, len(ids) - k + 2)) AS pos FROM listed, (SELECT unnest([1, 2, 4, 8, 16, 32, 64, 128, 256, 512, 1024, 2048, 4096]) AS k) WHERE k <= len(ids)
 ), later AS (
-  SELECT doc_id, pos, row_number() OVER (PARTITION BY a, b ORDER BY doc_id, pos) AS copy FROM pairs WHERE b IS NOT NULL
+  SELECT doc_id, pos, k, row_number() OVER (PARTITION BY k, md5(array_to_string(ids[pos:pos + k - 1], ',')) ORDER BY doc_id, pos) AS copy FROM prefixes
+), longest AS (
+  SELECT doc_id, max(k) AS k FROM later WHERE copy > 1 GROUP BY doc_id
 ), gone AS (
-  SELECT DISTINCT doc_id, pos FROM (SELECT doc_id, unnest([pos, pos + 1]) AS pos FROM later WHERE copy > 1)
+  SELECT doc_id, pos FROM later WHERE k = 1 AND copy > 1
 ), marked AS (
   SELECT l.doc_id, l.line, l.i, l.solid, p.pos, g.pos IS NOT NULL AS gone
   FROM lines l LEFT JOIN placed p ON l.doc_id = p.doc_id AND l.i = p.i LEFT JOIN gone g ON p.doc_id = g.doc_id AND p.pos = g.pos
@@ -158,6 +163,6 @@ WITH lines AS (
   FROM marked GROUP BY doc_id
 )
 SELECT d.doc_id, coalesce(k.n_lines, 0)::BIGINT AS n_lines, coalesce(k.n_deleted, 0)::BIGINT AS n_deleted,
-       coalesce(r.n, 0)::BIGINT AS n_runs, sha256(coalesce(k.text, '')) AS kept_sha256
-FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id LEFT JOIN runs r ON d.doc_id = r.doc_id
+       coalesce(r.n, 0)::BIGINT AS n_runs, coalesce(x.k, 0)::BIGINT AS longest_copy, sha256(coalesce(k.text, '')) AS kept_sha256
+FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id LEFT JOIN runs r ON d.doc_id = r.doc_id LEFT JOIN longest x ON d.doc_id = x.doc_id
 """

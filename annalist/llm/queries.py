@@ -52,7 +52,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.repeated_lines(table(spark, sf_dir, "documents"), shortest=1).select("doc_id", "n_lines", "n_deleted", "n_runs", "kept_sha256")
+    return lines.repeated_lines(table(spark, sf_dir, "documents"), shortest=1).select("doc_id", "n_lines", "n_deleted", "n_runs", "longest_copy", "kept_sha256")
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -194,6 +194,16 @@ def test_substrings_equal_brute_force(spark):
     assert substrings.repeated_words(t.filter("false")).count() == 0
 
 
+@pytest.mark.parametrize("length", [3, 30, 110])
+def test_substrings_of_other_lengths_and_long_runs(spark, length):
+    run = " ".join(f"r{i}" for i in range(400))
+    texts = [*random_texts(8, 15), run, "head " + run + " tail", " ".join(run.split()[37:300]) + " x"]
+    want = substring_brute(list(enumerate(texts)), length)
+    got = {r.doc_id: r for r in substrings.repeated_words(docs(spark, texts), length, texts=True).collect()}
+    assert {i: (g.n_words, g.n_removed, g.kept_sha256) for i, g in got.items()} == {i: w[:3] for i, w in want.items()}
+    assert substrings.levels(50) == [13, 25, 50] and all(b <= 2 * a for x in range(1, 300) for a, b in zip(substrings.levels(x), substrings.levels(x)[1:]))
+
+
 def test_repeated_rows_of_a_document_do_not_match_each_other(spark):
     t = docs(spark, ["w%d " % i for i in range(2)] + [" ".join(map(str, range(60)))] * 3, [0, 1, 5, 5, 9])
     assert sorted((r.doc_id, r.n_removed) for r in substrings.repeated_words(t).collect()) == [(0, 0), (1, 0), (5, 0), (5, 0), (9, 60)]
@@ -223,7 +233,28 @@ def test_lines_equal_brute_force(spark, shortest):
         assert got[i].kept_sha256 == hashlib.sha256(kept.encode()).hexdigest(), (i, texts[i], kept, got[i].kept)
     cut = {x.doc_id: x.text for x in lines.line_dedup(docs(spark, texts), shortest).collect()}
     assert {i: t or "" for i, t in cut.items()} == want
-    assert lines.rounds(5) == [(1, 1), (2, 2), (4, 1)]
+    longest = defaultdict(int)
+    solid = {i: [line for line in (t or "").split("\n") if words(line)] for i, t in enumerate(texts)}
+    length = 1
+    while any(len(x) >= length for x in solid.values()):
+        seen = set()
+        for i, x in solid.items():
+            for p in range(len(x) - length + 1):
+                if tuple(x[p : p + length]) in seen:
+                    longest[i] = length
+                seen.add(tuple(x[p : p + length]))
+        length = lines.longer(length, shortest)
+    assert {i: g.longest_copy if g.n_deleted else 0 for i, g in got.items()} == {i: longest[i] if longest[i] >= shortest else 0 for i in got}
+    assert [lines.longer(k, 5) for k in (1, 2, 4, 5)] == [2, 4, 5, 10]
+
+
+def test_long_runs_null_ids_and_repeated_rows_of_lines(spark):
+    run = [f"line number {i} of a long run" for i in range(70)]
+    texts = ["\n".join(["x", *run, "y"]), "\n".join([*run[10:60], "z " * 20000]), "\n".join(run), "\n".join(run), "z " * 20000]
+    t = docs(spark, texts, [3, 4, 5, 5, None])
+    got = sorted(((r.doc_id is None, r.doc_id or 0), r.n_lines, r.n_deleted, r.n_runs, r.longest_copy) for r in lines.repeated_lines(t, 4).collect())
+    assert got == [((False, 3), 72, 0, 0, 0), ((False, 4), 51, 50, 1, 32), ((False, 5), 70, 70, 1, 64), ((False, 5), 70, 70, 1, 64), ((True, 0), 1, 0, 0, 0)]
+    assert lines.line_dedup(t.filter("false"), 1).count() == 0
 
 
 # 4 ------------------------------------------------------------------------------------------------
@@ -518,7 +549,7 @@ def test_each_pipeline_stage_equals_brute_force(spark):
     assert set(clean) == {r.doc_id for r in toxicity.score(docs_in, model).collect() if r.score < 0.3}
     assert all(clean[i] == seen[i] for i in clean)
     rest = {r.doc_id: r.text for r in deduped.collect()}
-    assert rest == line_brute(list(clean.items()), 2)
+    assert {i: t or "" for i, t in rest.items()} == line_brute(list(clean.items()), 1)
     one = {r.doc_id: r.text for r in near.collect()}
     kept = set(component_brute({i: fingerprint_brute(t) for i, t in rest.items()}).values())
     assert one == {i: rest[i] for i in kept}
