@@ -17,6 +17,8 @@ FLOORS = {"x1": 0.05, "x2": 0.05, "x3": 0.12, "x4": 0.14}
 AXES = list(FLOORS)
 #: Quantiles of the chi-square distribution with as many degrees of freedom as there are axes.
 MEDIAN, INNER = 3.3567, 11.1433
+#: Its 99.9999 % quantile: beyond it, not one of a million vectors of a normal group would lie.
+CUT = 33.3768
 
 
 def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -68,11 +70,11 @@ def distance(x: list[Column]) -> Column:
     return reduce(lambda a, b: a + b, (s * s for s in solved)) / F.col("scale")
 
 
-def estimate(rows: DataFrame) -> DataFrame:
+def estimate(rows: DataFrame, *keys: str) -> DataFrame:
     """Mean and Cholesky factor of the covariance of each group; the floors' squares are added to its diagonal."""
     p = len(AXES)
     pairs = [(i, k) for i in range(p) for k in range(i + 1)]
-    sums = rows.groupBy("g").agg(*(F.avg(a).alias(f"m{i}") for i, a in enumerate(AXES)), *(F.covar_pop(AXES[i], AXES[k]).alias(f"c{i}{k}") for i, k in pairs))
+    sums = rows.groupBy("g", *keys).agg(*(F.avg(a).alias(f"m{i}") for i, a in enumerate(AXES)), *(F.covar_pop(AXES[i], AXES[k]).alias(f"c{i}{k}") for i, k in pairs))
     for i in range(p):
         sums = sums.withColumn(f"c{i}{i}", F.col(f"c{i}{i}") + F.lit(FLOORS[AXES[i]] ** 2))
     return factored(sums)
@@ -88,12 +90,15 @@ def factored(sums: DataFrame) -> DataFrame:
     return sums.drop(*(f"c{i}{k}" for i, k in pairs)).withColumn("scale", F.lit(1.0))
 
 
-def fit(vectors_once: DataFrame, steps: int, share: float) -> DataFrame:
-    """Concentration steps: estimate each group from the ``share`` of its vectors nearest its last estimate.
+def log_det() -> Column:
+    return reduce(lambda a, b: a + b, (2 * F.log(f"l{i}{i}") for i in range(len(AXES))))
+
+
+def first_estimates(vectors_once: DataFrame) -> DataFrame:
+    """(g, start, estimate): three deterministic starts for each group, with an infinite determinant.
 
-    They begin from medians and absolute deviations, so the result is deterministic. A last step takes
-    all vectors inside the 97.5 % ellipse, and distances are scaled to the median of the chi-square
-    distribution. Only a row per group passes from step to step.
+    Start 0: medians and absolute deviations; 1: mean and covariance of all vectors; 2: those of the
+    vectors drawn in by the hyperbolic tangent of their distance from the median in deviations.
     """
     p = len(AXES)
     medians = vectors_once.groupBy("g").agg(*(F.percentile_approx(a, 0.5, 10000).alias(f"m{i}") for i, a in enumerate(AXES)))
@@ -101,17 +106,39 @@ def fit(vectors_once: DataFrame, steps: int, share: float) -> DataFrame:
         *(F.first(f"m{i}").alias(f"m{i}") for i in range(p)),
         *(F.greatest(1.4826 * F.percentile_approx(F.abs(F.col(a) - F.col(f"m{i}")), 0.5, 10000), F.lit(FLOORS[a])).alias(f"l{i}{i}") for i, a in enumerate(AXES)),
     )
+    spread = materialize(spread, "estimate")
     zero = [F.lit(0.0).alias(f"l{i}{k}") for i in range(p) for k in range(i)]
-    now = materialize(spread.select("*", *zero, F.lit(1.0).alias("scale")), "estimate")
-    for step in range(steps + 1):
-        far = vectors_once.join(now, "g").withColumn("d", distance([F.col(a) for a in AXES])).select("g", *AXES, "d")
-        if step < steps:
-            bound = far.groupBy("g").agg(F.percentile_approx("d", share, 10000).alias("bound"))
-        else:
-            bound = far.groupBy("g").agg((F.percentile_approx("d", 0.5, 10000) * (INNER / MEDIAN)).alias("bound"))
-        then = materialize(estimate(far.join(bound, "g").filter(F.col("d") <= F.col("bound"))), "estimate")
+    drawn = vectors_once.join(spread, "g").select("g", *((F.col(f"m{i}") + F.col(f"l{i}{i}") * F.tanh((F.col(a) - F.col(f"m{i}")) / F.col(f"l{i}{i}"))).alias(a) for i, a in enumerate(AXES)))
+    kinds = [spread.select("*", *zero, F.lit(1.0).alias("scale")), estimate(vectors_once), estimate(drawn)]
+    every = reduce(DataFrame.unionByName, (kind.withColumn("start", F.lit(i)) for i, kind in enumerate(kinds)))
+    return materialize(every.withColumn("det", F.lit(float("inf"))), "estimate")
+
+
+def fit(vectors_once: DataFrame, steps: int, share: float) -> DataFrame:
+    """The minimum covariance determinant estimate of each group.
+
+    Concentration steps, from each start: estimate a group from the ``share`` of its vectors nearest
+    the last estimate, until no determinant falls any more (``steps`` at most). Of the starts the one
+    with the least determinant wins. A last step takes all vectors inside the 97.5 % ellipse, and
+    distances are scaled to the median of the chi-square distribution. Only a row per group and start
+    passes from step to step.
+    """
+    now = first_estimates(vectors_once)
+    for _ in range(steps):
+        far = vectors_once.join(now.drop("det"), "g").withColumn("d", distance([F.col(a) for a in AXES])).select("g", "start", *AXES, "d")
+        bound = far.groupBy("g", "start").agg(F.percentile_approx("d", share, 10000).alias("bound"))
+        then = materialize(estimate(far.join(bound, ["g", "start"]).filter(F.col("d") <= F.col("bound")), "start").withColumn("det", log_det()), "estimate")
+        falls = then.join(now.select("g", "start", F.col("det").alias("old")), ["g", "start"]).filter(F.col("det") < F.col("old") - 1e-9)
+        settled = falls.isEmpty()
         discard(now)
         now = then
+        if settled:
+            break
+    names = [c for c in now.columns if c != "g"]
+    best = now.groupBy("g").agg(F.min_by(F.struct(*names), F.struct(F.round("det", 9), "start")).alias("e")).select("g", "e.*").drop("det", "start")
+    far = vectors_once.join(best, "g").withColumn("d", distance([F.col(a) for a in AXES])).select("g", *AXES, "d")
+    bound = far.groupBy("g").agg((F.percentile_approx("d", 0.5, 10000) * (INNER / MEDIAN)).alias("bound"))
+    now = materialize(estimate(far.join(bound, "g").filter(F.col("d") <= F.col("bound"))), "estimate")
     far = vectors_once.join(now, "g").withColumn("d", distance([F.col(a) for a in AXES]))
     scale = far.groupBy("g").agg(F.greatest(F.percentile_approx("d", 0.5, 10000) / MEDIAN, F.lit(1.0)).alias("scale"))
     return materialize(now.drop("scale").join(scale, "g"), "estimate")
@@ -140,9 +167,9 @@ def shrunk(rows: DataFrame, wide: DataFrame, pools: DataFrame, least: int) -> Da
 
 def quality(
     docs: DataFrame,
-    cut: float = 40.0,
+    cut: float = CUT,
     share: float = 0.75,
-    steps: int = 3,
+    steps: int = 12,
     least: int = 20,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -174,17 +201,15 @@ def quality(
     def grouped(rows: DataFrame, how: str, names: DataFrame = names) -> DataFrame:
         return rows.join(names.withColumnsRenamed({"lang": "_lang", "source": "_source"}), rows["lang"].eqNullSafe(F.col("_lang")) & rows["source"].eqNullSafe(F.col("_source")), how).drop("_lang", "_source")
 
-    vectors_once = materialize(grouped(once, "inner").select("g", *AXES), "vectors")
+    # The vectors of every group, and again of each pool that a small group is shrunk towards: one fit for all.
+    lang_pool = groups.filter("pool != 'a'").select(F.col("lang").alias("_lang"), "pool").distinct()
+    by_lang = groups.select("lang", "source").join(lang_pool, F.col("lang").eqNullSafe(F.col("_lang"))).select("lang", "source", F.col("pool").alias("g"))
+    by_all = groups.select("lang", "source").join(groups.filter("pool = 'a'").select("pool").distinct()).select("lang", "source", F.col("pool").alias("g"))
+    levels = materialize(names.unionByName(by_lang).unionByName(by_all), "levels")
+    vectors_once = materialize(grouped(once, "inner", levels).select("g", *AXES), "vectors")
     estimates = fit(vectors_once, steps, share)
-    if not pools.isEmpty():
-        # All vectors of the languages that have small groups, and of everything if one needs it.
-        lang_pool = groups.filter("pool != 'a'").select(F.col("lang"), "pool").distinct()
-        by_lang = groups.select("lang", "source").join(lang_pool.withColumnRenamed("lang", "_lang"), F.col("lang").eqNullSafe(F.col("_lang"))).select("lang", "source", F.col("pool").alias("g"))
-        by_all = groups.select("lang", "source").join(groups.filter("pool = 'a'").select("pool").distinct()).select("lang", "source", F.col("pool").alias("g"))
-        levels = materialize(by_lang.unionByName(by_all), "levels")
-        wide = fit(materialize(grouped(once, "inner", levels).select("g", *AXES), "vectors"), steps, share)
-        small = shrunk(vectors_once, wide, pools, least)
-        estimates = materialize(estimates.join(pools.select("g"), "g", "left_anti").unionByName(small), "estimate")
+    small = shrunk(vectors_once.join(pools.select("g"), "g", "left_semi"), estimates, pools, least)
+    estimates = materialize(estimates.join(pools.select("g"), "g", "left_anti").unionByName(small), "estimate")
     far = grouped(stats, "left").join(estimates, "g", "left").withColumn("distance", F.when(~F.col("base_failed"), distance([F.col(a) for a in AXES])))
     return far.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
@@ -196,10 +221,12 @@ def code_of(column: Column) -> Column:
     return F.coalesce(F.concat(F.lit("="), column), F.lit("0"))
 
 
-def oracle_sql(cut: float = 40.0, share: float = 0.75, steps: int = 3, least: int = 100) -> str:
+def oracle_sql(cut: float = CUT, share: float = 0.75, steps: int = 12, least: int = 20) -> str:
     """The same verdicts in DuckDB SQL, with exact order statistics (as ``percentile_approx`` gives for groups under its accuracy)."""
     p = len(AXES)
     pairs = [(i, k) for i in range(p) for k in range(i + 1)]
+    axes, means = ", ".join(AXES), ", ".join(f"m{i}" for i in range(p))
+    factors = ", ".join(f"l{i}{k}" for i, k in pairs)
     at = lambda x, q: f"list_sort(list({x}))[greatest(ceil({q} * count(*)), 1)::BIGINT]"
 
     def far(source: str, estimates: str) -> str:
@@ -209,21 +236,25 @@ def oracle_sql(cut: float = 40.0, share: float = 0.75, steps: int = 3, least: in
             parts.append(f"({rest}) / l{i}{i} AS y{i}")
             names.append(f"y{i}")
         inner = f"SELECT v.*, e.* EXCLUDE (g) FROM {source} v JOIN {estimates} e ON v.g = e.g"
-        for i, part in enumerate(parts):
+        for part in parts:
             inner = f"SELECT *, {part} FROM ({inner})"
         return f"SELECT *, ({' + '.join(f'y{i} * y{i}' for i in range(p))}) / scale AS d FROM ({inner})"
 
-    def estimates(rows: str) -> str:
-        sums = ", ".join([*(f"avg({a}) AS m{i}" for i, a in enumerate(AXES)), *(f"covar_pop({AXES[i]}, {AXES[k]})" + (f" + {FLOORS[AXES[i]] ** 2!r}" if i == k else "") + f" AS c{i}{k}" for i, k in pairs)])
-        sql = f"SELECT g, {sums} FROM {rows} GROUP BY g"
+    def factored(sql: str, keys: str) -> str:
         for i, k in sorted(pairs, key=lambda q: (q[1], q[0])):
             rest = f"c{i}{k}" + "".join(f" - l{i}{j} * l{k}{j}" for j in range(k))
             sql = f"SELECT *, {f'sqrt(greatest({rest}, 1e-12))' if i == k else f'({rest}) / l{k}{k}'} AS l{i}{k} FROM ({sql})"
-        return f"SELECT g, {', '.join([*(f'm{i}' for i in range(p)), *(f'l{i}{k}' for i, k in pairs)])}, 1.0::DOUBLE AS scale FROM ({sql})"
+        return f"SELECT {keys}, {means}, {factors}, 1.0::DOUBLE AS scale FROM ({sql})"
+
+    def estimates(rows: str, keys: str = "g") -> str:
+        sums = ", ".join([*(f"avg({a}) AS m{i}" for i, a in enumerate(AXES)), *(f"covar_pop({AXES[i]}, {AXES[k]})" + (f" + {FLOORS[AXES[i]] ** 2!r}" if i == k else "") + f" AS c{i}{k}" for i, k in pairs)])
+        return factored(f"SELECT {keys}, {sums} FROM {rows} GROUP BY {keys}", keys)
 
     spread = ", ".join(f"greatest(1.4826 * {at(f'abs({a} - m{i})', 0.5)}, {FLOORS[a]}) AS l{i}{i}" for i, a in enumerate(AXES))
     zero = ", ".join(f"0.0::DOUBLE AS l{i}{k}" for i in range(p) for k in range(i))
-    means = ", ".join(f"m{i}" for i in range(p))
+    columns = f"g, start, {means}, {factors}, scale"
+    drawn = ", ".join(f"m{i} + l{i}{i} * tanh(({a} - m{i}) / l{i}{i}) AS {a}" for i, a in enumerate(AXES))
+    code = lambda x: f"coalesce('=' || {x}, '0')"
     out = [
         "w AS (SELECT doc_id, lang, source, coalesce(text, '') AS text, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words FROM documents)",
         "win AS (SELECT doc_id, i, array_to_string(words[i:i + 7], ' ') AS k FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 6, 1)::BIGINT)) AS i FROM w))",
@@ -232,31 +263,46 @@ def oracle_sql(cut: float = 40.0, share: float = 0.75, steps: int = 3, least: in
         "s AS (SELECT w.doc_id, lang, source, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols,"
         " list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines, coalesce(cov.n, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN cov ON cov.doc_id = w.doc_id)",
         "t AS (SELECT *, len(lines)::BIGINT AS n_lines, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines FROM s)",
-        "x AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, ln((word_chars + 1) / (n_words + 1)) AS x1, sqrt(n_symbols / greatest(word_chars, 1)) AS x2,"
+        "x AS MATERIALIZED (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, ln((word_chars + 1) / (n_words + 1)) AS x1, sqrt(n_symbols / greatest(word_chars, 1)) AS x2,"
         " sqrt(n_dup_lines / greatest(n_lines, 1)) AS x3, sqrt(n_repeat_words / greatest(n_words, 1)) AS x4 FROM t)",
-        f"once AS (SELECT DISTINCT lang, source, {', '.join(AXES)} FROM x WHERE NOT base_failed)",
+        f"once AS (SELECT DISTINCT lang, source, {axes} FROM x WHERE NOT base_failed)",
         "sizes AS (SELECT lang, source, count(*) AS n FROM once GROUP BY 1, 2)",
-        f"pool AS (SELECT lang, sum(n) AS n FROM sizes WHERE n < {least} GROUP BY 1)",
-        f"grp AS (SELECT a.lang, a.source, a.n, CASE WHEN a.n >= {least} THEN coalesce('=' || a.lang, '0') || chr(1) || coalesce('=' || a.source, '0') WHEN b.n >= {least} THEN coalesce('=' || a.lang, '0') ELSE '1' END AS g FROM sizes a LEFT JOIN pool b ON a.lang IS NOT DISTINCT FROM b.lang)",
-        f"names AS (SELECT lang, source, g FROM grp WHERE g IN (SELECT g FROM grp GROUP BY 1 HAVING sum(n) >= {least}))",
-        f"v AS (SELECT o.{', o.'.join(AXES)}, names.g FROM once o JOIN names ON o.lang IS NOT DISTINCT FROM names.lang AND o.source IS NOT DISTINCT FROM names.source)",
+        f"grp AS MATERIALIZED (SELECT lang, source, {code('lang')} || chr(1) || {code('source')} AS g, n, CASE WHEN n < {least} THEN CASE WHEN sum(n) OVER (PARTITION BY lang) >= {least} THEN 'l' || {code('lang')} WHEN sum(n) OVER () >= {least} THEN 'a' END END AS pool FROM sizes)",
+        "levels AS (SELECT lang, source, g FROM grp UNION ALL SELECT a.lang, a.source, b.pool FROM grp a JOIN (SELECT DISTINCT lang, pool FROM grp WHERE pool <> 'a') b ON a.lang IS NOT DISTINCT FROM b.lang UNION ALL SELECT lang, source, 'a' FROM grp WHERE 'a' IN (SELECT pool FROM grp))",
+        f"v AS MATERIALIZED (SELECT o.{', o.'.join(AXES)}, n.g FROM once o JOIN levels n ON o.lang IS NOT DISTINCT FROM n.lang AND o.source IS NOT DISTINCT FROM n.source)",
         f"med AS (SELECT g, {', '.join(f'{at(a, 0.5)} AS m{i}' for i, a in enumerate(AXES))} FROM v GROUP BY g)",
-        f"e0 AS (SELECT g, {', '.join(f'min(m{i}) AS m{i}' for i in range(p))}, {spread}, {zero}, 1.0::DOUBLE AS scale FROM (SELECT v.*, {means} FROM v JOIN med ON v.g = med.g) GROUP BY g)",
+        f"mad AS MATERIALIZED (SELECT g, {', '.join(f'min(m{i}) AS m{i}' for i in range(p))}, {spread}, {zero}, 1.0::DOUBLE AS scale FROM (SELECT v.*, {means} FROM v JOIN med ON v.g = med.g) GROUP BY g)",
+        f"drawn AS (SELECT v.g, {drawn} FROM v JOIN mad ON v.g = mad.g)",
+        f"e0 AS MATERIALIZED (SELECT {columns} FROM (SELECT *, 0 AS start FROM mad) UNION ALL SELECT {columns} FROM (SELECT *, 1 AS start FROM ({estimates('v')})) UNION ALL SELECT {columns} FROM (SELECT *, 2 AS start FROM ({estimates('drawn')})))",
     ]
-    for step in range(steps + 1):
-        bound = at("d", share) if step < steps else f"{at('d', 0.5)} * {INNER / MEDIAN!r}"
+    for step in range(steps):
         out += [
-            f"f{step} AS ({far('v', f'e{step}')})",
-            f"b{step} AS (SELECT g, {bound} AS bound FROM f{step} GROUP BY g)",
-            f"i{step} AS (SELECT f.g, {', '.join(f'f.{a}' for a in AXES)} FROM f{step} f JOIN b{step} b ON f.g = b.g WHERE f.d <= b.bound)",
-            f"e{step + 1} AS ({estimates(f'i{step}')})",
+            f"f{step} AS MATERIALIZED ({far('v', f'e{step}')})",
+            f"b{step} AS (SELECT g, start, {at('d', share)} AS bound FROM f{step} GROUP BY g, start)",
+            f"i{step} AS (SELECT f.g, f.start, {', '.join(f'f.{a}' for a in AXES)} FROM f{step} f JOIN b{step} b ON f.g = b.g AND f.start = b.start WHERE f.d <= b.bound)",
+            f"e{step + 1} AS MATERIALIZED ({estimates(f'i{step}', 'g, start')})",
         ]
-    last = f"e{steps + 1}"
+    det = " + ".join(f"2 * ln(l{i}{i})" for i in range(p))
+    moments = [f"m{i}" for i in range(p)] + [f"c{i}{k}" for i, k in pairs]
+    back = ", ".join([means, *("(" + " + ".join(f"l{i}{j} * l{k}{j}" for j in range(k + 1)) + f") * scale AS c{i}{k}" for i, k in pairs)])
+    mixed = ", ".join(f"a * coalesce(o.{x}, 0) + (1 - a) * w.{x} AS {x}" for x in moments)
     out += [
-        f"ff AS ({far('v', last)})",
-        f"sc AS (SELECT g, greatest({at('d', 0.5)} / {MEDIAN}, 1.0) AS scale FROM ff GROUP BY g)",
-        f"e AS (SELECT z.* EXCLUDE (scale), sc.scale FROM {last} z JOIN sc ON z.g = sc.g)",
-        "y AS (SELECT x.*, names.g FROM x LEFT JOIN names ON x.lang IS NOT DISTINCT FROM names.lang AND x.source IS NOT DISTINCT FROM names.source)",
+        f"best AS MATERIALIZED (SELECT * EXCLUDE (start, r) FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY round({det}, 9), start) AS r FROM e{steps}) WHERE r = 1)",
+        f"fl AS MATERIALIZED ({far('v', 'best')})",
+        f"bl AS (SELECT g, {at('d', 0.5)} * {INNER / MEDIAN!r} AS bound FROM fl GROUP BY g)",
+        f"il AS (SELECT f.g, {', '.join(f'f.{a}' for a in AXES)} FROM fl f JOIN bl b ON f.g = b.g WHERE f.d <= b.bound)",
+        f"last AS MATERIALIZED ({estimates('il')})",
+        f"sc AS (SELECT g, greatest({at('d', 0.5)} / {MEDIAN}, 1.0) AS scale FROM ({far('v', 'last')}) GROUP BY g)",
+        "own AS MATERIALIZED (SELECT z.* EXCLUDE (scale), sc.scale FROM last z JOIN sc ON z.g = sc.g)",
+        # Small groups: their vectors inside their pool's ellipse, mixed with the pool's moments.
+        f"vp AS (SELECT v.g AS small, {', '.join(f'v.{a}' for a in AXES)}, grp.pool AS g FROM v JOIN grp ON v.g = grp.g WHERE grp.pool IS NOT NULL)",
+        f"inside AS MATERIALIZED (SELECT small AS g, {axes} FROM ({far('vp', 'own')}) WHERE d <= {INNER})",
+        f"om AS (SELECT g, {back} FROM ({estimates('inside')}))",
+        f"wm AS (SELECT g, {back} FROM own)",
+        "cnt AS (SELECT g, count(*) AS n FROM inside GROUP BY 1)",
+        f"small AS ({factored(f'SELECT grp.g, {mixed} FROM (SELECT grp.g, grp.pool, coalesce(cnt.n, 0) / {float(least)!r} AS a FROM grp LEFT JOIN cnt ON cnt.g = grp.g WHERE pool IS NOT NULL) grp LEFT JOIN om o ON o.g = grp.g JOIN wm w ON w.g = grp.pool', 'g')})",
+        f"e AS MATERIALIZED (SELECT g, {means}, {factors}, scale FROM own WHERE g NOT IN (SELECT g FROM grp WHERE pool IS NOT NULL) UNION ALL SELECT g, {means}, {factors}, scale FROM small)",
+        "y AS (SELECT x.*, grp.g FROM x LEFT JOIN grp ON x.lang IS NOT DISTINCT FROM grp.lang AND x.source IS NOT DISTINCT FROM grp.source)",
         f"far AS (SELECT doc_id, d FROM ({far('y', 'e')}))",
     ]
     return "WITH " + ",\n".join(out) + f"\nSELECT x.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(far.d, 0) <= {cut} AS kept FROM x LEFT JOIN far ON far.doc_id = x.doc_id"

@@ -158,6 +158,49 @@ def test_quality_distance_is_mahalanobis(spark):
     assert np.allclose(d, np.einsum("ij,jk,ik->i", c, np.linalg.inv(cov), c))
 
 
+def test_quality_estimate_is_the_least_determinant_of_random_starts(spark):
+    rng = np.random.default_rng(3)
+    n, share = 240, 0.75
+    x = rng.normal(size=(n, 4)) @ np.array([[0.5, 0.2, 0, 0], [0, 0.3, 0.1, 0], [0, 0, 0.4, 0.2], [0, 0, 0, 0.6]])
+    x[:48] += [3, -2, 3, 2]  # a fifth of the rows is elsewhere
+    floors = np.diag([f**2 for f in quality.FLOORS.values()])
+
+    def moments(rows):
+        return rows.mean(0), np.cov(rows.T, bias=True) + floors
+
+    def far(e):
+        return np.einsum("ij,jk,ik->i", x - e[0], np.linalg.inv(e[1]), x - e[0])
+
+    def inner(d, q):
+        return d <= np.sort(d)[math.ceil(q * n) - 1]
+
+    least = None
+    for _ in range(60):
+        e = moments(x[rng.choice(n, 12, replace=False)])
+        for _ in range(40):
+            e = moments(x[inner(far(e), share)])
+        det = np.linalg.slogdet(e[1])[1]
+        if least is None or det < least[0]:
+            least = (det, e)
+    d = far(least[1])
+    e = moments(x[d <= np.sort(d)[math.ceil(n / 2) - 1] * quality.INNER / quality.MEDIAN])
+    want = far(e) / max(np.sort(far(e))[math.ceil(n / 2) - 1] / quality.MEDIAN, 1)
+    rows = spark.createDataFrame([("g", *map(float, v)) for v in x], "g string, x1 double, x2 double, x3 double, x4 double")
+    got = np.array([r.d for r in rows.join(quality.fit(rows, 30, share), "g").select("x1", quality.distance([F.col(a) for a in quality.AXES]).alias("d")).orderBy("x1").collect()])
+    assert np.allclose(got, want[np.argsort(x[:, 0])], rtol=1e-6)
+    assert (want[:48] > quality.CUT).all() and (want[48:] < quality.CUT).all()
+    assert abs(math.exp(-quality.CUT / 2) * (1 + quality.CUT / 2) - 1e-6) < 1e-9
+
+
+def test_quality_of_null_ids_repeated_rows_and_long_texts(spark):
+    r = random.Random(12)
+    plain = [" ".join("".join(r.choice("etaoin") for _ in range(r.randint(2, 8))) for _ in range(80)) for _ in range(120)]
+    t = docs(spark, plain).union(docs(spark, [plain[0], plain[0], plain[1], "word%d " % 5 * 30000], [0, 0, None, 900]))
+    got = [(g.doc_id, g.kept, g.n_words) for g in quality.quality(t).collect()]
+    assert sorted(k for i, k, _ in got if i == 0) == [True] * 3 and [k for i, k, _ in got if i is None] == [True]
+    assert (900, False, 30000) in got and len(got) == 124
+
+
 # 3 and 9 ------------------------------------------------------------------------------------------
 
 
