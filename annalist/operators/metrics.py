@@ -92,22 +92,41 @@ def miss_reasons(rows: DataFrame, window_seconds: int, least_cosine: float = 0.0
     return rows.withColumn("reasons", F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("other"))))
 
 
-def falsification(candidates: DataFrame, results: DataFrame, views: DataFrame) -> DataFrame:
-    """(check, violations) of invariants that any run must keep."""
-    known = views.select(F.col("memory_id"))
-    ends = candidates.select(F.explode(F.array(*PAIR)).alias("memory_id"))
-    checks = {
-        "unknown_record": ends.join(known, "memory_id", "left_anti"),
-        "self_pair": candidates.filter("predecessor_id = successor_id"),
-        "repeated_pair": candidates.groupBy(*PAIR).count().filter("count > 1"),
-        "verdict_without_candidate": results.join(candidates.select(*PAIR), PAIR, "left_anti"),
-        "persistence_resolves": results.filter("relation = 'PERSISTENCE_CONFIRMATION' and coalesce(prior_unknown_resolved, false)"),
-        "unrelated_speaks": results.filter("relation = 'UNRELATED' and (prior_unknown_resolved is not null or size(resolved_dimensions) > 0)"),
-        "resolved_without_dimension": results.filter("prior_unknown_resolved and size(resolved_dimensions) = 0"),
+#: Provenance keys that would give the answer away. Fixed values.
+ORACLE_KEYS = ["thread_id", "oracle_domain", "correction_nature", "gold_relation", "trajectory_label", "grouping_key"]
+
+
+def falsification(timed: DataFrame, bounded: DataFrame, results: DataFrame, gold: DataFrame, views: DataFrame) -> DataFrame:
+    """(test, counted, total, passed): seven tests that could refute the method, one row each.
+
+    ``timed`` are candidates by time alone, ``bounded`` those that were adjudicated, ``results`` the verdicts. ``gold`` has
+    one row a pair, ``views`` a map ``provenance``. F1 time alone also finds pairs without a relation; F2 no record carries
+    an answer; F3 only candidates are judged; F4 changes and corrections are not confused; F5 a change can close an unknown,
+    in gold (total) and in verdicts (counted); F6 neither elapsed time nor persistence closes one; F7 the boundary leaves
+    out at least 40 percent of the timed candidates.
+    """
+    pair = lambda rows: rows.select(*PAIR).distinct()
+    true = pair(gold.filter("longitudinal_relation != 'UNRELATED'"))
+    n, counted, total = F.count("*"), F.col("counted"), F.col("total")
+    both = results.select(*PAIR, F.col("relation").alias("r")).join(gold.select(*PAIR, F.col("longitudinal_relation").alias("g")), PAIR)
+    changes = ["STATE_CHANGE", "CORRECTION_RETRACTION"]
+    confused = F.col("g").isin(changes) & F.col("r").isin(changes) & (F.col("g") != F.col("r"))
+    closes = F.coalesce("prior_unknown_resolved", F.lit(False))
+    quiet = F.col("relation").isin("UNRELATED", "PERSISTENCE_CONFIRMATION")
+    carries = F.arrays_overlap(F.map_keys("provenance"), F.array(*map(F.lit, ORACLE_KEYS)))
+    two = lambda a, b: a.agg(n.alias("counted")).crossJoin(b.agg(n.alias("total")))  # noqa: E731  (single rows)
+    tests = {
+        "F1": (two(pair(timed).join(true, PAIR, "left_anti"), timed), counted > 0),
+        "F2": (views.agg(F.count_if(F.coalesce(carries, F.lit(False))).alias("counted"), n.alias("total")), counted == 0),
+        "F3": (two(pair(results).join(pair(bounded), PAIR, "left_anti"), pair(results)), counted == 0),
+        "F4": (both.agg(F.count_if(confused).alias("counted"), n.alias("total")), counted == 0),
+        "F5": (two(results.filter((F.col("relation") == "STATE_CHANGE") & closes), gold.filter("longitudinal_relation = 'STATE_CHANGE' and prior_unknown_resolved")), (counted > 0) & (total > 0)),
+        "F6": (results.agg(F.count_if(quiet & closes).alias("counted"), n.alias("total")), counted == 0),
+        "F7": (two(bounded, timed), F.when(total > 0, (1 - counted / total) * 100 >= 40).otherwise(False)),
     }
     out = None
-    for name, rows in checks.items():
-        one = rows.agg(F.count("*").alias("violations")).select(F.lit(name).alias("check"), "violations")
+    for name, (rows, passed) in tests.items():
+        one = rows.select(F.lit(name).alias("test"), "counted", "total", passed.alias("passed"))
         out = one if out is None else out.unionAll(one)
     return out
 

@@ -88,7 +88,7 @@ def run_bigrams(text: Column) -> Column:
 
 
 def with_signals(pairs: DataFrame, views: DataFrame, cues: Cues = Cues()) -> DataFrame:
-    """Adds signals (array) and signal_score from both contents and both time axes.
+    """Adds signals (array), signal_score and common (shared Han bigrams) from both contents and both time axes.
 
     ``views``: memory_id, content, semantic_time, valid_start, valid_end (the last three nullable).
     """
@@ -113,7 +113,7 @@ def with_signals(pairs: DataFrame, views: DataFrame, cues: Cues = Cues()) -> Dat
     for holds, _, weight in parts:
         score = score + F.when(holds, weight).otherwise(0.0)
     signals = F.array_compact(F.array(*(F.when(holds, name) for holds, name, _ in parts)))
-    return rows.select(*pairs.columns, "p_content", "s_content", signals.alias("signals"), score.alias("signal_score"))
+    return rows.select(*pairs.columns, "p_content", "s_content", "common", signals.alias("signals"), score.alias("signal_score"))
 
 
 def boundary_pairs(pairs: DataFrame, least_cosine: float = LEAST_COSINE, least_score: float = LEAST_SCORE, least_signals: int = LEAST_SIGNALS) -> DataFrame:

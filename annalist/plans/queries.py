@@ -636,13 +636,15 @@ def _(spark, d):
     return revisions.heads(revisions.chain(o, "region_id", ["o_orderdate", "o_orderkey"])).select("region_id", F.col("revision_number").cast("long").alias("revision_number"), "o_orderkey")
 
 
-@query("O79_consolidate", "WITH r AS (SELECT o_custkey, o_orderstatus AS c, lag(o_orderstatus) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS h FROM orders) SELECT CASE WHEN h IS NULL THEN 'INITIAL_CREATION' WHEN c = h THEN 'NO_CHANGE' ELSE 'MEANINGFUL_UPDATE' END AS action, count(*) AS n FROM r GROUP BY 1")
+@query("O79_consolidate", """WITH r AS (SELECT o_orderkey, o_orderstatus AS c, o_orderpriority AS p, lag(o_orderstatus) OVER w AS h, lag(o_orderpriority) OVER w AS hp FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey))
+SELECT CASE WHEN o_orderkey % 3 = 0 AND p = '1-URGENT' THEN 'UNAUTHORIZED' WHEN h IS NULL THEN 'INITIAL_CREATION' WHEN c = h AND p = hp THEN 'NO_CHANGE' WHEN c = h THEN 'SUPPORT_UPDATE' ELSE 'MEANINGFUL_UPDATE' END AS action, count(*) AS n FROM r GROUP BY 1""")
 def _(spark, d):
     o = table(spark, d, "orders")
     c = revisions.chain(o.withColumnRenamed("o_custkey", "region"), "region", ["o_orderdate", "o_orderkey"])
     key = lambda n: F.concat_ws("/", "region", n)
-    s = F.array(F.lit("s"))
-    proposals = c.select(key(F.col("revision_number")).alias("region_id"), F.col("o_orderstatus").alias("content"), s.alias("support"), s.alias("authorized"))
+    s = F.array("o_orderpriority")
+    may = F.when(F.col("o_orderkey") % 3 == 0, F.array_remove(s, "1-URGENT")).otherwise(s)
+    proposals = c.select(key(F.col("revision_number")).alias("region_id"), F.col("o_orderstatus").alias("content"), s.alias("support"), may.alias("authorized"))
     current = c.select(key(F.col("revision_number") + 1).alias("region_id"), F.col("o_orderstatus").alias("content"), s.alias("support"), "revision_number")
     return revisions.consolidate(proposals, current).groupBy("action").agg(F.count("*").alias("n"))
 
@@ -690,9 +692,9 @@ def _(spark, d):
     return one.agg(F.count("*").alias("states")).crossJoin(lost.agg(F.count("*").alias("different")))
 
 
-@query("O88_fingerprint", "SELECT sha256('assembler=3,2|embedding=hash-16|schema=1') AS fingerprint")
+@query("O88_fingerprint", "SELECT sha256(string_agg(n_name || '=' || n_regionkey, '|' ORDER BY n_name || '=' || n_regionkey)) AS fingerprint FROM nation")
 def _(spark, d):
-    return revisions.derivation_fingerprint(spark, {"schema": "1", "embedding": "hash-16", "assembler": "3,2"})
+    return revisions.derivation_fingerprint(spark, {r.n_name: str(r.n_regionkey) for r in table(spark, d, "nation").collect()})  # 25 settings
 
 
 @query("O89_interval_pairs", "SELECT a.user_id, a.event_id AS predecessor_id, b.event_id AS successor_id, round(1 - (epoch_us(b.ts) - epoch_us(a.ts)) / 3600e6, 4) AS score FROM events a JOIN events b ON a.user_id = b.user_id AND (a.ts < b.ts OR (a.ts = b.ts AND a.event_id < b.event_id)) AND b.ts - a.ts <= INTERVAL 1 HOUR")
@@ -731,13 +733,69 @@ def _(spark, d):
     return pairs.boundary_pairs(rows).select("predecessor_id", "successor_id", F.round("score", 6).alias("score"))
 
 
-@query("O94_adjudication", """SELECT x.item_id AS predecessor_id, y.item_id AS successor_id, 'UNRELATED' AS relation,
-  CASE WHEN (contains(x.text, 'the') AND contains(y.text, 'ing')) OR contains(y.text, 'zzz') OR (contains(x.text, 'qq') AND contains(y.text, 'er')) THEN 0.6::DOUBLE ELSE 0.8::DOUBLE END AS confidence, NULL::BOOLEAN AS prior_unknown_resolved
-FROM benchmark x JOIN benchmark y ON x.item_id < y.item_id AND y.item_id - x.item_id <= 45""")
+#: Contents of the records below, an order's by its id: every rule of the adjudication has pairs that only it decides.
+SAID = [
+    "我打算五月去北京旅行", "北京旅行已经结束了", "之前说错了，五月去的是上海", "签证还在审批中，可能要等", "签证审批通过的通知来了", "签证仍然在审批中",
+    "后来才知道北京旅行要签证", "公司搬到上海的新办公室", "公司在上海有新办公室", "今天吃了面条", "五月去北京旅行取消，没成功", "其实签证审批不需要等",
+]
+
+
+def said(spark: SparkSession, d: str) -> DataFrame:
+    """A customer's orders as records; the content goes by the order's id and customer."""
+    o = table(spark, d, "orders")
+    text = F.element_at(F.array(*map(F.lit, SAID)), ((F.col("o_orderkey") * 7 + F.col("o_custkey")) % len(SAID) + 1).cast("int"))
+    when = F.col("o_orderdate").cast("timestamp")
+    return o.select(F.col("o_custkey").alias("person"), F.col("o_orderkey").alias("memory_id"), text.alias("content"), when.alias("received_at"), when.alias("semantic_time"), *(F.lit(None).cast("timestamp").alias(c) for c in ("valid_start", "valid_end")))
+
+
+def said_pairs(spark: SparkSession, d: str, days: int = 45) -> DataFrame:
+    """A person's records at most ``days`` apart, with cosine and signals."""
+    v = said(spark, d)
+    return pairs.with_signals(pairs.with_cosine(pairs.interval_pairs(v, days * 86400, ["person"]), pairs.term_weights(v)), v)
+
+
+def _matches(text: str, pattern: str) -> str:
+    return f"regexp_matches({text}, '{pattern}')"
+
+
+_C, _R = pairs.Cues(), pairs.Rules()
+_ENDS = "(" + " OR ".join(_matches("s", x) for x in (_R.completion, _R.failure, _R.cancellation)) + ")"
+#: ``judged``: a verdict per pair of contents, the rules written again in SQL; ``near``: every pair of records.
+SAID_SQL = f"""rec AS (SELECT o_custkey AS person, o_orderkey AS id, o_orderdate::TIMESTAMP AS at, ({SAID!r})[((o_orderkey * 7 + o_custkey) % {len(SAID)} + 1)::INTEGER] AS content FROM orders),
+han AS (SELECT DISTINCT content, regexp_extract_all(content, '[\\x{{4e00}}-\\x{{9fff}}]') AS h, regexp_extract_all(content, '[\\x{{4e00}}-\\x{{9fff}}]{{2,}}') AS r FROM rec),
+bag AS (SELECT content, [h[i] || h[i + 1] FOR i IN range(1, len(h))] AS b, list_distinct(flatten([[x[i:i + 1] FOR i IN range(1, len(x))] FOR x IN r])) AS u FROM han),
+term AS (SELECT content, t, count(*) AS n FROM (SELECT content, unnest(b) AS t FROM bag) GROUP BY 1, 2), size AS (SELECT content, sqrt(sum(n * n)) AS z FROM term GROUP BY 1),
+dot AS (SELECT x.content AS p, y.content AS s, sum(x.n / a.z * y.n / c.z) AS cosine FROM term x JOIN term y USING (t) JOIN size a ON a.content = x.content JOIN size c ON c.content = y.content GROUP BY 1, 2),
+two AS (SELECT x.content AS p, y.content AS s, len(list_intersect(x.u, y.u)) AS common, CASE WHEN least(len(x.b), len(y.b)) = 0 THEN 0 ELSE len(list_intersect(list_distinct(x.b), list_distinct(y.b))) / greatest(len(list_distinct(x.b)), len(list_distinct(y.b))) END AS overlap FROM bag x, bag y),
+cue AS (SELECT *, {_matches("p", _C.plan)} AND {_matches("s", _C.outcome)} AS arc, {_matches("s", _C.correction)} AS fix, {_matches("s", _C.persistence)} AND common >= 2 AS stay, {_matches("p", _C.uncertainty)} AND {_matches("s", _C.resolution)} AS solve FROM two),
+rule AS (SELECT *, CASE WHEN common >= 2 THEN least(0.35, common * 0.05) ELSE 0 END + CASE WHEN arc THEN 0.3 ELSE 0 END + CASE WHEN fix THEN 0.4 ELSE 0 END + CASE WHEN stay THEN 0.25 ELSE 0 END + CASE WHEN solve THEN 0.35 ELSE 0 END AS base,
+  (common >= 2)::INTEGER + arc::INTEGER + fix::INTEGER + stay::INTEGER + solve::INTEGER AS cues, overlap < 0.05 AND NOT (arc OR fix OR stay OR solve) AS nothing, {_matches("p", _R.uncertainty)} AS unsure, {_matches("p", _R.plan)} AND {_ENDS} AS done,
+  {_matches("s", _R.resolution)} OR {_matches("s", _R.completion)} AS closing, {_matches("s", _R.persistence)} AS lasting, {_matches("s", _R.failure)} OR {_matches("s", _R.cancellation)} AS failing FROM cue),
+kind AS (SELECT *, CASE WHEN nothing THEN 1 WHEN {_matches("s", _R.explicit_correction)} OR {_matches("s", _R.correction)} THEN 2 WHEN lasting AND overlap >= 0.1 THEN 3
+  WHEN done OR (unsure AND {_matches("s", _R.resolution)}) OR (overlap >= 0.08 AND (arc OR solve)) THEN 4 WHEN {_matches("s", _R.late_fact)} AND overlap >= 0.05 THEN 5
+  WHEN overlap >= 0.15 AND {_matches("s", _R.implicit_change)} THEN 6 WHEN overlap >= 0.15 THEN 7 WHEN overlap < 0.05 THEN 8 ELSE 9 END AS k FROM rule),
+judged AS (SELECT p, s, coalesce(cosine, 0) AS cosine, base, cues, common, (['UNRELATED', 'CORRECTION_RETRACTION', 'PERSISTENCE_CONFIRMATION', 'STATE_CHANGE', 'CORRECTION_RETRACTION', 'STATE_CHANGE', 'UNKNOWN_RELATION', 'UNRELATED', 'UNKNOWN_RELATION'])[k] AS relation,
+  ([0.8, 0.85, 0.8, 0.85, 0.75, 0.7, 0.4, 0.6, 0.3]::DOUBLE[])[k] AS confidence,
+  CASE WHEN k IN (1, 8) THEN NULL WHEN k = 3 THEN false WHEN unsure AND closing THEN true WHEN unsure AND lasting THEN false WHEN unsure AND failing THEN true WHEN done THEN true WHEN k IN (2, 5) AND NOT unsure THEN false END AS prior_unknown_resolved,
+  CASE WHEN k IN (1, 3, 8) THEN '' WHEN unsure AND closing THEN coalesce(nullif(concat_ws(',', CASE WHEN {_matches("p", _R.result)} THEN 'test_result' END, CASE WHEN {_matches("p", _R.approval)} THEN 'approval_status' END, CASE WHEN {_matches("p", _R.possibility)} THEN 'possibility_resolution' END), ''), 'general_resolution')
+       WHEN unsure AND failing AND NOT lasting THEN 'outcome_determined' WHEN done AND NOT (unsure AND lasting) THEN 'plan_outcome' ELSE '' END AS dimensions FROM kind LEFT JOIN dot USING (p, s)),
+near AS (SELECT x.id AS predecessor_id, y.id AS successor_id, x.content AS p, y.content AS s, y.at - x.at AS delta FROM rec x JOIN rec y ON x.person = y.person AND (x.at < y.at OR (x.at = y.at AND x.id < y.id)) AND y.at - x.at <= INTERVAL 90 DAY),
+every AS (SELECT *, base + CASE WHEN delta < INTERVAL 14 DAY THEN 0.15 ELSE 0 END AS signal, cues + (delta < INTERVAL 14 DAY)::INTEGER AS signals FROM near JOIN judged USING (p, s)),
+b0 AS (SELECT * FROM every WHERE delta <= INTERVAL 45 DAY),
+b2 AS (SELECT * FROM b0 WHERE signals + (cosine >= 0.08)::INTEGER >= 1 AND round(CASE WHEN cosine >= 0.08 THEN cosine * 0.3 ELSE 0 END + signal, 9) >= 0.25),
+g AS (SELECT predecessor_id, successor_id, (['STATE_CHANGE', 'CORRECTION_RETRACTION', 'UNRELATED', 'PERSISTENCE_CONFIRMATION'])[((predecessor_id + successor_id) % 4 + 1)::INTEGER] AS rel, predecessor_id % 3 = 0 AS closes FROM near)"""
+
+
+def said_gold(spark: SparkSession, d: str) -> DataFrame:
+    """A stand-in truth, by ids, for a person's records at most 90 days apart."""
+    kind = F.element_at(F.array(*map(F.lit, ("STATE_CHANGE", "CORRECTION_RETRACTION", "UNRELATED", "PERSISTENCE_CONFIRMATION"))), ((F.col("predecessor_id") + F.col("successor_id")) % 4 + 1).cast("int"))
+    return pairs.interval_pairs(said(spark, d), 90 * 86400, ["person"]).select("predecessor_id", "successor_id", kind.alias("longitudinal_relation"), (F.col("predecessor_id") % 3 == 0).alias("prior_unknown_resolved"))
+
+
+@query("O94_adjudication", f"WITH {SAID_SQL} SELECT predecessor_id, successor_id, relation, confidence, prior_unknown_resolved, dimensions FROM b0")
 def _(spark, d):
-    v = bench_views(spark, d)
-    rows = pairs.with_signals(pairs.with_cosine(pairs.interval_pairs(v), pairs.term_weights(v)), v, LATIN)
-    return pairs.adjudicate(rows).select("predecessor_id", "successor_id", "relation", "confidence", "prior_unknown_resolved")
+    found = pairs.adjudicate(said_pairs(spark, d))
+    return found.select("predecessor_id", "successor_id", "relation", "confidence", "prior_unknown_resolved", F.array_join("resolved_dimensions", ",").alias("dimensions"))
 
 
 def gold(spark: SparkSession, d: str) -> DataFrame:
@@ -779,19 +837,42 @@ def _(spark, d):
     return metrics.knowledge_metrics(verdicts(spark, d), gold(spark, d)).select(F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"))
 
 
-@query("O97_temporal_integrity", "SELECT 0::BIGINT AS reverse_time_errors, 0::BIGINT AS future_leakage, true AS passed")
+@query("O97_temporal_integrity", f"""WITH {SAID_SQL} SELECT count(*) FILTER (predecessor_id % 7 = 0 AND delta > INTERVAL 0 DAY) AS reverse_time_errors, count(*) FILTER (predecessor_id % 11 = 0 AND delta > INTERVAL 0 DAY) AS future_leakage,
+  count(*) FILTER ((predecessor_id % 7 = 0 OR predecessor_id % 11 = 0) AND delta > INTERVAL 0 DAY) = 0 AS passed FROM b0""")
 def _(spark, d):
-    v = bench_views(spark, d)
-    return metrics.temporal_integrity(pairs.interval_pairs(v), verdicts(spark, d), v)
+    found = pairs.interval_pairs(said(spark, d), scope=["person"])
 
+    def turned(n: int) -> DataFrame:  # every n-th predecessor's pairs run backwards
+        back = F.col("predecessor_id") % n == 0
+        return found.select(F.when(back, F.col("successor_id")).otherwise(F.col("predecessor_id")).alias("predecessor_id"), F.when(back, F.col("predecessor_id")).otherwise(F.col("successor_id")).alias("successor_id"))
 
-@query("O97_falsification", """SELECT 'verdict_without_candidate' AS "check", count(*) AS violations FROM benchmark WHERE item_id + 1 NOT IN (SELECT item_id FROM benchmark)
-UNION ALL SELECT 'unrelated_speaks', count(*) FROM benchmark WHERE item_id % 4 = 2 AND item_id % 5 <> 0
-UNION ALL SELECT 'persistence_resolves', count(*) FROM benchmark WHERE item_id % 4 = 3 AND item_id % 2 = 0 AND item_id % 5 <> 0
-UNION ALL SELECT unnest(['unknown_record', 'self_pair', 'repeated_pair', 'resolved_without_dimension']), 0""")
+    return metrics.temporal_integrity(turned(7), turned(11), said(spark, d))
+
+
+@query("O97_falsification", f"""WITH {SAID_SQL}, gb AS (SELECT * FROM b2 JOIN g USING (predecessor_id, successor_id)), n AS (SELECT (SELECT count(*) FROM b0) AS b0, (SELECT count(*) FROM b2) AS b2),
+f AS (SELECT 'F1' AS test, (SELECT count(*) FROM b0 JOIN g USING (predecessor_id, successor_id) WHERE rel = 'UNRELATED') AS counted, b0 AS total FROM n
+UNION ALL SELECT 'F2', (SELECT count(*) FROM orders WHERE o_orderkey % 50 = 0), (SELECT count(*) FROM orders)
+UNION ALL SELECT 'F3', 0, b2 FROM n
+UNION ALL SELECT 'F4', (SELECT count(*) FROM gb WHERE (rel = 'STATE_CHANGE' AND relation = 'CORRECTION_RETRACTION') OR (relation = 'STATE_CHANGE' AND rel = 'CORRECTION_RETRACTION')), b2 FROM n
+UNION ALL SELECT 'F5', (SELECT count(*) FROM b2 WHERE relation = 'STATE_CHANGE' AND prior_unknown_resolved), (SELECT count(*) FROM g WHERE rel = 'STATE_CHANGE' AND closes)
+UNION ALL SELECT 'F6', (SELECT count(*) FROM b2 WHERE relation IN ('UNRELATED', 'PERSISTENCE_CONFIRMATION') AND prior_unknown_resolved), b2 FROM n
+UNION ALL SELECT 'F7', b2, b0 FROM n)
+SELECT test, counted, total, CASE WHEN test = 'F1' THEN counted > 0 WHEN test = 'F5' THEN counted > 0 AND total > 0 WHEN test = 'F7' THEN total > 0 AND (1 - counted / total) * 100 >= 40 ELSE counted = 0 END AS passed FROM f""")
 def _(spark, d):
-    v = bench_views(spark, d)
-    return metrics.falsification(pairs.interval_pairs(v), verdicts(spark, d), v)
+    timed = said_pairs(spark, d)
+    bounded = pairs.boundary_pairs(timed.withColumn("signal_score", F.round("signal_score", 9)))
+    views = said(spark, d).withColumn("provenance", F.when(F.col("memory_id") % 50 == 0, F.create_map(F.lit("thread_id"), F.lit("t"))).otherwise(F.create_map(F.lit("source"), F.lit("s"))))
+    return metrics.falsification(timed, bounded, pairs.adjudicate(bounded), said_gold(spark, d), views)
+
+
+@query("O98_miss_reasons", f"""WITH {SAID_SQL}, m AS (SELECT e.* FROM every e JOIN g USING (predecessor_id, successor_id) WHERE rel <> 'UNRELATED' AND (predecessor_id, successor_id) NOT IN (SELECT (predecessor_id, successor_id) FROM b2)),
+r AS (SELECT concat_ws(',', CASE WHEN delta > INTERVAL 45 DAY THEN 'temporal_distance' END, CASE WHEN cosine < 0.08 THEN 'vector_miss' END, CASE WHEN cosine < 0.08 AND common < 2 THEN 'lexical_discontinuity' END, CASE WHEN signals = 0 THEN 'boundary_signal_miss' WHEN round(signal, 9) < 0.25 THEN 'missing_semantic_anchor' END) AS reasons FROM m)
+SELECT CASE WHEN reasons = '' THEN 'other' ELSE reasons END AS reasons, count(*) AS n FROM r GROUP BY 1""")
+def _(spark, d):
+    every = said_pairs(spark, d, 90).withColumn("signal_score", F.round("signal_score", 9))
+    found = pairs.boundary_pairs(every.filter(F.col("delta") <= 45 * 86400))
+    rows = metrics.missed(found, said_gold(spark, d)).select("predecessor_id", "successor_id").join(every, ["predecessor_id", "successor_id"])
+    return metrics.miss_reasons(rows, 45 * 86400).groupBy(F.array_join("reasons", ",").alias("reasons")).agg(F.count("*").alias("n"))
 
 
 @query("O98_marginal_value", f"""WITH {BAG}, {GOLD} SELECT CASE WHEN b1.cosine IS NOT NULL AND g.predecessor_id % 2 = 0 THEN 'both' WHEN b1.cosine IS NOT NULL THEN 'only_first' WHEN g.predecessor_id % 2 = 0 THEN 'only_second' ELSE 'neither' END AS found_by, count(*) AS n FROM g LEFT JOIN b1 USING (predecessor_id, successor_id) WHERE rel <> 'UNRELATED' GROUP BY 1""")
@@ -801,9 +882,12 @@ def _(spark, d):
     return metrics.marginal_value(found, gold(spark, d).filter("predecessor_id % 2 = 0"), gold(spark, d)).groupBy("found_by").agg(F.count("*").alias("n"))
 
 
-@query("O99_verdict", "SELECT recall::DOUBLE AS recall, accuracy::DOUBLE AS accuracy, passed, confusion::DOUBLE AS confusion, verdict FROM (VALUES (0.8, 0.6, true, 0.05, 'SUPPORTED'), (0.4, 0.6, true, 0.05, 'NOT_SUPPORTED'), (0.6, 0.4, true, 0.2, 'INCONCLUSIVE')) v(recall, accuracy, passed, confusion, verdict)")
+@query("O99_verdict", """WITH m AS (SELECT o_custkey, count(*) FILTER (o_orderstatus <> 'P') / count(*) AS recall, count(*) FILTER (o_orderkey % 4 <> 0) / count(*) AS accuracy, bool_and(o_orderkey % 13 <> 0) AS passed, count(*) FILTER (o_orderkey % 9 = 0) / count(*) AS confusion FROM orders GROUP BY 1)
+SELECT o_custkey, CASE WHEN recall >= 0.7 AND accuracy >= 0.5 AND passed AND confusion <= 0.1 THEN 'SUPPORTED' WHEN recall < 0.5 OR accuracy < 0.3 OR NOT passed THEN 'NOT_SUPPORTED' ELSE 'INCONCLUSIVE' END AS verdict FROM m""")
 def _(spark, d):
-    return metrics.verdict(spark.createDataFrame([(0.8, 0.6, True, 0.05), (0.4, 0.6, True, 0.05), (0.6, 0.4, True, 0.2)], "recall double, accuracy double, passed boolean, confusion double"))
+    n = F.count("*")
+    measures = table(spark, d, "orders").groupBy("o_custkey").agg((F.count_if(F.col("o_orderstatus") != "P") / n).alias("recall"), (F.count_if(F.col("o_orderkey") % 4 != 0) / n).alias("accuracy"), F.bool_and(F.col("o_orderkey") % 13 != 0).alias("passed"), (F.count_if(F.col("o_orderkey") % 9 == 0) / n).alias("confusion"))
+    return metrics.verdict(measures).select("o_custkey", "verdict")
 
 
 @query("O41_O47_frontier", f"""WITH {PTS}, {HALF}, held AS (SELECT p.* FROM p, middle WHERE day < m), b AS (SELECT p.* FROM p, middle WHERE day >= m),
