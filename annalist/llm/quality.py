@@ -94,6 +94,15 @@ def log_det() -> Column:
     return reduce(lambda a, b: a + b, (2 * F.log(f"l{i}{i}") for i in range(len(AXES))))
 
 
+def kept_rows(rows: DataFrame, label: str = "estimate") -> DataFrame:
+    """``rows``, a row per group (and start), as a table of one file.
+
+    A join with the table is then a broadcast where its size allows, and the vectors need no shuffle by group, of which one
+    may hold most. Many files of a row each would cost the readers more memory than the rows themselves.
+    """
+    return materialize(rows.repartition(1), label)
+
+
 def first_estimates(vectors_once: DataFrame) -> DataFrame:
     """(g, start, estimate): three deterministic starts for each group, with an infinite determinant.
 
@@ -101,17 +110,18 @@ def first_estimates(vectors_once: DataFrame) -> DataFrame:
     vectors drawn in by the hyperbolic tangent of their distance from the median in deviations.
     """
     p = len(AXES)
-    medians = vectors_once.groupBy("g").agg(*(F.percentile_approx(a, 0.5, 10000).alias(f"m{i}") for i, a in enumerate(AXES)))
+    medians = kept_rows(vectors_once.groupBy("g").agg(*(F.percentile_approx(a, 0.5, 10000).alias(f"m{i}") for i, a in enumerate(AXES))), "medians")
     spread = vectors_once.join(medians, "g").groupBy("g").agg(
         *(F.first(f"m{i}").alias(f"m{i}") for i in range(p)),
         *(F.greatest(1.4826 * F.percentile_approx(F.abs(F.col(a) - F.col(f"m{i}")), 0.5, 10000), F.lit(FLOORS[a])).alias(f"l{i}{i}") for i, a in enumerate(AXES)),
     )
-    spread = materialize(spread, "estimate")
+    spread = kept_rows(spread)
+    discard(medians)
     zero = [F.lit(0.0).alias(f"l{i}{k}") for i in range(p) for k in range(i)]
     drawn = vectors_once.join(spread, "g").select("g", *((F.col(f"m{i}") + F.col(f"l{i}{i}") * F.tanh((F.col(a) - F.col(f"m{i}")) / F.col(f"l{i}{i}"))).alias(a) for i, a in enumerate(AXES)))
     kinds = [spread.select("*", *zero, F.lit(1.0).alias("scale")), estimate(vectors_once), estimate(drawn)]
     every = reduce(DataFrame.unionByName, (kind.withColumn("start", F.lit(i)) for i, kind in enumerate(kinds)))
-    return materialize(every.withColumn("det", F.lit(float("inf"))), "estimate")
+    return kept_rows(every.withColumn("det", F.lit(float("inf"))))
 
 
 def fit(vectors_once: DataFrame, steps: int, share: float) -> DataFrame:
@@ -126,22 +136,23 @@ def fit(vectors_once: DataFrame, steps: int, share: float) -> DataFrame:
     now = first_estimates(vectors_once)
     for _ in range(steps):
         far = vectors_once.join(now.drop("det"), "g").withColumn("d", distance([F.col(a) for a in AXES])).select("g", "start", *AXES, "d")
-        bound = far.groupBy("g", "start").agg(F.percentile_approx("d", share, 10000).alias("bound"))
-        then = materialize(estimate(far.join(bound, ["g", "start"]).filter(F.col("d") <= F.col("bound")), "start").withColumn("det", log_det()), "estimate")
+        bound = kept_rows(far.groupBy("g", "start").agg(F.percentile_approx("d", share, 10000).alias("bound")), "bound")
+        then = kept_rows(estimate(far.join(bound, ["g", "start"]).filter(F.col("d") <= F.col("bound")), "start").withColumn("det", log_det()))
         falls = then.join(now.select("g", "start", F.col("det").alias("old")), ["g", "start"]).filter(F.col("det") < F.col("old") - 1e-9)
         settled = falls.isEmpty()
         discard(now)
+        discard(bound)
         now = then
         if settled:
             break
     names = [c for c in now.columns if c != "g"]
-    best = now.groupBy("g").agg(F.min_by(F.struct(*names), F.struct(F.round("det", 9), "start")).alias("e")).select("g", "e.*").drop("det", "start")
+    best = kept_rows(now.groupBy("g").agg(F.min_by(F.struct(*names), F.struct(F.round("det", 9), "start")).alias("e")).select("g", "e.*").drop("det", "start"))
     far = vectors_once.join(best, "g").withColumn("d", distance([F.col(a) for a in AXES])).select("g", *AXES, "d")
-    bound = far.groupBy("g").agg((F.percentile_approx("d", 0.5, 10000) * (INNER / MEDIAN)).alias("bound"))
-    now = materialize(estimate(far.join(bound, "g").filter(F.col("d") <= F.col("bound"))), "estimate")
+    bound = kept_rows(far.groupBy("g").agg((F.percentile_approx("d", 0.5, 10000) * (INNER / MEDIAN)).alias("bound")), "bound")
+    now = kept_rows(estimate(far.join(bound, "g").filter(F.col("d") <= F.col("bound"))))
     far = vectors_once.join(now, "g").withColumn("d", distance([F.col(a) for a in AXES]))
     scale = far.groupBy("g").agg(F.greatest(F.percentile_approx("d", 0.5, 10000) / MEDIAN, F.lit(1.0)).alias("scale"))
-    return materialize(now.drop("scale").join(scale, "g"), "estimate")
+    return kept_rows(now.drop("scale").join(scale, "g"))
 
 
 def shrunk(rows: DataFrame, wide: DataFrame, pools: DataFrame, least: int) -> DataFrame:
@@ -194,7 +205,7 @@ def quality(
     of_lang, total = sizes.groupBy(F.col("lang").alias("_lang")).agg(F.sum("count").alias("of_lang")), sizes.agg(F.sum("count").alias("total"))
     sized = sizes.join(of_lang, sizes["lang"].eqNullSafe(F.col("_lang")), "left").crossJoin(total)
     pool = F.when(F.col("count") < least, F.when(F.col("of_lang") >= least, F.concat(F.lit("l"), code_of(F.col("lang")))).when(F.col("total") >= least, F.lit("a")))
-    groups = materialize(sized.select("lang", "source", F.concat_ws("\x01", code_of(F.col("lang")), code_of(F.col("source"))).alias("g"), "count", pool.alias("pool")), "groups")
+    groups = kept_rows(sized.select("lang", "source", F.concat_ws("\x01", code_of(F.col("lang")), code_of(F.col("source"))).alias("g"), "count", pool.alias("pool")), "groups")
     names = groups.select("lang", "source", "g")
     pools = groups.filter("pool is not null").select("g", "pool")
 
@@ -205,11 +216,11 @@ def quality(
     lang_pool = groups.filter("pool != 'a'").select(F.col("lang").alias("_lang"), "pool").distinct()
     by_lang = groups.select("lang", "source").join(lang_pool, F.col("lang").eqNullSafe(F.col("_lang"))).select("lang", "source", F.col("pool").alias("g"))
     by_all = groups.select("lang", "source").join(groups.filter("pool = 'a'").select("pool").distinct()).select("lang", "source", F.col("pool").alias("g"))
-    levels = materialize(names.unionByName(by_lang).unionByName(by_all), "levels")
+    levels = kept_rows(names.unionByName(by_lang).unionByName(by_all), "levels")
     vectors_once = materialize(grouped(once, "inner", levels).select("g", *AXES), "vectors")
     estimates = fit(vectors_once, steps, share)
     small = shrunk(vectors_once.join(pools.select("g"), "g", "left_semi"), estimates, pools, least)
-    estimates = materialize(estimates.join(pools.select("g"), "g", "left_anti").unionByName(small), "estimate")
+    estimates = kept_rows(estimates.join(pools.select("g"), "g", "left_anti").unionByName(small))
     far = grouped(stats, "left").join(estimates, "g", "left").withColumn("distance", F.when(~F.col("base_failed"), distance([F.col(a) for a in AXES])))
     return far.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
