@@ -107,6 +107,44 @@ def insert_between(edges: DataFrame, line_id: str, node: str, parent: str | None
     return out
 
 
+def detach(members: DataFrame, edges: DataFrame, nodes: DataFrame, at: Column) -> tuple[DataFrame, DataFrame]:
+    """Revisions of memberships and edges with those of ``nodes`` (line_id, node_id), and the edges at them, retired at ``at``."""
+    gone = nodes.select("line_id", "node_id").distinct()
+    at_them = edges.join(gone.withColumnRenamed("node_id", "parent"), ["line_id", "parent"], "left_semi").select("line_id", "parent", "child")
+    at_them = at_them.unionByName(edges.join(gone.withColumnRenamed("node_id", "child"), ["line_id", "child"], "left_semi").select("line_id", "parent", "child"))
+    return retire(members, gone, ["line_id", "node_id"], at), retire(edges, at_them, ["line_id", "parent", "child"], at)
+
+
+def attach(edges: DataFrame, wanted: DataFrame, spans: DataFrame, rejoin: bool = False) -> DataFrame:
+    """(line_id, parent, child, change): what attaching one new node to each of many lines does to the edges that hold now.
+
+    ``wanted``: line_id, node_id, parent, child, rows with the same node for several parents or children, either null where
+    there is none. ``spans``: node_id, occurred_start, occurred_end. An edge from a wanted parent to a wanted child RETIRES, as
+    the node comes between them; edges to the node and from it are ADDED, but none that would give a child a second parent,
+    unless ``rejoin``. Raises where a line gets two nodes at once, a node has edges already, or an edge would run back in time.
+    Edges that run forward in time close no cycle, so none is looked for.
+    """
+    if not wanted.groupBy("line_id").agg(F.count_distinct("node_id").alias("n")).filter("n > 1").isEmpty():
+        raise ValueError("one node a line at a time: the next one sees what this one changed")
+    known = edges.select("line_id", F.explode(F.array("parent", "child")).alias("node_id"))
+    if not wanted.join(known, ["line_id", "node_id"], "left_semi").isEmpty():
+        raise ValueError("a node that has edges is not attached again")
+    above = wanted.filter("parent is not null").select("line_id", "parent", F.col("node_id").alias("child")).distinct()
+    below = wanted.filter("child is not null").select("line_id", F.col("node_id").alias("parent"), "child").distinct()
+    p, c = (spans.select(F.col("node_id").alias(end), F.col("occurred_start").alias(f"{end}_start"), F.col("occurred_end").alias(f"{end}_end")) for end in ("parent", "child"))
+    timed = above.unionByName(below).join(p, "parent", "left").join(c, "child", "left")
+    forward = (F.col("parent_start") < F.col("child_start")) & (F.col("parent_end") <= F.col("child_start"))
+    if not timed.filter(~F.coalesce(forward, F.lit(False))).isEmpty():
+        raise ValueError("a parent must strictly precede its child")
+    keys = ["line_id", "parent", "child"]
+    between = wanted.filter("parent is not null").select("line_id", "node_id", "parent").join(wanted.filter("child is not null").select("line_id", "node_id", "child"), ["line_id", "node_id"]).select(*keys)
+    gone = edges.select(*keys).distinct().join(between, keys, "left_semi")
+    if not rejoin:  # of several wanted parents the smallest, as the node's second is refused like any other
+        above = above.groupBy("line_id", "child").agg(F.min("parent").alias("parent")).select(*keys)
+        below = below.join(edges.join(gone, keys, "left_anti").select("line_id", "child"), ["line_id", "child"], "left_anti").select(*keys)
+    return gone.withColumn("change", F.lit("RETIRED")).unionByName(above.unionByName(below).withColumn("change", F.lit("ADDED")))
+
+
 def node_id(line: Column, block: Column) -> Column:
     return identity("node_", line, block)
 

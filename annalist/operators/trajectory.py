@@ -126,3 +126,36 @@ def attachment_neighbours(matches: DataFrame, most: int = 1) -> DataFrame:
     early = F.when(F.col("role") == "successor", F.unix_micros("node_start")).otherwise(-F.unix_micros("node_end"))
     order = Window.partitionBy("block_id", "line_id", "role").orderBy(F.when((F.col("role") == "predecessor") & F.col("is_frontier"), 0).otherwise(1), early, F.desc("score"), "node_id")
     return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most)
+
+
+def observe(members: DataFrame, edges: DataFrame, arriving: DataFrame, least: float = LEAST_SIMILARITY) -> tuple[DataFrame, DataFrame]:
+    """(decisions, to_route) for arriving block states against lines that exist already; nothing is rebuilt.
+
+    ``members``: line_id, node_id, block_id, state_id, vector, occurred_start, occurred_end, the memberships that hold now with
+    the state they were made from (null where it holds no more). ``edges``: line_id, parent, child, those that hold now.
+    ``arriving``: block_id, state_id, vector, occurred_start, occurred_end, a row per block. Decisions (line_id, node_id,
+    block_id, decision): KEPT for an unchanged state; REVALIDATED where every incident edge still runs forward in time and its
+    ends are similar enough, or, without edges, the new state is similar to the old; else DETACHED, also where a vector is
+    missing. ``to_route`` are the arriving blocks without a membership, or with one that was detached: they go through
+    :func:`line_matches` and :func:`attachment_neighbours`, lines that kept them left out, and need a witness to attach.
+    """
+    new = arriving.select("block_id", F.col("state_id").alias("new_state"), F.col("vector").alias("new_vector"), F.col("occurred_start").alias("new_start"), F.col("occurred_end").alias("new_end"))
+    touched = members.join(new, "block_id")
+    ends = [("child", "parent"), ("parent", "child")]
+    incident = edges.select("line_id", F.col(ends[0][0]).alias("node_id"), F.col(ends[0][1]).alias("other"), F.lit(True).alias("above")).unionAll(
+        edges.select("line_id", F.col(ends[1][0]).alias("node_id"), F.col(ends[1][1]).alias("other"), F.lit(False).alias("above"))
+    )
+    o = members.select("line_id", F.col("node_id").alias("other"), F.col("vector").alias("o_vector"), F.col("occurred_start").alias("o_start"), F.col("occurred_end").alias("o_end"))
+    # Only the edges of touched nodes meet their other ends.
+    near = incident.join(touched.select("line_id", "node_id", "new_vector", "new_start", "new_end"), ["line_id", "node_id"]).join(o, ["line_id", "other"], "left")
+    ordered = F.when(F.col("above"), precedes(F.col("o_start"), F.col("o_end"), F.col("new_start"), F.col("new_end"))).otherwise(precedes(F.col("new_start"), F.col("new_end"), F.col("o_start"), F.col("o_end")))
+    holds = F.coalesce(ordered & (cosine(F.col("o_vector"), F.col("new_vector")) >= least), F.lit(False))
+    judged = near.groupBy("line_id", "node_id").agg(F.bool_and(holds).alias("edges_hold"))
+    alone = F.coalesce(cosine(F.col("vector"), F.col("new_vector")) >= least, F.lit(False))
+    decision = (
+        F.when(F.col("state_id").isNull(), "DETACHED").when(F.col("state_id") == F.col("new_state"), "KEPT")
+        .when(F.col("new_vector").isNotNull() & F.coalesce("edges_hold", alone), "REVALIDATED").otherwise("DETACHED")
+    )
+    decisions = touched.join(judged, ["line_id", "node_id"], "left").select("line_id", "node_id", "block_id", decision.alias("decision"))
+    settled = decisions.groupBy("block_id").agg(F.bool_and(F.col("decision") != "DETACHED").alias("whole")).filter("whole").select("block_id")
+    return decisions, arriving.join(settled, "block_id", "left_anti")

@@ -761,7 +761,7 @@ def _matches(text: str, pattern: str) -> str:
 _C, _R = pairs.Cues(), pairs.Rules()
 _ENDS = "(" + " OR ".join(_matches("s", x) for x in (_R.completion, _R.failure, _R.cancellation)) + ")"
 #: ``judged``: a verdict per pair of contents, the rules written again in SQL; ``near``: every pair of records.
-SAID_SQL = f"""rec AS (SELECT o_custkey AS person, o_orderkey AS id, o_orderdate::TIMESTAMP AS at, ({SAID!r})[((o_orderkey * 7 + o_custkey) % {len(SAID)} + 1)::INTEGER] AS content FROM orders),
+SAID_SQL = f"""rec AS (SELECT o_custkey AS person, o_orderkey AS id, o_orderdate::TIMESTAMP AS ts, ({SAID!r})[((o_orderkey * 7 + o_custkey) % {len(SAID)} + 1)::INTEGER] AS content FROM orders),
 han AS (SELECT DISTINCT content, regexp_extract_all(content, '[\\x{{4e00}}-\\x{{9fff}}]') AS h, regexp_extract_all(content, '[\\x{{4e00}}-\\x{{9fff}}]{{2,}}') AS r FROM rec),
 bag AS (SELECT content, [h[i] || h[i + 1] FOR i IN range(1, len(h))] AS b, list_distinct(flatten([[x[i:i + 1] FOR i IN range(1, len(x))] FOR x IN r])) AS u FROM han),
 term AS (SELECT content, t, count(*) AS n FROM (SELECT content, unnest(b) AS t FROM bag) GROUP BY 1, 2), size AS (SELECT content, sqrt(sum(n * n)) AS z FROM term GROUP BY 1),
@@ -779,7 +779,7 @@ judged AS (SELECT p, s, coalesce(cosine, 0) AS cosine, base, cues, common, (['UN
   CASE WHEN k IN (1, 8) THEN NULL WHEN k = 3 THEN false WHEN unsure AND closing THEN true WHEN unsure AND lasting THEN false WHEN unsure AND failing THEN true WHEN done THEN true WHEN k IN (2, 5) AND NOT unsure THEN false END AS prior_unknown_resolved,
   CASE WHEN k IN (1, 3, 8) THEN '' WHEN unsure AND closing THEN coalesce(nullif(concat_ws(',', CASE WHEN {_matches("p", _R.result)} THEN 'test_result' END, CASE WHEN {_matches("p", _R.approval)} THEN 'approval_status' END, CASE WHEN {_matches("p", _R.possibility)} THEN 'possibility_resolution' END), ''), 'general_resolution')
        WHEN unsure AND failing AND NOT lasting THEN 'outcome_determined' WHEN done AND NOT (unsure AND lasting) THEN 'plan_outcome' ELSE '' END AS dimensions FROM kind LEFT JOIN dot USING (p, s)),
-near AS (SELECT x.id AS predecessor_id, y.id AS successor_id, x.content AS p, y.content AS s, y.at - x.at AS delta FROM rec x JOIN rec y ON x.person = y.person AND (x.at < y.at OR (x.at = y.at AND x.id < y.id)) AND y.at - x.at <= INTERVAL 90 DAY),
+near AS (SELECT x.id AS predecessor_id, y.id AS successor_id, x.content AS p, y.content AS s, y.ts - x.ts AS delta FROM rec x JOIN rec y ON x.person = y.person AND (x.ts < y.ts OR (x.ts = y.ts AND x.id < y.id)) AND y.ts - x.ts <= INTERVAL 90 DAY),
 every AS (SELECT *, base + CASE WHEN delta < INTERVAL 14 DAY THEN 0.15 ELSE 0 END AS signal, cues + (delta < INTERVAL 14 DAY)::INTEGER AS signals FROM near JOIN judged USING (p, s)),
 b0 AS (SELECT * FROM every WHERE delta <= INTERVAL 45 DAY),
 b2 AS (SELECT * FROM b0 WHERE signals + (cosine >= 0.08)::INTEGER >= 1 AND round(CASE WHEN cosine >= 0.08 THEN cosine * 0.3 ELSE 0 END + signal, 9) >= 0.25),
@@ -909,6 +909,48 @@ def _(spark, d):
     return scored.select("block_id", "region_id", F.round("score", 6).alias("score"), "rescued", F.size("selected").alias("n_selected"))
 
 
+#: States that arrive: every third held block again, with its old state, a new one or an opposed vector, and every seventh of the rest.
+NEW_VECTOR = "CASE WHEN vec_id % 2 = 0 THEN v ELSE [-x FOR x IN v] END"
+
+
+@query("O58_observe", f"""WITH {PTS}, {HALF}, held AS (SELECT p.* FROM p, middle WHERE day < m), m AS (SELECT *, lag(vec_id) OVER w AS above, lead(vec_id) OVER w AS below FROM held WINDOW w AS (PARTITION BY label ORDER BY day, vec_id)),
+a AS (SELECT m.*, vec_id % 5 = 0 AS same, {NEW_VECTOR} AS nv FROM m WHERE vec_id % 3 = 0),
+d AS (SELECT a.label AS line_id, a.vec_id AS block_id, CASE WHEN same THEN 'KEPT' WHEN CASE WHEN above IS NULL AND below IS NULL THEN list_cosine_similarity(a.v, nv) >= 0
+  ELSE (above IS NULL OR (x.day < a.day AND list_cosine_similarity(x.v, nv) >= 0)) AND (below IS NULL OR (a.day < y.day AND list_cosine_similarity(y.v, nv) >= 0)) END THEN 'REVALIDATED' ELSE 'DETACHED' END AS decision
+  FROM a LEFT JOIN held x ON x.vec_id = above LEFT JOIN held y ON y.vec_id = below)
+SELECT * FROM d UNION ALL SELECT NULL, block_id, 'ROUTE' FROM d WHERE decision = 'DETACHED' UNION ALL SELECT NULL, vec_id, 'ROUTE' FROM p, middle WHERE day >= m AND vec_id % 7 = 0""")
+def _(spark, d):
+    p = points(spark, d).withColumn("at", F.col("occurred_on").cast("timestamp"))
+    held = by_half(p, True)
+    state = lambda version: F.concat_ws("@", "id", F.lit(version))
+    span = [F.col("at").alias("occurred_start"), F.col("at").alias("occurred_end")]
+    members = held.select(F.col("label").alias("line_id"), F.col("id").alias("node_id"), F.col("id").alias("block_id"), state(1).alias("state_id"), "vector", *span)
+    edges = held.select(F.col("label").alias("line_id"), F.lag("id").over(Window.partitionBy("label").orderBy("at", "id")).alias("parent"), F.col("id").alias("child")).filter("parent is not null")
+    turned = F.when(F.col("id") % 2 == 0, F.col("vector")).otherwise(F.transform("vector", lambda x: -x))
+    again = held.filter("id % 3 = 0").select(F.col("id").alias("block_id"), F.when(F.col("id") % 5 == 0, state(1)).otherwise(state(2)).alias("state_id"), turned.alias("vector"), *span)
+    fresh = by_half(p, False).filter("id % 7 = 0").select(F.col("id").alias("block_id"), state(1).alias("state_id"), "vector", *span)
+    decisions, to_route = trajectory.observe(members, edges, again.unionByName(fresh), 0.0)
+    return decisions.select("line_id", "block_id", "decision").unionByName(to_route.select(F.lit(None).cast(decisions.schema["line_id"].dataType).alias("line_id"), "block_id", F.lit("ROUTE").alias("decision")))
+
+
+@query("O59_attach", """WITH n AS (SELECT o_custkey AS line_id, o_orderkey AS id, o_orderdate AS ts FROM orders WHERE o_orderkey % 4 <> 0),
+e AS (SELECT * FROM (SELECT line_id, lag(id) OVER (PARTITION BY line_id ORDER BY ts, id) AS parent, id AS child FROM n) WHERE parent IS NOT NULL),
+x AS (SELECT o_custkey AS line_id, min(o_orderkey) AS id FROM orders WHERE o_orderkey % 4 = 0 GROUP BY 1),
+w AS (SELECT x.line_id, x.id, (SELECT last(n.id ORDER BY n.ts, n.id) FROM n WHERE n.line_id = x.line_id AND n.ts < o.o_orderdate) AS parent, (SELECT first(n.id ORDER BY n.ts, n.id) FROM n WHERE n.line_id = x.line_id AND n.ts > o.o_orderdate) AS child FROM x JOIN orders o ON o.o_orderkey = x.id),
+gone AS (SELECT e.* FROM e JOIN w ON e.line_id = w.line_id AND e.parent = w.parent AND e.child = w.child)
+SELECT line_id, parent, child, 'RETIRED' AS change FROM gone UNION ALL SELECT line_id, parent, id, 'ADDED' FROM w WHERE parent IS NOT NULL
+UNION ALL SELECT line_id, id, child, 'ADDED' FROM w WHERE child IS NOT NULL AND NOT EXISTS (SELECT 1 FROM e WHERE e.line_id = w.line_id AND e.child = w.child AND e.parent IS DISTINCT FROM w.parent)""")
+def _(spark, d):
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("line_id"), F.col("o_orderkey").alias("node_id"), F.col("o_orderdate").alias("at"))
+    held = o.filter("node_id % 4 != 0")
+    edges = held.select("line_id", F.lag("node_id").over(Window.partitionBy("line_id").orderBy("at", "node_id")).alias("parent"), F.col("node_id").alias("child")).filter("parent is not null")
+    new = o.filter("node_id % 4 = 0").groupBy("line_id").agg(F.min_by(F.struct("node_id", "at"), "node_id").alias("x")).select("line_id", "x.*")
+    n = held.select("line_id", F.col("node_id").alias("n"), F.col("at").alias("n_at"))
+    order, before, after = F.struct("n_at", "n"), F.col("n_at") < F.col("at"), F.col("n_at") > F.col("at")
+    wanted = new.join(n, "line_id", "left").groupBy("line_id", "node_id").agg(F.max_by("n", F.when(before, order)).alias("parent"), F.min_by("n", F.when(after, order)).alias("child"))
+    return linegraph.attach(edges, wanted, o.select("node_id", F.col("at").alias("occurred_start"), F.col("at").alias("occurred_end")))
+
+
 @query("O05_O07_jsonl_round_trip", "SELECT 'b' || vec_id AS block_id, label::VARCHAR AS text, len(embedding)::INTEGER AS n FROM embeddings")
 def _(spark, d):
     path = table_path(spark, "jsonl")

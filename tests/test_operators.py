@@ -337,3 +337,44 @@ def test_jsonl_source_validates(spark, tmp_path):
             read_blocks(spark, write(*bad))
     write_json(spark.range(2), str(tmp_path / "out"))
     assert spark.read.json(str(tmp_path / "out")).count() == 2
+
+
+# Nearline growth ----------------------------------------------------------------------------------
+
+
+def test_observe_keeps_revalidates_detaches_and_routes(spark):
+    schema = "line_id string, node_id string, block_id string, state_id string, vector array<double>, day int"
+    timed = lambda df: df.withColumns({"occurred_start": F.expr("timestamp'2024-01-01' + make_dt_interval(day)"), "occurred_end": F.expr("timestamp'2024-01-01' + make_dt_interval(day)")}).drop("day")
+    east, north = [1.0, 0.0], [0.0, 1.0]
+    members = timed(spark.createDataFrame([("l", "n1", "b1", "b1@1", east, 1), ("l", "n2", "b2", "b2@1", east, 2), ("l", "n3", "b3", "b3@1", east, 3), ("k", "n4", "b4", "b4@1", north, 4), ("k", "n5", "b5", None, None, 5)], schema))
+    edges = spark.createDataFrame([("l", "n1", "n2"), ("l", "n2", "n3")], "line_id string, parent string, child string")
+    arriving = lambda *r: timed(spark.createDataFrame(r, "block_id string, state_id string, vector array<double>, day int"))
+    found, route = trajectory.observe(members, edges, arriving(("b1", "b1@1", north, 1), ("b2", "b2@2", east, 2), ("b3", "b3@2", north, 3), ("b4", "b4@2", north, 9), ("b5", "b5@1", east, 5), ("b6", "b6@1", east, 6)))
+    assert rows(found, "block_id", "decision") == [("b1", "KEPT"), ("b2", "REVALIDATED"), ("b3", "DETACHED"), ("b4", "REVALIDATED"), ("b5", "DETACHED")]
+    assert rows(route, "block_id") == [("b3",), ("b5",), ("b6",)]
+    found, route = trajectory.observe(members, edges, arriving(("b2", "b2@2", east, 3), ("b4", "b4@2", None, 4)))  # no longer before n3; no vector
+    assert rows(found, "block_id", "decision") == [("b2", "DETACHED"), ("b4", "DETACHED")]
+    found, route = trajectory.observe(members, edges, arriving(("b2", "b2@2", east, 2)).filter("false"))
+    assert found.count() == route.count() == 0
+
+
+def test_attach_revises_the_edge_it_comes_between_and_refuses_a_second_parent(spark):
+    edges = spark.createDataFrame([("l", "a", "c"), ("m", "a", "c")], "line_id string, parent string, child string")
+    spans = spark.sql("select node_id, timestamp'2024-01-01' + make_dt_interval(d) occurred_start, timestamp'2024-01-01' + make_dt_interval(d) occurred_end from values ('a', 1), ('x', 2), ('y', 0), ('c', 3) t(node_id, d)")
+    wanted = lambda *r: spark.createDataFrame(r, "line_id string, node_id string, parent string, child string")
+    got = rows(linegraph.attach(edges, wanted(("l", "x", "a", "c"), ("m", "y", None, "c")), spans), "line_id", "parent", "child", "change")
+    assert got == [("l", "a", "c", "RETIRED"), ("l", "a", "x", "ADDED"), ("l", "x", "c", "ADDED")]
+    got = rows(linegraph.attach(edges, wanted(("m", "y", None, "c")), spans, rejoin=True), "line_id", "parent", "child", "change")
+    assert got == [("m", "y", "c", "ADDED")]
+    for bad in (("l", "x", "c", None),), (("l", "x", "a", None), ("l", "y", None, "c")), (("l", "c", "a", None),):
+        with pytest.raises(ValueError):
+            linegraph.attach(edges, wanted(*bad), spans)
+
+
+def test_detach_retires_a_node_and_the_edges_at_it_alone(spark):
+    held = "timestamp'2024-01-01' known_at, cast(null as timestamp) retired_at"
+    members = spark.sql(f"select *, {held} from values ('l', 'a'), ('l', 'b'), ('m', 'a') t(line_id, node_id)")
+    edges = spark.sql(f"select *, {held} from values ('l', 'a', 'b'), ('l', 'b', 'c'), ('m', 'a', 'b') t(line_id, parent, child)")
+    m, e = linegraph.detach(members, edges, spark.sql("select 'l' line_id, 'a' node_id"), ts("2024-02-01"))
+    assert rows(m.filter("retired_at is not null"), "line_id", "node_id") == [("l", "a")]
+    assert rows(e.filter("retired_at is not null"), "line_id", "parent", "child") == [("l", "a", "b")]
