@@ -91,7 +91,7 @@ class Engine:
         self.put(edges, "edges", number)
         found = trajectory.enumerate_paths(self.derived("edges", number), points, least_support=s.least_support)
         kept = trajectory.maximal_paths(self.spark.createDataFrame([(p,) for p in found], "nodes array<string>"), s.least_support)
-        paths = [(r.nodes, r.nodes[0], r.nodes[-1], 0.0) for r in kept.collect()]  # most_paths at most
+        paths = [(r.nodes, r.start, r.end, r.similarity) for r in trajectory.described(kept, self.derived("edges", number), points).collect()]  # most_paths at most
         lines = trajectory.bootstrap(paths, seed=s.least_support)
         self.put(self.spark.createDataFrame([(line, b) for line, blocks in lines for b in blocks], "line_id string, block_id string"), "lines", number)
         self.append(self.spark.createDataFrame([(number, self.fingerprint)], GENERATIONS), "generations", GENERATIONS)
@@ -184,15 +184,20 @@ class Engine:
     def accept(self, proposals: DataFrame) -> DataFrame:
         """Consolidate proposals (region_id, content, support: state ids) and append what is new; all with their action.
 
-        States of the current generation are authorized; one that is not there raises.
+        States of the current generation with valid evidence are authorized: support by others comes back as UNAUTHORIZED
+        and is not appended. A state that is not there raises.
         """
-        states = self.derived("states").select("state_id").distinct()
+        every = self.derived("states")
+        states = every.select("state_id").distinct()
         foreign = proposals.select(F.explode("support").alias("state_id")).join(states, "state_id", "left_anti")
         if not foreign.isEmpty():
             raise ValueError("support names states that do not exist")
         heads = self.heads()
-        judged = revisions.consolidate(proposals.withColumn("authorized", F.col("support")), heads)
-        new = revisions.promote(proposals.withColumn("authorized", F.col("support")), heads).join(heads.select("region_id", F.col("baseline_id").alias("previous_baseline_id")), "region_id", "left")
+        stale = self.broken(every, self.read("lifecycle", LIFECYCLE))
+        lost = proposals.select("region_id", F.explode("support").alias("state_id")).join(stale, "state_id", "left_semi").groupBy("region_id").agg(F.collect_set("state_id").alias("lost"))
+        proposals = proposals.join(lost, "region_id", "left").withColumn("authorized", F.when(F.col("lost").isNull(), F.col("support")).otherwise(F.array_except("support", "lost"))).drop("lost")
+        judged = revisions.consolidate(proposals, heads)
+        new = revisions.promote(proposals, heads).join(heads.select("region_id", F.col("baseline_id").alias("previous_baseline_id")), "region_id", "left")
         rows = judged.select("region_id", "action", "revision_number").collect()  # one row per proposal
         self.append(new, "baselines", BASELINES)
         return self.spark.createDataFrame(rows, "region_id string, action string, revision_number int")

@@ -79,6 +79,17 @@ def maximal_paths(paths: DataFrame, least_support: int = LEAST_SUPPORT) -> DataF
     return rows.join(inner, "text", "left_anti").select(identity("traj_", F.col("text")).alias("path_id"), "nodes")
 
 
+def described(paths: DataFrame, edges: DataFrame, spans: DataFrame) -> DataFrame:
+    """Paths (path_id, nodes) with start, end and mean edge similarity, the order in which they become lines.
+
+    A path of one node has similarity 0. ``edges``: parent, child, score; ``spans``: id, occurred_start, occurred_end.
+    """
+    steps = paths.select("path_id", F.explode(F.arrays_zip(F.slice("nodes", 1, F.greatest(F.size("nodes") - 1, F.lit(0))).alias("parent"), F.slice("nodes", 2, F.size("nodes")).alias("child"))).alias("s")).select("path_id", "s.*")
+    means = steps.join(edges.groupBy("parent", "child").agg(F.max("score").alias("score")), ["parent", "child"]).groupBy("path_id").agg(F.avg("score").alias("similarity"))
+    times = paths.select("path_id", F.explode("nodes").alias("id")).join(spans.select("id", "occurred_start", "occurred_end"), "id").groupBy("path_id").agg(F.min("occurred_start").alias("start"), F.max("occurred_end").alias("end"))
+    return paths.join(times, "path_id").join(means, "path_id", "left").withColumn("similarity", F.coalesce("similarity", F.lit(0.0)))
+
+
 def identity_candidates(path_blocks: DataFrame, line_blocks: DataFrame, shared: int = SHARED_BLOCKS) -> DataFrame:
     """(path_id, line_id, n_shared): lines that share at least ``shared`` blocks with a path."""
     both = path_blocks.select("path_id", "block_id").distinct().join(line_blocks.select("line_id", "block_id").distinct(), "block_id")

@@ -433,7 +433,9 @@ def _(spark, d):
 @query("O54_O55_bootstrap_lines")
 def _(spark, d):
     found = [p for p in trajectory.enumerate_paths(oriented(spark, d), spans(spark, d), most_paths=100_000) if len(p) >= 2]
-    lines = trajectory.bootstrap([(p, p[0], p[-1], 0.0) for p in found], seed=2)
+    paths = spark.createDataFrame([(i, p) for i, p in enumerate(found)], "path_id long, nodes array<bigint>")
+    told = trajectory.described(paths, oriented(spark, d), spans(spark, d)).select("nodes", "start", "end", "similarity").collect()  # most_paths at most
+    lines = trajectory.bootstrap([tuple(r) for r in told], seed=2)
     return spark.createDataFrame([(line, b) for line, blocks in lines for b in blocks], "line_id string, block_id long")
 
 

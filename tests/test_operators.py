@@ -378,3 +378,11 @@ def test_detach_retires_a_node_and_the_edges_at_it_alone(spark):
     m, e = linegraph.detach(members, edges, spark.sql("select 'l' line_id, 'a' node_id"), ts("2024-02-01"))
     assert rows(m.filter("retired_at is not null"), "line_id", "node_id") == [("l", "a")]
     assert rows(e.filter("retired_at is not null"), "line_id", "parent", "child") == [("l", "a", "b")]
+
+
+def test_paths_are_described_by_their_times_and_mean_similarity(spark):
+    paths = spark.sql("select * from values ('p', array('a', 'b', 'c')), ('q', array('c')) t(path_id, nodes)")
+    edges = spark.sql("select * from values ('a', 'b', 0.5D), ('b', 'c', 1.0D), ('a', 'c', 0.9D) t(parent, child, score)")
+    spans = spark.sql("select id, timestamp'2024-01-01' + make_dt_interval(d) occurred_start, timestamp'2024-01-02' + make_dt_interval(d) occurred_end from values ('a', 1), ('b', 2), ('c', 3) t(id, d)")
+    got = rows(trajectory.described(paths, edges, spans).withColumns({"s": F.dayofmonth("start"), "e": F.dayofmonth("end")}), "path_id", "s", "e", "similarity")
+    assert got == [("p", 2, 5, 0.75), ("q", 4, 5, 0.0)]
