@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annalist.llm import chat, lines, neighbours, packing, quality, sentencepiece, simhash, substrings, toxicity, urlfilter
+from annalist.llm import chat, lines, neighbours, packing, quality, resampling, sentencepiece, simhash, substrings, toxicity, urlfilter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +59,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("n_words")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_nearest_neighbours": op1_nearest_neighbours,
     "op2_quality_rules": op2_quality_rules,
@@ -70,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_line_dedup": op9_line_dedup,
     "op10_packing": op10_packing,
+    "op12_importance_resampling": op12_importance_resampling,
 }
 ORACLES: dict[str, str] = {
     "op2_quality_rules": quality.oracle_sql(),
@@ -77,4 +82,5 @@ ORACLES: dict[str, str] = {
     "op5_url_filter": urlfilter.ORACLE,
     "op7_chat_formatting": chat.ORACLE,
     "op9_line_dedup": lines.ORACLE,
+    "op12_importance_resampling": resampling.ORACLE,
 }
