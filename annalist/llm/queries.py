@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annalist.llm import chat, lines, neighbours, packing, quality, resampling, sentencepiece, simhash, substrings, toxicity, urlfilter
+from annalist.llm import chat, compaction, lines, neighbours, packing, quality, resampling, sentencepiece, simhash, substrings, toxicity, urlfilter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +63,10 @@ def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("n_words")
 
 
+def op13_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compaction.compact(table(spark, sf_dir, "clicks"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_nearest_neighbours": op1_nearest_neighbours,
     "op2_quality_rules": op2_quality_rules,
@@ -75,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_line_dedup": op9_line_dedup,
     "op10_packing": op10_packing,
     "op12_importance_resampling": op12_importance_resampling,
+    "op13_compaction": op13_compaction,
 }
 ORACLES: dict[str, str] = {
     "op2_quality_rules": quality.oracle_sql(),
