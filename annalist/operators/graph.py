@@ -46,11 +46,12 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
 HOPS_A_JOB = 8
 
 
-def reachable(edges: DataFrame, starts: DataFrame, src: str = "parent", dst: str = "child", most_hops: int = 10_000) -> DataFrame:
+def reachable(edges: DataFrame, starts: DataFrame, src: str = "parent", dst: str = "child", most_hops: int = 10_000, bounded: bool = False) -> DataFrame:
     """(start, node, hops): every node that a start reaches along directed edges, itself at 0, by fewest hops.
 
     Breadth-first, HOPS_A_JOB joins a job, over the newly reached pairs only; ends when a job adds
-    none. Nodes over ``most_hops`` away are left out, and none further is looked for.
+    none. Raises where a node lies more than ``most_hops`` away, unless ``bounded`` asks for the nodes
+    up to there and no others.
     """
     along = materialize(edges.select(F.col(src).alias("node"), F.col(dst).alias("next")).na.drop().distinct(), "edges")
     front = materialize(starts.select(F.col(starts.columns[0]).alias("start")).na.drop().distinct().select("start", F.col("start").alias("node"), F.lit(0).alias("hops")), "front")
@@ -63,8 +64,13 @@ def reachable(edges: DataFrame, starts: DataFrame, src: str = "parent", dst: str
         new = reduce(DataFrame.unionAll, steps).groupBy("start", "node").agg(F.min("hops").alias("hops"))
         front = materialize(new.join(found.select("start", "node"), ["start", "node"], "left_anti"), "front")
         if front.isEmpty():
-            break
+            return found
         found = found.unionByName(front)
+    if not bounded:
+        last = front.filter(F.col("hops") == most_hops)
+        beyond = last.join(along, "node").select("start", F.col("next").alias("node")).join(found.select("start", "node"), ["start", "node"], "left_anti")
+        if not beyond.isEmpty():
+            raise RuntimeError(f"a node lies more than {most_hops} hops away")
     return found
 
 

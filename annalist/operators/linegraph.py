@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from annalist.functions.text import identity
 from annalist.functions.vector import cosine
-from annalist.operators.graph import descendants, in_cycle, paths, reachable
+from annalist.operators.graph import HOPS_A_JOB, descendants, in_cycle, paths, reachable
 from annalist.operators.visibility import latest
 from annalist.scratch import materialize
 
@@ -67,8 +69,58 @@ def frontier_paths(visible: DataFrame, edges: DataFrame, most_paths: int = 256,
     return paths(inside, most_paths=most_paths, most_nodes=most_nodes).unionByName(lone.select(F.array("node_id").alias("nodes")))
 
 
+def line_paths(visible: DataFrame, edges: DataFrame, most_paths: int = 256, most_nodes: int = 64) -> tuple[DataFrame, DataFrame]:
+    """(paths, skipped): per line all root-to-frontier paths (line_id, nodes), but for lines that have too many or too long ones.
+
+    ``visible``: line_id, node_id; ``edges``: line_id, parent, child. ``skipped`` says (line_id, reason) why a line is left
+    out as a whole; the others are complete. Paths are counted before any is written out: a node's count at a hop is the sum
+    over its parents, so a line with very many costs no more than its edges, and the enumeration after it is bounded by
+    ``most_paths`` rows a line. A line that has a cycle is over any length.
+    """
+    seen = materialize(visible.select("line_id", "node_id").na.drop().distinct(), "visible")
+    end = lambda name: seen.withColumnRenamed("node_id", name)
+    inside = materialize(edges.select("line_id", "parent", "child").distinct().join(end("parent"), ["line_id", "parent"], "left_semi").join(end("child"), ["line_id", "child"], "left_semi"), "inside")
+    roots = seen.join(inside.withColumnRenamed("child", "node_id"), ["line_id", "node_id"], "left_anti")
+    inner = inside.select("line_id", F.col("parent").alias("node_id"), F.lit(True).alias("inner")).distinct()
+    along = inside.withColumnRenamed("parent", "node_id")
+
+    def jobs(first: DataFrame, onward):
+        """The states of a walk by hops, HOPS_A_JOB of them a table, until none is left or ``most_nodes`` are passed."""
+        now, hop = first, 1
+        while hop <= most_nodes:
+            steps = [now.withColumn("hop", F.lit(hop))]
+            for more in range(1, min(HOPS_A_JOB, most_nodes - hop + 1) + 1):
+                steps.append(onward(steps[-1].drop("hop")).withColumn("hop", F.lit(hop + more)))
+            done = materialize(reduce(DataFrame.unionAll, steps), "walk")
+            hop += len(steps) - 1
+            yield done.filter(F.col("hop") < hop)
+            now = done.filter(F.col("hop") == hop).drop("hop")
+            if now.isEmpty():
+                return
+        yield now.withColumn("hop", F.lit(hop))
+
+    full = F.lit(most_paths + 1).cast("long")  # counts stop here
+    count = lambda rows: rows.join(along, ["line_id", "node_id"]).groupBy("line_id", F.col("child").alias("node_id")).agg(F.least(F.sum("n"), full).alias("n"))
+    walks = reduce(DataFrame.unionAll, jobs(roots.withColumn("n", F.lit(1).cast("long")), count))
+    ends = walks.join(inner, ["line_id", "node_id"], "left").groupBy("line_id").agg(
+        F.least(F.sum(F.when(F.col("inner").isNull() & (F.col("hop") <= most_nodes), F.col("n"))), full).alias("n"), F.max("hop").alias("longest")
+    )
+    lines = seen.select("line_id").distinct().join(ends, "line_id", "left")
+    reason = F.when(F.col("longest").isNull() | (F.col("longest") > most_nodes), f"a path has over {most_nodes} nodes").when(F.col("n") > most_paths, f"over {most_paths} paths")
+    judged = materialize(lines.select("line_id", reason.alias("reason")), "lines")
+    whole = judged.filter("reason is null").select("line_id")
+
+    def grow(rows: DataFrame) -> DataFrame:
+        open_ = rows.withColumn("node_id", F.element_at("nodes", -1)).join(along, ["line_id", "node_id"])
+        return open_.select("line_id", F.concat("nodes", F.array("child")).alias("nodes"))
+
+    grown = reduce(DataFrame.unionAll, jobs(roots.join(whole, "line_id", "left_semi").select("line_id", F.array("node_id").alias("nodes")), grow))
+    tips = grown.withColumn("node_id", F.element_at("nodes", -1)).join(inner, ["line_id", "node_id"], "left_anti")
+    return tips.select("line_id", "nodes"), judged.filter("reason is not null")
+
+
 def raw_closure(starts: DataFrame, edges: DataFrame, bridge: DataFrame) -> DataFrame:
-    """(start, evidence_id): the evidence of each start and all of its ancestors."""
+    """(start, evidence_id): the evidence of each start and all of its ancestors; raises beyond 10,000 hops."""
     up = reachable(edges, starts, src="child", dst="parent")
     return up.withColumnRenamed("node", "node_id").join(bridge, "node_id").select("start", "evidence_id").distinct()
 
@@ -159,6 +211,6 @@ def projection(visible: DataFrame, edges: DataFrame, block: DataFrame, bridge: D
     scored = materialize(scored, "scored")
     anchor = scored.orderBy(F.desc("similarity"), "node_id").limit(1).select("node_id")
     both = edges.select("parent", "child").unionAll(edges.select(F.col("child").alias("parent"), F.col("parent").alias("child")))
-    near = reachable(both, anchor, most_hops=3 * most_nodes).withColumnRenamed("node", "node_id").join(scored, "node_id")
+    near = reachable(both, anchor, most_hops=3 * most_nodes, bounded=True).withColumnRenamed("node", "node_id").join(scored, "node_id")
     nodes = near.orderBy("hops", F.desc("similarity"), "node_id").limit(most_nodes)
     return nodes.select("node_id", "hops", "similarity"), raw_closure(nodes.select("node_id"), edges, bridge).select("evidence_id").distinct()

@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+import math
+from collections import defaultdict
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from annalist.functions.text import identity
+from annalist.operators.graph import connected_components
+from annalist.operators.linegraph import line_paths, raw_closure
+from annalist.operators.similarity import BLOCK_ROWS
+from annalist.scratch import materialize
 
 POINTS, LEAST_COSINE, LEAST_LINES, LEAST_NODES, MOST_VIEWS, MOST_STEPS, MOST_FOUND = 17, 0.95, 3, 3, 512, 100_000, 64
+MOST_PATHS, MOST_NODES = 256, 64
 
 
 def resample(vectors: np.ndarray, points: int = POINTS) -> np.ndarray | None:
@@ -25,8 +33,8 @@ def resample(vectors: np.ndarray, points: int = POINTS) -> np.ndarray | None:
 def signatures(paths: DataFrame, points: int = POINTS) -> DataFrame:
     """(view_id, line_id, signature): the resampled path from its own origin, flattened, of length one.
 
-    ``paths``: line_id, node_ids, vectors (array of arrays). Paths without length or with vectors of
-    different sizes drop out.
+    ``paths``: line_id, node_ids, vectors (array of arrays), and state_ids where a view is one of certain states. Paths
+    without length or with vectors of different sizes drop out.
     """
 
     def shape(batches):
@@ -39,10 +47,39 @@ def signatures(paths: DataFrame, points: int = POINTS) -> DataFrame:
                 out.append(None if flat is None or not np.linalg.norm(flat) else (flat / np.linalg.norm(flat)).tolist())
             yield pd.DataFrame({"view_id": batch["view_id"], "line_id": batch["line_id"], "signature": out})
 
-    named = paths.select(identity("view_", F.col("line_id"), F.array_join(F.transform("node_ids", lambda n: n.cast("string")), ",")).alias("view_id"), F.col("line_id").cast("string").alias("line_id"), "vectors")
+    named = paths.select(view_id(paths).alias("view_id"), F.col("line_id").cast("string").alias("line_id"), "vectors")
     return named.mapInPandas(shape, "view_id string, line_id string, signature array<double>").filter("signature is not null")
 
 
+def view_id(paths: DataFrame) -> Column:
+    ids = [F.array_join(F.transform(name, lambda n: n.cast("string")), ",") for name in ("node_ids", "state_ids") if name in paths.columns]
+    return identity("view_", F.col("line_id"), *ids)
+
+
+def line_views(
+    visible: DataFrame, edges: DataFrame, states: DataFrame, bridge: DataFrame, least_nodes: int = LEAST_NODES, most_paths: int = MOST_PATHS, most_nodes: int = MOST_NODES, points: int = POINTS
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(views, evidence, skipped): the views that lines give of themselves, one a root-to-frontier path of enough nodes.
+
+    ``visible``: line_id, node_id; ``edges``: line_id, parent, child; ``states``: node_id, state_id, vector, the state that
+    holds at the cutoff; ``bridge``: node_id, evidence_id. ``views`` have view_id, line_id, node_ids, signature; a path with a
+    node without state or vector gives none. ``evidence`` is (view_id, evidence_id): all that the path's last node and its
+    ancestors rest on, over every parent and not only those of the path. ``skipped`` are the lines with too many or too
+    long paths, and why: they show nothing, and what is found without them is partial.
+    """
+    paths, skipped = line_paths(visible, edges, most_paths, most_nodes)
+    long = materialize(paths.filter(F.size("nodes") >= least_nodes).select("line_id", F.col("nodes").alias("node_ids")), "paths")
+    known = states.filter("state_id is not null and size(vector) > 0").select("node_id", F.struct(F.col("state_id").cast("string").alias("state_id"), F.col("vector").cast("array<double>").alias("vector")).alias("state"))
+    each = long.select("line_id", "node_ids", F.posexplode("node_ids").alias("at", "node_id")).join(known, "node_id")
+    told = each.groupBy("line_id", "node_ids").agg(F.array_sort(F.collect_list(F.struct("at", "state"))).alias("x")).filter(F.size("x") == F.size("node_ids"))
+    rows = told.select("line_id", "node_ids", F.transform("x", lambda s: s["state"]["state_id"]).alias("state_ids"), F.transform("x", lambda s: s["state"]["vector"]).alias("vectors"))
+    rows = materialize(rows.withColumn("view_id", view_id(rows)), "views")
+    views = materialize(signatures(rows, points).select("view_id", "signature").join(rows.select("view_id", "line_id", "node_ids"), "view_id"), "views")
+    tips = views.select("view_id", F.element_at("node_ids", -1).alias("start"))
+    closed = raw_closure(tips.select("start").distinct(), edges, bridge)
+    return views.select("view_id", "line_id", "node_ids", "signature"), tips.join(closed, "start").select("view_id", "evidence_id"), skipped
+
+
 def cliques(neighbours: dict, most_steps: int = MOST_STEPS) -> list[frozenset]:
     """Maximal cliques by branching with a pivot; fails beyond ``most_steps`` branches."""
     found, steps = [], 0
@@ -63,38 +100,60 @@ def cliques(neighbours: dict, most_steps: int = MOST_STEPS) -> list[frozenset]:
     return found
 
 
+def alike(views: DataFrame, least: float = LEAST_COSINE) -> DataFrame:
+    """(a, b, similarity): pairs of views of different lines whose signatures have at least this cosine, a < b.
+
+    Blocks of the similarity matrix are one matrix product each; what is not alike never leaves a block.
+    """
+    rows = views.select("view_id", F.col("line_id").cast("string").alias("line_id"), "signature")
+    blocks = max(1, math.ceil(rows.count() / BLOCK_ROWS))
+    part = F.pmod(F.xxhash64("view_id"), F.lit(blocks)).cast("int")
+    left = rows.withColumn("i", part).withColumn("j", F.explode(F.sequence("i", F.lit(blocks - 1))))
+    right = rows.withColumn("j", part).withColumn("i", F.explode(F.sequence(F.lit(0), "j")))
+
+    def block(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for size in set(x["signature"].map(len)) & set(y["signature"].map(len)):
+            p, q = x[x["signature"].map(len) == size], y[y["signature"].map(len) == size]
+            scores = np.stack(p["signature"].to_list()) @ np.stack(q["signature"].to_list()).T
+            for r, c in zip(*np.nonzero(scores >= least)):
+                a, b = p["view_id"].iat[r], q["view_id"].iat[c]
+                if p["line_id"].iat[r] != q["line_id"].iat[c]:
+                    out.append((min(a, b), max(a, b), float(scores[r, c])))
+        return pd.DataFrame(out, columns=["a", "b", "similarity"])
+
+    found = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(block, "a string, b string, similarity double")
+    return found.groupBy("a", "b").agg(F.max("similarity").alias("similarity"))  # a block meets itself both ways
+
+
 def surfaces(views: DataFrame, least: float = LEAST_COSINE, lines: int = LEAST_LINES, most_views: int = MOST_VIEWS, most_found: int = MOST_FOUND) -> DataFrame:
-    """(surface_id, view_ids, least_similarity, mean_similarity): maximal sets of views, one per line,
-    all alike; one bounded group, refused beyond ``most_views``.
+    """(surface_id, view_ids, least_similarity, mean_similarity): maximal sets of views, one per line, all alike.
+
+    Sets lie inside connected components of alike views, so each component is searched by itself. A component of over
+    ``most_views`` views, or with more than ``most_found`` sets, is refused.
     """
-    if views.limit(most_views + 1).count() > most_views:
-        raise RuntimeError(f"over {most_views} views")
     schema = "surface_id string, view_ids array<string>, least_similarity double, mean_similarity double"
+    pairs = materialize(alike(views, least), "alike")
+    parts = materialize(connected_components(pairs), "components")
+    large = parts.groupBy("component").agg(F.count("*").alias("n")).filter(F.col("n") > most_views)
+    if not large.isEmpty():
+        raise RuntimeError(f"over {most_views} views are alike")
 
     def search(rows: pd.DataFrame) -> pd.DataFrame:
         import hashlib
 
-        rows = rows.sort_values("view_id").reset_index(drop=True)
-        groups = rows.groupby(rows["signature"].map(len)).groups
-        near, cosine = {i: set() for i in range(len(rows))}, {}
-        for index in groups.values():
-            m = np.stack(rows.loc[index, "signature"].to_list())
-            scores = m @ m.T
-            for a, i in enumerate(index):
-                for b, j in enumerate(index):
-                    if i < j and scores[a, b] >= least and rows.line_id[i] != rows.line_id[j]:
-                        near[i].add(j)
-                        near[j].add(i)
-                        cosine[i, j] = float(scores[a, b])
-        found = sorted((sorted(c) for c in cliques(near) if len(c) >= lines), key=lambda c: [rows.view_id[i] for i in c])
+        near, cosine = defaultdict(set), {}
+        for a, b, score in zip(rows["a"], rows["b"], rows["similarity"]):
+            near[a].add(b)
+            near[b].add(a)
+            cosine[a, b] = score
+        found = sorted(sorted(c) for c in cliques(near) if len(c) >= lines)
         if len(found) > most_found:
-            raise RuntimeError(f"over {most_found} surfaces")
+            raise RuntimeError(f"over {most_found} surfaces in one component")
         out = []
-        for c in found:
-            pairs = [cosine[i, j] for k, i in enumerate(c) for j in c[k + 1 :]]
-            ids = [rows.view_id[i] for i in c]
-            out.append(("surface_" + hashlib.sha256("|".join(ids).encode()).hexdigest()[:24], ids, min(pairs), float(np.mean(pairs))))
+        for ids in found:
+            scores = [cosine[a, b] for k, a in enumerate(ids) for b in ids[k + 1 :]]
+            out.append(("surface_" + hashlib.sha256("|".join(ids).encode()).hexdigest()[:24], ids, min(scores), float(np.mean(scores))))
         return pd.DataFrame(out, columns=["surface_id", "view_ids", "least_similarity", "mean_similarity"])
 
-    return views.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(search, schema)
-
+    return pairs.join(parts.withColumnRenamed("node", "a"), "a").groupBy("component").applyInPandas(search, schema)

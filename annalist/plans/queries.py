@@ -609,11 +609,71 @@ def _(spark, d):
     starts = F.explode(F.when(F.size("x") >= 4, F.sequence(F.lit(1), F.size("x") - 3)))
     four = F.slice("x", F.col("n"), F.lit(4))
     rows = paths.select(F.col("label").alias("line_id"), starts.alias("n"), "x").select("line_id", F.transform(four, lambda s: s["id"]).alias("node_ids"), F.transform(four, lambda s: s["vector"]).alias("vectors"))
-    # No more views than points; cliques are still counted against the search's own bounds.
-    found = surface.surfaces(surface.signatures(rows), 0.8, most_views=p.count())
+    found = surface.surfaces(surface.signatures(rows), 0.8)
     return found.select("surface_id", F.size("view_ids").alias("n_views"), F.round("least_similarity", 6).alias("least_similarity"))
 
 
+#: A customer's orders as a line: a tree by halves of the place in time, where every fifth order has a second parent.
+TREE = """n AS (SELECT o_custkey AS line_id, o_orderkey AS id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS place FROM orders),
+te AS (SELECT c.line_id, p.id AS parent, c.id AS child FROM n c JOIN n p ON p.line_id = c.line_id AND (p.place = c.place // 2 OR (c.place % 5 = 0 AND p.place = c.place - 1)) GROUP BY 1, 2, 3)"""
+
+
+def order_trees(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    o = table(spark, d, "orders")
+    place = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
+    n = o.select(F.col("o_custkey").alias("line_id"), F.col("o_orderkey").alias("node_id"), place.alias("place"), "o_totalprice", "o_orderdate")
+    above = F.explode(F.array_distinct(F.array(F.floor(F.col("place") / 2), F.when(F.col("place") % 5 == 0, F.col("place") - 1).otherwise(F.floor(F.col("place") / 2)))))
+    p = n.select("line_id", F.col("place").cast("long").alias("above"), F.col("node_id").alias("parent"))
+    return n, n.select("line_id", F.col("node_id").alias("child"), above.alias("above")).join(p, ["line_id", "above"]).select("line_id", "parent", "child")
+
+
+@query("O71_line_views", f"""WITH RECURSIVE {TREE}, hid AS (SELECT line_id, id FROM n WHERE id % 23 = 0 UNION SELECT te.line_id, te.child FROM hid JOIN te ON te.line_id = hid.line_id AND te.parent = hid.id),
+v AS (SELECT line_id, id FROM n WHERE (line_id, id) NOT IN (SELECT * FROM hid)),
+e AS (SELECT te.* FROM te JOIN v a ON a.line_id = te.line_id AND a.id = te.parent JOIN v b ON b.line_id = te.line_id AND b.id = te.child),
+w AS (SELECT line_id, id AS tail, [id] AS nodes FROM v WHERE (line_id, id) NOT IN (SELECT line_id, child FROM e) UNION ALL SELECT w.line_id, e.child, list_append(w.nodes, e.child) FROM w JOIN e ON e.line_id = w.line_id AND e.parent = w.tail WHERE len(w.nodes) <= 6),
+t AS (SELECT * FROM w WHERE (line_id, tail) NOT IN (SELECT line_id, parent FROM e) OR len(nodes) > 6),
+l AS (SELECT line_id, max(len(nodes)) > 6 AS long, count(*) > 8 AS many FROM t GROUP BY 1),
+up AS (SELECT DISTINCT t.line_id, tail AS start, tail AS node FROM t JOIN l USING (line_id) WHERE NOT long AND NOT many UNION SELECT up.line_id, up.start, te.parent FROM up JOIN te ON te.line_id = up.line_id AND te.child = up.node),
+c AS (SELECT start, count(*) AS n FROM up GROUP BY 1)
+SELECT t.line_id, array_to_string(nodes, '>') AS nodes, c.n AS n_evidence, NULL AS skipped FROM t JOIN l USING (line_id) JOIN c ON c.start = t.tail WHERE NOT long AND NOT many AND len(nodes) >= 3 AND len(list_filter(nodes, lambda x: x % 29 = 0)) = 0
+UNION ALL SELECT line_id, NULL, NULL, CASE WHEN long THEN 'a path has over 6 nodes' ELSE 'over 8 paths' END FROM l WHERE long OR many""")
+def _(spark, d):
+    n, edges = order_trees(spark, d)
+    shown = linegraph.visible_nodes(n.filter("node_id % 23 != 0").select("node_id"), edges)
+    # Every 29th order has no state; an order is its own evidence.
+    states = n.select("node_id", F.when(F.col("node_id") % 29 != 0, F.col("node_id")).alias("state_id"), F.array(F.datediff(F.col("o_orderdate").cast("date"), F.lit("1990-01-01").cast("date")).cast("double"), F.col("o_totalprice").cast("double")).alias("vector"))
+    views, evidence, skipped = surface.line_views(n.select("line_id", "node_id").join(shown, "node_id"), edges, states, n.select("node_id", F.col("node_id").alias("evidence_id")), most_paths=8, most_nodes=6)
+    told = views.join(evidence.groupBy("view_id").agg(F.count("*").alias("n_evidence")), "view_id")
+    nothing = lambda kind: F.lit(None).cast(kind)
+    return told.select("line_id", F.array_join(F.transform("node_ids", lambda x: x.cast("string")), ">").alias("nodes"), "n_evidence", nothing("string").alias("skipped")).unionByName(
+        skipped.select("line_id", nothing("string").alias("nodes"), nothing("long").alias("n_evidence"), F.col("reason").alias("skipped"))
+    )
+
+
+#: Six consecutive vectors of a label are a line, a tree by halves; each line has a twin moved by a constant and one of twice the size.
+SIXES = """q AS (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS i FROM embeddings), x AS (SELECT vec_id, label || '/' || (i // 6) AS line_id, i % 6 + 1 AS place FROM q),
+xe AS (SELECT c.line_id, p.vec_id AS parent, c.vec_id AS child FROM x c JOIN x p ON p.line_id = c.line_id AND p.place = c.place // 2)"""
+
+
+@query("O72_line_surfaces", f"""WITH RECURSIVE {SIXES}, w AS (SELECT line_id, vec_id AS tail, vec_id::VARCHAR AS nodes, 1 AS n FROM x WHERE place = 1 UNION ALL SELECT w.line_id, xe.child, w.nodes || '>' || xe.child, n + 1 FROM w JOIN xe ON xe.line_id = w.line_id AND xe.parent = w.tail)
+SELECT nodes, 3 AS n_views, 1.0::DOUBLE AS least_similarity, 3 * n AS n_evidence FROM w WHERE n >= 3 AND (line_id, tail) NOT IN (SELECT line_id, parent FROM xe)""")
+def _(spark, d):
+    e = table(spark, d, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("vector"))
+    i = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1
+    x = e.withColumn("i", i).select("vec_id", F.concat_ws("/", "label", F.floor(F.col("i") / 6)).alias("six"), (F.col("i") % 6 + 1).alias("place"), "vector")
+    kind = F.explode(F.array(F.struct(F.lit("as-is").alias("twin"), F.lit(1.0).alias("by"), F.lit(0.0).alias("add")), F.struct(F.lit("moved").alias("twin"), F.lit(1.0).alias("by"), F.lit(3.5).alias("add")), F.struct(F.lit("large").alias("twin"), F.lit(2.0).alias("by"), F.lit(0.0).alias("add"))))
+    n = x.withColumn("k", kind).select(F.concat_ws("/", "six", "k.twin").alias("line_id"), F.concat_ws("/", "vec_id", "k.twin").alias("node_id"), "vec_id", "place", F.transform("vector", lambda v: v * F.col("k.by") + F.col("k.add")).alias("vector"))
+    p = n.select("line_id", F.col("place").cast("long").alias("above"), F.col("node_id").alias("parent"))
+    edges = n.select("line_id", F.floor(F.col("place") / 2).alias("above"), F.col("node_id").alias("child")).join(p, ["line_id", "above"]).select("line_id", "parent", "child")
+    nodes = n.select("line_id", "node_id")
+    views, evidence, _ = surface.line_views(nodes, edges, n.select("node_id", F.col("node_id").alias("state_id"), "vector"), n.select("node_id", F.col("node_id").alias("evidence_id")))
+    found = surface.surfaces(views).select("surface_id", F.round("least_similarity", 6).alias("least_similarity"), F.size("view_ids").alias("n_views"), F.explode("view_ids").alias("view_id"))
+    member = found.join(views.select("view_id", F.transform("node_ids", lambda n: F.substring_index(n, "/", 1)).alias("ids")), "view_id")
+    seen = found.select("surface_id", "view_id").join(evidence, "view_id").groupBy("surface_id").agg(F.count_distinct("evidence_id").alias("n_evidence"))
+    whole = member.groupBy("surface_id", "n_views", "least_similarity").agg(F.min(F.array_join("ids", ">")).alias("nodes"), F.count_distinct(F.array_join("ids", ">")).alias("n"))
+    return whole.filter("n = 1").join(seen, "surface_id").select("nodes", "n_views", "least_similarity", "n_evidence")
+
+
 @query("O73_O74_draft_observations", "SELECT o_custkey AS worktree_id, count(DISTINCT o_orderstatus || o_orderpriority) AS observations FROM orders GROUP BY 1")
 def _(spark, d):
     o = table(spark, d, "orders")
