@@ -125,28 +125,88 @@ def raw_closure(starts: DataFrame, edges: DataFrame, bridge: DataFrame) -> DataF
     return up.withColumnRenamed("node", "node_id").join(bridge, "node_id").select("start", "evidence_id").distinct()
 
 
-def add_edge(edges: DataFrame, line_id: str, parent: str, child: str, known_at: Column, fingerprint: str = "") -> DataFrame:
-    """The revisions with one edge more; unchanged if the child is reachable already (a shortcut).
+def reach_spans(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """(line_id, start, node, since, until, last): when each start of a line reaches which nodes, and by edges up to which ordinal.
 
-    Fails if the edge would close a cycle at its own cutoff or at any later revision boundary.
+    ``edges``: line_id, parent, child, since, until (null: open), last; ``starts``: line_id, start, since. A path holds while
+    all of its edges do, so spans are intersected along it and ``last`` is the greatest of its edges; what no other path of
+    the same two ends outlasts by span and ordinal stays. HOPS_A_JOB joins a job, no job per revision boundary.
+    """
+    along = materialize(edges.select("line_id", F.col("parent").alias("node"), F.col("child").alias("next"), F.col("since").alias("s"), F.col("until").alias("u"), F.col("last").alias("l")), "along")
+    key = ["line_id", "start", "node"]
+    front = materialize(starts.select("line_id", "start", F.col("start").alias("node"), "since", F.lit(None).cast(along.schema["u"].dataType).alias("until"), F.lit(0).cast("long").alias("last")), "front")
+    found = front
+    while True:
+        step, steps = front, []
+        for _ in range(HOPS_A_JOB):
+            on = step.join(along, ["line_id", "node"]).select(
+                "line_id", "start", F.col("next").alias("node"), F.greatest("since", "s").alias("since"), F.least("until", "u").alias("until"), F.greatest("last", "l").alias("last")
+            )
+            step = on.filter("until is null or since < until").groupBy(*key, "since", "until").agg(F.min("last").alias("last"))
+            steps.append(step)
+        new, old = reduce(DataFrame.unionAll, steps).groupBy(*key, "since", "until").agg(F.min("last").alias("last")).alias("n"), found.alias("f")
+        outlasts = (F.col("f.since") <= F.col("n.since")) & (F.col("f.until").isNull() | (F.col("f.until") >= F.col("n.until"))) & (F.col("f.last") <= F.col("n.last"))
+        same = (F.col("f.line_id") == F.col("n.line_id")) & (F.col("f.start") == F.col("n.start")) & (F.col("f.node") == F.col("n.node"))
+        front = materialize(new.join(old, same & outlasts, "left_anti"), "front")
+        if front.isEmpty():
+            return found
+        found = found.unionByName(front)
+
+
+def judge_edges(edges: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(line_id, parent, child, known_at, ordinal, verdict): what becomes of a batch of edges, one after the other in every line.
+
+    ``edges``: line_id, parent, child, known_at, retired_at. ``wanted``: line_id, parent, child, known_at, and ordinal, the
+    order of arrival in a line, from 1, without ties. SELF: both ends are one node. SHORTCUT: the child is reachable at
+    ``known_at`` already, by what holds then or was added before it in the batch. CYCLE: the parent is reachable from the
+    child then or at any later revision boundary. Else ADDED. Only an ADDED edge counts for those after it.
+
+    All lines and boundaries are answered together from one table of spans. An edge waits for the next round only where its
+    verdict hangs on an earlier edge that is undecided itself.
     """
-    spark = edges.sparkSession
-    line = edges.filter(F.col("line_id") == line_id)
-    at = spark.range(1).select(known_at.alias("t"))
-    later = line.select(F.explode(F.array("known_at", "retired_at")).alias("t")).filter("t is not null").join(at.select(F.col("t").alias("from")), F.col("t") > F.col("from")).select("t").distinct()
-    start = spark.createDataFrame([(parent,)], "node string")
-    now = line.join(at).filter("known_at <= t and (retired_at is null or retired_at > t)").select("parent", "child").distinct()
-    if not reachable(now, start).filter(F.col("node") == child).isEmpty():
-        return edges
-    back = spark.createDataFrame([(child,)], "node string")
-    for row in at.union(later).collect():  # one row per revision boundary of one line
-        then = line.filter((F.col("known_at") <= F.lit(row.t)) & (F.col("retired_at").isNull() | (F.col("retired_at") > F.lit(row.t))))
-        if not reachable(then.select("parent", "child"), back).filter(F.col("node") == parent).isEmpty():
-            raise RuntimeError("the edge closes a cycle")
-    new = at.select(F.lit(line_id).alias("line_id"), F.lit(parent).alias("parent"), F.lit(child).alias("child"), F.col("t").alias("known_at"), F.lit(None).cast("timestamp").alias("retired_at"), F.lit(fingerprint).alias("derivation_fingerprint"))
+    key, pair = ["line_id", "parent", "child", "known_at", "ordinal"], ["line_id", "start", "node"]
+    batch = materialize(wanted.select(*key[:4], F.col("ordinal").cast("long").alias("ordinal")), "wanted")
+    walk = lambda rows, until, last: rows.select("line_id", "parent", "child", F.col("known_at").alias("since"), until.cast(edges.schema["retired_at"].dataType).alias("until"), last.alias("last"))
+    none, sure = F.lit(None), F.lit(0).cast("long")
+    held = walk(edges, F.col("retired_at"), sure)
+    decided = [batch.filter("parent = child").withColumn("verdict", F.lit("SELF"))]
+    todo = batch.filter("parent != child")
+    while not todo.isEmpty():
+        since = todo.groupBy("line_id").agg(F.min("known_at").alias("since"))
+        starts = todo.select("line_id", F.explode(F.array("parent", "child")).alias("start")).distinct().join(since, "line_id")
+        lines = held.join(since.select("line_id"), "line_id", "left_semi")
+        spans = materialize(reach_spans(lines.unionByName(walk(todo, none, F.col("ordinal"))), starts), "spans")
+
+        def met(start: str, node: str, holds: Column, name: str) -> DataFrame:
+            ends = todo.withColumnsRenamed({start: "start", node: "node"}).join(spans, pair).filter(holds & (F.col("last") < F.col("ordinal")))
+            return ends.groupBy("line_id", "ordinal").agg(F.min("last").alias(name))
+
+        open_after = F.col("until").isNull() | (F.col("until") > F.col("known_at"))
+        short, back = met("parent", "child", open_after & (F.col("since") <= F.col("known_at")), "short"), met("child", "parent", open_after, "back")
+        verdict = F.when(F.col("short") == 0, "SHORTCUT").when(F.col("short").isNull() & (F.col("back") == 0), "CYCLE").when(F.col("short").isNull() & F.col("back").isNull(), "ADDED")
+        judged = materialize(todo.join(short, ["line_id", "ordinal"], "left").join(back, ["line_id", "ordinal"], "left").withColumn("verdict", verdict).select(*key, "verdict"), "judged")
+        decided.append(judged.filter("verdict is not null"))
+        held = held.unionByName(walk(judged.filter("verdict = 'ADDED'"), none, sure))
+        todo = judged.filter("verdict is null").drop("verdict")
+    return reduce(DataFrame.unionByName, [d.select(*key, "verdict") for d in decided])
+
+
+def add_edges(edges: DataFrame, wanted: DataFrame, fingerprint: str = "") -> DataFrame:
+    """The revisions with a batch of edges more, see :func:`judge_edges`; shortcuts are passed over, cycles and self-references raise."""
+    judged = materialize(judge_edges(edges, wanted), "judged")
+    bad = judged.filter("verdict in ('CYCLE', 'SELF')").orderBy("line_id", "ordinal").limit(1).collect()
+    if bad:
+        raise RuntimeError(f"an edge of line {bad[0].line_id} from {bad[0].parent} to {bad[0].child} closes a cycle" if bad[0].verdict == "CYCLE" else f"{bad[0].parent} cannot follow itself")
+    new = judged.filter("verdict = 'ADDED'").select("line_id", "parent", "child", "known_at", F.lit(None).cast(edges.schema["retired_at"].dataType).alias("retired_at"), F.lit(fingerprint).alias("derivation_fingerprint"))
     return edges.unionByName(new, allowMissingColumns=True)
 
 
+def add_edge(edges: DataFrame, line_id: str, parent: str, child: str, known_at: Column, fingerprint: str = "") -> DataFrame:
+    """:func:`add_edges` for one edge."""
+    at = known_at.cast(edges.schema["known_at"].dataType).alias("known_at")
+    return add_edges(edges, edges.sparkSession.range(1).select(F.lit(line_id).alias("line_id"), F.lit(parent).alias("parent"), F.lit(child).alias("child"), at, F.lit(1).alias("ordinal")), fingerprint)
+
+
 def insert_between(edges: DataFrame, line_id: str, node: str, parent: str | None, child: str | None, at: Column) -> DataFrame:
     """A late block between parent and child: their edge retires, and two edges through the block begin."""
     out = edges

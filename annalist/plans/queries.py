@@ -516,6 +516,24 @@ def _(spark, d):
     return linegraph.frontier_paths(e.select(F.explode(F.array("parent", "child")).alias("node_id")).distinct(), e, most_paths=n.paths, most_nodes=n.nodes).select(F.array_join(F.transform("nodes", lambda n: n.cast("string")), ">").alias("nodes"))
 
 
+#: A customer's orders in time, each edge known with its later end; one edge is asked for a customer, and its way depends on the key.
+@query("O60_add_edges", """WITH n AS (SELECT o_custkey AS line_id, o_orderkey AS id, o_orderdate AS ts FROM orders),
+e AS (SELECT line_id, id, ts AS known_at, CASE WHEN id % 13 = 0 THEN ts + INTERVAL 300 DAY END AS retired_at FROM (SELECT *, lag(id) OVER (PARTITION BY line_id ORDER BY ts, id) AS above FROM n) WHERE above IS NOT NULL),
+path AS (SELECT line_id, max(known_at) AS since, min(retired_at) AS until FROM e GROUP BY 1),
+x AS (SELECT line_id, first(id ORDER BY ts, id) AS a, last(id ORDER BY ts, id) AS b FROM n GROUP BY 1),
+w AS (SELECT line_id, CASE WHEN line_id % 3 = 0 THEN a ELSE b END AS parent, CASE WHEN line_id % 3 = 0 THEN b ELSE a END AS child, CASE WHEN line_id % 3 = 2 THEN TIMESTAMP '1994-01-01' ELSE TIMESTAMP '1998-03-01' END AS k FROM x)
+SELECT line_id, parent, child, CASE WHEN parent = child THEN 'SELF' WHEN since < until IS NOT FALSE AND (until > k IS NOT FALSE) AND line_id % 3 <> 0 THEN 'CYCLE'
+  WHEN line_id % 3 = 0 AND since <= k AND (until > k IS NOT FALSE) THEN 'SHORTCUT' ELSE 'ADDED' END AS verdict FROM w LEFT JOIN path USING (line_id)""")
+def _(spark, d):
+    n = table(spark, d, "orders").select(F.col("o_custkey").alias("line_id"), F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("ts"))
+    above = F.lag("id").over(Window.partitionBy("line_id").orderBy("ts", "id"))
+    edges = n.select("line_id", above.alias("parent"), F.col("id").alias("child"), F.col("ts").alias("known_at"), F.when(F.col("id") % 13 == 0, F.col("ts") + F.expr("interval 300 days")).alias("retired_at")).filter("parent is not null")
+    ends = n.groupBy("line_id").agg(F.min_by("id", F.struct("ts", "id")).alias("a"), F.max_by("id", F.struct("ts", "id")).alias("b"))
+    kind, at = F.col("line_id") % 3, lambda x: F.lit(x).cast("timestamp_ntz")
+    wanted = ends.select("line_id", F.when(kind == 0, F.col("a")).otherwise(F.col("b")).alias("parent"), F.when(kind == 0, F.col("b")).otherwise(F.col("a")).alias("child"), F.when(kind == 2, at("1994-01-01 00:00:00")).otherwise(at("1998-03-01 00:00:00")).alias("known_at"), F.lit(1).alias("ordinal"))
+    return linegraph.judge_edges(edges, wanted).select("line_id", "parent", "child", "verdict")
+
+
 @query("O60_O61g_raw_closure", f"""WITH RECURSIVE {EDGE}, tips AS (SELECT DISTINCT child AS start FROM le WHERE child NOT IN (SELECT parent FROM le)), up AS (SELECT start, start AS node FROM tips UNION SELECT up.start, le.parent FROM up JOIN le ON le.child = up.node)
 SELECT start, count(*) AS n_evidence FROM up GROUP BY 1""")
 def _(spark, d):

@@ -97,3 +97,72 @@ def test_nodes_beyond_the_bound_raise_unless_it_is_asked_for(spark):
         assert graph.reachable(chain, start, most_hops=bound, bounded=True).count() == bound + 1
     ring = spark.createDataFrame([("a", "b"), ("b", "a")], "parent string, child string")
     assert graph.reachable(ring, spark.createDataFrame([("a",)], "start string"), most_hops=1).count() == 2
+
+
+# Edges in bulk ------------------------------------------------------------------------------------
+
+
+def judged_one_by_one(edges, wanted):
+    """Verdicts of (line, parent, child, known_at, ordinal) edges, by a search at every boundary."""
+    held, out = [list(e) for e in edges], {}
+
+    def reaches(line, a, b, at):
+        seen, stack = {a}, [a]
+        while stack:
+            x = stack.pop()
+            for li, p, c, k, r in held:
+                if li == line and p == x and k <= at and (r is None or r > at) and c not in seen:
+                    seen.add(c)
+                    stack.append(c)
+        return b in seen
+
+    for line, p, c, k, n in sorted(wanted, key=lambda w: (w[0], w[4])):
+        bounds = {k} | {t for e in held if e[0] == line for t in e[3:] if t is not None and t >= k}
+        if p == c:
+            out[line, n] = "SELF"
+        elif reaches(line, p, c, k):
+            out[line, n] = "SHORTCUT"
+        elif any(reaches(line, c, p, t) for t in bounds):
+            out[line, n] = "CYCLE"
+        else:
+            out[line, n] = "ADDED"
+            held.append([line, p, c, k, None])
+    return out
+
+
+EDGE = "line_id string, parent string, child string, known_at int, retired_at int"
+
+
+def test_a_batch_of_edges_is_judged_as_one_by_one(spark):
+    r = random.Random(60)
+    edges, wanted = [], []
+    for line in range(25):
+        names = [f"{line}-{i}" for i in range(r.randint(2, 7))]
+        for a, b in itertools.combinations(names, 2):
+            if r.random() < 0.35:
+                k = r.randint(0, 20)
+                edges.append((f"l{line}", a, b, k, r.choice([None, k, k + r.randint(1, 15)])))
+        wanted += [(f"l{line}", r.choice(names), r.choice(names), r.randint(0, 30), n) for n in range(1, r.randint(2, 9))]
+    want = judged_one_by_one(edges, wanted)
+    found = linegraph.judge_edges(spark.createDataFrame(edges, EDGE), spark.createDataFrame(wanted, "line_id string, parent string, child string, known_at int, ordinal int")).collect()
+    assert {(x.line_id, x.ordinal): x.verdict for x in found} == want and len(found) == len(wanted)
+    assert set(want.values()) == {"SELF", "SHORTCUT", "CYCLE", "ADDED"}
+
+
+def test_cycles_at_a_later_boundary_only_raise_and_shortcuts_add_nothing(spark):
+    edges = spark.createDataFrame([("l", "a", "b", 0, None), ("l", "b", "c", 10, 20), ("l", "c", "d", 15, None)], EDGE)
+    ask = lambda *rows: spark.createDataFrame(list(rows), "line_id string, parent string, child string, known_at int, ordinal int")
+    verdicts = lambda *rows: [x.verdict for x in linegraph.judge_edges(edges, ask(*rows)).orderBy("ordinal").collect()]
+    assert verdicts(("l", "d", "a", 5, 1)) == ["CYCLE"]  # from 15 to 20 all three edges hold
+    assert verdicts(("l", "d", "a", 20, 1)) == ["ADDED"]
+    assert verdicts(("l", "a", "d", 16, 1), ("l", "a", "d", 25, 2), ("l", "a", "d", 30, 3), ("l", "d", "b", 40, 4)) == ["SHORTCUT", "ADDED", "SHORTCUT", "ADDED"]
+    assert verdicts(("l", "a", "d", 25, 1), ("l", "d", "a", 26, 2), ("other", "d", "a", 26, 1)) in (["ADDED", "ADDED", "CYCLE"], ["ADDED", "CYCLE", "ADDED"])
+    with pytest.raises(RuntimeError, match="cycle"):
+        linegraph.add_edges(edges, ask(("l", "d", "a", 5, 1)))
+    with pytest.raises(RuntimeError, match="itself"):
+        linegraph.add_edges(edges, ask(("l", "d", "d", 5, 1)))
+    after = linegraph.add_edges(edges, ask(("l", "a", "d", 16, 1), ("l", "a", "e", 16, 2)), "f1")
+    assert [tuple(x)[:4] for x in after.filter("derivation_fingerprint = 'f1'").collect()] == [("l", "a", "e", 16)] and after.count() == 4
+    assert linegraph.add_edges(edges, ask().limit(0)).count() == 3
+    long = spark.createDataFrame([("l", f"n{i:03}", f"n{i + 1:03}", i, None) for i in range(40)], EDGE)
+    assert [x.verdict for x in linegraph.judge_edges(long, ask(("l", "n040", "n000", 0, 1))).collect()] == ["CYCLE"]
