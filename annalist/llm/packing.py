@@ -76,15 +76,32 @@ ODD = np.flatnonzero(KINDS == 4).astype(np.uint8).tobytes()
 END = b"\x00"
 BASE, MIX = 0x9E3779B97F4A7C15, np.uint64(0xD6E8FEB86659FD93)
 INVERSE = pow(BASE, -1, 1 << 64)
+#: Bytes of long words that are remembered, about; then all words are forgotten.
+MOST_LONG = 32_000_000
+
+
+def same_words(eights: np.ndarray, sizes: np.ndarray, chars: np.ndarray, starts: np.ndarray, eights_: np.ndarray, sizes_: np.ndarray, chars_: np.ndarray, starts_: np.ndarray) -> bool:
+    """Whether words equal others one by one. The first eight bytes, padded by zeros, settle the short ones; all bytes of the longer are compared."""
+    if (eights != eights_).any() or (sizes != sizes_).any():
+        return False
+    long = np.flatnonzero((sizes > 8) & ((starts != starts_) | (chars is not chars_)))
+    for at in range(0, len(long), 65_536):  # some at a time: the places of their bytes are numbers
+        part = long[at : at + 65_536]
+        size = sizes[part]
+        stop = np.cumsum(size)
+        step = np.arange(stop[-1]) - np.repeat(stop - size, size)
+        if (chars[np.repeat(starts[part], size) + step] != chars_[np.repeat(starts_[part], size) + step]).any():
+            return False
+    return True
 
 
 class Encoder:
     """Texts to ids, equal to the tokenizer's own, each text with the end's id after it.
 
     Latin texts are lower-cased and cut into words by character classes, all texts of a batch at
-    once; equal words are found by their hashes, and each word is encoded once while it is
-    remembered. Other texts, and those that hold the strings of special tokens, go through the whole
-    tokenizer, as does a batch in which two different words share a hash.
+    once; equal words are found by their hashes and compared byte by byte, and each word is encoded
+    once while it is remembered. Other texts, and those that hold the strings of special tokens, go
+    through the whole tokenizer, as does a batch in which two different words share a hash.
     """
 
     def __init__(self, model: str, end_id: int, remembered: int = 1_000_000):
@@ -101,7 +118,8 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.keys, self.checks = np.empty(0, np.uint64), np.empty(0, np.uint64)
+        self.keys, self.eights = np.empty(0, np.uint64), np.empty(0, np.uint64)
+        self.size, self.at, self.long = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint8)  # bytes of words of over eight
         self.first, self.count, self.ids = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint32)
 
     def texts(self, bodies: list[bytes]) -> Iterator[np.ndarray]:
@@ -133,15 +151,17 @@ class Encoder:
         joined = (END.join(latin) + END).translate(LOWER)
         chars = np.frombuffer(joined, np.uint8)
         starts, ends = self.words(chars)
-        keys, checks = self.hashes(chars, starts, ends)
+        keys, eights = self.hashes(chars, starts, ends)
         order = np.argsort(keys)
         ranked = keys[order]
         new = np.append(True, ranked[1:] != ranked[:-1])
         group = np.cumsum(new) - 1
         one = order[new]  # of each different word
-        if (checks[order] != checks[one][group]).any():
+        sizes = ends - starts
+        like = one[group]
+        if not same_words(eights[order], sizes[order], chars, starts[order], eights[like], sizes[like], chars, starts[like]):
             return None
-        place = self.look_up(joined, starts[one], ends[one], keys[one], checks[one])
+        place = self.look_up(joined, starts[one], ends[one], keys[one], eights[one])
         if place is None:
             return None
         of_word = np.empty(len(keys), np.int64)
@@ -171,7 +191,7 @@ class Encoder:
         return starts, stops[np.searchsorted(stops, starts, side="right")]
 
     def hashes(self, chars: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of each word a hash of all of its characters, and its first eight and length as a check."""
+        """Of each word a hash of all of its characters, and its first eight."""
         n = len(chars)
         if len(self.powers) < n:
             powers, inverses = np.full(n, BASE, np.uint64), np.full(n, INVERSE, np.uint64)
@@ -185,17 +205,18 @@ class Encoder:
         padded = np.append(chars, np.zeros(8, np.uint8))
         eight = np.ndarray(n, "<u8", padded, strides=(1,))[starts]
         eight &= np.uint64(2**64 - 1) >> (8 * (8 - np.minimum(size, 8))).astype(np.uint64)
-        return keys * MIX, eight * np.uint64(BASE) + size.astype(np.uint64)
+        return keys * MIX, eight
 
-    def look_up(self, joined: bytes, starts: np.ndarray, ends: np.ndarray, keys: np.ndarray, checks: np.ndarray) -> np.ndarray | None:
+    def look_up(self, joined: bytes, starts: np.ndarray, ends: np.ndarray, keys: np.ndarray, eights: np.ndarray) -> np.ndarray | None:
         """The places of the words in the table, which learns the new ones. ``keys`` ascend."""
         at = np.searchsorted(self.keys, keys)
         known = at < len(self.keys)
         known[known] = self.keys[at[known]] == keys[known]
-        if (self.checks[at[known]] != checks[known]).any():
+        chars, old, sizes = np.frombuffer(joined, np.uint8), at[known], ends - starts
+        if not same_words(eights[known], sizes[known], chars, starts[known], self.eights[old], self.size[old], self.long, self.at[old]):
             return None
         if not known.all():
-            if len(self.keys) + (~known).sum() > self.remembered and len(self.keys):
+            if (len(self.keys) + (~known).sum() > self.remembered or len(self.long) > MOST_LONG) and len(self.keys):
                 self.forget()
                 at, known = np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
             new = np.flatnonzero(~known)
@@ -203,7 +224,11 @@ class Encoder:
             where = at[new]
             self.first = np.insert(self.first, where, first + len(self.ids))
             self.count = np.insert(self.count, where, count)
-            self.checks = np.insert(self.checks, where, checks[new])
+            self.eights = np.insert(self.eights, where, eights[new])
+            kept = np.where(sizes[new] > 8, sizes[new], 0)
+            self.at = np.insert(self.at, where, len(self.long) + np.cumsum(kept) - kept)
+            self.size = np.insert(self.size, where, sizes[new])
+            self.long = np.concatenate([self.long, *(chars[starts[i] : ends[i]] for i in new[kept > 0].tolist())])
             self.keys = np.insert(self.keys, where, keys[new])
             self.ids = np.concatenate([self.ids, ids])
             at = np.searchsorted(self.keys, keys)

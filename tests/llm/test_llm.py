@@ -570,6 +570,33 @@ def test_words_that_share_a_hash_are_told_apart(monkeypatch):
     assert [x.tolist() for _ in range(2) for x in small.texts(bodies)] == want * 2
 
 
+def test_words_of_equal_polynomial_hashes_are_told_apart():
+    """Thue-Morse words and their complements have one polynomial hash modulo 2^64, whatever the base."""
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        encoder = packing.Encoder(f.read(), 1)
+    for bits in (10, 11, 12):
+        one = "q" * 8 + "".join("ab"[i.bit_count() % 2] for i in range(1 << bits))
+        other = "q" * 8 + "".join("ba"[i.bit_count() % 2] for i in range(1 << bits))
+        want = [[*encoder.whole.encode(t, add_special_tokens=False).ids, 1] for t in (one, other)]
+        assert want[0] != want[1]
+        both = [*want[0][:-1], *want[1]]
+        assert [x.tolist() for x in encoder.texts([f"{one} {other}".encode()])] == [both]  # in one text
+        assert [x.tolist() for x in encoder.texts([one.encode(), other.encode()])] == want  # in one batch
+        encoder.forget()
+        assert [[x.tolist() for x in encoder.texts([t.encode()])][0] for t in (one, other, one)] == [want[0], want[1], want[0]]  # against a remembered one
+
+
+def test_remembered_long_words_have_a_bound(monkeypatch):
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        encoder = packing.Encoder(f.read(), 1)
+    monkeypatch.setattr(packing, "MOST_LONG", 1000)
+    r = random.Random(3)
+    for _ in range(20):
+        bodies = [" ".join("".join(r.choice("abcd") for _ in range(r.randint(1, 30))) for _ in range(40)).encode() for _ in range(3)]
+        assert [x.tolist() for x in encoder.texts(bodies)] == [[*encoder.whole.encode(b.decode(), add_special_tokens=False).ids, 1] for b in bodies]
+        assert len(encoder.long) < 10_000
+
+
 # Pipeline -----------------------------------------------------------------------------------------
 
 
