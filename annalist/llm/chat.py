@@ -49,49 +49,40 @@ def parse(formatted: str) -> list[Turn]:
     return [(unescape(role), unescape(text)) for role, text in found]
 
 
-#: Turns whose prefixes are rendered from the conversation's start; further on, from this many before.
-WHOLE_PREFIXES = 64
-
-
-def spans(turns: list[Turn], template: Template) -> tuple[str, list[tuple[int, int]] | None]:
+def spans(turns: list[Turn], template: Template, additive: bool = False) -> tuple[str, list[tuple[int, int]] | None]:
     """The rendered conversation and each text's (start, end) in it; None where there are none.
 
-    The template is a black box. Each prefix is rendered; what a prefix adds to the one before it is
+    The template is a black box. Every prefix is rendered; what a prefix adds to the one before it is
     the new turn. A rendered opening of that turn tells where its text starts, a rendering with an
     empty text how much closes it. A prefix that does not begin with the one before it shows that the
     template rewrites history: turns then have no fixed place, and the spans are None.
 
-    Past ``WHOLE_PREFIXES`` turns, prefixes start that many turns back, so that the work stays linear;
-    the rendering of the whole must then end up equal to the parts, or all prefixes are rendered.
+    All prefixes together take time with the square of the turns. ``additive`` is the caller's word
+    that the template renders a turn alike wherever it stands: turns are then rendered one by one, and
+    must add up to the whole.
     """
     whole = template(turns, None)
-    for back in (WHOLE_PREFIXES, len(turns)):
-        found, at, built, previous, first = [], 0, [], template([], None), 0
-        at = len(previous)
-        built.append(previous)
-        for i, (role, _) in enumerate(turns):
-            if i - first >= 2 * back:
-                first = i - back
-                previous = template(turns[first:i], None)
-            context = turns[first:i]
-            now = template(turns[first : i + 1], None)
-            opened = template(context, role)
-            emptied = template([*context, (role, "")], None)
-            if not (now.startswith(opened) and opened.startswith(previous) and emptied.startswith(opened)):
-                return whole, None
-            closing = emptied[len(opened) :]
-            if not now.endswith(closing) or len(now) < len(opened) + len(closing):
-                return whole, None
-            added = len(now) - len(previous)
-            found.append((at + len(opened) - len(previous), at + added - len(closing)))
-            built.append(now[len(previous) :])
-            at += added
-            previous = now
-        if "".join(built) == whole:
-            return whole, found
-        if len(turns) <= back:
-            break
-    return whole, None
+    found, at, previous = [], 0, template([], None)
+    at = len(previous)
+    parts = [previous]
+    for i, (role, text) in enumerate(turns):
+        context = [] if additive else turns[:i]
+        before = template([], None) if additive else previous
+        now = template([*context, (role, text)], None)
+        opened = template(context, role)
+        emptied = template([*context, (role, "")], None)
+        if not (now.startswith(opened) and opened.startswith(before) and emptied.startswith(opened)):
+            return whole, None
+        closing = emptied[len(opened) :]
+        if not now.endswith(closing) or len(now) < len(opened) + len(closing):
+            return whole, None
+        added = len(now) - len(before)
+        found.append((at + len(opened) - len(before), at + added - len(closing)))
+        at += added
+        if additive:
+            parts.append(now[len(before) :])
+        previous = now
+    return whole, found if whole == ("".join(parts) if additive else previous) else None
 
 
 FIELDS = {
@@ -101,14 +92,15 @@ FIELDS = {
 SCHEMA = "conv_id long, formatted string, starts array<long>, ends array<long>, roles array<string>, rewrites_history boolean"
 
 
-def format_chats(conversations: DataFrame, template: Template = turn_template) -> DataFrame:
+def format_chats(conversations: DataFrame, template: Template = turn_template, additive: bool = False) -> DataFrame:
     """One row per conversation: its formatted text and the code-point span of each turn's text.
 
     Rows are ordered by turn, equal or null turns by role and text (nulls first). Null texts and
     roles count as empty; rows with a null conv_id form one conversation; repeated rows are turns of
     their own; an empty table gives no rows; other columns are not read. A template that rewrites
-    history has ``rewrites_history`` true and null spans. One conversation is one string and is
-    rendered by one task; very long ones take time in proportion to their length.
+    history, after however many turns, has ``rewrites_history`` true and null spans. One conversation
+    is one string and is rendered by one task, all of its prefixes, so time grows with the square of
+    its turns; a template declared ``additive`` is rendered turn by turn, see :func:`spans`.
     """
     turns = conversations.select(
         F.col("conv_id").cast("long").alias("conv_id"),
@@ -121,7 +113,7 @@ def format_chats(conversations: DataFrame, template: Template = turn_template) -
         for batch in slices(batches):
             out: dict[str, list] = {k: [] for k in FIELDS}
             for conv_id, roles, texts in zip(*(c.to_pylist() for c in batch.columns)):
-                formatted, found = spans(list(zip(roles, texts)), template)
+                formatted, found = spans(list(zip(roles, texts)), template, additive)
                 for k, v in zip(FIELDS, (conv_id, formatted, found and [s for s, _ in found], found and [e for _, e in found], roles, found is None)):
                     out[k].append(v)
             yield rows_out(FIELDS, out)
@@ -137,21 +129,29 @@ DIGEST_SCHEMA = "conv_id long, n_turns long, turns_sha256 string, loss_chars lon
 
 
 def digests(formatted: DataFrame) -> DataFrame:
-    """What the formatted texts say when they are read back: turns, and the text under the loss mask."""
+    """What the formatted texts say when they are read back: turns, and the text under the loss mask.
+
+    Roles and texts come from the formatted text alone; spans that do not hold just those texts raise.
+    Conversations without spans have no loss mask; null texts and ids stay what they are: no turn, null.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             out: dict[str, list] = {k: [] for k in DIGEST_FIELDS}
-            for conv_id, text, starts, ends, roles in zip(*(c.to_pylist() for c in batch.columns)):
+            for conv_id, text, starts, ends in zip(*(c.to_pylist() for c in batch.columns)):
+                text = text or ""
                 turns = parse(text)
+                held = [unescape(text[a:b]) for a, b in zip(starts or [], ends or [])]
+                if starts is not None and held != [t for _, t in turns]:
+                    raise ValueError(f"conversation {conv_id}: its spans are not those of the turns read back")
                 said = hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode("utf-8", "surrogatepass"))
-                loss = "".join(unescape(text[a:b]) for r, a, b in zip(roles, starts or [], ends or []) if r == "assistant")
+                loss = "".join(t for (r, _), t in zip(turns, held) if r == "assistant")
                 row = (conv_id, len(turns), said.hexdigest(), len(loss), hashlib.sha256(loss.encode("utf-8", "surrogatepass")).hexdigest(), len(text))
                 for k, v in zip(DIGEST_FIELDS, row):
                     out[k].append(v)
             yield rows_out(DIGEST_FIELDS, out)
 
-    return formatted.select("conv_id", "formatted", "starts", "ends", "roles").mapInArrow(run, DIGEST_SCHEMA)
+    return formatted.select("conv_id", "formatted", "starts", "ends").mapInArrow(run, DIGEST_SCHEMA)
 
 
 ORACLE = r"""

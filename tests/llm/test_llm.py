@@ -457,6 +457,29 @@ def test_chat_detects_templates_that_rewrite_history():
     assert [text[a:b] for a, b in found] == ["a\\<turn>", ""]
 
 
+def test_history_rewritten_late_is_detected():
+    turns = [("user" if i % 2 else "assistant", f"text {i}") for i in range(300)]
+
+    def late(first, last):
+        return lambda said, opening=None: ("summary\n" if first <= len(said) < last else "") + chat.turn_template(said, opening)
+
+    for n, first, last in ((200, 150, 151), (300, 129, 300), (140, 100, 140), (300, 299, 400), (300, 300, 301)):
+        assert chat.spans(turns[:n], late(first, last))[1] is None
+    whole, found = chat.spans(turns, chat.turn_template)
+    assert [whole[a:b] for a, b in found] == [t for _, t in turns] and chat.spans(turns, chat.turn_template, additive=True) == (whole, found)
+    numbered = lambda said, opening=None: "".join(f"{i} {r}: {t}\n" for i, (r, t) in enumerate(said)) + ("" if opening is None else f"{len(said)} {opening}: ")
+    assert chat.spans(turns, numbered)[1] is not None and chat.spans(turns[:20], numbered, additive=True)[1] is None
+
+
+def test_roles_and_texts_are_read_back_from_the_text(spark):
+    rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "a: b\\"), (None, 3, None, None), (None, 2, "assistant", "x"), (None, 2, "assistant", "x")]
+    made = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    got = {r.conv_id: (r.n_turns, r.loss_chars) for r in chat.digests(made.withColumn("roles", F.array(F.lit("assistant")))).collect()}
+    assert got == {1: (2, 5), None: (3, 2)}
+    with pytest.raises(Exception, match="not those of the turns"):
+        chat.digests(made.withColumn("starts", F.transform("starts", lambda s: s + 1))).collect()
+
+
 # 8 ------------------------------------------------------------------------------------------------
 
 
