@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 from itertools import chain
 
 import numpy as np
@@ -100,6 +100,15 @@ class Model:
     settings: Settings
     constant: float | None = None  # the score where there was nothing to learn
 
+    def plain(self) -> tuple:
+        """Arrays and numbers alone: what is broadcast is read where this package may not be installed."""
+        return self.weights, self.bias, asdict(self.settings), self.constant
+
+    @classmethod
+    def of(cls, plain: tuple) -> Model:
+        weights, bias, settings, constant = plain
+        return cls(weights, bias, Settings(**settings), constant)
+
     def sums(self, words: list[str]) -> list[tuple[float, int]]:
         """Of each word: its subwords' weights summed, and their number."""
         if not words:
@@ -230,10 +239,10 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3, id_col: str = "
     out; repeated rows are scored each; an empty table gives no rows; other columns are not read. A
     very long text has more words to be judged by.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # of a fixed number of buckets
+    shared = docs.sparkSession.sparkContext.broadcast(model.plain())  # of a fixed number of buckets
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        model = Model.of(shared.value)
         memo = Memo(model.sums)
         for batch in slices(batches):
             ids, bodies, held = (c.to_pylist() for c in batch.columns)
@@ -245,18 +254,21 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3, id_col: str = "
 
 
 def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
-    """The documents, all columns kept, that score under ``threshold``; null and empty texts stay.
+    """The documents, all columns kept, that score under ``threshold``.
 
-    Texts are judged where they are read; nothing is joined or shuffled.
+    Null and empty texts stay, whatever their doc_id, which is not looked at; repeated rows are judged
+    each; an empty table gives no rows; malformed UTF-8 is judged with U+FFFD in its place and stays
+    as it is in what is kept. Texts are judged where they are read; nothing is joined or shuffled.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # of a fixed number of buckets
+    shared = docs.sparkSession.sparkContext.broadcast(model.plain())  # of a fixed number of buckets
     columns = [f.name for f in docs.schema.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        model = Model.of(shared.value)
         memo = Memo(model.sums)
         for batch in slices(batches):
-            texts = [t or "" for t in batch.column(columns.index("text")).to_pylist()]
+            bodies = batch.column(columns.index("text")).cast(pa.binary()).to_pylist()
+            texts = [(b or b"").decode("utf-8", "replace") for b in bodies]
             clean = [x < threshold for x in model.scores(texts, memo)]
             yield batch.filter(pa.array(clean, pa.bool_()))
 
