@@ -7,6 +7,7 @@ finished by one small pointer file, so a run that breaks off leaves the last who
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import asdict, dataclass
 from functools import cached_property
 
@@ -15,11 +16,13 @@ from pyspark.sql import functions as F
 
 from annalist.functions.text import content_hash
 from annalist.operators import compilation, linegraph, revisions, search, similarity, structure, surface, trajectory, visibility
+from annalist.streaming import compile as streaming
 
 EVIDENCE = (
     "lineage_id string, evidence_id string, ordering_key string, subject string, content string, occurred_at timestamp, known_at timestamp, "
     "topics array<string>, recap boolean, provenance map<string,string>"
 )
+ITEMS = f"lineage_id string, {streaming.ITEM}"
 LIFECYCLE = "evidence_id string, event_id string, event_type string, event_at timestamp, replacement string"
 BASELINES = "baseline_id string, region_id string, revision_number int, previous_baseline_id string, content string, support array<string>, action string"
 REJECTIONS = "region_id string, content_hash string, support_signature string, reopened_at timestamp"
@@ -65,6 +68,23 @@ class Engine:
         self.append(new, "evidence", EVIDENCE)
         return self.read("evidence", EVIDENCE).count() - old.count()
 
+    def process(self, items: DataFrame, provider: Callable | None = None) -> DataFrame:
+        """Admit items and compile them right away, one after the other in each lineage; what came of them, of this call alone.
+
+        An item that fails blocks its lineage: give it again, and what waits behind it follows. A call that dies is finished by
+        the next one; a batch appears once.
+        """
+        self.ingest(items)
+        before = streaming.committed(self.spark, f"{self.root}/processed").select("batch_id")
+        names = [c.split()[0] for c in ITEMS.split(", ")]
+        full = items.select(*(F.col(c) if c in items.columns else F.lit(None).alias(c) for c in names))
+        self.append(visibility.with_effective_times(full.withColumn("recap", F.coalesce("recap", F.lit(False)))), "incoming", ITEMS)
+        arriving = self.spark.readStream.schema(ITEMS).parquet(f"{self.root}/incoming")
+        known = before.collect()  # one number a batch
+        streaming.process(arriving, f"{self.root}/processed", provider).awaitTermination()
+        last = max((r.batch_id for r in known), default=-1)
+        return streaming.read_states(self.spark, f"{self.root}/processed").filter(F.col("batch_id") > last).drop("batch_id")
+
     def invalidate(self, ids: DataFrame, at: str) -> None:
         """Record that evidence is invalid from ``at`` on; what was recorded before stays."""
         new = revisions_event(visibility.invalidate(self.read("lifecycle", LIFECYCLE), ids, F.lit(at).cast("timestamp")))
@@ -77,9 +97,9 @@ class Engine:
         s, number = self.settings, self.generation() + 1
         evidence, log = self.read("evidence", EVIDENCE), self.read("lifecycle", LIFECYCLE)
         made = compilation.compile_batch(evidence.select("lineage_id", "evidence_id", "ordering_key", "subject", "content", "occurred_at", "known_at", "topics", F.coalesce("recap", F.lit(False)).alias("recap")))
-        states = made.filter("action != 'LATE'").withColumn("state_id", F.concat_ws("@", "block_id", "state_version"))
+        states = made.filter(F.col("action").isin(*compilation.MADE)).withColumn("state_id", F.concat_ws("@", "block_id", "state_version"))
         self.put(similarity.embed(states, given=None), "states", number)
-        self.put(made.filter("action = 'LATE'").select("lineage_id", "evidence_id"), "quarantine", number)
+        self.put(made.filter(~F.col("action").isin(*compilation.MADE)).select("lineage_id", "evidence_id", "action", "failure"), "quarantine", number)
         states = self.derived("states", number)
         good = states.join(self.broken(states, log), "state_id", "left_anti")
         heads = visibility.latest(good)

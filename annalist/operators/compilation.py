@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -66,11 +66,16 @@ def key_of(subject: str) -> str:
 
 
 class Compiler:
-    """The fold of one lineage: state is the blocks made so far, the open one, and the last key seen."""
+    """The fold of one lineage: state is the blocks made so far, the open one, the last key seen and the item that failed.
 
-    def __init__(self, lineage: str, state: dict | None = None):
+    ``blocks`` and ``done`` may be anything that answers as a list and a dict do. ``provider`` decides in place of the rules:
+    it gets the compiler and the row and gives what :meth:`decide` gives, or raises.
+    """
+
+    def __init__(self, lineage: str, state: dict | None = None, provider: Callable | None = None):
         self.lineage = lineage
-        self.state = state or {"blocks": [], "open": None, "last": None, "done": {}, "barrier": False}
+        self.state = state or {"blocks": [], "open": None, "last": None, "done": {}, "pending": None}
+        self.provider = provider or Compiler.decide
 
     def decide(self, row: dict) -> tuple[str, int | None]:
         """(action, index of the block it touches): rules over declared topics and flags."""
@@ -104,37 +109,62 @@ class Compiler:
         return b
 
     def process(self, row: dict) -> list[dict]:
-        """States that one item makes. A repeated item makes none; a late one goes to quarantine."""
-        key = (row["ordering_key"], row["evidence_id"])
-        if row["evidence_id"] in self.state["done"]:
+        """States that one item makes; none for one that was compiled before; or one row that says why it makes none.
+
+        BLOCKED: an earlier item failed and has not been compiled since. LATE: it comes before what was compiled last. FAILED:
+        no decision could be made; nothing has changed but that the item blocks those after it until it is given again.
+        """
+        key, state = (row["ordering_key"], row["evidence_id"]), self.state
+        nothing = lambda action, why=None: [{"action": action, "evidence_id": row["evidence_id"], "failure": why}]
+        if row["evidence_id"] in state["done"]:
+            if state["pending"] == row["evidence_id"]:
+                state["pending"] = None
             return []
-        if self.state["last"] is not None and key < tuple(self.state["last"]):
-            return [{"action": "LATE", "evidence_id": row["evidence_id"]}]
-        action, at = self.decide(row)
+        if state["pending"] is not None and state["pending"] != row["evidence_id"]:
+            return nothing("BLOCKED")
+        if state["last"] is not None and key < tuple(state["last"]):
+            return nothing("LATE")
+        try:
+            action, at = self.provider(self, row)
+            if any(row[c] is None or row[c] != row[c] for c in ("occurred_at", "known_at", "subject", "content")) or any(t is None for t in row.get("topics") or []):
+                raise ValueError("an item without time, subject, content or topic")
+        except Exception as error:
+            state["pending"] = row["evidence_id"]
+            return nothing("FAILED", str(error))
         if action == "SPLIT":
             touched = {}
             for topic in row["topics"]:
                 b = self.touch(None, row, topic, row["content"])
                 touched[b["block_id"]] = b
-            self.state["open"] = len(self.state["blocks"]) - 1
+            state["open"] = len(state["blocks"]) - 1
             made = list(touched.values())
         else:
             made = [self.touch(at, row, row["subject"], row["content"])]
             if action == "NEW":
-                self.state["open"] = len(self.state["blocks"]) - 1
-        self.state["last"] = key
-        self.state["done"][row["evidence_id"]] = [b["block_id"] for b in made]
+                state["open"] = len(state["blocks"]) - 1
+        state["last"], state["pending"] = key, None
+        state["done"][row["evidence_id"]] = [b["block_id"] for b in made]
         return [{"action": action, "evidence_id": row["evidence_id"], "block_id": b["block_id"], "state_version": b["version"], "subject": b["subject"], "content": b["content"], "occurred_start": b["occurred_start"], "occurred_end": b["occurred_end"], "derived_known_at": b["known_at"], "raw_evidence_ids": list(b["evidence"])} for b in made]
 
 
 STATES = (
     "lineage_id string, action string, evidence_id string, block_id string, state_version int, subject string, content string, "
-    "occurred_start timestamp, occurred_end timestamp, derived_known_at timestamp, raw_evidence_ids array<string>"
+    "occurred_start timestamp, occurred_end timestamp, derived_known_at timestamp, raw_evidence_ids array<string>, failure string"
 )
+NAMES = [c.split()[0] for c in STATES.split(", ")]
+#: Actions that made a state.
+MADE = ["NEW", "CONTINUE", "SPLIT", "RECAP"]
+
+
+def as_frame(made: list[dict]) -> pd.DataFrame:
+    """Rows of ``STATES``; what a row does not name is null."""
+    out = pd.DataFrame([[m.get(n) for n in NAMES] for m in made], columns=NAMES, dtype=object)
+    times = {c: pd.to_datetime(out[c]) for c in ("occurred_start", "occurred_end", "derived_known_at")}
+    return out.assign(**times, state_version=out["state_version"].astype("Int32"))
 
 
 def compile_batch(evidence: DataFrame) -> DataFrame:
-    """All actions (NEW, CONTINUE, SPLIT, RECAP, LATE) as one fold per lineage.
+    """All actions (NEW, CONTINUE, SPLIT, RECAP, and LATE, FAILED, BLOCKED, which make no state) as one fold per lineage.
 
     ``evidence`` has lineage_id, evidence_id, ordering_key, subject, content, occurred_at, known_at,
     topics (array) and recap (boolean). One lineage is one group: the fold is sequential by meaning.
@@ -144,7 +174,6 @@ def compile_batch(evidence: DataFrame) -> DataFrame:
         compiler = Compiler(str(key[0]))
         rows = rows.sort_values(["ordering_key", "evidence_id"], kind="stable")
         made = [{"lineage_id": str(key[0])} | s for r in rows.to_dict("records") for s in compiler.process(r | {"topics": list(r["topics"]) if r["topics"] is not None else []})]
-        names = [c.split()[0] for c in STATES.split(", ")]
-        return pd.DataFrame(made, columns=names)
+        return as_frame(made)
 
     return evidence.groupBy("lineage_id").applyInPandas(fold, STATES)

@@ -109,10 +109,10 @@ def alike(views: DataFrame, least: float = LEAST_COSINE) -> DataFrame:
     blocks = max(1, math.ceil(rows.count() / BLOCK_ROWS))
     part = F.pmod(F.xxhash64("view_id"), F.lit(blocks)).cast("int")
     left = rows.withColumn("i", part).withColumn("j", F.explode(F.sequence("i", F.lit(blocks - 1))))
-    right = rows.withColumn("j", part).withColumn("i", F.explode(F.sequence(F.lit(0), "j")))
+    right = rows.select(*(F.col(c).alias(f"{c}_") for c in rows.columns), part.alias("j_")).withColumn("i_", F.explode(F.sequence(F.lit(0), "j_")))
 
     def block(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        out = []
+        out, y = [], y.rename(columns=lambda c: c.removesuffix("_"))
         for size in set(x["signature"].map(len)) & set(y["signature"].map(len)):
             p, q = x[x["signature"].map(len) == size], y[y["signature"].map(len) == size]
             scores = np.stack(p["signature"].to_list()) @ np.stack(q["signature"].to_list()).T
@@ -122,7 +122,7 @@ def alike(views: DataFrame, least: float = LEAST_COSINE) -> DataFrame:
                     out.append((min(a, b), max(a, b), float(scores[r, c])))
         return pd.DataFrame(out, columns=["a", "b", "similarity"])
 
-    found = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(block, "a string, b string, similarity double")
+    found = left.groupBy("i", "j").cogroup(right.groupBy("i_", "j_")).applyInPandas(block, "a string, b string, similarity double")
     return found.groupBy("a", "b").agg(F.max("similarity").alias("similarity"))  # a block meets itself both ways
 
 

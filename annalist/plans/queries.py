@@ -7,6 +7,7 @@ are revision chains per customer, ``documents`` and ``benchmark`` are texts.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,8 +17,9 @@ from pyspark.sql.window import Window
 from annalist.functions import text as T
 from annalist.functions import vector as V
 from annalist.operators import compilation, convergence, frontier, graph, linegraph, metrics, pairs, revisions, search, similarity, structure, surface, trajectory, visibility
-from annalist.scratch import table_path
+from annalist.scratch import shared_dir, table_path
 from annalist.sources import files
+from annalist.streaming import compile as compile_
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -194,6 +196,36 @@ def _(spark, d):
     return made.groupBy("lineage_id", number.alias("block_no")).agg(F.max("state_version").cast("long").alias("versions"), F.min(F.col("evidence_id").cast("long")).cast("string").alias("least_evidence"))
 
 
+#: In each lineage the first event whose id leaves 5 by 7 fails at its first try.
+@query("O20_O23_process", f"""WITH {EV}, placed AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+bad AS (SELECT user_id, min(n) AS n FROM placed WHERE event_id % 7 = 5 GROUP BY 1), behind AS (SELECT user_id, count(*) AS n FROM placed JOIN bad USING (user_id) WHERE placed.n > bad.n GROUP BY 1)
+SELECT lineage_id::VARCHAR AS lineage_id, count(DISTINCT block_no) AS blocks, count(*) AS versions, count(DISTINCT bad.user_id) AS failed, coalesce(max(behind.n), 0) AS blocked
+FROM st LEFT JOIN bad ON bad.user_id = lineage_id LEFT JOIN behind ON behind.user_id = lineage_id GROUP BY 1""")
+def _(spark, d):
+    rows = evidence(spark, d).withColumn("bad", F.col("evidence_id") % 7 == 5)
+    first = rows.filter("bad").groupBy("lineage_id").agg(F.min_by("evidence_id", F.struct("ordering_key", "evidence_id")).alias("evidence_id")).withColumn("fails", F.lit("!"))
+    items = rows.drop("bad").join(first, ["lineage_id", "evidence_id"], "left").select(
+        F.col("lineage_id").cast("string").alias("lineage_id"), F.col("evidence_id").cast("string").alias("evidence_id"), F.concat("ordering_key", F.lit("#"), F.lpad(F.col("evidence_id").cast("string"), 12, "0")).alias("ordering_key"),
+        "subject", F.concat("subject", F.coalesce("fails", F.lit(""))).alias("content"), F.col("occurred_at").cast("timestamp").alias("occurred_at"), F.col("known_at").cast("timestamp").alias("known_at"), F.array().cast("array<string>").alias("topics"), F.lit(False).alias("recap"),
+    )
+
+    def provider(compiler, row):
+        if row["content"].endswith("!"):
+            raise ValueError("not now")
+        return compiler.decide(row)
+
+    root = f"{shared_dir(spark)}/process-{uuid.uuid4().hex}"
+    items.write.parquet(f"{root}/in")
+    arriving = spark.readStream.schema(items.schema).parquet(f"{root}/in")
+    compile_.process(arriving, root, provider).awaitTermination()
+    failed = compile_.read_states(spark, root).filter("action = 'FAILED'").select("evidence_id")
+    items.join(failed, "evidence_id", "left_semi").select(items.columns).write.mode("append").parquet(f"{root}/in")  # they come again, and pass
+    compile_.process(arriving, root).awaitTermination()
+    count = lambda action: F.count_if(F.col("action") == action)
+    made = F.when(F.col("action").isin(*compilation.MADE), F.col("block_id"))
+    return compile_.read_states(spark, root).groupBy("lineage_id").agg(F.count_distinct(made).alias("blocks"), F.count(made).alias("versions"), count("FAILED").alias("failed"), count("BLOCKED").alias("blocked"))
+
+
 @query("O19_same_subject", "SELECT a.event_type AS left_subject, b.event_type AS right_subject, a.event_type = b.event_type OR contains(a.event_type, b.event_type) OR contains(b.event_type, a.event_type) AS same FROM (SELECT DISTINCT event_type FROM events) a, (SELECT DISTINCT event_type FROM events) b")
 def _(spark, d):
     kinds = table(spark, d, "events").select("event_type").distinct()

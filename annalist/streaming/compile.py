@@ -1,39 +1,182 @@
-"""The compilation fold over a stream, and attachment in micro-batches."""
+"""The compilation fold over a stream, its atomic commit, and steps in micro-batches."""
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from annalist.operators.compilation import STATES, Compiler
+from annalist.operators.compilation import NAMES, STATES, Compiler, as_frame
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+BLOCK = (
+    "block_id string, subject string, version int, content string, occurred_start timestamp, occurred_end timestamp, known_at timestamp, evidence array<string>"
+)
+ITEM = "evidence_id string, ordering_key string, subject string, content string, occurred_at timestamp, known_at timestamp, topics array<string>, recap boolean"
+BLOCK_NAMES, ITEM_NAMES = ([c.split()[0] for c in schema.split(", ")] for schema in (BLOCK, ITEM))
 
-def compile_stream(evidence: DataFrame) -> DataFrame:
-    """As ``compile_batch``, for a stream: state is one JSON document per lineage, kept by the query's
-    checkpoint. Late rows come out with action LATE instead of stopping the stream; repeated rows come
-    out not at all, so a replayed micro-batch changes nothing.
-    """
-    names = [c.split()[0] for c in STATES.split(", ")]
 
-    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+class Blocks:
+    """A lineage's blocks as the list the compiler expects: each lies in the state store by itself and is read when asked for."""
+
+    def __init__(self, store, n: int):
+        self.store, self.n, self.held, self.before = store, n, {}, {}
+
+    def __len__(self) -> int:
+        return self.n
+
+    def __getitem__(self, i: int) -> dict:
+        if not -self.n <= i < self.n:
+            raise IndexError(i)
+        i %= self.n
+        if i not in self.held:
+            row = dict(zip(BLOCK_NAMES, self.store.getValue((i,))))
+            for name in ("occurred_start", "occurred_end", "known_at"):
+                row[name] = pd.Timestamp(row[name])
+            self.held[i], self.before[i] = row | {"evidence": list(row["evidence"])}, row["version"]
+        return self.held[i]
+
+    def append(self, block: dict) -> None:
+        self.held[self.n] = block
+        self.n += 1
+
+    def flush(self) -> None:
+        for i, b in self.held.items():
+            if self.before.get(i) != b["version"]:
+                self.store.updateValue((i,), tuple(b[n].to_pydatetime() if isinstance(b[n], pd.Timestamp) else b[n] for n in BLOCK_NAMES))
+
+
+class Done:
+    """Ids compiled before, each a key of the state store."""
+
+    def __init__(self, store):
+        self.store = store
+
+    def __contains__(self, evidence_id: str) -> bool:
+        return self.store.containsKey((evidence_id,))
+
+    def __setitem__(self, evidence_id: str, blocks: list[str]) -> None:
+        self.store.updateValue((evidence_id,), (blocks,))
+
+
+class CompilingProcessor(StatefulProcessor):
+    """One lineage's fold. Items behind a failed one wait in the state store, and follow it when it has come again and passed."""
+
+    def __init__(self, provider: Callable | None = None):
+        self.provider = provider
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.blocks = handle.getMapState("blocks", "n int", BLOCK)
+        self.done = handle.getMapState("done", "evidence_id string", "blocks array<string>")
+        self.waiting = handle.getMapState("waiting", "ordering_key string, evidence_id string", ITEM)
+        self.head = handle.getValueState("head", "n int, open int, last_key string, last_id string, pending string")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        n, at, last_key, last_id, pending = self.head.get() if self.head.exists() else (0, None, None, None, None)
+        blocks = Blocks(self.blocks, n)
+        state = {"blocks": blocks, "open": at, "last": None if last_id is None else (last_key, last_id), "done": Done(self.done), "pending": pending}
         lineage = str(key[0])
-        held = json.loads(state.get[0]) if state.exists else None
-        if held:
-            for b in held["blocks"]:
-                for name in ("occurred_start", "occurred_end", "known_at"):
-                    b[name] = pd.Timestamp(b[name])
-        compiler = Compiler(lineage, held)
-        rows = pd.concat(list(batches)).sort_values(["ordering_key", "evidence_id"], kind="stable")
-        made = [{"lineage_id": lineage} | s for r in rows.to_dict("records") for s in compiler.process(r | {"topics": list(r["topics"]) if r["topics"] is not None else []})]
-        state.update((json.dumps(compiler.state, default=lambda t: t.isoformat()),))
-        yield pd.DataFrame(made, columns=names)
-
-    return evidence.groupBy("lineage_id").applyInPandasWithState(fold, STATES, "state string", "append", GroupStateTimeout.NoTimeout)
+        compiler = Compiler(lineage, state, self.provider)
+        came = pd.concat(list(rows)).sort_values(["ordering_key", "evidence_id"], kind="stable").to_dict("records")
+        came.sort(key=lambda r: r["evidence_id"] != pending)  # the failed item first, wherever it stands
+        made: list[dict] = []
+
+        def take(row: dict) -> bool:
+            topics = row["topics"]
+            out = compiler.process(row | {"topics": [] if topics is None else list(topics)})
+            made.extend({"lineage_id": lineage} | s for s in out)
+            return bool(out) and out[0]["action"] == "BLOCKED"
+
+        for row in came:
+            was = state["pending"]
+            if take(row):
+                self.waiting.updateValue((row["ordering_key"], row["evidence_id"]), tuple(_plain(row.get(c)) for c in ITEM_NAMES))
+            elif was is not None and state["pending"] is None:
+                self.drain(take, state)
+        blocks.flush()
+        last = state["last"] or (None, None)
+        self.head.update((len(blocks), state["open"], last[0], last[1], state["pending"]))
+        if made:
+            yield as_frame(made)
+
+    def drain(self, take: Callable[[dict], bool], state: dict) -> None:
+        """The waiting items in their order, until one fails."""
+        for key in sorted(tuple(k) for k in self.waiting.keys()):
+            if state["pending"] is not None:
+                return
+            row = dict(zip(ITEM_NAMES, self.waiting.getValue(key)))
+            take(row | {c: pd.Timestamp(row[c]) if row[c] is not None else None for c in ("occurred_at", "known_at")})
+            self.waiting.removeKey(key)
+
+    def close(self) -> None:
+        pass
+
+
+def _plain(value):
+    if value is None or value is pd.NaT:
+        return None
+    if isinstance(value, pd.Timestamp):
+        return value.to_pydatetime()
+    return value if isinstance(value, (str, bool)) else list(value) if hasattr(value, "__iter__") else bool(value)
+
+
+def compile_stream(evidence: DataFrame, provider: Callable | None = None) -> DataFrame:
+    """As ``compile_batch``, for a stream: state lies in the query's checkpoint, a key a block, an id or a waiting item.
+
+    An item that fails comes out as FAILED, those of its lineage behind it as BLOCKED; they are kept and follow, in order, when
+    the failed one is given again and passes. Late rows come out with action LATE; repeated rows come out not at all, so a
+    replayed micro-batch changes nothing. The session is set to keep state in RocksDB, which keyed state needs.
+    """
+    evidence.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    rows = evidence.select("lineage_id", *ITEM_NAMES)
+    return rows.groupBy("lineage_id").transformWithStateInPandas(CompilingProcessor(provider), STATES, "Append", "none")
+
+
+COMMITS = "batch_id long, rows long"
+
+
+def committing(root: str) -> Callable[[DataFrame, int], None]:
+    """For ``foreachBatch``: a micro-batch's states appear below ``root`` as a whole or not at all, and once.
+
+    The rows go to a folder of their own, which a retry writes again from the start; the batch's line in the commit log comes
+    last, and a batch that has one is passed over.
+    """
+
+    def commit(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        if not committed(spark, root).filter(F.col("batch_id") == batch_id).isEmpty():
+            return
+        path = f"{root}/states/batch_id={batch_id}"
+        batch.write.mode("overwrite").parquet(path)
+        n = spark.read.schema(STATES).parquet(path).count()
+        spark.createDataFrame([(batch_id, n)], COMMITS).coalesce(1).write.mode("overwrite").parquet(f"{root}/commits/{batch_id}")
+
+    return commit
+
+
+def committed(spark: SparkSession, root: str) -> DataFrame:
+    """(batch_id, rows): the commit log."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/commits")
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return spark.createDataFrame([], COMMITS)
+    return spark.read.schema(COMMITS).option("recursiveFileLookup", "true").parquet(f"{root}/commits")
+
+
+def read_states(spark: SparkSession, root: str) -> DataFrame:
+    """The rows of all committed micro-batches, with batch_id."""
+    done = committed(spark, root)
+    if done.isEmpty():
+        return spark.createDataFrame([], f"{STATES}, batch_id long")
+    return spark.read.schema(f"{STATES}, batch_id long").parquet(f"{root}/states").join(done.select("batch_id"), "batch_id", "left_semi")
+
+
+def process(items: DataFrame, root: str, provider: Callable | None = None) -> StreamingQuery:
+    """Compile what has arrived on the stream ``items`` into the committed tables below ``root``, then stop."""
+    return in_batches(compile_stream(items, provider), committing(root), f"{root}/checkpoint")
 
 
 def in_batches(rows: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:

@@ -57,3 +57,32 @@ def test_rejected_understandings_are_not_served(spark, tmp_path):
     assert engine.query("").count() == 1
     engine.reject("r")
     assert engine.query("").count() == 0
+
+
+def test_items_are_processed_one_after_the_other(spark, tmp_path):
+    engine = Engine(spark, str(tmp_path / "one"))
+    flag = tmp_path / "down"
+    flag.touch()
+    where = str(flag)
+
+    def provider(compiler, row):
+        import os
+
+        if row["evidence_id"] == "e2" and os.path.exists(where):
+            raise ValueError("down")
+        return compiler.decide(row)
+
+    told = lambda rows: sorted((r.evidence_id, r.action) for r in rows.collect())
+    assert told(engine.process(evidence(spark, ROWS[:1]), provider)) == [("e1", "NEW")]
+    assert told(engine.process(evidence(spark, ROWS[1:3]), provider)) == [("e2", "FAILED"), ("e3", "BLOCKED")]
+    flag.unlink()
+    assert told(engine.process(evidence(spark, ROWS[1:2]), provider)) == [("e2", "NEW"), ("e3", "NEW")]
+    assert told(engine.process(evidence(spark, ROWS), provider)) == [("e4", "NEW")]
+    whole = Engine(spark, str(tmp_path / "whole"))
+    whole.run_batch(evidence(spark, ROWS))
+    from annalist.operators.compilation import MADE
+    from annalist.streaming.compile import read_states
+
+    columns = ["block_id", "state_version", "content", "occurred_start", "occurred_end", "raw_evidence_ids"]
+    made = read_states(spark, f"{tmp_path}/one/processed").filter("action in ('" + "','".join(MADE) + "')")
+    assert sorted(map(tuple, made.select(columns).collect())) == sorted(map(tuple, whole.derived("states").select(columns).collect()))
