@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import math
 from collections import defaultdict
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from annalist.functions.text import identity
 from annalist.functions.vector import cosine
+from annalist.operators.similarity import BLOCK_ROWS
 
 K, LEAST_SIMILARITY, LEAST_SUPPORT, MOST_PATHS, MOST_NODES = 4, 0.55, 3, 256, 64
 SHARED_BLOCKS, SEED_BLOCKS = 2, 3
@@ -116,12 +120,44 @@ def bootstrap(paths: list[tuple[list, object, object, float]], seed: int = SEED_
     return lines
 
 
+def similar(points: DataFrame, asked: DataFrame, least: float) -> DataFrame:
+    """(src, dst, score): all points (id, vector) of at least this cosine with each asked id, itself left out.
+
+    Both sides are dealt into blocks, one matrix product a pair of blocks; what is less like stays there.
+    """
+    rows = points.select("id", F.col("vector").cast("array<double>").alias("v")).filter("id is not null and size(v) > 0")
+    few = rows.join(asked.select("id").distinct(), "id", "left_semi")
+    n, m = rows.count(), few.count()
+    parts = max(1, math.ceil(n / BLOCK_ROWS))
+    times = max(1, math.ceil(m / BLOCK_ROWS))
+    left = few.select(F.pmod(F.xxhash64("id"), F.lit(times)).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("j"), F.col("id").alias("src"), F.col("v").alias("u"))
+    right = rows.select(F.explode(F.sequence(F.lit(0), F.lit(times - 1))).alias("ri"), F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("rj"), F.col("id").alias("dst"), "v")
+
+    def block(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for size in set(x["u"].map(len)) & set(y["v"].map(len)):
+            p, q = x[x["u"].map(len) == size], y[y["v"].map(len) == size]
+            a, b = np.stack(p["u"].to_list()), np.stack(q["v"].to_list())
+            scale = np.linalg.norm(a, axis=1)[:, None] * np.linalg.norm(b, axis=1)[None, :]
+            cosine = np.divide(a @ b.T, scale, out=np.zeros_like(scale), where=scale > 0)
+            src, dst = p["src"].to_list(), q["dst"].to_list()
+            out += [(src[r], dst[c], float(cosine[r, c])) for r, c in zip(*np.nonzero(cosine >= least)) if src[r] != dst[c]]
+        return pd.DataFrame(out, columns=["src", "dst", "score"])
+
+    kind = rows.schema["id"].dataType.simpleString()
+    return left.groupBy("i", "j").cogroup(right.groupBy("ri", "rj")).applyInPandas(block, f"src {kind}, dst {kind}, score double")
+
+
 def line_matches(new: DataFrame, nodes: DataFrame, least: float = LEAST_SIMILARITY) -> DataFrame:
-    """(block_id, line_id, node_id, score): per new block and line the best visible node, ids breaking ties."""
-    n = nodes.select("line_id", "node_id", F.col("vector").alias("node_vector"))
-    scored = new.select("block_id", "vector").crossJoin(n).withColumn("score", cosine(F.col("vector"), F.col("node_vector"))).filter(F.col("score") >= least)
-    best = scored.groupBy("block_id", "line_id").agg(F.max("score").alias("score"))
-    return scored.join(best, ["block_id", "line_id", "score"]).groupBy("block_id", "line_id").agg(F.first("score").alias("score"), F.min("node_id").alias("node_id"))
+    """(block_id, line_id, node_id, score): per new block and line the best visible node, ids breaking ties.
+
+    Block products as in :func:`similar`; a pair that is not alike never meets.
+    """
+    named = lambda kind, name: F.concat(F.lit(kind), F.col(name).cast("string")).alias("id")
+    blocks, held = new.select(named("b/", "block_id"), "block_id", "vector"), nodes.select(named("n/", "node_id"), "line_id", "node_id", "vector")
+    near = similar(blocks.select("id", "vector").unionByName(held.select("id", "vector").dropDuplicates(["id"])), blocks.select("id"), least).filter(F.col("dst").startswith("n/"))
+    scored = near.join(blocks.select(F.col("id").alias("src"), "block_id"), "src").join(held.select(F.col("id").alias("dst"), "line_id", "node_id"), "dst")
+    return scored.groupBy("block_id", "line_id").agg(F.max("score").alias("score"), F.min_by("node_id", F.struct(-F.col("score"), F.col("node_id"))).alias("node_id"))
 
 
 def attachment_neighbours(matches: DataFrame, most: int = 1) -> DataFrame:

@@ -7,7 +7,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from annalist.operators import graph, linegraph, surface
+from annalist.operators import graph, linegraph, nearline, surface
 
 
 def line_edges(spark, rows):
@@ -166,3 +166,110 @@ def test_cycles_at_a_later_boundary_only_raise_and_shortcuts_add_nothing(spark):
     assert linegraph.add_edges(edges, ask().limit(0)).count() == 3
     long = spark.createDataFrame([("l", f"n{i:03}", f"n{i + 1:03}", i, None) for i in range(40)], EDGE)
     assert [x.verdict for x in linegraph.judge_edges(long, ask(("l", "n040", "n000", 0, 1))).collect()] == ["CYCLE"]
+
+
+# Nearline growth ----------------------------------------------------------------------------------
+
+
+def grown_one_by_one(nodes, edges, wanted, least, most=1, rejoin=False):
+    """{line: (joined, current edges)} of blocks that join one after the other."""
+    out = {}
+    for line in {n[0] for n in nodes}:
+        held = {n: (v, s, e) for li, n, v, s, e in nodes if li == line}
+        links, joined = {(p, c) for li, p, c in edges if li == line}, []
+        for _, n, v, s, e, _ in sorted((w for w in wanted if w[0] == line), key=lambda w: w[5]):
+            cos = lambda a, b: float(np.dot(a, b) / (np.linalg.norm(a) * np.linalg.norm(b)))
+            near = [(m, cos(v, u), a, b) for m, (u, a, b) in held.items() if cos(v, u) >= least]
+            before = [x for x in near if x[2] < s and x[3] <= s]
+            after = [x for x in near if s < x[2] and e <= x[2]]
+            tips = [x for x in before if not any(p == x[0] for p, _ in links)]
+            ps = [x[0] for x in sorted(tips or before, key=lambda x: (-x[3], -x[1], x[0]))[:most]]
+            cs = [x[0] for x in sorted(after, key=lambda x: (x[2], -x[1], x[0]))[:most]]
+            if not ps and not cs:
+                continue
+            joined.append(n)
+            held[n] = (v, s, e)
+            links -= {(p, c) for p in ps for c in cs}
+            for p, c in [(p, n) for p in ps] + [(n, c) for c in cs]:
+                if not rejoin and any(x == c and y != p for y, x in links):
+                    continue
+                seen, stack = set(), [p]
+                while stack:
+                    x = stack.pop()
+                    for y, z in links:
+                        if y == x and z not in seen:
+                            seen.add(z)
+                            stack.append(z)
+                if c not in seen:
+                    links.add((p, c))
+        out[line] = (joined, links)
+    return out
+
+
+def random_line(r, line, n):
+    nodes, edges = [], []
+    for i in range(n):
+        s = r.randint(0, 400)
+        nodes.append((line, f"{line}{i:02}", [r.gauss(0, 1), r.gauss(0, 1), 1.0], s, s + r.randint(0, 5)))
+    inside = {x[1]: x for x in nodes}
+    for a, b in itertools.combinations(sorted(inside), 2):
+        a, b = sorted((a, b), key=lambda x: inside[x][3])
+        if inside[a][4] <= inside[b][3] and inside[a][3] < inside[b][3] and r.random() < 0.3 and not any(c == b for _, _, c in edges):
+            edges.append((line, a, b))
+    return nodes, edges
+
+
+def at_second(rows, *places):
+    from datetime import datetime, timedelta
+
+    return [tuple(datetime(2024, 1, 1) + timedelta(seconds=x) if i in places else x for i, x in enumerate(row)) for row in rows]
+
+
+NODE = "line_id string, node_id string, vector array<double>, occurred_start timestamp, occurred_end timestamp"
+
+
+@pytest.mark.parametrize("most, rejoin", [(1, False), (2, True)])
+def test_many_blocks_join_a_line_in_order(spark, most, rejoin):
+    r = random.Random(59)
+    nodes, edges, wanted = [], [], []
+    for i in range(12):
+        n, e = random_line(r, f"l{i}", r.randint(1, 8))
+        nodes, edges = nodes + n, edges + e
+        new, _ = random_line(r, f"l{i}", r.randint(1, 8))
+        wanted += [(line, f"new-{name}", v, s, t, k) for k, (line, name, v, s, t) in enumerate(new)]
+    want = grown_one_by_one(nodes, edges, wanted, 0.3, most, rejoin)
+    got = nearline.fold(spark.createDataFrame(at_second(nodes, 3, 4), NODE), line_edges(spark, edges), spark.createDataFrame(at_second(wanted, 3, 4), NODE + ", ordinal long"), 0.3, most, rejoin).collect()
+    for line, (joined, links) in want.items():
+        here = [x for x in got if x.line_id == line]
+        now = {(p, c) for li, p, c in edges if li == line}
+        for x in here:
+            now = now | {(x.parent, x.child)} if x.change == "ADDED" else now - {(x.parent, x.child)}
+        assert [x.child for x in here if x.change == "JOINED"] == joined and now == links
+    assert any(x.change == "RETIRED" for x in got)
+
+
+def test_arriving_states_revise_detach_and_join_in_one_call(spark):
+    from pyspark.sql import functions as F
+
+    ts = lambda n: f"timestamp'2024-01-01' + interval {n} hours"
+    member = lambda line, b, v, n: f"('{line}', '{line}/{b}', '{b}', '{b}@1', array({v}), {ts(n)}, {ts(n)}, {ts(n)}, cast(null as timestamp))"
+    held = [("l", "a", "1D, 0D", 0), ("l", "b", "1D, 0D", 10), ("l", "c", "1D, 0D", 20), ("m", "x", "0D, 1D", 0), ("m", "y", "0D, 1D", 10)]
+    members = spark.sql(f"select * from values {', '.join(member(*h) for h in held)} t({', '.join(nearline.MEMBERS)})")
+    edges = spark.sql(f"select *, cast(null as timestamp) retired_at from values ('l', 'l/a', 'l/b', {ts(10)}), ('l', 'l/b', 'l/c', {ts(20)}), ('m', 'm/x', 'm/y', {ts(10)}) t(line_id, parent, child, known_at)")
+    new = [("b", "b@2", "0D, 1D", 10, 1), ("y", "y@2", "0D, 2D", 11, 2), ("p", "p@1", "1D, 0D", 5, 3), ("q", "q@1", "1D, 0D", 7, 4), ("z", "z@1", "-1D, 0D", 7, 5), ("a", "a@1", "1D, 0D", 0, 6)]
+    arriving = spark.sql("select * from values " + ", ".join(f"('{b}', '{st}', array({v}), {ts(n)}, {ts(n)}, {o}L)" for b, st, v, n, o in new) + " t(block_id, state_id, vector, occurred_start, occurred_end, ordinal)")
+    at = F.expr(ts(100))
+    m, e, changes = nearline.observe(members, edges, arriving, at)
+    assert {(x.change, x.child) for x in changes.filter("change in ('KEPT', 'REVALIDATED', 'DETACHED')").collect()} == {("DETACHED", "l/b"), ("REVALIDATED", "m/y"), ("KEPT", "l/a")}
+    now = lambda rows, *c: sorted(tuple(x) for x in linegraph.as_of(rows, at, list(c)).collect())
+    assert sorted((x.line_id, x.block_id, x.state_id) for x in linegraph.as_of(m, at, ["line_id", "block_id", "state_id"]).collect()) == [
+        ("l", "a", "a@1"), ("l", "c", "c@1"), ("l", "p", "p@1"), ("l", "q", "q@1"), ("m", "b", "b@2"), ("m", "x", "x@1"), ("m", "y", "y@2")
+    ]
+    name = {x.node_id: x.block_id for x in m.collect()}
+    links = {(li, name[p], name[c]) for li, p, c in now(e, "line_id", "parent", "child")}
+    assert links == {("l", "a", "p"), ("l", "p", "q"), ("l", "q", "c"), ("m", "x", "b"), ("m", "b", "y")}
+    before = F.expr(ts(99))
+    assert [tuple(x)[1:] for x in linegraph.as_of(e, before, ["line_id", "parent", "child"]).orderBy("parent").collect()] == [("l/a", "l/b"), ("l/b", "l/c"), ("m/x", "m/y")]
+    again_m, again_e, told = nearline.observe(m, e, arriving, F.expr(ts(101)))
+    assert {x.change for x in told.collect()} == {"KEPT"} and again_m.count() == m.count() and again_e.count() == e.count()
+    assert nearline.observe(m, e, arriving.limit(0), at)[2].count() == 0
