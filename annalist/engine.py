@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from annalist.functions.text import content_hash
-from annalist.operators import compilation, linegraph, revisions, search, similarity, structure, surface, trajectory, visibility
+from annalist.operators import compilation, linegraph, nearline, revisions, search, similarity, structure, surface, trajectory, visibility
 from annalist.streaming import compile as streaming
 
 EVIDENCE = (
@@ -27,6 +27,7 @@ LIFECYCLE = "evidence_id string, event_id string, event_type string, event_at ti
 BASELINES = "baseline_id string, region_id string, revision_number int, previous_baseline_id string, content string, support array<string>, action string"
 REJECTIONS = "region_id string, content_hash string, support_signature string, reopened_at timestamp"
 GENERATIONS = "generation int, fingerprint string"
+OBSERVED = "generation int, step int"
 
 
 @dataclass(frozen=True)
@@ -117,6 +118,42 @@ class Engine:
         self.append(self.spark.createDataFrame([(number, self.fingerprint)], GENERATIONS), "generations", GENERATIONS)
         return number
 
+    def line_tables(self) -> tuple[DataFrame, DataFrame]:
+        """(members, edges): the revisions of lines, from the last whole generation and what was observed since."""
+        self.derived("lines")  # refuses tables of other settings
+        number = self.generation()
+        steps = self.read("observed", OBSERVED).filter(F.col("generation") == number).agg(F.max("step")).first()[0]
+        if steps is not None:
+            return tuple(self.spark.read.parquet(f"{self.root}/generation-{number}/observed-{steps}/{name}") for name in ("members", "edges"))
+        node = lambda block: linegraph.node_id(F.col("line_id"), F.col(block))
+        states = self.derived("states")
+        heads = visibility.latest(states.join(self.broken(states, self.read("lifecycle", LIFECYCLE)), "state_id", "left_anti"))
+        never = F.lit(None).cast("timestamp").alias("retired_at")
+        lines = self.derived("lines")
+        members = lines.join(heads, "block_id").select("line_id", node("block_id").alias("node_id"), "block_id", "state_id", "vector", "occurred_start", "occurred_end", F.col("derived_known_at").alias("known_at"), never)
+        ends = lambda name: members.select("line_id", F.col("block_id").alias(name), F.col("known_at").alias(f"{name}_known"))
+        both = self.derived("edges").join(ends("parent"), "parent").join(ends("child"), ["line_id", "child"])
+        edges = both.select("line_id", node("parent").alias("parent"), node("child").alias("child"), F.greatest("parent_known", "child_known").alias("known_at"), never)
+        return members, edges
+
+    def observe(self, items: DataFrame, at: str, provider: Callable | None = None) -> DataFrame:
+        """Process items and let their blocks grow the lines that exist, as known from ``at`` on; what changed.
+
+        (line_id, change, parent, child), see :func:`annalist.operators.nearline.observe`. Nothing is rebuilt: both tables of
+        revisions get a new version beside the old, and its line in a pointer table comes last.
+        """
+        members, edges = self.line_tables()
+        made = self.process(items, provider).filter(F.col("action").isin(*compilation.MADE))
+        fresh = similarity.embed(visibility.latest(made), given=None)
+        arriving = fresh.select("block_id", F.concat_ws("@", "block_id", "state_version").alias("state_id"), "vector", "occurred_start", "occurred_end", F.unix_micros("occurred_start").alias("ordinal"))
+        members, edges, changes = nearline.observe(members, edges, arriving, F.lit(at).cast("timestamp"), self.settings.least_similarity)
+        number = self.generation()
+        step = self.read("observed", OBSERVED).filter(F.col("generation") == number).agg(F.coalesce(F.max("step"), F.lit(0)) + 1).first()[0]
+        self.put(members, f"observed-{step}/members", number)
+        self.put(edges, f"observed-{step}/edges", number)
+        self.append(self.spark.createDataFrame([(number, step)], OBSERVED), "observed", OBSERVED)
+        return changes
+
     def broken(self, states: DataFrame, log: DataFrame) -> DataFrame:
         gone = log.filter(F.col("event_type").isin("INVALIDATED", "SUPERSEDED")).select("evidence_id").distinct()
         return compilation.bridge(states).join(gone, "evidence_id", "left_semi").select("state_id").distinct()

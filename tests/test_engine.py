@@ -86,3 +86,26 @@ def test_items_are_processed_one_after_the_other(spark, tmp_path):
     columns = ["block_id", "state_version", "content", "occurred_start", "occurred_end", "raw_evidence_ids"]
     made = read_states(spark, f"{tmp_path}/one/processed").filter("action in ('" + "','".join(MADE) + "')")
     assert sorted(map(tuple, made.select(columns).collect())) == sorted(map(tuple, whole.derived("states").select(columns).collect()))
+
+
+def test_observing_in_parts_equals_observing_at_once(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from annalist.operators import linegraph
+
+    later = [("e5", "alpha", "deadline is friday soon", "2026-08-05"), ("e6", "gamma", "the deadline is friday", "2026-08-06"), ("e7", "delta", "nothing alike whatsoever here", "2026-08-07")]
+    held = []
+    for name, parts in (("parts", (later[:1], later[1:])), ("once", (later,))):
+        engine = Engine(spark, str(tmp_path / name), Settings(least_support=2, least_similarity=0.3))
+        engine.process(evidence(spark, ROWS)).count()
+        with pytest.raises(RuntimeError):
+            engine.observe(evidence(spark, later), "2026-09-01")
+        engine.rebuild()
+        before = engine.line_tables()[0].count()
+        changes = [c for part in parts for c in engine.observe(evidence(spark, part), "2026-09-01").collect()]
+        assert {c.change for c in changes} >= {"JOINED", "ADDED"} and engine.generation() == 1
+        members, edges = engine.line_tables()
+        at = F.lit("2026-09-02").cast("timestamp")
+        held.append([sorted(map(tuple, linegraph.as_of(rows, at, keys).collect())) for rows, keys in ((members, ["line_id", "block_id", "state_id"]), (edges, ["line_id", "parent", "child"]))])
+        assert members.count() > before
+    assert held[0] == held[1]
