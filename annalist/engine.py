@@ -110,11 +110,13 @@ class Engine:
         self.put(structure.enrich(structure.observations(points, s.scales, s.least_structure)), "observations", number)
         edges = trajectory.orient(similarity.mutual_edges(similarity.exact_knn(points, s.neighbours, s.least_similarity)), points)
         self.put(edges, "edges", number)
-        found = trajectory.enumerate_paths(self.derived("edges", number), points, least_support=s.least_support)
-        kept = trajectory.maximal_paths(self.spark.createDataFrame([(p,) for p in found], "nodes array<string>"), s.least_support)
-        paths = [(r.nodes, r.start, r.end, r.similarity) for r in trajectory.described(kept, self.derived("edges", number), points).collect()]  # most_paths at most
-        lines = trajectory.bootstrap(paths, seed=s.least_support)
-        self.put(self.spark.createDataFrame([(line, b) for line, blocks in lines for b in blocks], "line_id string, block_id string"), "lines", number)
+        edges = self.derived("edges", number)
+        found = trajectory.propose(edges, least_support=s.least_support)
+        kept = trajectory.maximal_paths(found.select("nodes"), s.least_support).join(found.select("component", "nodes"), "nodes")
+        rests = self.derived("points", number).select(F.col("id").alias("node")).join(heads.select(F.col("block_id").alias("node"), F.explode("raw_evidence_ids").alias("evidence_id")), "node")
+        parts = found.select("component", F.explode("nodes").alias("node")).distinct()
+        evidence = parts.join(rests, "node").select("component", F.col("node").alias("block_id"), "evidence_id")
+        self.put(trajectory.bootstrap_lines(trajectory.described(kept, edges, points), evidence, seed=s.least_support), "lines", number)
         self.append(self.spark.createDataFrame([(number, self.fingerprint)], GENERATIONS), "generations", GENERATIONS)
         return number
 

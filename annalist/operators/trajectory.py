@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 from collections import defaultdict
+from collections.abc import Callable, Iterable
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -13,7 +15,9 @@ from pyspark.sql.window import Window
 
 from annalist.functions.text import identity
 from annalist.functions.vector import cosine
+from annalist.operators.graph import HOPS_A_JOB, connected_components
 from annalist.operators.similarity import BLOCK_ROWS
+from annalist.scratch import materialize
 
 K, LEAST_SIMILARITY, LEAST_SUPPORT, MOST_PATHS, MOST_NODES = 4, 0.55, 3, 256, 64
 SHARED_BLOCKS, SEED_BLOCKS = 2, 3
@@ -71,6 +75,52 @@ def enumerate_paths(edges: DataFrame, spans: DataFrame, most_paths: int = MOST_P
     return out or [[p] for p in sorted(place, key=place.__getitem__)]
 
 
+def propose(edges: DataFrame, most_paths: int = MOST_PATHS, most_nodes: int = MOST_NODES, least_support: int = LEAST_SUPPORT) -> DataFrame:
+    """(component, nodes): the paths from roots to leaves, of each connected component of a graph whose edges run forward in time.
+
+    A path of ``most_nodes`` is cut and goes on from its last nodes, ``least_support`` - 1 of them, so that neighbouring parts
+    overlap. Paths are counted first, as sums over parents, and a component with more than ``most_paths`` of them is refused
+    before any is written out; parts that several paths share are there once. HOPS_A_JOB joins a job, nothing on the driver.
+    """
+    links = materialize(edges.select("parent", "child").na.drop().distinct(), "links")
+    parts = materialize(connected_components(links, "parent", "child"), "components")
+    along = materialize(links.join(parts.withColumnRenamed("node", "parent"), "parent").select("component", F.col("parent").alias("node"), "child"), "along")
+    inner = along.select("component", "node", F.lit(True).alias("inner")).distinct()
+    roots = parts.join(links.select(F.col("child").alias("node")), "node", "left_anti").select("component", "node")
+    n_nodes = parts.count()
+
+    def follow(rows: DataFrame, onward: Callable[[DataFrame], DataFrame], taken: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        found, hops = [], 0
+        while not rows.isEmpty():
+            steps = [rows]
+            for _ in range(HOPS_A_JOB):
+                steps.append(onward(steps[-1]))
+            done = materialize(reduce(DataFrame.unionByName, [step.withColumn("hop", F.lit(i)) for i, step in enumerate(steps)]), "walk")
+            found.append(taken(done.filter(F.col("hop") < HOPS_A_JOB).drop("hop")))
+            rows, hops = done.filter(F.col("hop") == HOPS_A_JOB).drop("hop").distinct(), hops + HOPS_A_JOB
+            if hops > 2 * n_nodes + HOPS_A_JOB:
+                raise RuntimeError("the edges hold a cycle")
+        return reduce(DataFrame.unionByName, found) if found else taken(rows)
+
+    full = F.lit(most_paths + 1).cast("long")  # counts stop here
+    leaf = lambda rows: rows.join(inner, ["component", "node"], "left_anti")
+    add = lambda rows: rows.join(along, ["component", "node"]).groupBy("component", F.col("child").alias("node")).agg(F.least(F.sum("n"), full).alias("n"))
+    counts = follow(roots.withColumn("n", F.lit(1).cast("long")), add, leaf).groupBy("component").agg(F.sum("n").alias("n"))
+    many = counts.filter(F.col("n") > most_paths)
+    if not many.isEmpty() or (n_nodes and roots.isEmpty()):
+        raise RuntimeError(f"over {most_paths} paths in one component" if not many.isEmpty() else "the edges hold a cycle")
+
+    overlap = min(max(1, least_support - 1), most_nodes - 1)
+    long = F.size("nodes") == most_nodes
+
+    def grow(rows: DataFrame) -> DataFrame:
+        at_tip = rows.withColumn("node", F.element_at("nodes", -1)).join(along, ["component", "node"])
+        return at_tip.select("component", F.concat(F.when(long, F.slice("nodes", -overlap, overlap)).otherwise(F.col("nodes")), F.array("child")).alias("nodes"))
+
+    whole = lambda rows: rows.withColumn("node", F.element_at("nodes", -1)).join(inner, ["component", "node"], "left").filter(F.col("inner").isNull() | long).select("component", "nodes")
+    return follow(roots.select("component", F.array("node").alias("nodes")), grow, whole).distinct()
+
+
 def maximal_paths(paths: DataFrame, least_support: int = LEAST_SUPPORT) -> DataFrame:
     """Paths (nodes array) of enough nodes that are no contiguous part of a longer one; adds path_id.
 
@@ -84,7 +134,7 @@ def maximal_paths(paths: DataFrame, least_support: int = LEAST_SUPPORT) -> DataF
 
 
 def described(paths: DataFrame, edges: DataFrame, spans: DataFrame) -> DataFrame:
-    """Paths (path_id, nodes) with start, end and mean edge similarity, the order in which they become lines.
+    """Paths (path_id, nodes, and what else they have) with start, end and mean edge similarity, the order in which they become lines.
 
     A path of one node has similarity 0. ``edges``: parent, child, score; ``spans``: id, occurred_start, occurred_end.
     """
@@ -100,26 +150,72 @@ def identity_candidates(path_blocks: DataFrame, line_blocks: DataFrame, shared:
     return both.groupBy("path_id", "line_id").agg(F.count("*").alias("n_shared")).filter(F.col("n_shared") >= shared)
 
 
-def bootstrap(paths: list[tuple[list, object, object, float]], seed: int = SEED_BLOCKS, shared: int = SHARED_BLOCKS) -> list[tuple[str, list]]:
+def independent(blocks: Iterable, evidence: dict) -> int:
+    """How many of the blocks rest on evidence apart from each other: the components of those that share any.
+
+    A block that ``evidence`` does not name rests on itself.
+    """
+    groups: list[set] = []
+    for block in blocks:
+        mine = set(evidence.get(block) or {("block", block)})
+        apart = [g for g in groups if not g & mine]
+        groups = [*apart, mine.union(*(g for g in groups if g & mine))]
+    return len(groups)
+
+
+def bootstrap(paths: list[tuple[list, object, object, float]], seed: int = SEED_BLOCKS, shared: int = SHARED_BLOCKS, evidence: dict | None = None) -> list[tuple[str, list]]:
     """Fold of (blocks, start, end, mean similarity) paths into lines: [(line id, blocks)].
 
-    Longest first, then by start, end, similarity and blocks. A path that shares enough blocks with
-    one line extends it, with none seeds a line, with several stays unresolved. Sequential by meaning
-    and bounded by the number of paths.
+    Longest first, then by start, end, similarity and blocks. A path that shares enough blocks with no line seeds one. Of the
+    lines with which it shares enough, it extends the one whose shared blocks have the most independent support; where two
+    have as much, it stays unresolved. Support counts by :func:`independent`, and is ``shared`` at least, ``seed`` for a seed.
+    Sequential by meaning and bounded by the number of paths.
     """
     import hashlib
 
     lines: list[tuple[str, list]] = []
+    held = evidence or {}
     for blocks, _, _, _ in sorted(paths, key=lambda p: (-len(p[0]), p[1], p[2], -p[3], list(map(str, p[0])))):
-        hits = [line for line in lines if len(set(line[1]) & set(blocks)) >= shared]
-        if len(hits) == 1:
-            hits[0][1].extend(b for b in blocks if b not in hits[0][1])
-        elif not hits and len(blocks) >= seed:
+        hits = [(line, [b for b in blocks if b in set(line[1])]) for line in lines]
+        hits = [(line, both) for line, both in hits if len(both) >= shared]
+        if hits:
+            strong = [(n, line) for line, both in hits if (n := independent(both, held)) >= shared]
+            best = [line for n, line in strong if n == max(m for m, _ in strong)]
+            if len(best) == 1:
+                best[0][1].extend(b for b in blocks if b not in best[0][1])
+        elif len(blocks) >= seed and independent(blocks, held) >= seed:
             unique = list(dict.fromkeys(blocks))
             lines.append(("line_" + hashlib.sha256("|".join(map(str, unique)).encode()).hexdigest()[:24], unique))
     return lines
 
 
+def bootstrap_lines(paths: DataFrame, evidence: DataFrame | None = None, seed: int = SEED_BLOCKS, shared: int = SHARED_BLOCKS) -> DataFrame:
+    """(line_id, block_id) from paths (component, nodes, start, end, similarity), each component folded by itself.
+
+    Paths of different components share no block, so none could change what another becomes. ``evidence`` (component,
+    block_id, evidence_id) says what blocks rest on; without it each rests on itself. A component is one group: its paths,
+    whose number :func:`propose` has bounded, and their evidence.
+    """
+    kind = paths.schema["nodes"].dataType.elementType.simpleString()
+    rows = paths.select("component", F.col("nodes").alias("blocks"), F.col("start").cast("timestamp").alias("start"), F.col("end").cast("timestamp").alias("end"), "similarity")
+
+    def resting(told: pd.DataFrame, rests: pd.DataFrame) -> pd.DataFrame:
+        held: dict = {}
+        for block, item in zip(rests["block_id"], rests["evidence_id"]):
+            held.setdefault(block, set()).add(item)
+        return fold(told, held)
+
+    def fold(told: pd.DataFrame, held: dict) -> pd.DataFrame:
+        lines = bootstrap([(list(r.blocks), r.start, r.end, r.similarity) for r in told.itertuples()], seed, shared, held)
+        return pd.DataFrame([(line, b) for line, blocks in lines for b in blocks], columns=["line_id", "block_id"])
+
+    schema = f"line_id string, block_id {kind}"
+    if evidence is None:
+        return rows.groupBy("component").applyInPandas(lambda told: fold(told, {}), schema)
+    rests = evidence.select(F.col("component").alias("part"), "block_id", "evidence_id").distinct()
+    return rows.groupBy("component").cogroup(rests.groupBy("part")).applyInPandas(resting, schema)
+
+
 def similar(points: DataFrame, asked: DataFrame, least: float) -> DataFrame:
     """(src, dst, score): all points (id, vector) of at least this cosine with each asked id, itself left out.
 

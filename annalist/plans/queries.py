@@ -17,7 +17,7 @@ from pyspark.sql.window import Window
 from annalist.functions import text as T
 from annalist.functions import vector as V
 from annalist.operators import compilation, convergence, frontier, graph, linegraph, metrics, nearline, pairs, revisions, search, similarity, structure, surface, trajectory, visibility
-from annalist.scratch import shared_dir, table_path
+from annalist.scratch import materialize, shared_dir, table_path
 from annalist.sources import files
 from annalist.streaming import compile as compile_
 
@@ -451,8 +451,8 @@ UNION ALL SELECT o.child, w.nodes || o.child || '|', n + 1 FROM walk w JOIN orie
 
 @query("O52_maximal_paths", f"WITH RECURSIVE {WALK} SELECT 'traj_' || substr(sha256(nodes), 1, 24) AS path_id, replace(trim(nodes, '|'), '|', '>') AS nodes FROM walk WHERE n >= 2 AND tail NOT IN (SELECT parent FROM oriented)")
 def _(spark, d):
-    found = trajectory.enumerate_paths(oriented(spark, d), spans(spark, d), most_paths=100_000)
-    return trajectory.maximal_paths(spark.createDataFrame([(p,) for p in found], "nodes array<long>"), 2).select("path_id", F.array_join(F.transform("nodes", lambda n: n.cast("string")), ">").alias("nodes"))
+    # Oriented neighbour graphs are one component for the most part: its bound is raised, and counted against before any path is made.
+    return trajectory.maximal_paths(trajectory.propose(oriented(spark, d), most_paths=1_000_000, least_support=2).select("nodes"), 2).select("path_id", F.array_join(F.transform("nodes", lambda n: n.cast("string")), ">").alias("nodes"))
 
 
 @query("O53_identity_candidates", """WITH l AS (SELECT DISTINCT l_suppkey AS line_id, l_partkey AS block_id FROM lineitem WHERE l_quantity > 45), q AS (SELECT DISTINCT l_orderkey AS path_id, l_partkey AS block_id FROM lineitem WHERE l_quantity <= 45)
@@ -464,11 +464,10 @@ def _(spark, d):
 
 @query("O54_O55_bootstrap_lines")
 def _(spark, d):
-    found = [p for p in trajectory.enumerate_paths(oriented(spark, d), spans(spark, d), most_paths=100_000) if len(p) >= 2]
-    paths = spark.createDataFrame([(i, p) for i, p in enumerate(found)], "path_id long, nodes array<bigint>")
-    told = trajectory.described(paths, oriented(spark, d), spans(spark, d)).select("nodes", "start", "end", "similarity").collect()  # most_paths at most
-    lines = trajectory.bootstrap([tuple(r) for r in told], seed=2)
-    return spark.createDataFrame([(line, b) for line, blocks in lines for b in blocks], "line_id string, block_id long")
+    e = materialize(oriented(spark, d), "oriented")
+    found = trajectory.propose(e, most_paths=1_000_000, least_support=2).filter("size(nodes) >= 2")
+    paths = materialize(found.withColumn("path_id", T.identity("traj_", F.array_join(F.transform("nodes", lambda n: n.cast("string")), "|"))), "paths")
+    return trajectory.bootstrap_lines(trajectory.described(paths, e, spans(spark, d)), seed=2)
 
 
 @query("O56_line_matches", f"""WITH {SIM} SELECT src AS block_id, p.label AS line_id, round(max(s), 6) AS score FROM sim JOIN p ON p.vec_id = dst WHERE src % 10 = 0 AND dst % 10 <> 0 AND s >= 0.30 GROUP BY 1, 2""")
