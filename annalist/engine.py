@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from annalist.functions.text import content_hash
-from annalist.operators import compilation, linegraph, nearline, revisions, search, similarity, structure, surface, trajectory, visibility
+from annalist.operators import compilation, linegraph, nearline, revisions, search, similarity, snapshots, structure, surface, trajectory, visibility
 from annalist.streaming import compile as streaming
 
 EVIDENCE = (
@@ -27,6 +27,7 @@ LIFECYCLE = "evidence_id string, event_id string, event_type string, event_at ti
 BASELINES = "baseline_id string, region_id string, revision_number int, previous_baseline_id string, content string, support array<string>, action string"
 REJECTIONS = "region_id string, content_hash string, support_signature string, reopened_at timestamp"
 GENERATIONS = "generation int, fingerprint string"
+SNAPSHOTS = "snapshot_id string, cutoff timestamp"
 OBSERVED = "generation int, step int"
 
 
@@ -192,6 +193,32 @@ class Engine:
         support = self.read("baselines", BASELINES).select(F.col("baseline_id").alias("holder_id"), F.explode("support").alias("state_id")).join(evidence, "state_id").groupBy("holder_id").agg(F.flatten(F.collect_list("raw_evidence_ids")).alias("evidence_ids"))
         return revisions.invalidation_closure(ids, {"block": states.select(F.col("block_id").alias("holder_id"), F.col("raw_evidence_ids").alias("evidence_ids")), "baseline": support})
 
+    # Snapshots --------------------------------------------------------------------------------------
+
+    def put_snapshot(self, cutoff: str) -> str:
+        """Keep the current observations as a snapshot at ``cutoff``; its id. The same points, cutoff and settings give one snapshot."""
+        at = F.lit(cutoff).cast("timestamp")
+        name = structure.snapshot_id(self.derived("points"), at, self.fingerprint).first()[0]
+        if self.snapshots().filter(F.col("snapshot_id") == name).isEmpty():
+            self.derived("observations").write.mode("overwrite").parquet(f"{self.root}/snapshots/{name}")
+            self.append(self.spark.range(1).select(F.lit(name).alias("snapshot_id"), at.alias("cutoff")), "snapshot-catalogue", SNAPSHOTS)
+        return name
+
+    def snapshots(self) -> DataFrame:
+        """(snapshot_id, cutoff), to be ordered by both."""
+        return self.read("snapshot-catalogue", SNAPSHOTS)
+
+    def snapshot(self, snapshot_id: str) -> DataFrame:
+        """A snapshot's observations, with their stability against the snapshot before it; an unknown id raises."""
+        known = snapshots.with_previous(self.snapshots()).filter(F.col("snapshot_id") == snapshot_id).collect()
+        if not known:
+            raise KeyError(snapshot_id)
+        read = lambda name: self.spark.read.parquet(f"{self.root}/snapshots/{name}").withColumn("snapshot_id", F.lit(name))
+        here = [name for name in (snapshot_id, known[0].previous_id) if name]
+        rows = [read(name) for name in here]
+        both = rows[0] if len(rows) == 1 else rows[0].unionByName(rows[1])
+        return snapshots.stability(both.drop("stability"), self.snapshots().filter(F.col("snapshot_id").isin(here))).filter(F.col("snapshot_id") == snapshot_id)
+
     # Read -------------------------------------------------------------------------------------------
 
     def blocks_at(self, at: str) -> DataFrame:

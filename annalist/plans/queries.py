@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 
 from annalist.functions import text as T
 from annalist.functions import vector as V
-from annalist.operators import compilation, convergence, frontier, graph, linegraph, metrics, nearline, pairs, revisions, search, similarity, structure, surface, trajectory, visibility
+from annalist.operators import compilation, convergence, frontier, graph, linegraph, metrics, nearline, pairs, revisions, search, similarity, snapshots, structure, surface, trajectory, visibility
 from annalist.scratch import materialize, shared_dir, table_path
 from annalist.sources import files
 from annalist.streaming import compile as compile_
@@ -333,6 +333,26 @@ def _(spark, d):
     return structure.snapshot_id(points(spark, d), F.lit(AT), "k=2,4,8;least=0.25")
 
 
+#: Snapshots at a third, two thirds and the end of the table's days.
+@query("O34_O35_snapshots", f"""WITH {SIM}, cut AS (SELECT n, (SELECT min(day) + ceil((date_diff('day', min(day), max(day)) + 1) * n / 3)::INTEGER FROM p) AS m FROM range(1, 4) t(n)),
+kn AS (SELECT * FROM (SELECT n, src, dst, row_number() OVER (PARTITION BY n, src ORDER BY s DESC, dst) AS rank FROM sim JOIN p a ON a.vec_id = src JOIN p b ON b.vec_id = dst JOIN cut ON a.day < m AND b.day < m WHERE s >= 0.25) WHERE rank <= 4),
+mem AS (SELECT n, src AS c, dst AS x FROM kn UNION SELECT n, vec_id, vec_id FROM p JOIN cut ON day < m), size AS (SELECT n, c, count(*) AS k FROM mem GROUP BY 1, 2),
+kept AS (SELECT a.n, a.c, count(*) AS n_both FROM mem a JOIN mem b ON b.n = a.n - 1 AND b.c = a.c AND b.x = a.x GROUP BY 1, 2)
+SELECT size.n AS snapshot, size.c AS center, CASE WHEN size.n > 1 THEN size.n - 1 END AS previous, round(coalesce(n_both / (size.k + o.k - n_both), 0), 6) AS stability FROM size LEFT JOIN kept USING (n, c) LEFT JOIN size o ON o.n = size.n - 1 AND o.c = size.c""")
+def _(spark, d):
+    p = points(spark, d)
+    first, last = p.agg(F.min("occurred_on"), F.max("occurred_on")).first()
+    days = ((last - first).days + 1) if first else 0
+    held, ids = [], []
+    for n in (1, 2, 3):
+        cutoff = F.date_add(F.lit(first), -(-days * n // 3))
+        held.append(structure.observations(p.filter(F.col("occurred_on") < cutoff), (4,), 0.25).withColumn("snapshot_id", F.lit(f"snapshot_{n}")))
+        ids.append(spark.range(1).select(F.lit(f"snapshot_{n}").alias("snapshot_id"), cutoff.cast("timestamp").alias("cutoff")))
+    whole, catalogue = held[0].unionByName(held[1]).unionByName(held[2]), ids[0].unionByName(ids[1]).unionByName(ids[2])
+    number = lambda name: F.expr(f"cast(substring({name}, 10) as bigint)")
+    return snapshots.stability(whole, catalogue).select(number("snapshot_id").alias("snapshot"), "center", number("previous_id").alias("previous"), F.round("stability", 6).alias("stability"))
+
+
 def by_half(p: DataFrame, before: bool) -> DataFrame:
     """The points before, or from, the middle of the table's days on."""
     middle = p.agg(F.expr("date_add(min(occurred_on), cast(ceil((datediff(max(occurred_on), min(occurred_on)) + 1) / 2) as int))").alias("middle"))
