@@ -291,6 +291,29 @@ def test_lines_equal_brute_force(spark, shortest):
     assert [lines.longer(k, 5) for k in (1, 2, 4, 5)] == [2, 4, 5, 10]
 
 
+@pytest.mark.parametrize("shortest", [1, 3])
+def test_maximal_runs_of_lines_are_copies_that_no_other_covers(spark, shortest):
+    r = random.Random(shortest)
+    block = [f"line {i}" for i in range(45)]
+    texts = ["\n".join(block), "\n".join(["own", *block[3:40], "", "end"]), "\n".join([*block[20:31], "own", *block[:7]]), "a\n" * 20, None, ""]
+    texts += ["\n".join(r.choice(["a", "b", "c", " ", *block[:3]]) for _ in range(r.randint(1, 25))) for _ in range(30)]
+    solid = {i: [line for line in (t or "").split("\n") if words(line)] for i, t in enumerate(texts)}
+    runs = lines.maximal_runs(docs(spark, texts), shortest).collect()
+    spans = defaultdict(list)
+    for x in runs:
+        assert x.length >= shortest and (x.source.doc_id, x.source.pos) < (x.doc_id, x.start)
+        assert solid[x.doc_id][x.start : x.start + x.length] == solid[x.source.doc_id][x.source.pos : x.source.pos + x.length]
+        spans[x.doc_id].append((x.start, x.start + x.length))
+    assert not any(a != b and a[0] <= b[0] and b[1] <= a[1] for s in spans.values() for a in s for b in s)
+    assert all(len(set(s)) == len(s) for s in spans.values())
+    kept = line_brute(list(enumerate(texts)), shortest)
+    for i, rows in solid.items():
+        gone = {k for a, b in spans[i] for k in range(a, b)}
+        assert [x for k, x in enumerate(rows) if k not in gone] == [x for x in kept[i].split("\n") if words(x)]
+    assert spans[1] == [(1, 38)] and [(x.length, x.source.doc_id, x.source.pos) for x in runs if x.doc_id == 1] == [(37, 0, 3)]
+    assert spans[0] == [] and {(0, 11), (12, 19)} <= set(spans[2])
+
+
 def test_long_runs_null_ids_and_repeated_rows_of_lines(spark):
     run = [f"line number {i} of a long run" for i in range(70)]
     texts = ["\n".join(["x", *run, "y"]), "\n".join([*run[10:60], "z " * 20000]), "\n".join(run), "\n".join(run), "z " * 20000]
