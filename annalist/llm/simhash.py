@@ -5,6 +5,10 @@ therefore keys every fingerprint by 14 sets of four byte positions, the blocks o
 on eight points: any five positions hold one of them, so every such pair meets under some key. Where
 a pair meets, its shared positional bytes are tallied, pairs below five are dropped, and the Hamming
 distance of the rest is verified.
+
+A key's list that is longer than a bound is split: of the bits its fingerprints are not keyed by yet,
+cut in four parts, a pair with at most three differing bits agrees in one whole part, so a list for
+each part and value loses no pair. Lists still too long are split again, down to single bits.
 """
 
 from __future__ import annotations
@@ -26,6 +30,8 @@ from annalist.scratch import materialize
 QUADRUPLES = [q for q in combinations(range(8), 4) if reduce(lambda x, y: x ^ y, q) == 0]
 MOST_BITS = 3
 LEAST_BYTES = 8 - MOST_BITS
+#: A list of more fingerprints than this is split.
+MOST_LISTED = 4096
 
 
 def fingerprint(body: bytes, width: int = 3) -> int:
@@ -124,6 +130,45 @@ def links(index: DataFrame) -> DataFrame:
     return index.mapInArrow(run, "a long, b long")
 
 
+def parts_of(free: tuple[int, ...]) -> list[tuple[int, ...]]:
+    """The bits cut in one part more than may differ, as even as they go."""
+    n = MOST_BITS + 1
+    return [part for i in range(n) if (part := free[i * len(free) // n : (i + 1) * len(free) // n])]
+
+
+def mask(bits: tuple[int, ...]) -> int:
+    """The bits as a signed 64-bit integer."""
+    return int(np.bitwise_or.reduce(np.array([1 << b for b in bits], np.uint64)).view(np.int64))
+
+
+def keyed(prints: DataFrame, most: int = MOST_LISTED) -> DataFrame:
+    """(key, fp): every fingerprint under each of its keys; lists of more than ``most`` are split by further bits.
+
+    The key of a split list is a hash of its bits' places and values: lists that collide only have
+    more pairs verified. Splits end where four bits are left, at 16 fingerprints at most.
+    """
+    byte = [F.shiftrightunsigned("fp", 8 * j).bitwiseAND(F.lit(255)) for j in range(8)]
+    keys = [reduce(lambda k, j: F.shiftleft(k, 8) + byte[j], q, F.lit(n).cast("long")) for n, q in enumerate(QUADRUPLES)]
+    free = [tuple(b for j in range(8) if j not in q for b in range(8 * j, 8 * j + 8)) for q in QUADRUPLES]
+    entries = F.explode(F.array(*(F.struct(key.alias("key"), F.lit(mask(bits)).alias("free")) for key, bits in zip(keys, free))))
+    index, done = prints.select(entries.alias("entry"), "fp").select("entry.*", "fp"), []
+    while True:
+        long = materialize(index.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > most).select("key"), "long-lists")
+        free = sorted({bits for bits in free if len(bits) > MOST_BITS + 1})
+        if not free or long.isEmpty():
+            return reduce(DataFrame.unionAll, [*done, index.select("key", "fp")])
+        splits, left = [], []
+        for bits in free:
+            for part in parts_of(bits):
+                left.append(tuple(b for b in bits if b not in part))
+                splits.append((mask(bits), mask(part), mask(left[-1])))
+        done.append(index.join(long, "key", "left_anti").select("key", "fp"))
+        table = prints.sparkSession.createDataFrame(splits, "free long, part long, left long")
+        grown = index.join(long, "key", "left_semi").join(F.broadcast(table), "free")  # four rows for each set of bits
+        key = F.xxhash64("key", "part", F.col("fp").bitwiseAND(F.col("part")))
+        index, free = materialize(grown.select(key.alias("key"), F.col("left").alias("free"), "fp"), "split-lists"), left
+
+
 def components(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fingerprint, component_id) of every document.
 
@@ -136,9 +181,7 @@ def components(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col
     """
     prints = materialize(fingerprints(docs, width, id_col, text_col), "fingerprints")
     distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    byte = [F.shiftrightunsigned("fp", 8 * j).bitwiseAND(F.lit(255)) for j in range(8)]
-    keys = F.array(*(reduce(lambda k, j: F.shiftleft(k, 8) + byte[j], q, F.lit(n).cast("long")) for n, q in enumerate(QUADRUPLES)))
-    index = distinct.select(F.explode(keys).alias("key"), "fp").repartition("key").sortWithinPartitions("key", "fp")
+    index = keyed(distinct.select("fp")).repartition("key").sortWithinPartitions("key", "fp")
     parts = connected_components(links(index)).withColumnsRenamed({"node": "fp", "component": "part"})
     linked = distinct.join(parts, "fp")
     named = linked.join(linked.groupBy("part").agg(F.min("first").alias("smallest")), "part").select("fp", "smallest")
@@ -150,7 +193,8 @@ def components(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col
 def drop_near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
     """Of each component the document with the smallest doc_id, with all of its columns.
 
-    Rows with a null doc_id stay. Rows that repeat a doc_id are one document.
+    Rows with a null doc_id stay. Rows that repeat a doc_id are one document. Null and empty texts
+    are alike, so one of them stays; an empty table gives no rows; other columns are untouched.
     """
     lost = components(docs, width).filter("doc_id != component_id").select(F.col("doc_id").alias("_lost")).distinct()
     return docs.join(lost, docs["doc_id"].cast("long") == lost["_lost"], "left_anti")

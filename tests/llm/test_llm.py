@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from annalist.llm import chat, lines, neighbours, packing, quality, queries, sentencepiece, simhash, substrings, toxicity, urlfilter
+from annalist.operators.graph import connected_components
 from tests.oracle import both
 
 SF = "/root/testdata/sf0.001"
@@ -416,6 +417,29 @@ def test_simhash_components_equal_brute_force(spark):
     assert simhash.components(docs(spark, texts).filter("false")).count() == 0
 
 
+@pytest.mark.parametrize("most", [20, 4096])
+def test_long_lists_are_split_and_lose_no_link(spark, most):
+    rng = np.random.default_rng(6)
+    low = rng.integers(0, 1 << 32, 250, dtype=np.uint64)
+    near = [int(x) ^ sum(1 << int(b) for b in rng.choice(32, 3, replace=False)) for x in low[:150]]
+    same = 0x0123456700000000
+    prints = sorted({same | x for x in [*map(int, low), *near]} | {same ^ (7 << 40) | int(x) for x in low[:40]} | {x << 20 for x in range(300)})
+    table = spark.createDataFrame([(x,) for x in prints], "fp long")
+    index = simhash.keyed(table, most)
+    if most == 20:
+        assert index.groupBy("key").count().agg({"count": "max"}).first()[0] <= 20 < simhash.keyed(table).groupBy("key").count().agg({"count": "max"}).first()[0]
+    linked = connected_components(simhash.links(index.repartition("key").sortWithinPartitions("key", "fp"))).collect()
+    groups = defaultdict(set)
+    for r in linked:
+        groups[r.component].add(r.node)
+    want = defaultdict(set)
+    for i, part in component_brute(dict(enumerate(prints))).items():
+        want[part].add(prints[i])
+    assert sorted(map(sorted, groups.values())) == sorted(sorted(g) for g in want.values() if len(g) > 1)
+    free = tuple(range(32))
+    assert sorted(b for part in simhash.parts_of(free) for b in part) == list(free) and len(simhash.parts_of(free)) == 4
+
+
 def test_simhash_links_over_batches_and_dense_keys(spark):
     rng = np.random.default_rng(2)
     center = rng.integers(0, 2**62, 4)
