@@ -29,6 +29,7 @@ REJECTIONS = "region_id string, content_hash string, support_signature string, r
 GENERATIONS = "generation int, fingerprint string"
 SNAPSHOTS = "snapshot_id string, cutoff timestamp"
 OBSERVED = "generation int, step int"
+POSTINGS = "evidence_id string, kind string, holder_id string"
 
 
 @dataclass(frozen=True)
@@ -105,6 +106,8 @@ class Engine:
         states = self.derived("states", number)
         good = states.join(self.broken(states, log), "state_id", "left_anti")
         heads = visibility.latest(good)
+        uses = lambda rows: rows.select(F.col("block_id").alias("holder_id"), F.col("raw_evidence_ids").alias("evidence_ids"))
+        self.put(revisions.postings({"block": uses(states), "point": uses(heads)}).repartition("evidence_id").sortWithinPartitions("evidence_id"), "postings", number)
         points = heads.select(F.col("block_id").alias("id"), "vector", F.to_date("occurred_start").alias("occurred_on"), "occurred_start", "occurred_end")
         self.put(points, "points", number)
         points = self.derived("points", number)
@@ -188,10 +191,13 @@ class Engine:
         return closure
 
     def closure(self, ids: DataFrame) -> DataFrame:
-        states = self.derived("states")
-        evidence = states.select("state_id", "raw_evidence_ids")
-        support = self.read("baselines", BASELINES).select(F.col("baseline_id").alias("holder_id"), F.explode("support").alias("state_id")).join(evidence, "state_id").groupBy("holder_id").agg(F.flatten(F.collect_list("raw_evidence_ids")).alias("evidence_ids"))
-        return revisions.invalidation_closure(ids, {"block": states.select(F.col("block_id").alias("holder_id"), F.col("raw_evidence_ids").alias("evidence_ids")), "baseline": support})
+        """(kind, holder_id) of the blocks, snapshots and accepted revisions that use the evidence: one lookup in the index.
+
+        A generation brings the index of its blocks; snapshots and accepted revisions add theirs when they are kept, so
+        revisions of any age are found.
+        """
+        blocks = self.derived("postings").filter("kind = 'block'")
+        return revisions.holders_of(ids, blocks.unionByName(self.read("postings", POSTINGS)))
 
     # Snapshots --------------------------------------------------------------------------------------
 
@@ -201,6 +207,8 @@ class Engine:
         name = structure.snapshot_id(self.derived("points"), at, self.fingerprint).first()[0]
         if self.snapshots().filter(F.col("snapshot_id") == name).isEmpty():
             self.derived("observations").write.mode("overwrite").parquet(f"{self.root}/snapshots/{name}")
+            shown = self.derived("postings").filter("kind = 'point'").select("evidence_id", F.lit(name).alias("holder_id"))
+            self.append(revisions.postings({"snapshot": shown}), "postings", POSTINGS)
             self.append(self.spark.range(1).select(F.lit(name).alias("snapshot_id"), at.alias("cutoff")), "snapshot-catalogue", SNAPSHOTS)
         return name
 
@@ -285,6 +293,8 @@ class Engine:
         judged = revisions.consolidate(proposals, heads)
         new = revisions.promote(proposals, heads).join(heads.select("region_id", F.col("baseline_id").alias("previous_baseline_id")), "region_id", "left")
         rows = judged.select("region_id", "action", "revision_number").collect()  # one row per proposal
+        used = new.select(F.col("baseline_id").alias("holder_id"), F.explode("support").alias("state_id")).join(compilation.bridge(every), "state_id")
+        self.append(revisions.postings({"baseline": used.select("holder_id", "evidence_id")}), "postings", POSTINGS)  # before the revisions: an index may name too much, never too little
         self.append(new, "baselines", BASELINES)
         return self.spark.createDataFrame(rows, "region_id string, action string, revision_number int")
 

@@ -111,16 +111,30 @@ def reopen(rejections: DataFrame, keys: DataFrame, at: Column) -> DataFrame:
     return rejections.join(keys.select(*on).distinct().withColumn("_hit", F.lit(True)), on, "left").withColumn("reopened_at", F.when(F.col("_hit") & F.col("reopened_at").isNull(), at).otherwise(F.col("reopened_at"))).drop("_hit")
 
 
-def invalidation_closure(ids: DataFrame, holders: dict[str, DataFrame]) -> DataFrame:
-    """(kind, holder_id): everything that uses one of the evidence ids.
+def postings(holders: dict[str, DataFrame]) -> DataFrame:
+    """(evidence_id, kind, holder_id): the inverted index from evidence to what uses it, to be kept as a table.
 
-    ``holders``: kind -> (holder_id, evidence_ids array). An equality join on exploded ids.
+    ``holders``: kind -> (holder_id, evidence_ids array) or (holder_id, evidence_id), a row each. Null
+    ids and null or empty arrays give no rows; repeats are one.
     """
     out = None
     for kind, rows in holders.items():
-        hit = rows.select(F.lit(kind).alias("kind"), F.col("holder_id").cast("string").alias("holder_id"), F.explode("evidence_ids").alias("evidence_id")).join(ids.select("evidence_id").distinct(), "evidence_id", "left_semi").select("kind", "holder_id").distinct()
-        out = hit if out is None else out.unionAll(hit)
-    return out
+        if "evidence_id" not in rows.columns:
+            rows = rows.select("holder_id", F.explode("evidence_ids").alias("evidence_id"))
+        one = rows.select(F.col("evidence_id").cast("string").alias("evidence_id"), F.lit(kind).alias("kind"), F.col("holder_id").cast("string").alias("holder_id"))
+        out = one if out is None else out.unionAll(one)
+    return out.filter("evidence_id is not null and holder_id is not null").distinct()
+
+
+def holders_of(ids: DataFrame, index: DataFrame) -> DataFrame:
+    """(kind, holder_id): one lookup in the index, for all kinds at once."""
+    wanted = ids.select(F.col("evidence_id").cast("string").alias("evidence_id")).distinct()
+    return index.join(wanted, "evidence_id", "left_semi").select("kind", "holder_id").distinct()
+
+
+def invalidation_closure(ids: DataFrame, holders: dict[str, DataFrame]) -> DataFrame:
+    """(kind, holder_id): everything that uses one of the evidence ids, without an index at hand."""
+    return holders_of(ids, postings(holders))
 
 
 def evaluate_candidates(candidates: DataFrame, authorized: DataFrame, rejections: DataFrame, current: DataFrame, arriving: DataFrame) -> DataFrame:

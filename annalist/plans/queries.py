@@ -809,6 +809,20 @@ def _(spark, d):
     return revisions.invalidation_closure(ids, {"block": blocks, "order": orders})
 
 
+@query("O84_evidence_index", f"""WITH {EV}, bad AS (SELECT event_id, CAST(ts AS DATE)::VARCHAR AS day FROM events WHERE event_id % 11 = 0), lines AS (SELECT l_orderkey, l_partkey FROM lineitem WHERE l_partkey IN (SELECT event_id FROM bad))
+SELECT DISTINCT 'block' AS kind, lineage_id || '/' || block_no AS holder_id FROM st WHERE event_id % 11 = 0 UNION ALL SELECT DISTINCT 'snapshot', day FROM bad
+UNION ALL SELECT DISTINCT 'baseline', l_orderkey::VARCHAR FROM lines UNION ALL SELECT DISTINCT 'draft', o_custkey::VARCHAR FROM lines JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus = 'O' AND o_custkey IS NOT NULL""")
+def _(spark, d):
+    """Blocks, days as snapshots, orders as accepted revisions and customers with open orders as drafts, found by one lookup."""
+    blocks = visibility.latest(states(spark, d)).select(F.concat_ws("/", "lineage_id", "block_no").alias("holder_id"), F.col("raw_evidence_ids").alias("evidence_ids"))
+    shown = table(spark, d, "events").select(F.to_date("ts").alias("holder_id"), F.col("event_id").alias("evidence_id"))
+    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("holder_id"), F.col("l_partkey").alias("evidence_id"))
+    open_ = table(spark, d, "orders").filter("o_orderstatus = 'O'").select(F.col("o_orderkey").alias("order"), F.col("o_custkey").alias("customer"))
+    drafts = lines.join(open_, F.col("holder_id") == F.col("order")).select(F.col("customer").alias("holder_id"), "evidence_id")
+    index = revisions.postings({"block": blocks, "snapshot": shown, "baseline": lines, "draft": drafts})
+    return revisions.holders_of(lifecycle(spark, d), index)
+
+
 @query("O86_pending_materials", "SELECT o_orderkey AS material_id FROM orders WHERE o_orderkey % 4 <> 0 ORDER BY o_orderdate, o_orderkey LIMIT 8")
 def _(spark, d):
     o = table(spark, d, "orders").select(F.col("o_orderkey").alias("material_id"), F.col("o_orderdate").alias("created_at"))

@@ -37,9 +37,13 @@ def test_ingest_read_correct(spark, tmp_path):
     with pytest.raises(ValueError):
         engine.accept(spark.createDataFrame([("q", "x", ["no such state"])], proposal.schema))
 
+    shot = engine.put_snapshot("2026-08-31")
     used = engine.query("").first().sources[0]
     touched = engine.invalidate_and_rebuild(spark.createDataFrame([(used,)], "evidence_id string"), "2026-09-01")
-    assert {r.kind for r in touched.collect()} == {"block", "baseline"}
+    touched = sorted((r.kind, r.holder_id) for r in touched.collect())
+    assert [kind for kind, _ in touched] == ["baseline", "block", "snapshot"] and touched[2] == ("snapshot", shot)
+    again = engine.closure(spark.createDataFrame([(used,), (None,), ("no such",)], "evidence_id string")).collect()
+    assert {("baseline", touched[0][1]), ("snapshot", shot)} <= {(r.kind, r.holder_id) for r in again}
     assert engine.generation() == 2 and engine.query("").count() == 0
     assert engine.blocks_at("2026-08-31").count() == 4 and engine.blocks_at("2026-09-02").count() == 3
     engine.diff(1, 2).count()

@@ -386,3 +386,13 @@ def test_paths_are_described_by_their_times_and_mean_similarity(spark):
     spans = spark.sql("select id, timestamp'2024-01-01' + make_dt_interval(d) occurred_start, timestamp'2024-01-02' + make_dt_interval(d) occurred_end from values ('a', 1), ('b', 2), ('c', 3) t(id, d)")
     got = rows(trajectory.described(paths, edges, spans).withColumns({"s": F.dayofmonth("start"), "e": F.dayofmonth("end")}), "path_id", "s", "e", "similarity")
     assert got == [("p", 2, 5, 0.75), ("q", 4, 5, 0.0)]
+
+
+def test_the_evidence_index_holds_every_kind_once(spark):
+    blocks = spark.createDataFrame([("b1", ["1", "2", "2", None]), ("b2", []), ("b3", None), (None, ["1"])], "holder_id string, evidence_ids array<string>")
+    shown = spark.createDataFrame([(7, 2), (7, 2), (8, None), (9, 3)], "holder_id long, evidence_id long")
+    index = revisions.postings({"block": blocks, "snapshot": shown})
+    assert sorted(map(tuple, index.collect())) == [("1", "block", "b1"), ("2", "block", "b1"), ("2", "snapshot", "7"), ("3", "snapshot", "9")]
+    ids = spark.createDataFrame([(2,), (2,), (None,), (5,)], "evidence_id long")
+    assert sorted(map(tuple, revisions.holders_of(ids, index).collect())) == [("block", "b1"), ("snapshot", "7")]
+    assert revisions.holders_of(ids.limit(0), index).count() == 0 and revisions.holders_of(ids, index.limit(0)).count() == 0
