@@ -93,6 +93,16 @@ class Engine:
         new = revisions_event(visibility.invalidate(self.read("lifecycle", LIFECYCLE), ids, F.lit(at).cast("timestamp")))
         self.append(new, "lifecycle", LIFECYCLE)
 
+    def supersede(self, replacements: DataFrame, at: str) -> None:
+        """Record that evidence is replaced (evidence_id, replacement) from ``at`` on; repeating a pair changes nothing.
+
+        Both must exist and the replacement be valid now, else it raises and nothing is recorded.
+        """
+        log = self.read("lifecycle", LIFECYCLE)
+        new = visibility.supersede(self.read("evidence", EVIDENCE), log, replacements, F.lit(at).cast("timestamp"))
+        new = new.join(log.filter("event_type = 'SUPERSEDED'").select("evidence_id", "replacement"), ["evidence_id", "replacement"], "left_anti")
+        self.append(new.withColumn("event_id", F.concat_ws("/", "evidence_id", "replacement", F.col("event_at").cast("string"))), "lifecycle", LIFECYCLE)
+
     # Derive -----------------------------------------------------------------------------------------
 
     def rebuild(self) -> int:
@@ -264,7 +274,7 @@ class Engine:
             F.count("*").alias("n"), F.array_sort(F.collect_set("state_id")).alias("states"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("raw_evidence_ids")))).alias("sources"),
             F.array_join(F.array_sort(F.collect_list("state_content")), " ").alias("texts"),
         )
-        return revisions.suppress(whole.filter("n = wanted").drop("n", "wanted"), self.read("rejections", REJECTIONS))
+        return revisions.suppress(whole.filter("n = wanted").drop("n", "wanted"), self.rejections())
 
     def query(self, text: str) -> DataFrame:
         """Accepted understandings that share a token with the text; all of them for an empty text."""
@@ -302,6 +312,19 @@ class Engine:
         row = self.served().filter(F.col("region_id") == region_id).select("region_id", content_hash("content").alias("content_hash"), revisions.signature(F.col("sources")).alias("support_signature"), F.lit(None).cast("timestamp").alias("reopened_at"))
         self.append(row, "rejections", REJECTIONS)
 
+    def rejections(self) -> DataFrame:
+        """Each rejection as it stands now: ``reopened_at`` is null while it was rejected more often than reopened."""
+        log = self.read("rejections", REJECTIONS)
+        open_ = F.count("*") - F.count("reopened_at") > F.count("reopened_at")
+        return log.groupBy("region_id", "content_hash", "support_signature").agg(F.when(~open_, F.max("reopened_at")).alias("reopened_at"))
+
+    def reopen(self, region_id: str, at: str) -> None:
+        """Let a region's rejected understandings be served again; raises where no rejection stands."""
+        standing = self.rejections().filter((F.col("region_id") == region_id) & F.col("reopened_at").isNull())
+        if standing.isEmpty():
+            raise ValueError("no rejection of this region stands")
+        self.append(revisions.reopen(standing, standing, F.lit(at).cast("timestamp")), "rejections", REJECTIONS)
+
 
 def revisions_event(rows: DataFrame) -> DataFrame:
     return rows.withColumn("event_id", F.concat_ws("/", "evidence_id", F.col("event_at").cast("string"))).withColumn("replacement", F.lit(None).cast("string"))

@@ -1,7 +1,7 @@
 import pandas as pd
 import pytest
 
-from annalist.engine import EVIDENCE, Engine, Settings
+from annalist.engine import EVIDENCE, LIFECYCLE, Engine, Settings
 
 
 def evidence(spark, rows):
@@ -59,8 +59,28 @@ def test_rejected_understandings_are_not_served(spark, tmp_path):
     state = engine.derived("states").first().state_id
     engine.accept(spark.createDataFrame([("r", "text", [state])], "region_id string, content string, support array<string>"))
     assert engine.query("").count() == 1
+    with pytest.raises(ValueError):
+        engine.reopen("r", "2026-09-01")
     engine.reject("r")
     assert engine.query("").count() == 0
+    engine.reopen("r", "2026-09-01")
+    assert engine.query("").count() == 1
+    engine.reject("r")
+    assert engine.query("").count() == 0
+
+
+def test_superseded_evidence_leaves_views(spark, tmp_path):
+    engine = Engine(spark, str(tmp_path))
+    engine.run_batch(evidence(spark, ROWS))
+    pair = spark.createDataFrame([("e1", "e3")], "evidence_id string, replacement string")
+    engine.supersede(pair, "2026-09-01")
+    engine.supersede(pair, "2026-09-03")
+    assert engine.blocks_at("2026-08-31").count() == 4 and engine.blocks_at("2026-09-02").count() == 3
+    assert engine.read("lifecycle", LIFECYCLE).count() == 1
+    for wrong in (("e2", "e1"), ("e2", "none"), ("none", "e2")):
+        with pytest.raises(ValueError):
+            engine.supersede(spark.createDataFrame([wrong], pair.schema), "2026-09-04")
+    assert engine.read("lifecycle", LIFECYCLE).count() == 1
 
 
 def test_items_are_processed_one_after_the_other(spark, tmp_path):
