@@ -14,7 +14,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from annalist.operators import surface, trajectory
+from annalist.operators import compilation, surface, trajectory, visibility
 from annalist.plans import queries
 from tests.oracle import both
 
@@ -99,3 +99,11 @@ def test_paths_beyond_the_limit_fail(spark):
     assert len(trajectory.enumerate_paths(edges, spans, most_paths=300)) == 300
     with pytest.raises(RuntimeError, match="over 256 paths"):
         trajectory.enumerate_paths(edges, spans)
+
+
+def test_blocks_whose_digests_start_alike_stay_apart(spark):
+    # The SHA-256 digests of "1309208|1" and "1460755|1" have the same first ten hex digits.
+    e = spark.createDataFrame([(i, lineage, "s", str(i), i) for i, lineage in enumerate((1309208, 1460755))], "evidence_id long, lineage_id long, subject string, ordering_key string, occurred_at long").withColumn("known_at", F.col("occurred_at"))
+    touches = compilation.islands(e)
+    assert visibility.latest(compilation.block_states(touches)).count() == 2
+    assert visibility.latest(compilation.supported_states(touches, e.select("evidence_id", F.lit(True).alias("valid")))).count() == 2
