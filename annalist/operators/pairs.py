@@ -44,6 +44,15 @@ class Rules:
     possibility: str = "可能"
 
 
+def meet(left: DataFrame, right: DataFrame, on: list[str] | str, how: str = "inner") -> DataFrame:
+    """``left`` joined with ``right``, both sorted: neither goes through the driver.
+
+    Spark estimates a side by the size of its files and its columns; terms and contents made from few bytes are far
+    larger than that, and would be broadcast.
+    """
+    return left.join(right.hint("merge"), on, how)
+
+
 def interval_pairs(views: DataFrame, window_seconds: int = WINDOW_DAYS * 86400, scope: list[str] | None = None) -> DataFrame:
     """(predecessor_id, successor_id, delta, score): ordered pairs received at most a window apart.
 
@@ -57,7 +66,7 @@ def interval_pairs(views: DataFrame, window_seconds: int = WINDOW_DAYS * 86400,
     rows = views.select(*scope, "memory_id", at.alias("t"), F.floor(at / span).alias("bucket"))
     left = rows.select(*scope, F.col("memory_id").alias("predecessor_id"), F.col("t").alias("p"), F.explode(F.array(F.col("bucket"), F.col("bucket") + 1)).alias("bucket"))
     right = rows.select(*scope, F.col("memory_id").alias("successor_id"), F.col("t").alias("s"), "bucket")
-    pairs = left.join(right, [*scope, "bucket"]).filter(((F.col("p") < F.col("s")) | ((F.col("p") == F.col("s")) & (F.col("predecessor_id") < F.col("successor_id")))) & (F.col("s") - F.col("p") <= span))
+    pairs = meet(left, right, [*scope, "bucket"]).filter(((F.col("p") < F.col("s")) | ((F.col("p") == F.col("s")) & (F.col("predecessor_id") < F.col("successor_id")))) & (F.col("s") - F.col("p") <= span))
     delta = (F.col("s") - F.col("p")) / 1_000_000
     return pairs.select(*scope, "predecessor_id", "successor_id", delta.alias("delta"), (1 - delta / window_seconds).alias("score"))
 
@@ -66,15 +75,15 @@ def term_weights(views: DataFrame, text: str = "content") -> DataFrame:
     """(memory_id, term, weight): each record's bigram bag, of length one."""
     counts = views.select("memory_id", F.explode(bigrams(F.col(text))).alias("term")).groupBy("memory_id", "term").agg(F.count("*").alias("n"))
     lengths = counts.groupBy("memory_id").agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("length"))
-    return counts.join(lengths, "memory_id").select("memory_id", "term", (F.col("n") / F.col("length")).alias("weight"))
+    return meet(counts, lengths, "memory_id").select("memory_id", "term", (F.col("n") / F.col("length")).alias("weight"))
 
 
 def with_cosine(pairs: DataFrame, weights: DataFrame) -> DataFrame:
     """Adds ``cosine``. Only the terms of the given pairs are multiplied."""
     p = weights.select(F.col("memory_id").alias("predecessor_id"), "term", F.col("weight").alias("w"))
     s = weights.select(F.col("memory_id").alias("successor_id"), "term", F.col("weight").alias("v"))
-    dots = pairs.select("predecessor_id", "successor_id").join(p, "predecessor_id").join(s, ["successor_id", "term"]).groupBy("predecessor_id", "successor_id").agg(F.sum(F.col("w") * F.col("v")).alias("cosine"))
-    return pairs.join(dots, ["predecessor_id", "successor_id"], "left").withColumn("cosine", F.coalesce("cosine", F.lit(0.0)))
+    dots = meet(meet(pairs.select("predecessor_id", "successor_id"), p, "predecessor_id"), s, ["successor_id", "term"]).groupBy("predecessor_id", "successor_id").agg(F.sum(F.col("w") * F.col("v")).alias("cosine"))
+    return meet(pairs, dots, ["predecessor_id", "successor_id"], "left").withColumn("cosine", F.coalesce("cosine", F.lit(0.0)))
 
 
 def similar_pairs(pairs: DataFrame, weights: DataFrame, least: float = LEAST_COSINE) -> DataFrame:
@@ -95,7 +104,7 @@ def with_signals(pairs: DataFrame, views: DataFrame, cues: Cues = Cues()) -> Dat
     columns = ["content", "semantic_time", "valid_start", "valid_end"]
     p = views.select(F.col("memory_id").alias("predecessor_id"), *(F.col(c).alias(f"p_{c}") for c in columns))
     s = views.select(F.col("memory_id").alias("successor_id"), *(F.col(c).alias(f"s_{c}") for c in columns))
-    rows = pairs.join(p, "predecessor_id").join(s, "successor_id")
+    rows = meet(meet(pairs, p, "predecessor_id"), s, "successor_id")
     common = F.size(F.array_intersect(run_bigrams(F.col("p_content")), run_bigrams(F.col("s_content"))))
     rows = rows.withColumn("common", common)
     entity = F.col("common") >= 2

@@ -14,7 +14,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from annalist.operators import compilation, surface, trajectory, visibility
+from annalist.operators import compilation, metrics, pairs, surface, trajectory, visibility
 from annalist.plans import queries
 from tests.oracle import both
 
@@ -107,3 +107,12 @@ def test_blocks_whose_digests_start_alike_stay_apart(spark):
     touches = compilation.islands(e)
     assert visibility.latest(compilation.block_states(touches)).count() == 2
     assert visibility.latest(compilation.supported_states(touches, e.select("evidence_id", F.lit(True).alias("valid")))).count() == 2
+
+
+def test_terms_of_a_small_table_are_not_broadcast(spark, tmp_path):
+    d = written(tmp_path, orders={"o_orderkey": list(range(300)), "o_custkey": [i % 9 for i in range(300)], "o_orderdate": [datetime(2024, 1, 1) + timedelta(days=i % 50) for i in range(300)]})
+    v = queries.said(spark, d)
+    plan = pairs.with_signals(pairs.with_cosine(pairs.interval_pairs(v, scope=["person"]), pairs.term_weights(v)), v)._jdf.queryExecution().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    missed = metrics.missed(queries.said_gold(spark, d), queries.said_gold(spark, d))._jdf.queryExecution().toString()
+    assert "BroadcastHashJoin" not in missed
