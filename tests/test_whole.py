@@ -14,7 +14,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from annalist.operators import compilation, metrics, pairs, surface, trajectory, visibility
+from annalist.operators import compilation, metrics, pairs, similarity, surface, trajectory, visibility
 from annalist.plans import queries
 from tests.oracle import both
 
@@ -116,3 +116,25 @@ def test_terms_of_a_small_table_are_not_broadcast(spark, tmp_path):
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
     missed = metrics.missed(queries.said_gold(spark, d), queries.said_gold(spark, d))._jdf.queryExecution().toString()
     assert "BroadcastHashJoin" not in missed
+
+
+@pytest.mark.parametrize("k", [1, 3, 40, 300])
+def test_neighbours_by_parts_equal_a_whole_sort_and_are_made_once(spark, monkeypatch, k):
+    monkeypatch.setattr(similarity, "KNN_ROWS", 90)
+    draw = np.random.default_rng(k)
+    v = draw.normal(size=(300, 5)).round(1)
+    v[200:260] = v[:60]  # equal vectors have equal scores, ids decide
+    v[7], v[8, 2] = 0, np.nan
+    size = np.linalg.norm(v, axis=1)
+    p = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, vector array<double>")
+    found = similarity.exact_knn(p, k, -0.5)
+    assert "FlatMapCoGroups" not in found._jdf.queryExecution().toString()
+    got = {(r.src, r["rank"]): (r.dst, r.similarity) for r in found.collect()}
+    want = {}
+    for i in range(300):
+        scores = [(-(float(np.einsum("j,j->", v[i], v[j])) / (size[i] * size[j]) if size[i] * size[j] > 0 else 0.0), j) for j in range(300) if j != i]
+        want |= {(i, r + 1): (j, -s) for r, (s, j) in enumerate(sorted(x for x in scores if -x[0] >= -0.5)[:k])}
+    assert got.keys() == want.keys()
+    assert all(abs(got[x][1] - want[x][1]) < 1e-12 for x in want)
+    by = lambda rows: {(i, round(s, 9)): sorted(d for (i2, _), (d, s2) in rows.items() if i2 == i and abs(s2 - s) < 1e-9) for (i, _), (d, s) in rows.items()} if k < 4 else None
+    assert by(got) == by(want)
