@@ -155,6 +155,8 @@ def independent(blocks: Iterable, evidence: dict) -> int:
 
     A block that ``evidence`` does not name rests on itself.
     """
+    if not evidence:
+        return len(set(blocks))
     groups: list[set] = []
     for block in blocks:
         mine = set(evidence.get(block) or {("block", block)})
@@ -174,17 +176,26 @@ def bootstrap(paths: list[tuple[list, object, object, float]], seed: int = SEED_
     import hashlib
 
     lines: list[tuple[str, list]] = []
+    holding: dict = defaultdict(set)  # block -> places of the lines that have it: a path meets no others
     held = evidence or {}
     for blocks, _, _, _ in sorted(paths, key=lambda p: (-len(p[0]), p[1], p[2], -p[3], list(map(str, p[0])))):
-        hits = [(line, [b for b in blocks if b in set(line[1])]) for line in lines]
-        hits = [(line, both) for line, both in hits if len(both) >= shared]
+        met: dict = defaultdict(list)
+        for b in blocks:
+            for place in holding.get(b, ()):
+                met[place].append(b)
+        hits = [(place, both) for place, both in met.items() if len(both) >= shared]
         if hits:
-            strong = [(n, line) for line, both in hits if (n := independent(both, held)) >= shared]
-            best = [line for n, line in strong if n == max(m for m, _ in strong)]
+            strong = [(n, place) for place, both in hits if (n := independent(both, held)) >= shared]
+            most = max((n for n, _ in strong), default=0)
+            best = [place for n, place in strong if n == most]
             if len(best) == 1:
-                best[0][1].extend(b for b in blocks if b not in best[0][1])
+                lines[best[0]][1].extend(b for b in dict.fromkeys(blocks) if best[0] not in holding[b])
+                for b in blocks:
+                    holding[b].add(best[0])
         elif len(blocks) >= seed and independent(blocks, held) >= seed:
             unique = list(dict.fromkeys(blocks))
+            for b in unique:
+                holding[b].add(len(lines))
             lines.append(("line_" + hashlib.sha256("|".join(map(str, unique)).encode()).hexdigest()[:24], unique))
     return lines
 

@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 import unicodedata
 from collections import Counter
 from datetime import datetime, timedelta
@@ -14,7 +15,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from annalist.operators import compilation, metrics, pairs, similarity, surface, trajectory, visibility
+from annalist.operators import compilation, graph, metrics, pairs, similarity, surface, trajectory, visibility
 from annalist.plans import queries
 from tests.oracle import both
 
@@ -138,3 +139,20 @@ def test_neighbours_by_parts_equal_a_whole_sort_and_are_made_once(spark, monkeyp
     assert all(abs(got[x][1] - want[x][1]) < 1e-12 for x in want)
     by = lambda rows: {(i, round(s, 9)): sorted(d for (i2, _), (d, s2) in rows.items() if i2 == i and abs(s2 - s) < 1e-9) for (i, _), (d, s) in rows.items()} if k < 4 else None
     assert by(got) == by(want)
+
+
+def test_all_paths_are_written_out_where_no_bound_is_given(spark):
+    # A chain of 70 nodes that ends in seven forks of two, one after the other: 128 paths.
+    edges = [(i, i + 1) for i in range(70)] + [(f + i, f + 3 if i else f + j) for f in range(70, 91, 3) for i in range(3) for j in (1, 2)]
+    found = graph.paths(spark.createDataFrame(edges, "parent long, child long"), most_paths=None, most_nodes=None).collect()
+    assert len({tuple(r.nodes) for r in found}) == len(found) == 128 and {len(r.nodes) for r in found} == {85}
+    with pytest.raises(RuntimeError):
+        graph.paths(spark.createDataFrame([(0, 1), (1, 2), (2, 1)], "parent long, child long"), most_paths=None, most_nodes=None)
+
+
+def test_lines_of_many_paths_meet_by_their_blocks():
+    draw = random.Random(4)
+    told = [([a, a + draw.choice([1, 2]), a + 3, a + 3 + draw.choice([1, 2])], a, a + 5, 0.5) for a in (draw.randrange(20_000) for _ in range(20_000))]
+    begun = time.monotonic()
+    assert trajectory.bootstrap(told[:200], 2) and trajectory.bootstrap(told, 2)
+    assert time.monotonic() - begun < 20
