@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from annalist.operators.graph import connected_components
 
@@ -12,24 +13,35 @@ FLOORS = (2, 0, 0, 1, 2)
 CANDIDATE = ["decision_key", "candidate_id"]
 
 
-def evidence_components(signals: DataFrame) -> DataFrame:
-    """(signal_id, component): signals of one (decision, candidate, polarity) that share evidence hang together.
+def with_components(signals: DataFrame) -> DataFrame:
+    """``signals`` with ``component``: those of one (decision, candidate, polarity) that share evidence hang together.
 
-    ``signals``: signal_id, decision_key, candidate_id, polarity, raw_evidence_ids. Signals and evidence
-    are nodes of one bipartite graph, so links grow with the evidence, not with pairs of signals.
+    ``signals``: signal_id, decision_key, candidate_id, polarity, raw_evidence_ids. Of the signals with the same evidence
+    each is linked to the least, so only evidence that several share makes an edge; a signal without a link is a component
+    by itself. Sorted by evidence, a hot one streams through its task.
     """
     scope = F.concat_ws("\x1f", "decision_key", "candidate_id", "polarity")
-    s = F.concat(F.lit("s\x1f"), scope, F.lit("\x1f"), F.col("signal_id").cast("string"))
-    edges = signals.select(s.alias("a"), F.explode("raw_evidence_ids").alias("e"), scope.alias("scope")).select("a", F.concat(F.lit("e\x1f"), "scope", F.lit("\x1f"), F.col("e").cast("string")).alias("b"))
-    parts = connected_components(edges)
-    return signals.select("signal_id", s.alias("node")).join(parts, "node").select("signal_id", "component")
+    name = F.concat(scope, F.lit("\x1f"), F.col("signal_id").cast("string"))
+    items = signals.select(scope.alias("scope"), F.col("signal_id").cast("string").alias("b"), F.explode("raw_evidence_ids").alias("e")).filter("e is not null")
+    least = F.first("b").over(Window.partitionBy("scope", "e").orderBy("b").rowsBetween(Window.unboundedPreceding, 0))
+    full = lambda c: F.concat("scope", F.lit("\x1f"), c).alias(c)
+    links = items.withColumn("a", least).filter("a != b").select(full("a"), full("b"))
+    parts = connected_components(links)
+    return signals.withColumn("node", name).join(parts, "node", "left").withColumn("component", F.coalesce("component", "node")).drop("node")
+
 
+def evidence_components(signals: DataFrame) -> DataFrame:
+    """(signal_id, component) of :func:`with_components`; a signal without evidence is in none."""
+    return with_components(signals.filter("size(array_compact(raw_evidence_ids)) > 0")).select("signal_id", "component")
 
-def profiles(signals: DataFrame, components: DataFrame, per_variant: int = FLOORS[4]) -> DataFrame:
+
+def profiles(signals: DataFrame, components: DataFrame | None = None, per_variant: int = FLOORS[4]) -> DataFrame:
     """Per candidate: supporting components, those with a reciprocal signal, distinct contexts of
     components with one context, variants seen in enough components, contradicting components.
+
+    Without ``components`` they are found here, and no second join of all signals is needed.
     """
-    rows = signals.join(components, "signal_id")
+    rows = with_components(signals.filter("size(array_compact(raw_evidence_ids)) > 0")) if components is None else signals.join(components, "signal_id")
     support = rows.filter("polarity = 'support'")
     each = support.groupBy(*CANDIDATE, "component").agg(F.bool_or("reciprocal").alias("reciprocal"), F.count_distinct("context_id").alias("n_contexts"), F.min("context_id").alias("context"))
     counts = each.groupBy(CANDIDATE).agg(

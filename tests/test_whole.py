@@ -15,7 +15,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from annalist.operators import compilation, graph, metrics, pairs, similarity, surface, trajectory, visibility
+from annalist.operators import compilation, convergence, graph, metrics, pairs, similarity, surface, trajectory, visibility
 from annalist.plans import queries
 from tests.oracle import both
 
@@ -156,3 +156,13 @@ def test_lines_of_many_paths_meet_by_their_blocks():
     begun = time.monotonic()
     assert trajectory.bootstrap(told[:200], 2) and trajectory.bootstrap(told, 2)
     assert time.monotonic() - begun < 20
+
+
+def test_only_shared_evidence_makes_edges(spark, monkeypatch):
+    seen = []
+    real = convergence.connected_components
+    monkeypatch.setattr(convergence, "connected_components", lambda edges: seen.append(edges.count()) or real(edges))
+    told = [(str(i), "d", "c", "support", [f"p{i}", f"q{i}"] if i > 3 else ["p0", f"q{i}"]) for i in range(50)]
+    s = spark.createDataFrame(told, "signal_id string, decision_key string, candidate_id string, polarity string, raw_evidence_ids array<string>")
+    assert convergence.evidence_components(s).agg(F.count_distinct("component")).first()[0] == 47
+    assert seen == [3]
