@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 
 from annalist.operators import graph, linegraph, nearline, surface
+from annalist.scratch import materialize
 
 
 def line_edges(spark, rows):
@@ -273,3 +274,23 @@ def test_arriving_states_revise_detach_and_join_in_one_call(spark):
     again_m, again_e, told = nearline.observe(m, e, arriving, F.expr(ts(101)))
     assert {x.change for x in told.collect()} == {"KEPT"} and again_m.count() == m.count() and again_e.count() == e.count()
     assert nearline.observe(m, e, arriving.limit(0), at)[2].count() == 0
+
+
+def shuffled(spark):
+    """Bytes that this session has shuffled so far."""
+    return spark._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+
+
+def test_views_that_are_alike_are_found_without_copies_of_signatures(spark, monkeypatch):
+    draw = np.random.default_rng(1)
+    walks = draw.normal(size=(300, 5, 24))
+    walks[150:250] = walks[:100] + draw.normal(size=(100, 5, 24)) * draw.uniform(0, 0.5, size=(100, 1, 1))  # about the least cosine, on both sides
+    shapes = [(lambda f: (f - f[0]).ravel())(surface.resample(w)) for w in walks] + [draw.normal(size=10) for _ in range(4)]  # and some of another kind
+    rows = [(f"v{i}", f"line{i % 140}", (x / np.linalg.norm(x)).tolist()) for i, x in enumerate([*shapes, shapes[-1]])]
+    views = materialize(spark.createDataFrame(rows, "view_id string, line_id string, signature array<double>").repartition(2), "views")
+    want = {(min(a[0], b[0]), max(a[0], b[0])): np.dot(a[2], b[2]) for a, b in itertools.combinations(rows, 2) if a[1] != b[1] and len(a[2]) == len(b[2]) and np.dot(a[2], b[2]) >= 0.9}
+    monkeypatch.setattr(surface, "BLOCK_ROWS", 10)  # as many blocks as a large table has
+    before = shuffled(spark)
+    found = {(x.a, x.b): x.similarity for x in surface.alike(views, 0.9).collect()}
+    assert len(want) > 30 and found.keys() == want.keys() and all(abs(found[p] - want[p]) < 1e-12 for p in want)
+    assert shuffled(spark) - before < 4 * 8 * sum(len(x[2]) for x in rows)
