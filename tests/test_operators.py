@@ -422,3 +422,25 @@ def test_frontier_takes_the_nearest_supports_of_many_without_a_row_for_each_pair
     scored = frontier.scores(b, items, s)
     assert {(x.block_id, x.region_id): (x.selected, round(x.score, 6)) for x in scored.collect()} == {k: (n, min(1.0, round(t, 6))) for k, (n, t) in want.items()}
     assert "collect_list(support_content" not in scored._jdf.queryExecution().toString()  # all supports of a region, for each block
+
+
+@pytest.mark.parametrize("drift", [0.0, 1.0])
+def test_prefix_replay_over_many_blocks_keeps_few_pairs(spark, monkeypatch, drift):
+    draw = np.random.default_rng(8)
+    base = draw.integers(-2, 3, (70, 4)).astype(float) + drift * np.linspace(0, 9, 70)[:, None] * [1, 0, 0, 0]
+    rows = [(i, int(draw.integers(0, 40)), v.tolist()) for i, v in enumerate(base)]
+    points = spark.createDataFrame([*rows, (98, 5, [1.0]), (99, 7, None)], "id int, occurred_at int, vector array<double>")
+    monkeypatch.setattr(similarity, "KNN_ROWS", 20)
+    for name, value in (("CUTOFFS", 7), ("FIRST_PART", 4)):
+        monkeypatch.setattr(similarity, name, value, raising=False)
+    cos = lambda u, v: float(np.dot(u, v) / (np.linalg.norm(u) * np.linalg.norm(v))) if np.any(u) and np.any(v) else 0.0
+    want = set()
+    for cutoff in {t for _, t, _ in rows} | {5, 7}:
+        held = [r for r in rows if r[1] <= cutoff]
+        for i, _, v in held:
+            near = sorted((-round(cos(v, w), 9), t, j) for j, t, w in held if j != i and cos(v, w) >= 0.1)
+            want |= {(cutoff, i, j, rank + 1) for rank, (_, _, j) in enumerate(near[:3])}
+    asked = []
+    monkeypatch.setattr(similarity, "exact_knn", lambda *a, **k: asked.append(a) or pytest.fail("all pairs are asked for"))
+    got = similarity.prefix_replay(points, 3, 0.1).collect()
+    assert len(got) == len(want) and {(x.cutoff, x.src, x.dst, x.rank) for x in got} == want
