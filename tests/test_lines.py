@@ -294,3 +294,35 @@ def test_views_that_are_alike_are_found_without_copies_of_signatures(spark, monk
     found = {(x.a, x.b): x.similarity for x in surface.alike(views, 0.9).collect()}
     assert len(want) > 30 and found.keys() == want.keys() and all(abs(found[p] - want[p]) < 1e-12 for p in want)
     assert shuffled(spark) - before < 4 * 8 * sum(len(x[2]) for x in rows)
+
+
+def test_long_lines_are_crossed_without_a_job_for_each_few_hops(spark, monkeypatch):
+    draw = random.Random(5)
+    links = [(f"{u}/{i}", f"{u}/{i + 1}") for u in range(3) for i in range(300)] + [(f"0/{i}", f"1/{i + 5}") for i in (40, 200)] + [("2/7", "1/90"), ("1/30", "r"), ("s", "0/3")]
+    names = sorted({n for e in links for n in e})
+    gone = set(draw.sample(names, 2)) | {"1/250"}
+    hidden = set(gone)
+    for _ in links:
+        if not (more := {c for p, c in links if p in hidden} - hidden):
+            break
+        hidden |= more
+    edges = spark.createDataFrame(links, "parent string, child string")
+    made = []
+    monkeypatch.setattr(graph, "materialize", lambda rows, label="table": made.append(label) or materialize(rows, label))
+    nodes = spark.createDataFrame([(n,) for n in names], "node_id string")
+    seen = linegraph.visible_nodes(nodes.filter(~nodes.node_id.isin(*gone)), edges)
+    assert {x.node_id for x in seen.collect()} == set(names) - hidden
+    starts = ["0/300", "1/300", "1/120", "r", "alone"]
+    found = defaultdict(set)
+    for x in linegraph.raw_closure(spark.createDataFrame([(n,) for n in starts], "node_id string"), edges, nodes.withColumn("evidence_id", nodes.node_id)).collect():
+        found[x.start].add(x.evidence_id)
+    for start in starts[:4]:
+        want, front = {start}, {start}
+        while front:
+            front = {p for p, c in links if c in front} - want
+            want |= front
+        assert found[start] == want
+    assert "alone" not in found and len(made) < 60  # 38 jobs for 300 hops, three times, before
+    for more in ([("0/9", "0/2")], [("x", "y"), ("y", "x")], [("2/300", "2/7")], [("z", "z")]):
+        with pytest.raises(RuntimeError, match="cycle"):
+            linegraph.visible_nodes(nodes, edges.union(spark.createDataFrame(more, edges.schema)))
