@@ -9,6 +9,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -16,7 +17,7 @@ from pyspark.sql.window import Window
 from annalist.functions.text import identity
 from annalist.functions.vector import cosine
 from annalist.operators.graph import HOPS_A_JOB, connected_components
-from annalist.operators.similarity import BLOCK_ROWS
+from annalist.operators.similarity import BLOCK_ROWS, KNN_SCORES, vectors_of
 from annalist.scratch import materialize
 
 K, LEAST_SIMILARITY, LEAST_SUPPORT, MOST_PATHS, MOST_NODES = 4, 0.55, 3, 256, 64
@@ -258,12 +259,40 @@ def similar(points: DataFrame, asked: DataFrame, least: float) -> DataFrame:
 def line_matches(new: DataFrame, nodes: DataFrame, least: float = LEAST_SIMILARITY) -> DataFrame:
     """(block_id, line_id, node_id, score): per new block and line the best visible node, ids breaking ties.
 
-    Block products as in :func:`similar`; a pair that is not alike never meets.
+    Both sides are dealt into blocks, one matrix product a pair of blocks, some rows at a time; of a block and a line only
+    the best node of a pair of blocks leaves it.
     """
-    named = lambda kind, name: F.concat(F.lit(kind), F.col(name).cast("string")).alias("id")
-    blocks, held = new.select(named("b/", "block_id"), "block_id", "vector"), nodes.select(named("n/", "node_id"), "line_id", "node_id", "vector")
-    near = similar(blocks.select("id", "vector").unionByName(held.select("id", "vector").dropDuplicates(["id"])), blocks.select("id"), least).filter(F.col("dst").startswith("n/"))
-    scored = near.join(blocks.select(F.col("id").alias("src"), "block_id"), "src").join(held.select(F.col("id").alias("dst"), "line_id", "node_id"), "dst")
+    vector = lambda rows: rows.filter("size(vector) > 0").withColumn("vector", F.col("vector").cast("array<double>"))
+    b, held = vector(new.select("block_id", "vector")).filter("block_id is not null"), vector(nodes.select("line_id", "node_id", "vector")).filter("node_id is not null")
+    times, parts = (max(1, math.ceil(rows.count() / BLOCK_ROWS)) for rows in (b, held))
+    left = b.select(F.pmod(F.xxhash64("block_id"), F.lit(times)).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("j"), "block_id", F.col("vector").alias("u"))
+    right = held.select(F.explode(F.sequence(F.lit(0), F.lit(times - 1))).alias("i_"), F.pmod(F.xxhash64("node_id"), F.lit(parts)).cast("int").alias("j_"), "line_id", "node_id", F.col("vector").alias("v"))
+    kinds = dict(b.dtypes) | dict(held.dtypes)
+
+    def block(x: pa.Table, y: pa.Table) -> pa.Table:
+        y = y.sort_by([("line_id", "ascending"), ("node_id", "ascending")])  # a line's nodes lie side by side, the least id first
+        lines = y.column("line_id").combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+        (x_size, x_flat), (y_size, y_flat) = vectors_of(x.column("u")), vectors_of(y.column("v"))
+        out = [(np.empty(0, int), np.empty(0, int), np.empty(0))]
+        for size in np.intersect1d(x_size, y_size):
+            rows, those = np.flatnonzero(x_size == size), np.flatnonzero(y_size == size)
+            p, q = x_flat[np.repeat(x_size == size, x_size)].reshape(-1, size), y_flat[np.repeat(y_size == size, y_size)].reshape(-1, size)
+            begins = np.flatnonzero(np.r_[True, np.diff(lines[those]) != 0])
+            p_norm, q_norm = np.linalg.norm(p, axis=1), np.linalg.norm(q, axis=1)
+            for start in range(0, len(p), KNN_SCORES // BLOCK_ROWS // 2):
+                some = slice(start, start + KNN_SCORES // BLOCK_ROWS // 2)
+                scale = p_norm[some][:, None] * q_norm[None, :]
+                scores = np.divide(p[some] @ q.T, scale, out=np.zeros_like(scale), where=scale > 0)
+                for begin, end in zip(begins, [*begins[1:], len(those)]):
+                    at = begin + scores[:, begin:end].argmax(axis=1)  # the first of the best
+                    score = scores[np.arange(len(at)), at]
+                    kept = np.flatnonzero(score >= least)
+                    out.append((rows[kept + start], those[at[kept]], score[kept]))
+        i, j, score = (np.concatenate(c) for c in zip(*out))
+        return pa.table({"block_id": x.column("block_id").take(pa.array(i)), "line_id": y.column("line_id").take(pa.array(j)), "node_id": y.column("node_id").take(pa.array(j)), "score": pa.array(score)})
+
+    schema = ", ".join(f"{c} {kinds[c]}" for c in ("block_id", "line_id", "node_id")) + ", score double"
+    scored = left.groupBy("i", "j").cogroup(right.groupBy("i_", "j_")).applyInArrow(block, schema)
     return scored.groupBy("block_id", "line_id").agg(F.max("score").alias("score"), F.min_by("node_id", F.struct(-F.col("score"), F.col("node_id"))).alias("node_id"))
 
 

@@ -7,7 +7,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from annalist.operators import graph, linegraph, nearline, surface
+from annalist.operators import graph, linegraph, nearline, surface, trajectory
 from annalist.scratch import materialize
 
 
@@ -326,3 +326,23 @@ def test_long_lines_are_crossed_without_a_job_for_each_few_hops(spark, monkeypat
     for more in ([("0/9", "0/2")], [("x", "y"), ("y", "x")], [("2/300", "2/7")], [("z", "z")]):
         with pytest.raises(RuntimeError, match="cycle"):
             linegraph.visible_nodes(nodes, edges.union(spark.createDataFrame(more, edges.schema)))
+
+
+def test_only_the_best_node_of_a_line_leaves_a_block(spark, monkeypatch):
+    draw = np.random.default_rng(2)
+    blocks = [(i, draw.integers(1, 4, 3).astype(float).tolist() if i else [0.0] * 3) for i in range(400)] + [(400, [1.0]), (401, None)]
+    nodes = [(i % 3, 1000 - i, draw.integers(1, 4, 3).astype(float).tolist()) for i in range(400)] + [(3, 7, [2.0]), (3, 8, [])]
+    new = spark.createDataFrame(blocks, "block_id int, vector array<double>").repartition(2)
+    held = spark.createDataFrame(nodes, "line_id int, node_id int, vector array<double>").repartition(2)
+    cos = lambda u, v: float(np.dot(u, v) / (np.linalg.norm(u) * np.linalg.norm(v)))
+    want = {}
+    for b, u in blocks[1:-1]:
+        for line in range(4):
+            near = [(cos(u, v)) for g, _, v in nodes if g == line and len(v) == len(u)]
+            if near and max(near) >= 0.8:
+                want[b, line] = max(near)
+    monkeypatch.setattr(trajectory, "similar", lambda *a: pytest.fail("a row for each pair that is alike"))
+    found = trajectory.line_matches(new, held, 0.8).collect()
+    assert {(x.block_id, x.line_id) for x in found} == set(want) and all(abs(x.score - want[x.block_id, x.line_id]) < 1e-12 for x in found)
+    vector = {n: v for _, n, v in nodes}
+    assert all(abs(cos(dict(blocks)[x.block_id], vector[x.node_id]) - x.score) < 1e-12 for x in found)
