@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from annalist.operators import linegraph, trajectory
 from annalist.scratch import materialize
@@ -31,6 +36,8 @@ def candidates(nodes: DataFrame, blocks: DataFrame, least: float) -> DataFrame:
 
 
 CHANGES = "line_id string, ordinal long, change string, parent string, child string"
+#: Changes that leave a task at once, at least.
+CHANGE_ROWS = 8192
 
 
 def fold(nodes: DataFrame, edges: DataFrame, wanted: DataFrame, least: float, most: int = 1, rejoin: bool = False) -> DataFrame:
@@ -44,7 +51,8 @@ def fold(nodes: DataFrame, edges: DataFrame, wanted: DataFrame, least: float, mo
     that can be reached already. A change refers to the block by its ordinal; JOINED names it, as child.
 
     The next block sees what this one changed, so a line is one group: its visible nodes and the blocks that may join it.
-    Lines nothing may join are not looked at.
+    Lines nothing may join are not looked at. A task reads its lines one after the other from rows in their order, as most
+    lines are short and a call for each would cost far more than its rows.
     """
     lines = wanted.select("line_id").distinct()
     text = lambda c: F.col(c).cast("string").alias(c)
@@ -55,7 +63,7 @@ def fold(nodes: DataFrame, edges: DataFrame, wanted: DataFrame, least: float, mo
     new = part(wanted, "new", text("node_id"), none("string", "child"), F.col("vector").cast("array<double>"), *span, F.col("ordinal").cast("long"))
     along = part(edges.join(lines, "line_id", "left_semi"), "edge", F.col("parent").cast("string").alias("node_id"), text("child"), none("array<double>", "vector"), none("long", "s"), none("long", "e"), none("long", "ordinal"))
 
-    def grow(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    def grow(line: str, rows: list[tuple]) -> list[tuple]:
         known, matrix, spans, out = [], [], {}, []
         below, above = {}, {}
 
@@ -80,17 +88,20 @@ def fold(nodes: DataFrame, edges: DataFrame, wanted: DataFrame, least: float, mo
             matrix.append(v / (np.linalg.norm(v) or 1.0))
             spans[name] = (int(s), int(e))
 
-        for r in rows[rows.kind == "edge"].itertuples():
-            link(r.node_id, r.child)
-        for r in rows[rows.kind == "node"].sort_values("node_id").itertuples():
-            if r.vector is not None and len(r.vector):
-                join(r.node_id, r.vector, r.s, r.e)
-        for r in rows[rows.kind == "new"].sort_values(["ordinal", "node_id"]).itertuples():
-            if r.vector is None or not len(r.vector) or r.node_id in spans:
+        for _, kind, node, child, *_ in rows:
+            if kind == "edge":
+                link(node, child)
+        for _, kind, node, _, vector, s, e, *_ in rows:
+            if kind == "node" and vector is not None and len(vector):
+                join(node, vector, s, e)
+        for _, kind, node, _, vector, s, e, ordinal, _ in rows:
+            if kind != "new":
+                continue
+            if vector is None or not len(vector) or node in spans:
                 continue
-            v = np.asarray(r.vector, float)
+            v = np.asarray(vector, float)
             v = v / (np.linalg.norm(v) or 1.0)
-            s, e, before, after = int(r.s), int(r.e), [], []
+            before, after = [], []
             for name, u in zip(known, matrix):
                 if len(u) == len(v) and (score := float(u @ v)) >= least:
                     a, b = spans[name]
@@ -102,21 +113,43 @@ def fold(nodes: DataFrame, edges: DataFrame, wanted: DataFrame, least: float, mo
             parents, children = [x[2] for x in sorted(tips or before)[:most]], [x[2] for x in sorted(after)[:most]]
             if not parents and not children:
                 continue
-            tell = lambda change, p, c: out.append((key[0], int(r.ordinal), change, p, c))  # noqa: E731,B023
-            tell("JOINED", None, r.node_id)
-            join(r.node_id, r.vector, s, e)
+            tell = lambda change, p, c: out.append((line, ordinal, change, p, c))  # noqa: E731,B023
+            tell("JOINED", None, node)
+            join(node, vector, s, e)
             for p in parents:
                 for c in children:
                     if c in below.get(p, ()):
                         link(p, c, False)
                         tell("RETIRED", p, c)
-            for p, c in [(p, r.node_id) for p in parents] + [(r.node_id, c) for c in children]:
+            for p, c in [(p, node) for p in parents] + [(node, c) for c in children]:
                 if (rejoin or not above.get(c)) and not reaches(p, c):
                     link(p, c)
                     tell("ADDED", p, c)
-        return pd.DataFrame(out, columns=["line_id", "ordinal", "change", "parent", "child"])
-
-    return held.unionByName(new).unionByName(along).groupBy("line_id").applyInPandas(grow, CHANGES)
+        return out
+
+    def lines_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, out = [c.split()[0] for c in CHANGES.split(", ")], []
+        told = lambda: pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if n == "ordinal" else pa.string()) for n, c in zip(names, zip(*out))], names=names)
+        for line, rows in groupby(rows_of(batches), key=itemgetter(0)):
+            out += grow(line, list(rows))
+            if len(out) >= CHANGE_ROWS:
+                yield told()
+                out = []
+        if out:
+            yield told()
+
+    # The window brings a line's rows together, and their order; after repartition() alone, which nothing then relies on, Spark may part them again.
+    place = F.row_number().over(Window.partitionBy("line_id").orderBy("kind", "ordinal", "node_id"))
+    return held.unionByName(new).unionByName(along).withColumn("place", place).mapInArrow(lines_of, CHANGES)
+
+
+def rows_of(batches: Iterator[pa.RecordBatch], vector: str = "vector") -> Iterator[tuple]:
+    """Rows as tuples, with the vector, null or not, as a view of its batch's numbers."""
+    for batch in batches:
+        column = batch.column(vector)
+        ends, numbers, there = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False), column.is_valid().to_pylist()
+        vectors = (numbers[a:b] if known else None for a, b, known in zip(ends[:-1], ends[1:], there))
+        yield from zip(*(vectors if name == vector else batch.column(name).to_pylist() for name in batch.schema.names))
 
 
 def observe(members: DataFrame, edges: DataFrame, arriving: DataFrame, at: Column, least: float = trajectory.LEAST_SIMILARITY, most: int = 1, rejoin: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
