@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pickle
+import zlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -20,11 +22,39 @@ ITEM = "evidence_id string, ordering_key string, subject string, content string,
 BLOCK_NAMES, ITEM_NAMES = ([c.split()[0] for c in schema.split(", ")] for schema in (BLOCK, ITEM))
 
 
+HEAD = f"n int, open int, last_key string, last_id string, pending string, ids long, {BLOCK}"
+#: Rows that a value in the state store holds at most, and ids that a part of :class:`Done` holds on average at most.
+CALL_ROWS, PART_IDS = 1000, 512
+
+
+def append(store, rows: list[tuple]) -> None:
+    """Rows go to a list of the state store many a value: a call and a conversion for each would cost more than the fold."""
+    for start in range(0, len(rows), CALL_ROWS):
+        store.appendValue((pickle.dumps(rows[start : start + CALL_ROWS]),))
+
+
+def held_in(store) -> Iterator[tuple]:
+    for value in store.get():
+        yield from pickle.loads(bytes(value[0]))
+
+
 class Blocks:
-    """A lineage's blocks as the list the compiler expects: each lies in the state store by itself and is read when asked for."""
+    """A lineage's blocks as the list the compiler expects: the open one is at hand, the others lie in the state store.
 
-    def __init__(self, store, n: int):
-        self.store, self.n, self.held, self.before = store, n, {}, {}
+    There a block has a row for each time that it was left changed, the last one counts; all are read when one is asked for.
+    """
+
+    def __init__(self, store, n: int, open_: int | None, block: tuple):
+        self.store, self.n, self.held, self.stored, self.rows = store, n, {}, {}, None
+        if open_ is not None:
+            self.held[open_] = self.block(block)
+
+    def block(self, values: tuple) -> dict:
+        row = dict(zip(BLOCK_NAMES, values))
+        return row | {c: pd.Timestamp(row[c]) for c in ("occurred_start", "occurred_end", "known_at")} | {"evidence": list(row["evidence"])}
+
+    def values(self, i: int) -> tuple:
+        return tuple(_plain(self.held[i][n]) if n != "version" else self.held[i][n] for n in BLOCK_NAMES)
 
     def __len__(self) -> int:
         return self.n
@@ -34,56 +64,91 @@ class Blocks:
             raise IndexError(i)
         i %= self.n
         if i not in self.held:
-            row = dict(zip(BLOCK_NAMES, self.store.getValue((i,))))
-            for name in ("occurred_start", "occurred_end", "known_at"):
-                row[name] = pd.Timestamp(row[name])
-            self.held[i], self.before[i] = row | {"evidence": list(row["evidence"])}, row["version"]
+            told = [(row[0], row[1:]) for row in held_in(self.store)]
+            self.rows = len(told)
+            known = {k: self.block(values) for k, values in dict(told).items()}
+            self.stored |= {k: b["version"] for k, b in known.items()}
+            self.held = known | self.held
         return self.held[i]
 
     def append(self, block: dict) -> None:
         self.held[self.n] = block
         self.n += 1
 
-    def flush(self) -> None:
-        for i, b in self.held.items():
-            if self.before.get(i) != b["version"]:
-                self.store.updateValue((i,), tuple(b[n].to_pydatetime() if isinstance(b[n], pd.Timestamp) else b[n] for n in BLOCK_NAMES))
+    def flush(self, open_: int | None) -> tuple:
+        """Writes what has changed but the open block, whose values it gives."""
+        closed = [i for i in sorted(self.held) if i != open_]
+        if self.rows is not None and self.rows > 2 * self.n:
+            self.store.clear()
+            self.stored = {}
+        append(self.store, [(i, *self.values(i)) for i in closed if self.stored.get(i) != self.held[i]["version"]])
+        return (None,) * len(BLOCK_NAMES) if open_ is None else self.values(open_)
 
 
 class Done:
-    """Ids compiled before, each a key of the state store."""
+    """Ids compiled before, in the state store by parts of their hash: the more there are, the more parts."""
+
+    def __init__(self, store, n: int):
+        self.store, self.n, self.parts, self.held, self.changed = store, n, self.wanted(n), {}, set()
+
+    @staticmethod
+    def wanted(n: int) -> int:
+        return 1 << max(0, (max(n, 1) - 1) // PART_IDS).bit_length()
 
-    def __init__(self, store):
-        self.store = store
+    def part(self, evidence_id: str) -> int:
+        at = zlib.crc32((evidence_id or "").encode()) % self.parts
+        if at not in self.held:
+            found = self.store.getValue((at,)) if self.n else None
+            self.held[at] = set(found[0]) if found else set()
+        return at
 
     def __contains__(self, evidence_id: str) -> bool:
-        return self.store.containsKey((evidence_id,))
+        return evidence_id in self.held[self.part(evidence_id)]
 
     def __setitem__(self, evidence_id: str, blocks: list[str]) -> None:
-        self.store.updateValue((evidence_id,), (blocks,))
+        at = self.part(evidence_id)
+        self.n += evidence_id not in self.held[at]
+        self.held[at].add(evidence_id)
+        self.changed.add(at)
+
+    def flush(self) -> None:
+        if (parts := self.wanted(self.n)) != self.parts:
+            ids = set().union(*self.held.values(), *(value[0] for key, value in self.store.iterator() if key[0] not in self.held))
+            self.store.clear()
+            self.parts, self.held = parts, {k: set() for k in range(parts)}
+            for i in ids:
+                self.held[self.part(i)].add(i)
+            self.changed = set(self.held)
+        for at in sorted(self.changed):
+            self.store.updateValue((at,), (list(self.held[at]),))
 
 
 class CompilingProcessor(StatefulProcessor):
-    """One lineage's fold. Items behind a failed one wait in the state store, and follow it when it has come again and passed."""
+    """One lineage's fold. Items behind a failed one wait in the state store, and follow it when it has come again and passed.
+
+    A call to the state store costs more than an item's work, so a lineage makes a few of them a micro-batch, not some an item.
+    """
 
     def __init__(self, provider: Callable | None = None):
         self.provider = provider
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.blocks = handle.getMapState("blocks", "n int", BLOCK)
-        self.done = handle.getMapState("done", "evidence_id string", "blocks array<string>")
-        self.waiting = handle.getMapState("waiting", "ordering_key string, evidence_id string", ITEM)
-        self.head = handle.getValueState("head", "n int, open int, last_key string, last_id string, pending string")
+        self.blocks = handle.getListState("blocks", "rows binary")
+        self.done = handle.getMapState("done", "part int", "ids array<string>")
+        self.waiting = handle.getListState("waiting", "rows binary")
+        self.head = handle.getValueState("head", HEAD)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        n, at, last_key, last_id, pending = self.head.get() if self.head.exists() else (0, None, None, None, None)
-        blocks = Blocks(self.blocks, n)
-        state = {"blocks": blocks, "open": at, "last": None if last_id is None else (last_key, last_id), "done": Done(self.done), "pending": pending}
+        n, at, last_key, last_id, pending, ids, *block = self.head.get() if self.head.exists() else (0, None, None, None, None, 0)
+        blocks, done = Blocks(self.blocks, n, at, tuple(block)), Done(self.done, ids)
+        state = {"blocks": blocks, "open": at, "last": None if last_id is None else (last_key, last_id), "done": done, "pending": pending}
         lineage = str(key[0])
         compiler = Compiler(lineage, state, self.provider)
-        came = pd.concat(list(rows)).sort_values(["ordering_key", "evidence_id"], kind="stable").to_dict("records")
+        table = pd.concat(list(rows)).sort_values(["ordering_key", "evidence_id"], kind="stable")
+        came = [dict(zip(table.columns, values)) for values in zip(*(table[c].tolist() for c in table.columns))]
         came.sort(key=lambda r: r["evidence_id"] != pending)  # the failed item first, wherever it stands
         made: list[dict] = []
+        wait: list[tuple] = []
 
         def take(row: dict) -> bool:
             topics = row["topics"]
@@ -94,23 +159,25 @@ class CompilingProcessor(StatefulProcessor):
         for row in came:
             was = state["pending"]
             if take(row):
-                self.waiting.updateValue((row["ordering_key"], row["evidence_id"]), tuple(_plain(row.get(c)) for c in ITEM_NAMES))
+                wait.append(tuple(_plain(row.get(c)) for c in ITEM_NAMES))
             elif was is not None and state["pending"] is None:
-                self.drain(take, state)
-        blocks.flush()
+                wait = self.drain(take, state, wait)
+        append(self.waiting, wait)
+        done.flush()
         last = state["last"] or (None, None)
-        self.head.update((len(blocks), state["open"], last[0], last[1], state["pending"]))
+        self.head.update((len(blocks), state["open"], last[0], last[1], state["pending"], done.n, *blocks.flush(state["open"])))
         if made:
             yield as_frame(made)
 
-    def drain(self, take: Callable[[dict], bool], state: dict) -> None:
-        """The waiting items in their order, until one fails."""
-        for key in sorted(tuple(k) for k in self.waiting.keys()):
-            if state["pending"] is not None:
-                return
-            row = dict(zip(ITEM_NAMES, self.waiting.getValue(key)))
+    def drain(self, take: Callable[[dict], bool], state: dict, more: list[tuple]) -> list[tuple]:
+        """The waiting items, and ``more``, in their order, until one fails; gives what is left, and leaves none in the store."""
+        items = {(row["ordering_key"], row["evidence_id"]): row for row in (dict(zip(ITEM_NAMES, values)) for values in [*held_in(self.waiting), *more])}
+        self.waiting.clear()
+        left = sorted(items)
+        while left and state["pending"] is None:
+            row = items[left.pop(0)]
             take(row | {c: pd.Timestamp(row[c]) if row[c] is not None else None for c in ("occurred_at", "known_at")})
-            self.waiting.removeKey(key)
+        return [tuple(items[k][c] for c in ITEM_NAMES) for k in left]
 
     def close(self) -> None:
         pass
@@ -125,7 +192,7 @@ def _plain(value):
 
 
 def compile_stream(evidence: DataFrame, provider: Callable | None = None) -> DataFrame:
-    """As ``compile_batch``, for a stream: state lies in the query's checkpoint, a key a block, an id or a waiting item.
+    """As ``compile_batch``, for a stream: state lies in the query's checkpoint, a row a block or a waiting item, and ids by parts.
 
     An item that fails comes out as FAILED, those of its lineage behind it as BLOCKED; they are kept and follow, in order, when
     the failed one is given again and passes. Late rows come out with action LATE; repeated rows come out not at all, so a
