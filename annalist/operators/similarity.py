@@ -18,6 +18,8 @@ from annalist.scratch import materialize
 BLOCK_ROWS = 4096
 #: Rows of a block of :func:`exact_knn` at most, the largest k with blocks of that size, and scores that are held at once.
 KNN_ROWS, KNN_K, KNN_SCORES = 16_384, 256, 1 << 23
+#: Scores of single precision that :func:`nearest` looks at together: so many stay in a core's cache.
+NEAR_SCORES = 1 << 20
 #: Points that :func:`rising` takes first, and cutoffs of a stretch.
 FIRST_PART, CUTOFFS = 16, 1024
 
@@ -34,23 +36,26 @@ def nearest(queries: np.ndarray, points: np.ndarray, k: int, least: float) -> tu
     """(query, point, cosine) by place: each query's ``k`` points of largest cosine, ``least`` at least, best first, places breaking ties.
 
     A product of matrices finds them, some queries at a time. A row is cut into k parts or more; the k-th largest of their
-    maxima is no more than the k-th largest score, so what lies below it is left out unsorted. Scores are computed again
-    pair by pair, so that equal vectors have equal ones wherever they stand.
+    maxima is no more than the k-th largest score, so what lies below it is left out unsorted. The product is one of single
+    precision, whose error is bounded and allowed for; what is not left out is computed again in double precision, pair by
+    pair, so that equal vectors have equal scores wherever they stand.
     """
     na, nb = np.linalg.norm(queries, axis=1), np.linalg.norm(points, axis=1)
     unit = lambda rows, size: np.divide(rows, size[:, None], out=np.zeros_like(rows), where=(size > 0)[:, None] & np.isfinite(size)[:, None])
-    a, b, endless = unit(queries, na), unit(points, nb), np.flatnonzero(np.isinf(nb))
+    a, b, endless = unit(queries, na).astype(np.float32), unit(points, nb).astype(np.float32).T, np.flatnonzero(np.isinf(nb))
     n, parts = len(points), max(1, min(len(points), 4 * k))
-    width, at_once = n // parts, max(1, KNN_SCORES // max(1, n))
-    found = []
+    width, at_once = n // parts, max(1, NEAR_SCORES // max(1, n))
+    error = (points.shape[1] + 8) * 2.0**-23  # of a score of unit vectors, twice what sums of so many rounded products can lose
+    found, room = [], np.empty((min(at_once, len(queries)), n), np.float32)
     for start in range(0, len(queries), at_once):
-        scores = a[start : start + at_once] @ b.T
+        some = a[start : start + at_once]
+        scores = np.matmul(some, b, out=room[: len(some)])
         scores[:, endless] = -np.inf
         floor = np.full(len(scores), least)
         if k < parts:
             tops = scores[:, : parts * width].reshape(len(scores), parts, width).max(axis=2)
             floor = np.maximum(floor, np.partition(tops, parts - k, axis=1)[:, parts - k])
-        i, j = np.divmod(np.flatnonzero(scores >= (floor - 1e-9)[:, None]), n)
+        i, j = np.divmod(np.flatnonzero(scores >= (floor - 2 * error).astype(np.float32)[:, None]), n)
         i += start
         dots = [np.einsum("ij,ij->i", queries[i[p : p + 65536]], points[j[p : p + 65536]]) for p in range(0, len(i), 65536)]
         scale = na[i] * nb[j]
