@@ -6,6 +6,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from annalist.operators import graph, linegraph, nearline, surface, trajectory
 from annalist.scratch import materialize
@@ -296,6 +297,34 @@ def test_views_that_are_alike_are_found_without_copies_of_signatures(spark, monk
     assert shuffled(spark) - before < 4 * 8 * sum(len(x[2]) for x in rows)
 
 
+def test_views_move_their_paths_and_not_signatures(spark, monkeypatch):
+    draw = np.random.default_rng(2)
+    walks = [draw.normal(size=(n, 40)) for n in (3, 4, 3, 20, 3, 4, 3, 20) for _ in range(4)]
+    walks += [2 * w + 1 for w in walks] + [w[::-1] + 0.05 * draw.normal(size=w.shape) for w in walks] + [np.ones((3, 40)), np.array([[0.0] * 40, [1.0] * 40, [1.0] * 40])]
+    names = [(f"l{i}", f"l{i}/{k:02}", w[k].tolist()) for i, w in enumerate(walks) for k in range(len(w))]
+    nodes = materialize(spark.createDataFrame(names, "line_id string, node_id string, vector array<double>").withColumn("state_id", F.col("node_id")), "nodes")
+    edges = spark.createDataFrame([(a[0], a[1], b[1]) for a, b in itertools.pairwise(names) if a[0] == b[0]], "line_id string, parent string, child string")
+    views, _, _ = surface.line_views(nodes.select("line_id", "node_id"), edges, nodes.drop("line_id"), nodes.select("node_id", F.col("node_id").alias("evidence_id")))
+    found = {x.line_id: x.signature for x in views.collect()}
+    assert set(found) == {f"l{i}" for i in range(len(walks) - 2)} | {f"l{len(walks) - 1}"}
+    for i, w in enumerate(walks):
+        if f"l{i}" in found:
+            along = np.concatenate([[0], np.cumsum(np.linalg.norm(np.diff(w, axis=0), axis=1))])
+            plain = np.stack([np.interp(np.linspace(0, along[-1], 17), along, w[:, d]) for d in range(40)], 1)
+            flat = (plain - plain[0]).ravel()
+            assert np.abs(found[f"l{i}"] - flat / np.linalg.norm(flat)).max() < 1e-12
+    ids = {x.view_id: x.line_id for x in views.select("view_id", "line_id").collect()}
+    pairs = {tuple(sorted((ids[x.a], ids[x.b]))): x.similarity for x in surface.alike(views, 0.9).collect()}
+    want = {tuple(sorted((a, b))): np.dot(found[a], found[b]) for a, b in itertools.combinations(found, 2) if np.dot(found[a], found[b]) >= 0.9}
+    assert len(want) > 30 and pairs.keys() == want.keys() and all(abs(pairs[p] - want[p]) < 1e-12 for p in want)
+    short = [w for w in walks if len(w) <= 4]
+    monkeypatch.setattr(surface, "BLOCK_ROWS", 10)
+    some = materialize(views.filter(F.size("shape") <= 4), "views")
+    before = shuffled(spark)
+    assert surface.alike(some, 0.9).count() > 20
+    assert shuffled(spark) - before < 8 * 17 * 40 * len(short)  # less than each signature once
+
+
 def test_long_lines_are_crossed_without_a_job_for_each_few_hops(spark, monkeypatch):
     draw = random.Random(5)
     links = [(f"{u}/{i}", f"{u}/{i + 1}") for u in range(3) for i in range(300)] + [(f"0/{i}", f"1/{i + 5}") for i in (40, 200)] + [("2/7", "1/90"), ("1/30", "r"), ("s", "0/3")]
