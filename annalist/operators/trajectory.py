@@ -125,11 +125,14 @@ def propose(edges: DataFrame, most_paths: int = MOST_PATHS, most_nodes: int = MO
 def maximal_paths(paths: DataFrame, least_support: int = LEAST_SUPPORT) -> DataFrame:
     """Paths (nodes array) of enough nodes that are no contiguous part of a longer one; adds path_id.
 
-    Only paths that share a node meet: each is probed with its first node.
+    A longer path goes on before the first node or after the last one, so only paths whose first node follows another in some
+    path, or whose last one leads to another, meet those that have their first node: of whole paths none does.
     """
     rows = paths.filter(F.size("nodes") >= least_support).distinct().withColumn("text", F.concat(F.lit("|"), F.array_join(F.transform("nodes", lambda n: n.cast("string")), "|"), F.lit("|")))
+    part = lambda begin, name: rows.select(F.explode(F.slice("nodes", begin, F.size("nodes") - 1)).alias(name)).distinct()
+    ends = rows.withColumn("first", F.element_at("nodes", 1)).withColumn("last", F.element_at("nodes", -1))
+    probe = materialize(ends.join(part(2, "first"), "first", "left_semi").unionByName(ends.join(part(1, "last"), "last", "left_semi")).drop("last").distinct(), "probe")
     longer = rows.select(F.explode("nodes").alias("first"), F.col("text").alias("longer"), F.size("nodes").alias("n"))
-    probe = rows.withColumn("first", F.col("nodes")[0])
     inner = probe.join(longer, "first").filter((F.col("n") > F.size("nodes")) & F.col("longer").contains(F.col("text"))).select("text").distinct()
     return rows.join(inner, "text", "left_anti").select(identity("traj_", F.col("text")).alias("path_id"), "nodes")
 

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from annalist.operators import compilation, convergence, graph, metrics, pairs, similarity, surface, trajectory, visibility
 from annalist.plans import queries
+from annalist.scratch import materialize
 from tests.oracle import both
 
 
@@ -150,6 +151,20 @@ def test_all_paths_are_written_out_where_no_bound_is_given(spark):
         graph.paths(spark.createDataFrame([(0, 1), (1, 2), (2, 1)], "parent long, child long"), most_paths=None, most_nodes=None)
 
 
+def test_maximal_paths_are_whole_and_meet_only_where_one_may_hold_the_other(spark, tmp_path, monkeypatch):
+    # A chain of 85 vectors, each near the next one only.
+    chain = np.eye(86)[:85] + np.eye(86)[1:]
+    d = written(tmp_path, embeddings={"vec_id": list(range(0, 255, 3)), "embedding": pa.array(chain.tolist(), pa.list_(pa.float32())), "label": pa.array([0] * 85, pa.int32())})
+    got, want = both(spark, queries.QUERIES["O52_maximal_paths"], queries.ORACLES["O52_maximal_paths"], d)
+    assert got == want and [nodes.count(">") for nodes, _ in got] == [84]
+    met = []
+    monkeypatch.setattr(trajectory, "materialize", lambda rows, label="table": met.append((label, rows.count())) or materialize(rows, label))
+    forks = [("s", *x, "t") for x in itertools.product(*([f"{i}a", f"{i}b"] for i in range(6)))]
+    parts = [(*forks[0][:4],), (*forks[5][2:],), (*forks[9][1:5],), ("s", "0a", "2a"), ("x", "y")]
+    found = {tuple(r.nodes) for r in trajectory.maximal_paths(spark.createDataFrame([(list(p),) for p in forks + parts], "nodes array<string>"), 2).collect()}
+    assert found == {*forks, *parts[3:]} and met == [("probe", 4)]  # not the 64 that share "s"
+
+
 def test_lines_of_many_paths_meet_by_their_blocks():
     draw = random.Random(4)
     told = [([a, a + draw.choice([1, 2]), a + 3, a + 3 + draw.choice([1, 2])], a, a + 5, 0.5) for a in (draw.randrange(20_000) for _ in range(20_000))]
