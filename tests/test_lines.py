@@ -297,6 +297,18 @@ def test_views_that_are_alike_are_found_without_copies_of_signatures(spark, monk
     assert shuffled(spark) - before < 4 * 8 * sum(len(x[2]) for x in rows)
 
 
+def test_one_walk_counts_paths_and_writes_them_out(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(linegraph, "materialize", lambda rows, label="table": made.append(label) or materialize(rows, label))
+    links = [("t", "a", "b"), ("t", "a", "c"), ("t", "b", "d"), ("t", "c", "d"), ("t", "d", "e")]
+    links += [("hub", f"r{i}", "h") for i in range(9)] + [("hub", "h", "z")] + [("fork", f"f{i}", f"f{j}") for i in range(6) for j in range(i + 1, 6)]
+    names = sorted({(line, n) for line, *ends in links for n in ends}) + [("lone", "x")]
+    paths, skipped = linegraph.line_paths(spark.createDataFrame(names, "line_id string, node_id string"), line_edges(spark, links), most_paths=4, most_nodes=6)
+    assert sorted((x.line_id, *x.nodes) for x in paths.collect()) == [("lone", "x"), ("t", "a", "b", "d", "e"), ("t", "a", "c", "d", "e")]
+    assert sorted(map(tuple, skipped.collect())) == [("fork", "over 4 paths"), ("hub", "over 4 paths")]
+    assert made.count("walk") == 1
+
+
 def test_views_move_their_paths_and_not_signatures(spark, monkeypatch):
     draw = np.random.default_rng(2)
     walks = [draw.normal(size=(n, 40)) for n in (3, 4, 3, 20, 3, 4, 3, 20) for _ in range(4)]
