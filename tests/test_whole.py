@@ -165,6 +165,15 @@ def test_maximal_paths_are_whole_and_meet_only_where_one_may_hold_the_other(spar
     assert found == {*forks, *parts[3:]} and met == [("probe", 4)]  # not the 64 that share "s"
 
 
+def test_a_closure_makes_its_edges_once(spark, tmp_path, monkeypatch):
+    at = [datetime(2024, 1, 1) + timedelta(hours=i) for i in range(60)]
+    d = written(tmp_path, events={"event_id": list(range(60)), "ts": at, "user_id": [i * i % 7 for i in range(60)]})
+    made = []
+    monkeypatch.setattr(queries, "materialize", lambda rows, label="table": made.append(label) or materialize(rows, label))
+    got, want = both(spark, queries.QUERIES["O60_O61g_raw_closure"], queries.ORACLES["O60_O61g_raw_closure"], d)
+    assert got == want and len(got) == 4 and made == ["edges", "nodes"]
+
+
 def test_lines_of_many_paths_meet_by_their_blocks():
     draw = random.Random(4)
     told = [([a, a + draw.choice([1, 2]), a + 3, a + 3 + draw.choice([1, 2])], a, a + 5, 0.5) for a in (draw.randrange(20_000) for _ in range(20_000))]
