@@ -212,7 +212,8 @@ def bootstrap_lines(paths: DataFrame, evidence: DataFrame | None = None, seed: i
     whose number :func:`propose` has bounded, and their evidence.
     """
     kind = paths.schema["nodes"].dataType.elementType.simpleString()
-    rows = paths.select("component", F.col("nodes").alias("blocks"), F.col("start").cast("timestamp").alias("start"), F.col("end").cast("timestamp").alias("end"), "similarity")
+    micros = lambda name: F.coalesce(F.unix_micros(F.col(name).cast("timestamp")), F.lit(-(1 << 63)))  # noqa: E731  pandas has no times after 2262
+    rows = paths.select("component", F.col("nodes").alias("blocks"), micros("start").alias("start"), micros("end").alias("end"), "similarity")
 
     def resting(told: pd.DataFrame, rests: pd.DataFrame) -> pd.DataFrame:
         held: dict = {}

@@ -69,3 +69,13 @@ def test_of_several_lines_the_one_with_most_independent_support_is_extended():
     assert trajectory.independent(["a", "b", "c"], {"a": {1, 2}, "b": {2, 3}, "c": {4}}) == 2
     assert trajectory.independent(["a", "b", "c"], {"a": {1}, "b": {3}, "c": {1, 3}}) == 1
     assert held(a, evidence={x: {"one"} for x in "abcde"}) == []
+
+
+def test_lines_of_times_after_2262(spark):
+    """pandas has no such times; 110,000 days from 2024 are in 2325. Equal lengths, so the starts order the paths."""
+    rows = [("c", [1, 2, 3], 4e11, 4e11 + 9, 0.5), ("c", [2, 3, 4], 2e11, 2e11 + 9, 0.5), ("c", [7, 8], -1e12, -1e12 + 5, 0.9)]
+    paths = spark.createDataFrame([(c, nodes, int(s), int(e), x) for c, nodes, s, e, x in rows], "component string, nodes array<long>, s long, e long, similarity double")
+    paths = paths.select("component", "nodes", F.timestamp_seconds("s").alias("start"), F.timestamp_seconds("e").alias("end"), "similarity")
+    found = trajectory.bootstrap_lines(paths, seed=2)
+    want = [(line, b) for line, blocks in trajectory.bootstrap([(n, s, e, x) for _, n, s, e, x in rows], seed=2) for b in blocks]
+    assert sorted(map(tuple, found.collect())) == sorted(want) and [b for _, b in want] == [2, 3, 4, 1, 7, 8]
