@@ -1,3 +1,4 @@
+import itertools
 import json
 import math
 
@@ -444,3 +445,19 @@ def test_prefix_replay_over_many_blocks_keeps_few_pairs(spark, monkeypatch, drif
     monkeypatch.setattr(similarity, "exact_knn", lambda *a, **k: asked.append(a) or pytest.fail("all pairs are asked for"))
     got = similarity.prefix_replay(points, 3, 0.1).collect()
     assert len(got) == len(want) and {(x.cutoff, x.src, x.dst, x.rank) for x in got} == want
+
+
+def test_prefix_replay_writes_out_stretch_by_stretch(spark, monkeypatch):
+    """A point's lists lie side by side and cutoffs repeat in one order, which files hold in little room; single precision gives the same."""
+    draw = np.random.default_rng(9)
+    vectors = draw.normal(size=(60, 6)).astype(np.float32).tolist()
+    monkeypatch.setattr(similarity, "CUTOFFS", 8)
+    frame = lambda kind: spark.createDataFrame([(i, i, v) for i, v in enumerate(vectors)], f"id int, occurred_at int, vector {kind}")
+    got = similarity.prefix_replay(frame("array<double>"), 2, 0.1).withColumns({"task": F.spark_partition_id(), "part": F.pmod(F.xxhash64("src"), F.lit(64))}).collect()
+    assert len(got) > 3000
+    for key in (lambda r: (r.task, r.part, r.cutoff // 8), lambda r: (r.task, r.part, r.cutoff // 8, r.src, r["rank"])):
+        runs = [(k, [r.cutoff for r in rows]) for k, rows in itertools.groupby(got, key)]
+        assert len(runs) == len({k for k, _ in runs})
+    assert all(cutoffs == list(range(cutoffs[0], cutoffs[-1] + 1)) for _, cutoffs in runs)
+    plain = lambda rows: {(r.cutoff, r.src, r.dst, r["rank"], round(r.similarity, 9)) for r in rows}
+    assert plain(similarity.prefix_replay(frame("array<float>"), 2, 0.1).collect()) == plain(got)
