@@ -16,8 +16,10 @@ from annalist.scratch import materialize
 
 #: Rows of one block of the distance matrix's side.
 BLOCK_ROWS = 4096
-#: Rows of a block of :func:`exact_knn` at most, the largest k with blocks of that size, and scores that are held at once.
+#: Rows of a block of :func:`exact_knn`, the largest k with blocks of that size, and scores that are held at once.
 KNN_ROWS, KNN_K, KNN_SCORES = 16_384, 256, 1 << 23
+#: Components of a block's vectors up to which it may have four times as many rows.
+BLOCK_COMPONENTS = 1 << 22
 #: Scores of single precision that :func:`nearest` looks at together: so many stay in a core's cache.
 NEAR_SCORES = 1 << 20
 #: Points that :func:`rising` takes first, cutoffs of a stretch, and parts of the points for which stretches are written out.
@@ -84,14 +86,17 @@ def exact_knn(points: DataFrame, k: int, least: float = -1.0, id_col: str = "id"
 
     Points with null or empty vectors are skipped; a zero vector has cosine 0 with everything, and so
     have vectors of different sizes. The distance matrix is computed in blocks: both sides are hashed
-    to blocks of at most about KNN_ROWS rows, matrix products a pair of blocks, and only each query's
-    best k of a block leave it. The result is a table: whoever reads it several times computes it once.
-    ``queries`` (default: all points) may be a subset of the points.
+    to blocks of about KNN_ROWS rows, or up to four times as many of short vectors, as each row is moved
+    once for every block; matrix products a pair of blocks, and only each query's best k of a block leave
+    it. Vectors of single precision are moved as such. The result is a table: whoever reads it several
+    times computes it once. ``queries`` (default: all points) may be a subset of the points.
     """
-    rows = points.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v")).filter("id is not null and size(v) > 0")
+    narrow = points.schema[vector_col].dataType.simpleString() == "array<float>"
+    rows = points.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<float>" if narrow else "array<double>").alias("v")).filter("id is not null and size(v) > 0")
     asked = rows if queries is None else rows.join(queries.select(F.col(id_col).alias("id")).distinct(), "id", "left_semi")
-    n = rows.count()
-    blocks = max(math.ceil(n / (KNN_ROWS if k <= KNN_K else BLOCK_ROWS // 2)), min(8, math.ceil(n / BLOCK_ROWS)), 1)
+    n, longest = rows.agg(F.count("*"), F.max(F.size("v"))).first()
+    at_most = max(KNN_ROWS, min(4 * KNN_ROWS, BLOCK_COMPONENTS // (longest or 1)))
+    blocks = max(math.ceil(n / (at_most if k <= KNN_K else BLOCK_ROWS // 2)), min(8, math.ceil(n / BLOCK_ROWS)), 1)
     id_type = rows.schema["id"].dataType
     part = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
     every = F.sequence(F.lit(0), F.lit(blocks - 1))
@@ -109,7 +114,7 @@ def exact_knn(points: DataFrame, k: int, least: float = -1.0, id_col: str = "id"
             qs, ps = np.flatnonzero(q_sizes == size), np.flatnonzero(p_sizes == size)
             if not len(ps):
                 continue
-            a, b = qv[np.repeat(q_sizes == size, q_sizes)].reshape(-1, size), pv[np.repeat(p_sizes == size, p_sizes)].reshape(-1, size)
+            a, b = (flat[np.repeat(sizes == size, sizes)].reshape(-1, size).astype(np.float64) for flat, sizes in ((qv, q_sizes), (pv, p_sizes)))
             i, j, score = nearest(a, b, k + 1, least)
             i, j = qs[i], ps[j]
             other = q_code[i] != p_code[j]

@@ -109,16 +109,22 @@ def effective_groups(rows: DataFrame) -> DataFrame:
     return several.join(top, ["members", "support"]).groupBy("members").agg(F.min_by(F.struct(*names), "structure_id").alias("g")).select("g.*")
 
 
+def sharing(groups: DataFrame) -> DataFrame:
+    """(left_id, right_id, shared): groups that share a member, and how many. Only they meet, in an equality join."""
+    flat = groups.select("structure_id", F.explode("members").alias("id"))
+    return flat.join(flat.select(F.col("structure_id").alias("right_id"), "id"), "id").filter("structure_id < right_id").groupBy(F.col("structure_id").alias("left_id"), "right_id").agg(F.count("*").alias("shared"))
+
+
 def higher_order(groups: DataFrame, vectors: DataFrame, least: float = HIGHER_ORDER) -> DataFrame:
     """(left_id, right_id, shared, strength): groups that share a member (strength 1 at least), or whose
     centroids are near and that both span two dates or more.
 
-    ``vectors`` has id and vector. Sharing pairs come from an equality join; the others from the kNN
-    of centroids of groups on several dates.
+    ``vectors`` has id and vector. Sharing pairs come from :func:`sharing`, which whoever asks for them alone calls; the others
+    from the kNN of centroids of groups on several dates, which compares all of them.
     """
     flat = groups.select("structure_id", F.explode("members").alias("id"))
     centers = centroid(flat.join(vectors.select("id", "vector"), "id"), "structure_id")
-    shared = flat.join(flat.select(F.col("structure_id").alias("right_id"), "id"), "id").filter("structure_id < right_id").groupBy(F.col("structure_id").alias("left_id"), "right_id").agg(F.count("*").alias("shared"))
+    shared = sharing(groups)
     c = centers.select(F.col("structure_id").alias("right_id"), F.col("centroid").alias("right_c"))
     scored = shared.join(centers.withColumnRenamed("structure_id", "left_id"), "left_id").join(c, "right_id").select("left_id", "right_id", "shared", F.greatest(F.lit(1.0), cosine(F.col("centroid"), F.col("right_c"))).alias("strength"))
     spread = groups.filter(F.size("dates") >= 2).select("structure_id")
@@ -128,10 +134,16 @@ def higher_order(groups: DataFrame, vectors: DataFrame, least: float = HIGHER_OR
 
 
 def expand(pairs: DataFrame, groups: DataFrame, bridge: DataFrame) -> DataFrame:
-    """(left_id, right_id, evidence): the evidence behind both groups, through frozen states."""
-    ends = pairs.select("left_id", "right_id", F.explode(F.array("left_id", "right_id")).alias("structure_id"))
-    members = ends.join(groups.select("structure_id", F.explode("members").alias("id")), "structure_id").select("left_id", "right_id", "id").distinct()
-    return members.join(bridge, "id").groupBy("left_id", "right_id").agg(F.array_sort(F.collect_set("evidence_id")).alias("evidence"))
+    """(left_id, right_id, evidence): the evidence behind both groups, through frozen states.
+
+    A group's evidence is gathered once, however many pairs it is in.
+    """
+    rests = groups.select("structure_id", F.explode("members").alias("id")).join(bridge, "id").groupBy("structure_id").agg(F.collect_set("evidence_id").alias("evidence"))
+    side = lambda name: rests.select(F.col("structure_id").alias(f"{name}_id"), F.col("evidence").alias(name))
+    met = pairs.select("left_id", "right_id").distinct().join(side("left"), "left_id", "left").join(side("right"), "right_id", "left")
+    none = F.array().cast(rests.schema["evidence"].dataType)
+    both = F.array_sort(F.array_union(F.coalesce("left", none), F.coalesce("right", none)))
+    return met.select("left_id", "right_id", both.alias("evidence")).filter(F.size("evidence") > 0)
 
 
 def regions(points: DataFrame, k: int, least: float, overlap: float, smallest: int) -> tuple[DataFrame, DataFrame]:

@@ -461,3 +461,33 @@ def test_prefix_replay_writes_out_stretch_by_stretch(spark, monkeypatch):
     assert all(cutoffs == list(range(cutoffs[0], cutoffs[-1] + 1)) for _, cutoffs in runs)
     plain = lambda rows: {(r.cutoff, r.src, r.dst, r["rank"], round(r.similarity, 9)) for r in rows}
     assert plain(similarity.prefix_replay(frame("array<float>"), 2, 0.1).collect()) == plain(got)
+
+
+def grouped(spark):
+    """Groups by their members, and vectors that are all near each other."""
+    groups = spark.createDataFrame([("a", [1, 2], ["d", "e"]), ("b", [2, 3, 4], ["d", "e"]), ("c", [1, 2, 4], ["d", "e"]), ("z", [9], ["d", "e"])], "structure_id string, members array<int>, dates array<string>")
+    return groups, spark.createDataFrame([(i, [1.0, i / 1000]) for i in (1, 2, 3, 4, 9)], "id int, vector array<double>")
+
+
+def test_groups_that_share_meet_without_the_neighbours_of_centroids(spark, monkeypatch):
+    groups, vectors = grouped(spark)
+    bridge = spark.createDataFrame([(1, "x"), (2, "y"), (2, "x"), (3, None)], "id int, evidence_id string")
+    found = sorted(tuple(r) for r in structure.higher_order(groups, vectors).select("left_id", "right_id", "shared").collect())
+    assert found == [("a", "b", 1), ("a", "c", 2), ("a", "z", 0), ("b", "c", 2), ("b", "z", 0), ("c", "z", 0)]
+    monkeypatch.setattr(structure, "exact_knn", lambda *a, **k: pytest.fail("all centroids are compared"))
+    shared = structure.sharing(groups)
+    assert sorted(map(tuple, shared.collect())) == [x for x in found if x[2]]
+    pairs = shared.select("left_id", "right_id").union(spark.createDataFrame([("z", "zz"), ("a", "z"), ("a", "b")], "l string, r string"))
+    rows = sorted((r.left_id, r.right_id, r.evidence) for r in structure.expand(pairs, groups, bridge).collect())
+    assert rows == [("a", "b", ["x", "y"]), ("a", "c", ["x", "y"]), ("a", "z", ["x", "y"]), ("b", "c", ["x", "y"])]
+
+
+@pytest.mark.parametrize("name", ["O39_expand_evidence"])
+def test_queries_over_shared_members_take_neighbours_once(spark, tmp_path, monkeypatch, name):
+    from annalist.plans import queries
+
+    taken, real = [], similarity.exact_knn
+    monkeypatch.setattr(structure, "exact_knn", lambda points, k, *a, **o: taken.append(k) or real(points, k, *a, **o))
+    draw = np.random.default_rng(4)
+    spark.createDataFrame([(i, v, i % 3) for i, v in enumerate(draw.normal(size=(40, 5)).astype(np.float32).tolist())], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert queries.QUERIES[name](spark, str(tmp_path)).count() > 0 and taken == [8]
