@@ -482,7 +482,7 @@ def test_groups_that_share_meet_without_the_neighbours_of_centroids(spark, monke
     assert rows == [("a", "b", ["x", "y"]), ("a", "c", ["x", "y"]), ("a", "z", ["x", "y"]), ("b", "c", ["x", "y"])]
 
 
-@pytest.mark.parametrize("name", ["O39_expand_evidence"])
+@pytest.mark.parametrize("name", ["O38_higher_order_sharing", "O39_expand_evidence"])
 def test_queries_over_shared_members_take_neighbours_once(spark, tmp_path, monkeypatch, name):
     from annalist.plans import queries
 
