@@ -22,9 +22,10 @@ ITEM = "evidence_id string, ordering_key string, subject string, content string,
 BLOCK_NAMES, ITEM_NAMES = ([c.split()[0] for c in schema.split(", ")] for schema in (BLOCK, ITEM))
 
 
-HEAD = f"n int, open int, last_key string, last_id string, pending string, ids long, {BLOCK}"
 #: Rows that a value in the state store holds at most, and ids that a part of :class:`Done` holds on average at most.
 CALL_ROWS, PART_IDS = 1000, 512
+#: Groups of lineages, each with its own state; bytes up to which a lineage's blocks, ids and waiting items lie in one value; rows of a frame.
+GROUPS, FEW_BYTES, FRAME_ROWS = 1024, 1 << 16, 10_000
 
 
 def append(store, rows: list[tuple]) -> None:
@@ -38,6 +39,54 @@ def held_in(store) -> Iterator[tuple]:
         yield from pickle.loads(bytes(value[0]))
 
 
+class Few(dict):
+    """What a map of the state store is asked for, in memory."""
+
+    getValue, updateValue = dict.get, dict.__setitem__
+
+    def removeKey(self, key: tuple) -> None:
+        self.pop(key, None)
+
+
+class Listed:
+    """A lineage's list in a map of the state store, by places."""
+
+    def __init__(self, store, lineage: str, n: int):
+        self.store, self.lineage, self.n = store, lineage, n
+
+    def get(self) -> Iterator[tuple]:
+        return (self.store.getValue((self.lineage, i)) for i in range(self.n))
+
+    def appendValue(self, value: tuple) -> None:
+        self.store.updateValue((self.lineage, self.n), value)
+        self.n += 1
+
+    def clear(self) -> None:
+        for i in range(self.n):
+            self.store.removeKey((self.lineage, i))
+        self.n = 0
+
+
+class Parted:
+    """A lineage's parts of ids in a map of the state store, some of ``n``."""
+
+    def __init__(self, store, lineage: str, n: int):
+        self.store, self.lineage, self.n = store, lineage, n
+
+    def getValue(self, key: tuple) -> tuple | None:
+        return self.store.getValue((self.lineage, *key))
+
+    def updateValue(self, key: tuple, value: tuple) -> None:
+        self.store.updateValue((self.lineage, *key), value)
+
+    def iterator(self) -> Iterator[tuple]:
+        return (((k,), found) for k in range(self.n) if (found := self.getValue((k,))) is not None)
+
+    def clear(self) -> None:
+        for key, _ in list(self.iterator()):
+            self.store.removeKey((self.lineage, *key))
+
+
 class Blocks:
     """A lineage's blocks as the list the compiler expects: the open one is at hand, the others lie in the state store.
 
@@ -124,29 +173,49 @@ class Done:
 
 
 class CompilingProcessor(StatefulProcessor):
-    """One lineage's fold. Items behind a failed one wait in the state store, and follow it when it has come again and passed.
+    """The folds of a group's lineages. Items behind a failed one wait in the state store, and follow it when it has come again and passed.
 
-    A call to the state store costs more than an item's work, so a lineage makes a few of them a micro-batch, not some an item.
+    A call to the state store, and a frame, cost more than many an item's work: a short lineage is one value, read and written
+    once a micro-batch, and the lineages of a group come and go in the same frames.
     """
 
     def __init__(self, provider: Callable | None = None):
         self.provider = provider
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.blocks = handle.getListState("blocks", "rows binary")
-        self.done = handle.getMapState("done", "part int", "ids array<string>")
-        self.waiting = handle.getListState("waiting", "rows binary")
-        self.head = handle.getValueState("head", HEAD)
+        self.heads = handle.getMapState("heads", "lineage string", "head binary")
+        self.stores = [
+            handle.getMapState("blocks", "lineage string, place int", "rows binary"),
+            handle.getMapState("done", "lineage string, part int", "ids array<string>"),
+            handle.getMapState("waiting", "lineage string, place int", "rows binary"),
+        ]
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        n, at, last_key, last_id, pending, ids, *block = self.head.get() if self.head.exists() else (0, None, None, None, None, 0)
-        blocks, done = Blocks(self.blocks, n, at, tuple(block)), Done(self.done, ids)
-        state = {"blocks": blocks, "open": at, "last": None if last_id is None else (last_key, last_id), "done": done, "pending": pending}
-        lineage = str(key[0])
+        came: dict[str, list[dict]] = {}
+        for table in rows:
+            for values in zip(*(table[c].tolist() for c in table.columns)):
+                row = dict(zip(table.columns, values))
+                came.setdefault(str(row["lineage_id"]), []).append(row)
+        made: list[dict] = []
+        for lineage in list(came):
+            made += self.fold(lineage, came.pop(lineage))
+            if len(made) >= FRAME_ROWS:
+                yield as_frame(made)
+                made = []
+        if made:
+            yield as_frame(made)
+
+    def fold(self, lineage: str, came: list[dict]) -> list[dict]:
+        """The rows of one lineage, whose state is written back."""
+        held = self.heads.getValue((lineage,))
+        n, at, last, pending, ids, block, lists, few = pickle.loads(bytes(held[0])) if held else (0, None, None, None, 0, (), (0, 0), ({}, {}, {}))
+        stores = self.stores if few is None else [Few(values) for values in few]
+        listed, waiting = Listed(stores[0], lineage, lists[0]), Listed(stores[2], lineage, lists[1])
+        blocks, done = Blocks(listed, n, at, block), Done(Parted(stores[1], lineage, Done.wanted(ids)), ids)
+        state = {"blocks": blocks, "open": at, "last": last, "done": done, "pending": pending}
         compiler = Compiler(lineage, state, self.provider)
-        table = pd.concat(list(rows)).sort_values(["ordering_key", "evidence_id"], kind="stable")
-        came = [dict(zip(table.columns, values)) for values in zip(*(table[c].tolist() for c in table.columns))]
-        came.sort(key=lambda r: r["evidence_id"] != pending)  # the failed item first, wherever it stands
+        order = lambda x: (x is None or x != x, x)  # noqa: E731  what is missing comes last
+        came.sort(key=lambda r: (r["evidence_id"] != pending, order(r["ordering_key"]), order(r["evidence_id"])))  # the failed item first, wherever it stands
         made: list[dict] = []
         wait: list[tuple] = []
 
@@ -161,18 +230,23 @@ class CompilingProcessor(StatefulProcessor):
             if take(row):
                 wait.append(tuple(_plain(row.get(c)) for c in ITEM_NAMES))
             elif was is not None and state["pending"] is None:
-                wait = self.drain(take, state, wait)
-        append(self.waiting, wait)
+                wait = self.drain(take, state, waiting, wait)
+        append(waiting, wait)
         done.flush()
-        last = state["last"] or (None, None)
-        self.head.update((len(blocks), state["open"], last[0], last[1], state["pending"], done.n, *blocks.flush(state["open"])))
-        if made:
-            yield as_frame(made)
-
-    def drain(self, take: Callable[[dict], bool], state: dict, more: list[tuple]) -> list[tuple]:
+        block = blocks.flush(state["open"])
+        few = None if few is None else [dict(values) for values in stores]  # plain: workers may not find this module by its name
+        if few is not None and len(pickle.dumps(few)) > FEW_BYTES:
+            for store, values in zip(self.stores, few):
+                for place, value in values.items():
+                    store.updateValue(place, value)
+            few = None
+        self.heads.updateValue((lineage,), (pickle.dumps((len(blocks), state["open"], state["last"], state["pending"], done.n, block, (listed.n, waiting.n), few)),))
+        return made
+
+    def drain(self, take: Callable[[dict], bool], state: dict, waiting: Listed, more: list[tuple]) -> list[tuple]:
         """The waiting items, and ``more``, in their order, until one fails; gives what is left, and leaves none in the store."""
-        items = {(row["ordering_key"], row["evidence_id"]): row for row in (dict(zip(ITEM_NAMES, values)) for values in [*held_in(self.waiting), *more])}
-        self.waiting.clear()
+        items = {(row["ordering_key"], row["evidence_id"]): row for row in (dict(zip(ITEM_NAMES, values)) for values in [*held_in(waiting), *more])}
+        waiting.clear()
         left = sorted(items)
         while left and state["pending"] is None:
             row = items[left.pop(0)]
@@ -186,21 +260,23 @@ class CompilingProcessor(StatefulProcessor):
 def _plain(value):
     if value is None or value is pd.NaT:
         return None
+    if isinstance(value, str):
+        return value
     if isinstance(value, pd.Timestamp):
         return value.to_pydatetime()
-    return value if isinstance(value, (str, bool)) else list(value) if hasattr(value, "__iter__") else bool(value)
+    return value if isinstance(value, bool) else list(value) if hasattr(value, "__iter__") else bool(value)
 
 
 def compile_stream(evidence: DataFrame, provider: Callable | None = None) -> DataFrame:
-    """As ``compile_batch``, for a stream: state lies in the query's checkpoint, a row a block or a waiting item, and ids by parts.
+    """As ``compile_batch``, for a stream: state lies in the query's checkpoint, by lineage, and lineages are dealt into GROUPS.
 
     An item that fails comes out as FAILED, those of its lineage behind it as BLOCKED; they are kept and follow, in order, when
     the failed one is given again and passes. Late rows come out with action LATE; repeated rows come out not at all, so a
     replayed micro-batch changes nothing. The session is set to keep state in RocksDB, which keyed state needs.
     """
     evidence.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    rows = evidence.select("lineage_id", *ITEM_NAMES)
-    return rows.groupBy("lineage_id").transformWithStateInPandas(CompilingProcessor(provider), STATES, "Append", "none")
+    rows = evidence.select(F.col("lineage_id").cast("string").alias("lineage_id"), *ITEM_NAMES)
+    return rows.withColumn("part", F.pmod(F.xxhash64("lineage_id"), F.lit(GROUPS))).groupBy("part").transformWithStateInPandas(CompilingProcessor(provider), STATES, "Append", "none")
 
 
 COMMITS = "batch_id long, rows long"

@@ -126,3 +126,21 @@ def test_ids_are_found_after_their_parts_double():
         n = done.n
     done = Done(store, n)
     assert n == len(ids) and all(i in done for i in ids) and "x" not in done and len(store.map) == 8
+
+
+@pytest.mark.parametrize("few", [1 << 16, 3000, 0])
+def test_lineages_of_a_group_share_frames_and_a_short_one_is_one_value(monkeypatch, few):
+    from annalist.streaming import compile as compile_
+
+    monkeypatch.setattr(compile_, "FEW_BYTES", few, raising=False)
+    frames = {name: items(n, recaps=(9, 17)).assign(lineage_id=name) for name, n in (("a", 30), ("b", 4), ("c", 120), ("d", 30))}
+    mixed = pd.concat(frames.values()).sort_values(["evidence_id", "lineage_id"])
+    fail = lambda compiler, row: refuse(compiler, row) if compiler.lineage == "c" else compiler.decide(row)
+    handle = Handle()
+    batches = [(mixed[mixed.evidence_id < "00020"], fail), (mixed[mixed.evidence_id >= "00015"], fail), (frames["c"].iloc[100:101], None)]
+    got = folded(batches, handle=handle)
+    for name, frame in frames.items():
+        compiler = Compiler(name)
+        same([r for r in got if r["lineage_id"] == name], [s for row in frame.to_dict("records") for s in compiler.process(row)])
+    if few == 1 << 16:
+        assert len(handle.calls) == 2 * (4 + 3 + 1)  # b has nothing in the second batch
